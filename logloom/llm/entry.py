@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logloom.llm import rules
+from logloom.llm import mixing, rules
 
 QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
+    "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL = {
