@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logloom.llm import mixing, rules
+from logloom.llm import bpe, mixing, rules
 
 QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
