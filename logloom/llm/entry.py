@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, mixing, rules, urls
+from logloom.llm import bpe, chat, html, mixing, rules, urls
 
 QUERIES = {
     "op3_url_reputation": urls.op3_url_reputation,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op10_html_extract": html.op10_html_extract,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
