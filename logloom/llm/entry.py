@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, html, mixing, rules, urls
+from logloom.llm import bpe, chat, html, minhash, mixing, rules, urls
 
 QUERIES = {
+    "op1_near_dedup": minhash.op1_near_dedup,
     "op3_url_reputation": urls.op3_url_reputation,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
