@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, html, minhash, mixing, rules, urls
+from logloom.llm import bpe, chat, html, minhash, mixing, passages, rules, urls
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_html_extract": html.op10_html_extract,
+    "op8_passage_dedup": passages.op8_passage_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
