@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, html, minhash, mixing, passages, rules, urls
+from logloom.llm import bpe, chat, embeddings, html, minhash, mixing, passages, rules, urls
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
+    "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op3_url_reputation": urls.op3_url_reputation,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_dedup": embeddings.OP2_SQL,
     "op5_quality_rules": rules.OP5_SQL,
 }
