@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, embeddings, html, minhash, mixing, passages, rules, urls
+from logloom.llm import bpe, chat, embeddings, hmm, html, minhash, mixing, passages, rules, urls
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
     "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op3_url_reputation": urls.op3_url_reputation,
+    "op4_hmm_score": hmm.op4_hmm_score,
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_chat_format": chat.op6_chat_format,
     "op7_byte_bpe": bpe.op7_byte_bpe,
