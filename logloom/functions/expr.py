@@ -230,7 +230,7 @@ def upper_median(x: str) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole days, rounded down."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86_400_000_000)).cast("long")
+    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000)).cast("long")
 
 
 def age_band(days: Column) -> Column:

@@ -50,7 +50,7 @@ def delegated_work(records: DataFrame) -> DataFrame:
         F.min_by("specialist", F.when(F.col("specialist").isNotNull(), F.col("seq"))).alias("specialist"),
         (F.countDistinct("specialist") > 1).alias("mixed"),
     )
-    span = F.when(F.col("z") > F.col("a"), F.unix_micros("z") - F.unix_micros("a"))
+    span = F.when(F.col("z") > F.col("a"), F.unix_micros(F.col("z").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))
     return per_file.groupBy("specialist").agg(
         F.count("*").alias("files"),
         F.sum("records").alias("records"),

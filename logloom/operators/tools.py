@@ -124,7 +124,7 @@ def open_boards(tasks: DataFrame, live: DataFrame) -> DataFrame:
     ids = live.select(F.col("session_id").alias("__id")).union(live.select(F.substring("session_id", 1, 8))).distinct()
     gone = tasks.join(ids, F.col("board") == F.col("__id"), "left_anti")
     return gone.groupBy("board").agg(
-        F.count_if("status <> 'completed'").alias("open_tasks"), F.count("*").alias("tasks"),
+        F.count_if(F.col("status") != "completed").alias("open_tasks"), F.count("*").alias("tasks"),
         F.min(F.when(F.col("status") != "completed", F.col("task_id"))).alias("next_task"),
     ).where("open_tasks > 0")
 
@@ -140,7 +140,7 @@ def script_inventory(scripts: DataFrame, pattern: str) -> DataFrame:
     x = scripts.withColumn("calls", F.regexp_count("text", F.lit(pattern)))
     return x.groupBy("kind").agg(
         F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.sum("calls").alias("calls"),
-        F.count_if("calls > 1").alias("fan_out"),
+        F.count_if(F.col("calls") > 1).alias("fan_out"),
     )
 
 
