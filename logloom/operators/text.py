@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
 from logloom.functions.udfs import prose_words, redacted, sentences, syllables
-from logloom.shared import cut, drop_cut
+from logloom.shared import cut
 
 #: Words without a topic (fixed values).
 STOPWORDS = (
@@ -67,28 +69,32 @@ def similarity_edges(vectors: DataFrame) -> DataFrame:
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int = 120) -> DataFrame:
-    """(doc_id, ix, rank) for all documents at once: uniform start, weighted steps, each document frozen when its largest change is below epsilon.
+    """(doc_id, ix, rank): uniform start, weighted steps, stop when the largest change is below epsilon or after `rounds`.
 
-    What a node without edges holds is not dealt out. Each round is one join and one aggregate, written as a table, so lineage stays short.
+    What a node without edges holds is not dealt out. Documents are independent, so each one's graph (no larger than its text) is
+    iterated where its rows meet: one shuffle, instead of a join and a shuffle of all edges per round.
     """
-    n = nodes.groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = edges.groupBy("doc_id", "i").agg(F.sum("weight").alias("total"))
-    steps = cut(edges.join(out, ["doc_id", "i"]).select("doc_id", "i", "j", (F.col("weight") / F.col("total")).alias("p")), "steps")
-    ranks = cut(nodes.join(n, "doc_id").select("doc_id", "ix", "n", (1 / F.col("n")).alias("rank"), F.lit(False).alias("done")), "ranks")
-    for _ in range(rounds):
-        got = ranks.where("not done").join(steps, (steps.doc_id == ranks.doc_id) & (steps.i == ranks.ix)).groupBy(
-            steps.doc_id, F.col("j").alias("ix")
-        ).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        nxt = (1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))
-        x = ranks.join(got, ["doc_id", "ix"], "left").withColumn("new", F.when(F.col("done"), F.col("rank")).otherwise(nxt))
-        change = F.max(F.abs(F.col("new") - F.col("rank"))).over(Window.partitionBy("doc_id"))
-        x = x.withColumn("done", F.col("done") | (change < epsilon)).select("doc_id", "ix", "n", F.col("new").alias("rank"), "done")
-        new = cut(x, "ranks")
-        drop_cut(ranks)
-        ranks = new
-        if not ranks.where("not done").take(1):
-            break
-    return ranks.select("doc_id", "ix", "rank")
+
+    def rank(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ix = np.sort(n["ix"].to_numpy())
+        size = len(ix)
+        if not size:
+            return pd.DataFrame({"doc_id": [], "ix": [], "rank": []})
+        r = np.full(size, 1.0 / size)
+        i, j = np.searchsorted(ix, e["i"].to_numpy()), np.searchsorted(ix, e["j"].to_numpy())
+        w = e["weight"].to_numpy(dtype=float)
+        p = w / np.bincount(i, weights=w, minlength=size)[i] if len(w) else w
+        for _ in range(rounds):
+            new = (1 - damping) / size + damping * np.bincount(j, weights=p * r[i], minlength=size)
+            change, r = np.abs(new - r).max(), new
+            if change < epsilon:
+                break
+        return pd.DataFrame({"doc_id": n["doc_id"].iloc[0], "ix": ix, "rank": r})
+
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    return nodes.select("doc_id", "ix").groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(
+        rank, f"doc_id {kind}, ix int, rank double"
+    )
 
 
 def top_sentences(ranks: DataFrame, k: int = 3) -> DataFrame:
