@@ -38,10 +38,10 @@ _KEY = "doc bigint, cid int"
 
 
 def anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor hash, fragment hash, first window and number of windows of each run over texts (positions in data)."""
+    """anchor hash, fragment hash, first window, number of windows, and the anchor's place in the fragment, of each run over texts (positions in data)."""
     n, span = len(data), WINDOW - GRAM + 1
     if n < WINDOW:
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 3
     prefix = np.zeros(n + 1, _U)
     np.cumsum(textops._BYTE[data] * textops._POWERS.upto(n), out=prefix[1:])
     inverse = textops._INVERSES.upto(n + 1)
@@ -62,7 +62,7 @@ def anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(edge, off[1:][some] - WINDOW + 1, -1)
     start = np.flatnonzero(np.cumsum(edge[: n - WINDOW + 1]))
     if not len(start):
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 3
     p = (least[start] & mask).astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)
@@ -71,7 +71,7 @@ def anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(start)))
     place = (p - lo).astype(_U) * _U(0x9E3779B97F4A7C15) + count.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
     frag = textops.mix64((prefix[lo + count - 1 + WINDOW] - prefix[lo]) * inverse[lo] + place)
-    return h[p], frag, lo, count
+    return h[p], frag, lo, count, p - lo
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -88,17 +88,17 @@ def _runs(texts: DataFrame) -> DataFrame:
             for i, j in textops.chunks(off):
                 whole = int(off[j] - off[i])
                 if whole <= PIECE:
-                    a, f, lo, c = anchor_runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                    a, f, lo, c, at = anchor_runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     d = np.searchsorted(off[i : j + 1] - off[i], lo, "right") - 1
-                    parts.append((a, f, d + i, lo - (off[i : j + 1] - off[i])[d], c))
+                    parts.append((a, f, d + i, lo - (off[i : j + 1] - off[i])[d], c, at))
                     continue
-                for at in range(0, whole - WINDOW + 1, PIECE):
-                    x = data[off[i] + at : min(off[j], off[i] + at + PIECE + WINDOW - 1)]
-                    a, f, lo, c = anchor_runs(x, np.array([0, len(x)]))
-                    parts.append((a, f, np.full(len(a), i), lo + at, c))
+                for begin in range(0, whole - WINDOW + 1, PIECE):
+                    x = data[off[i] + begin : min(off[j], off[i] + begin + PIECE + WINDOW - 1)]
+                    a, f, lo, c, at = anchor_runs(x, np.array([0, len(x)]))
+                    parts.append((a, f, np.full(len(a), i), lo + begin, c, at))
             if not parts:
                 continue
-            a, f, d, lo, c = (np.concatenate(x) for x in zip(*parts))
+            a, f, d, lo, c, at = (np.concatenate(x) for x in zip(*parts))
             docs = batch.column(0).to_numpy()
             doc, cid = docs[d], batch.column(1).to_numpy()[d]
             kind = np.zeros(len(a), np.int8)
@@ -114,16 +114,16 @@ def _runs(texts: DataFrame) -> DataFrame:
                 a[again] = textops.mix64(f[again] + lo[again].astype(_U) + doc[again].astype(_U))  # any task will do
             yield pa.RecordBatch.from_arrays(
                 [_signed(a), _signed(f), pa.array(doc), pa.array(cid), pa.array(lo.astype(np.int64)),
-                 pa.array(c.astype(np.int16)), pa.array(kind)],
-                names=["anchor", "frag", "doc", "cid", "lo", "n", "kind"],
+                 pa.array(c.astype(np.int16)), pa.array(at.astype(np.int16)), pa.array(kind)],
+                names=["anchor", "frag", "doc", "cid", "lo", "n", "at", "kind"],
             )
 
-    return texts.mapInArrow(run, f"anchor bigint, frag bigint, {_KEY}, lo bigint, n smallint, kind tinyint")
+    return texts.mapInArrow(run, f"anchor bigint, frag bigint, {_KEY}, lo bigint, n smallint, at smallint, kind tinyint")
 
 
 def _settle(runs: DataFrame) -> DataFrame:
     """kind 1: windows that repeat; kind 2: the first places of fragments whose anchor has others as well."""
-    cols = ["anchor", "doc", "cid", "lo", "n", "kind"]
+    cols = ["anchor", "doc", "cid", "lo", "n", "at", "kind"]
 
     def table(t, kinds, pick):
         arrays = [pa.array(t[c][pick]) for c in cols[:-1]] + [pa.array(kinds[pick].astype(np.int8))]
@@ -158,13 +158,13 @@ def _settle(runs: DataFrame) -> DataFrame:
             yield settle(rest)
 
     x = runs.repartition("anchor").sortWithinPartitions("anchor")
-    return x.mapInArrow(run, f"anchor bigint, {_KEY}, lo bigint, n smallint, kind tinyint")
+    return x.mapInArrow(run, f"anchor bigint, {_KEY}, lo bigint, n smallint, at smallint, kind tinyint")
 
 
 def _fetch(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """places(anchor, doc, cid, lo, n) with their bytes."""
+    """places(anchor, doc, cid, lo, n, at) with their bytes."""
     by_doc = cut(
-        places.groupBy("doc", "cid").agg(F.collect_list(F.struct("anchor", "lo", "n")).alias("places")), "places"
+        places.groupBy("doc", "cid").agg(F.collect_list(F.struct("anchor", "lo", "n", "at")).alias("places")), "places"
     )
     n = by_doc.count()
     few = texts.join(sized(by_doc.select("doc", "cid"), n), ["doc", "cid"], "left_semi")
@@ -175,17 +175,17 @@ def _fetch(texts: DataFrame, places: DataFrame) -> DataFrame:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
                 spots = one.column(2).flatten()
-                anchor, lo, n = (spots.field(k).to_numpy() for k in range(3))
+                anchor, lo, n, at = (spots.field(k).to_numpy() for k in range(4))
                 raw = one.column(3)[0].as_py().encode()
                 frags = [raw[a : a + k + WINDOW - 1] for a, k in zip(lo.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor), pa.array(np.full(len(lo), one.column(0)[0].as_py(), np.int64)),
-                     pa.array(np.full(len(lo), one.column(1)[0].as_py(), np.int32)), pa.array(lo), pa.array(n),
+                     pa.array(np.full(len(lo), one.column(1)[0].as_py(), np.int32)), pa.array(lo), pa.array(n), pa.array(at),
                      pa.array(frags, pa.binary())],
-                    names=["anchor", "doc", "cid", "lo", "n", "bytes"],
+                    names=["anchor", "doc", "cid", "lo", "n", "at", "bytes"],
                 )
 
-    return x.mapInArrow(run, f"anchor bigint, {_KEY}, lo bigint, n smallint, bytes binary")
+    return x.mapInArrow(run, f"anchor bigint, {_KEY}, lo bigint, n smallint, at smallint, bytes binary")
 
 
 def repeated_windows(doc, cid, lo, n, frags) -> list[tuple[int, int, int, int]]:
@@ -221,7 +221,31 @@ def repeated_windows(doc, cid, lo, n, frags) -> list[tuple[int, int, int, int]]:
     return list(zip(doc[rr[first]].tolist(), cid[rr[first]].tolist(), ss[first].tolist(), count.tolist()))
 
 
+def _agreement(strings: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with any other: its neighbours in sorted order have it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        x, y = strings[i], strings[j]
+        k = min(len(x), len(y))
+        bits = (int.from_bytes(x[:k], "big") ^ int.from_bytes(y[:k], "big")).bit_length()
+        same = k - (bits + 7) // 8
+        if same > out[i]:
+            out[i] = same
+        out[j] = same
+    return out
+
+
+def shared_parts(frags: list[bytes], at: list[int]) -> list[tuple[int, int]]:
+    """Where each fragment of one anchor may hold a window of another: equal windows agree to the left and to the right of the anchor."""
+    right = _agreement([f[p:] for f, p in zip(frags, at)])
+    left = _agreement([f[:p][::-1] for f, p in zip(frags, at)])
+    return [(p - a, p + b) for p, a, b in zip(at, left, right)]
+
+
 def _compare(frags: DataFrame) -> DataFrame:
+    """Repeated windows of fragments that share an anchor; only what may repeat goes into the suffix arrays."""
+
     def out(rows):
         cols = list(zip(*rows)) if rows else [(), (), (), ()]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -233,17 +257,17 @@ def _compare(frags: DataFrame) -> DataFrame:
         held, size, rows = [], 0, []
 
         def flush():
-            t = pa.concat_tables(held).combine_chunks()
-            num = lambda c: t.column(c).to_numpy()
-            return repeated_windows(
-                num("doc"), num("cid"), num("lo"), num("n").astype(np.int64), t.column("bytes").to_pylist()
-            )
+            doc, cid, lo, n, parts = zip(*held)
+            return repeated_windows(np.array(doc), np.array(cid), np.array(lo), np.array(n), list(parts))
 
         for t in blocks.groups(batches, "anchor"):
             if len(t) < 2:
                 continue
-            held.append(t)
-            size += t.column("bytes").nbytes
+            doc, cid, lo, at, texts = (t.column(c).to_pylist() for c in ("doc", "cid", "lo", "at", "bytes"))
+            for d, c, first, f, (a, b) in zip(doc, cid, lo, texts, shared_parts(texts, at)):
+                if b - a >= WINDOW:
+                    held.append((d, c, first + a, b - a - WINDOW + 1, f[a:b]))
+                    size += b - a + 1
             if size >= SUFFIX_BYTES:
                 rows += flush()
                 held, size = [], 0
@@ -311,7 +335,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = x.where(long_enough & ~F.col("__copy")).select("doc", "cid", "__text")
     settled = cut(_settle(_runs(texts)), "settled")
     known = settled.where("kind = 1").select("doc", "cid", "lo", F.col("n").cast("long").alias("n"))
-    open_ = settled.where("kind = 2").select("anchor", "doc", "cid", "lo", "n")
+    open_ = settled.where("kind = 2").select("anchor", "doc", "cid", "lo", "n", "at")
     spans = cut(_spans(known.unionByName(_compare(_fetch(texts, open_)))), "spans")
     n, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     spans = spans.withColumnRenamed("spans", "__spans")
