@@ -85,7 +85,7 @@ def _runs(texts: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = textops.buffer(textops.column(batch, "__text"))
             parts = []
-            for i, j in textops.chunks(off):
+            for i, j in textops.chunks(off, min(textops.CHUNK, PIECE)):
                 whole = int(off[j] - off[i])
                 if whole <= PIECE:
                     a, f, lo, c, at = anchor_runs(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -358,23 +358,22 @@ def _kept(raw: bytes, copy: bool, spans) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the repeated bytes of their texts removed (a character that a cut breaks goes as a whole)."""
+    """docs with the repeated bytes of their texts removed (a character that a cut breaks goes as a whole); all other columns stay as they are."""
     own = docs.columns
-    rest = [c for c in own if c != text]
-    x = repeats(docs, text).select(*[F.col(c) for c in rest], "__text", "__copy", "__spans")
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"`{text}` string"])
+    rest = F.struct(*[F.col(c) for c in own if c != text], F.lit(0).alias("__none")).alias("__row")
+    x = repeats(docs.select("doc_id", F.col(text).alias("__in"), rest), "__in").select("__row", "__text", "__copy", "__spans")
 
     def run(batches):
         for batch in batches:
-            k = len(rest)
-            cols = [batch.column(i) for i in range(k)]
             texts = []
-            for i in range(len(batch)):
-                raw, copy, spans = batch.column(k)[i].as_py(), batch.column(k + 1)[i].as_py(), batch.column(k + 2)[i].as_py()
+            for raw, copy, spans in zip(*(batch.column(k) for k in (1, 2, 3))):
+                raw, copy, spans = raw.as_py(), copy.as_py(), spans.as_py()
                 texts.append(raw if not copy and not spans else _kept(raw.encode(), copy, spans)[0].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*rest, text])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["__row", "__out"])
 
-    return x.mapInArrow(run, schema).select(*own)
+    kind = x.schema["__row"].dataType.simpleString()
+    out = x.mapInArrow(run, f"__row {kind}, __out string")
+    return out.select(*[F.col("__out").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in own])
 
 
 def op8_passage_dedup(spark, sf_dir: str) -> DataFrame:
