@@ -11,6 +11,11 @@ ANSI = r"\x1b\[[0-9;:?]*[@-~]|(?s:\x1b\].*?(?:\x07|\x1b\\))|\x1b."
 BLOCK_MARKER = r"^\s*(?:(?:#{1,6}\s+|>\s*|[-*+]\s+|\d+[.)]\s+)\s*)+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end (F.trim takes blanks only)."""
+    return F.btrim(text, F.lit(" \t\n\r\f"))
+
+
 def strip_ansi(text: Column) -> Column:
     """Terminal escapes removed: control sequences, operating-system commands, then any two-character escape."""
     return F.regexp_replace(text, ANSI, "")
@@ -18,7 +23,7 @@ def strip_ansi(text: Column) -> Column:
 
 def title_line(text: Column) -> Column:
     """The first line with a letter or digit, without its markdown block markers; '' if none."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, BLOCK_MARKER, "")))
+    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, BLOCK_MARKER, "")))
     return F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lit(0)), F.lit(""))
 
 
@@ -26,7 +31,7 @@ def prose_only(text: Column, elements: list[str]) -> Column:
     """Text without the named envelope elements; a stray tag goes, its text stays."""
     names = "|".join(elements)
     x = F.regexp_replace(text, rf"(?s)<({names})>.*?</\1>", " ")
-    return F.trim(F.regexp_replace(x, rf"</?(?:{names})>", " "))
+    return strip(F.regexp_replace(x, rf"</?(?:{names})>", " "))
 
 
 def clip(text: Column, size: int) -> Column:
@@ -194,7 +199,7 @@ def front_matter(text: Column, key: str) -> Column:
 
 
 def body_of(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""))
+    return strip(F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", ""))
 
 
 def stamp_of_name(name: Column) -> Column:
