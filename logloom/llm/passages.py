@@ -30,6 +30,8 @@ WINDOW = 100
 GRAM = 24
 #: Longer texts are read in pieces that overlap by a window less one byte.
 PIECE = 4 << 20
+#: Different fragments of one anchor up to which they are compared in one task; beyond, each of their windows goes its own way.
+CROWD = 20_000
 #: Bytes of fragments that one suffix array covers, whole anchors at a time.
 SUFFIX_BYTES = 1 << 16
 
@@ -122,42 +124,67 @@ def _runs(texts: DataFrame) -> DataFrame:
 
 
 def _settle(runs: DataFrame) -> DataFrame:
-    """kind 1: windows that repeat; kind 2: the first places of fragments whose anchor has others as well."""
+    """kind 1: windows that repeat; kind 2: the first places of fragments whose anchor has others as well; kind 3: the same, for an anchor of more than CROWD fragments.
+
+    Rows come sorted by anchor, fragment and place. Of the last anchor in a batch at most CROWD first places are held, so memory is bounded for any group.
+    """
     cols = ["anchor", "doc", "cid", "lo", "n", "at", "kind"]
 
-    def table(t, kinds, pick):
-        arrays = [pa.array(t[c][pick]) for c in cols[:-1]] + [pa.array(kinds[pick].astype(np.int8))]
+    def table(t, kinds):
+        arrays = [pa.array(t[c]) for c in cols[:-1]] + [pa.array(np.asarray(kinds).astype(np.int8))]
         return pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    def settle(t):
-        o = np.lexsort((t["lo"], t["cid"], t["doc"], t["frag"], t["anchor"]))
-        t = {k: v[o] for k, v in t.items()}
-        known = t["kind"] == 1
-        new_a = np.ones(len(o), bool)
-        new_a[1:] = t["anchor"][1:] != t["anchor"][:-1]
-        new_f = new_a.copy()
-        new_f[1:] |= t["frag"][1:] != t["frag"][:-1]
-        which = np.cumsum(new_a) - 1
-        several = np.bincount(which, weights=new_f & ~known)[which] > 1
-        kinds = np.where(known | ~new_f, 1, np.where(several, 2, 0))
-        return table(t, kinds, kinds > 0)
+    def pick(t, which):
+        return {c: v[which] for c, v in t.items()}
 
     def run(batches):
-        rest = None
+        anchor = frag = None  # of the last row
+        held, crowded = None, False  # first places of the last anchor
+
+        def close():
+            if held is not None and len(held["anchor"]) > 1:
+                yield table(held, np.full(len(held["anchor"]), 2))
+
         for batch in batches:
             t = {c: batch.column(k).to_numpy() for k, c in enumerate(batch.schema.names)}
-            if rest is not None:
-                t = {c: np.concatenate([rest[c], v]) for c, v in t.items()}
-            if not len(t["anchor"]):
+            n = len(t["anchor"])
+            if not n:
                 continue
-            last = int(np.searchsorted(t["anchor"], t["anchor"][-1]))
-            rest = {c: v[last:] for c, v in t.items()}
-            if last:
-                yield settle({c: v[:last] for c, v in t.items()})
-        if rest is not None and len(rest["anchor"]):
-            yield settle(rest)
-
-    x = runs.repartition("anchor").sortWithinPartitions("anchor")
+            new_a, new_f = np.ones(n, bool), np.ones(n, bool)
+            new_a[1:] = t["anchor"][1:] != t["anchor"][:-1]
+            new_f[1:] = new_a[1:] | (t["frag"][1:] != t["frag"][:-1])
+            new_a[0] = anchor is None or t["anchor"][0] != anchor
+            new_f[0] = new_a[0] or t["frag"][0] != frag
+            anchor, frag = t["anchor"][-1], t["frag"][-1]
+            again = (t["kind"] == 1) | ~new_f
+            if again.any():
+                yield table(pick(t, again), np.ones(int(again.sum())))
+            first = np.flatnonzero(~again)
+            which = np.cumsum(new_a)[first]  # 0: still the anchor that the batch before ended with
+            for g in (0, int(np.cumsum(new_a)[-1])) if new_a[1:].any() or new_a[0] else (0,):
+                if g:  # the anchor before has ended, and so have those between
+                    yield from close()
+                    held, crowded = None, False
+                    middle = first[(which > 0) & (which < g)]
+                    if len(middle):
+                        of = np.cumsum(new_a)[middle]
+                        count = np.bincount(of)[of]
+                        some = count > 1
+                        if some.any():
+                            yield table(pick(t, middle[some]), np.where(count[some] > CROWD, 3, 2))
+                mine = pick(t, first[which == g])
+                if not len(mine["anchor"]):
+                    continue
+                if crowded:
+                    yield table(mine, np.full(len(mine["anchor"]), 3))
+                    continue
+                held = mine if held is None else {c: np.concatenate([held[c], v]) for c, v in mine.items()}
+                if len(held["anchor"]) > CROWD:
+                    yield table(held, np.full(len(held["anchor"]), 3))
+                    held, crowded = None, True
+        yield from close()
+
+    x = runs.repartition("anchor").sortWithinPartitions("anchor", "frag", "doc", "cid", "lo")
     return x.mapInArrow(run, f"anchor bigint, {_KEY}, lo bigint, n smallint, at smallint, kind tinyint")
 
 
@@ -282,6 +309,30 @@ def _compare(frags: DataFrame) -> DataFrame:
     return x.mapInArrow(run, f"{_KEY}, lo bigint, n bigint")
 
 
+def _compare_crowded(frags: DataFrame) -> DataFrame:
+    """Repeated windows of anchors with very many fragments: each window is a row under a 128-bit hash, and all but the earliest repeat.
+
+    The smallest place per hash is a partial aggregate and the join back may be split, so no group meets in one task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, cid, lo, n, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "cid", "lo", "n", "bytes"))):
+                for k in range(n):
+                    h = hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()
+                    rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, cid, lo + k))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h1", "h2", "doc", "cid", "lo"])
+
+    w = cut(frags.mapInArrow(run, f"h1 bigint, h2 bigint, {_KEY}, lo bigint"), "windows")
+    place = F.struct("doc", "cid", "lo")
+    first = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    x = w.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    return x.select("doc", "cid", "lo", F.lit(1).cast("long").alias("n"))
+
+
 def _spans(windows: DataFrame) -> DataFrame:
     """(doc, cid, spans): the maximal byte runs that repeated windows(doc, cid, lo, n) cover."""
     names = ["doc", "cid", "spans"]
@@ -336,7 +387,11 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     settled = cut(_settle(_runs(texts)), "settled")
     known = settled.where("kind = 1").select("doc", "cid", "lo", F.col("n").cast("long").alias("n"))
     open_ = settled.where("kind = 2").select("anchor", "doc", "cid", "lo", "n", "at")
-    spans = cut(_spans(known.unionByName(_compare(_fetch(texts, open_)))), "spans")
+    found = known.unionByName(_compare(_fetch(texts, open_)))
+    crowded = settled.where("kind = 3").select("anchor", "doc", "cid", "lo", "n", "at")
+    if crowded.take(1):
+        found = found.unionByName(_compare_crowded(_fetch(texts, crowded)))
+    spans = cut(_spans(found), "spans")
     n, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     spans = spans.withColumnRenamed("spans", "__spans")
     return x.join(sized(spans, n + total // 4), ["doc", "cid"], "left")

@@ -201,6 +201,18 @@ def test_long_texts_are_read_in_overlapping_pieces(spark, monkeypatch):
     assert got == {i: w[1] for i, w in brute_passages(docs).items()}
 
 
+def test_crowded_anchors_go_by_windows(spark, monkeypatch):
+    docs = passage_docs()
+    monkeypatch.setattr(passages, "CROWD", 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # anchors that run over several batches
+    try:
+        got = {r.doc_id: passages._kept(r["__text"].encode(), r["__copy"], r["__spans"])[1] for r in passages.repeats(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: w[1] for i, w in brute_passages(docs).items()}
+
+
 def test_passages_of_nothing_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert passages.remove_repeats(empty).collect() == []
