@@ -44,10 +44,13 @@ def by_block(rows: DataFrame, block: str = "block") -> DataFrame:
 
 
 def stars(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each node to the smallest of its component, for a symmetric boolean matrix."""
+    """Edges from each node to the best linked one of its component, for a symmetric boolean matrix.
+
+    A group's natural hub is then the centre in every block that holds it, and its edges are the same ones.
+    """
     m, out = len(ids), []
     left = np.ones(m, bool)
-    for i in np.argsort(ids, kind="stable"):
+    for i in np.lexsort((ids, -linked.sum(axis=1))):
         if not left[i]:
             continue
         left[i] = False

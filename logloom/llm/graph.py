@@ -1,4 +1,4 @@
-"""Connected components over an edge table, by minimum labels and pointer jumping."""
+"""Connected components over an edge table, by hooking to smaller neighbours and contracting."""
 
 from __future__ import annotations
 
@@ -11,26 +11,36 @@ from logloom.shared import cut, drop_cut
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node of edges(a, b); component is the smallest node that can be reached.
 
-    Each round takes the smallest label among the neighbours and then that label's own label, so
-    labels travel twice as far each round. All state is in tables; nothing comes to the driver but "has it changed".
+    Each round every node hooks to its smallest neighbour if that is smaller, follows the hook once more, and takes that label; edges are
+    rewritten to labels and those inside a label go, so the edge table shrinks from round to round. A label that
+    is itself hooked further stays connected by an edge to where it went. All state is in tables; only "is any edge left" comes to the driver.
     """
-    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = cut(e, f"{name}-edges")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-            "node", F.least("node", "m").alias("label")
-        ),
-        f"{name}-labels",
-    )
+
+    def tidy(e: DataFrame) -> DataFrame:
+        x = e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return cut(x.distinct(), f"{name}-edges")
+
+    e, labels = tidy(edges), None
     while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        near = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("l"))
-        up = labels.select(F.col("node").alias("l"), F.col("label").alias("up"))
-        new = cut(step.join(up, "l").select("node", "old", F.least("l", "up").alias("label")), f"{name}-labels")
-        drop_cut(labels)
-        if not new.where("label <> old").take(1):
-            return new.select("node", F.col("label").alias("component"))
-        path, labels = new._logloom_path, new.select("node", "label")
-        labels._logloom_path = path
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        hook = cut(hook, f"{name}-hooks")
+        on = lambda at, to: hook.select(F.col("node").alias(at), F.col("to").alias(to))
+        far = cut(hook.join(on("to", "label"), "to").join(on("label", "beyond"), "label").select("node", "label", "beyond"), f"{name}-labels")
+        drop_cut(hook)
+        if labels is None:
+            new = cut(far.select("node", "label"), f"{name}-labels")
+        else:
+            step = far.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            new = cut(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+            drop_cut(labels)
+        labels = new
+        of = lambda c: far.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        moved = e.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        on_way = far.select(F.col("label").alias("a"), F.col("beyond").alias("b"))
+        rest = tidy(moved.unionByName(on_way))
+        drop_cut(far)
+        drop_cut(e)
+        e = rest
+        if not e.take(1):
+            return labels.select("node", F.col("label").alias("component"))

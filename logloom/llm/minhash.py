@@ -34,7 +34,7 @@ DEPTH = HASHES // ORDERS
 #: Hashes of the signature that must agree for a candidate: 0.64.
 ESTIMATE = 82
 LARGE = 4096
-BLOCK = 256
+BLOCK = 512
 
 _U = np.uint64
 _FACTORS = textops.mix64(np.arange(1, HASHES + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
