@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": minhash.OP1_SQL,
     "op2_embedding_dedup": embeddings.OP2_SQL,
+    "op3_url_reputation": urls.OP3_SQL,
     "op5_quality_rules": rules.OP5_SQL,
 }

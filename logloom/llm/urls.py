@@ -143,4 +143,48 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT
 def op3_url_reputation(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    return judge(pages, labels)
+    out = judge(pages, labels)
+    return out.withColumn("posterior", F.round("posterior", 6)).withColumn("lower_bound", F.round("lower_bound", 6))
+
+
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
+
+def _sql_level(name: str, source: str) -> str:
+    """Posterior of each row of source(..., n, k, m) by the moments of its labelled rows."""
+    return f"""
+{name}_s AS (SELECT 1 / least(0.9, greatest(0.001, coalesce((sum(n * pow(k / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001))) - 1 AS s
+  FROM {source} WHERE n > 0),
+{name} AS (SELECT *, (m * s + k) / (s + n) AS p FROM {source}, {name}_s)"""
+
+
+OP3_SQL = (
+    f"""
+WITH x AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+known AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+          WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
+h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, string_split(split_part(host, ':', 1), '.') AS l
+       FROM x LEFT JOIN known ON page_id = doc_id GROUP BY host),
+h1 AS (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM h0),
+h AS (SELECT host, n, k, array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') AS suffix, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS dom FROM h1),
+t0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY 1),"""
+    + _sql_level("t", "t0")
+    + """,
+d0 AS (SELECT h.suffix, dom, sum(h.n) AS n, sum(h.k) AS k, any_value(t.p) AS m FROM h JOIN t ON h.suffix = t.suffix GROUP BY 1, 2),"""
+    + _sql_level("d", "d0")
+    + """,
+e0 AS (SELECT host, h.n, h.k, d.p AS m FROM h JOIN d ON h.suffix = d.suffix AND h.dom = d.dom),"""
+    + _sql_level("e", "e0")
+    + f""",
+r AS (SELECT host, n, k, p, p - {Z} * sqrt(p * (1 - p) / (s + n + 1)) AS lo FROM e),
+y AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM x)
+SELECT page_id, y.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lo > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(n AS BIGINT) AS n_labelled, CAST(k AS BIGINT) AS n_bad, round(p, 6) AS posterior, round(lo, 6) AS lower_bound
+FROM y JOIN r ON y.host = r.host"""
+)
