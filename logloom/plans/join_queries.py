@@ -646,3 +646,60 @@ def stream_pairs(spark, d):
 @query("""SELECT 0 AS undated, count(*) FILTER (ts > TIMESTAMP '2024-01-20') AS future, count(*) AS rows FROM events""".replace("0 AS undated", "count(*) FILTER (ts IS NULL) AS undated"))
 def late_counters(spark, d):
     return jobs.late_counters(t(spark, d, "events"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
+# --- more sources ---------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS uuid, role AS type, substr(text, 1, 80) AS excerpt, length(text) > 80 AS truncated, CAST(length(text) AS BIGINT) AS output FROM conversations WHERE NOT (turn = 3 AND conv_id % 4 = 0)"""
+)
+def session_timeline(spark, d):
+    r = transcripts.records(spark, _corpus(spark, d), pattern="*.txt")
+    x = sessions.timeline(r, 80)
+    return x.select("uuid", "type", "text.excerpt", "text.truncated", F.col("tokens.output").alias("output"))
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date_raw,
+ CASE event_type WHEN 'error' THEN 'Error' ELSE 'Purchase' END AS type, 'item ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS text, CASE WHEN event_id % 3 = 0 THEN 'item before' END AS supersedes FROM events WHERE event_type IN ('error', 'purchase')"""
+)
+def log_entries(spark, d):
+    """Each user's errors and purchases as a log text, parsed back into entries."""
+    sup = F.when(F.col("event_id") % 3 == 0, F.lit(" | supersedes: item before")).otherwise(F.lit(""))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" | ["), "event_type", F.lit("] | item "), F.get_json_object("props", "$.k"), sup)
+    e = t(spark, d, "events").where("event_type in ('error', 'purchase')").select("user_id", F.struct("event_id", line.alias("line")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    logs = e.groupBy(F.col("user_id").cast("string").alias("log_id")).agg(body.alias("text"))
+    return documents.log_entries(logs, ["error", "purchase"]).drop("format")
+
+
+def _json_lines(spark, rows, line):
+    path = f"{scratch_dir(spark)}/logloom/lines-{uuid.uuid4().hex}"
+    rows.select(F.to_json(line).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, text, CAST(length(text) AS BIGINT) AS length, turn % 3 = 0 AS had_paste, strftime(TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * conv_id, '%Y-%m-%d %H:%M:%S') AS ts FROM conversations WHERE role = 'user' AND regexp_matches(text, '[^ ]')"""
+)
+def prompt_history(spark, d):
+    c = t(spark, d, "conversations").where("role = 'user'")
+    pasted = F.when(F.col("turn") % 3 == 0, F.create_map(F.lit("1"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    line = F.struct(F.col("text").alias("display"), (F.col("conv_id") * 1000).alias("timestamp"), F.lit("/p").alias("project"), F.col("conv_id").cast("string").alias("sessionId"), pasted.alias("pastedContents"))
+    x = transcripts.prompts(spark, _json_lines(spark, c, line))
+    return x.select("session_id", "text", F.col("length").cast("long").alias("length"), "had_paste", stamp("ts").alias("ts"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_id % 4 <> 1)
+SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS samples, count(*) FILTER (k % 2 = 0) AS with_limits, max(k) FILTER (k % 2 = 0) AS most_used FROM s GROUP BY 1"""
+)
+def pacing_samples(spark, d):
+    k = F.get_json_object("props", "$.k").cast("double")
+    window = F.when(k % 2 == 0, F.struct(F.struct(k.alias("used_percentage"), F.lit(1_700_000_000).alias("resets_at")).alias("five_hour")))
+    sid = F.when(F.col("event_id") % 4 != 1, F.col("user_id").cast("string"))
+    line = F.struct(sid.alias("session_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured_at"), window.alias("rate_limits"))
+    x = transcripts.pacing_samples(spark, _json_lines(spark, t(spark, d, "events"), line))
+    has = F.col("limits").isNotNull()
+    return x.groupBy("session_id").agg(F.count("*").alias("samples"), F.count_if(has).alias("with_limits"), F.max("limits.five_hour.used").alias("most_used"))
