@@ -79,6 +79,21 @@ def test_large_regions_are_dealt_into_blocks_and_go_deeper(spark, docs, monkeypa
     assert sorted(map(tuple, minhash.near_duplicates(df, shingle=4).collect())) == whole
 
 
+def test_regions_that_are_too_large_go_deeper(spark, docs, monkeypatch):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sig = minhash.describe(df, "text", 4).where("n_shingles > 0").selectExpr("doc_id AS rep", "sig").cache()
+    flat = minhash._regions(sig).collect()
+    monkeypatch.setattr(minhash, "LARGE", 6)
+    deep = minhash._regions(sig).collect()
+    assert max(r.n for r in flat) > 6
+    # Only equal signatures may stay together in a region above the limit: there no depth tells them apart.
+    same = {r.rep: bytes(r.sig) for r in sig.collect()}
+    groups = {}
+    for r in deep:
+        groups.setdefault(r.key, set()).add(r.rep)
+    assert all(len(g) <= 6 or len({same[x] for x in g}) == 1 for g in groups.values())
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).collect() == []

@@ -137,6 +137,14 @@ def test_forward_is_exact_and_training_adds_up():
     assert np.isclose(steps.sum(), n - len(texts), atol=1e-2) and np.isclose(emits.sum(), n, atol=1e-2)
 
 
+def test_most_frequent_is_bounded(spark):
+    counts = spark.range(1, 200).selectExpr("id AS token", "id * id AS n")
+    for most in (0, 1, 50, 198, 199, 1000):
+        got = sorted(r.n for r in hmm.most_frequent(counts, most).collect())
+        assert len(got) <= most and got == sorted(k * k for k in range(1, 200))[199 - len(got) :]
+    assert hmm.most_frequent(counts, 1000).count() == 199
+
+
 def test_scores(spark):
     rng = random.Random(2)
     vocab = [[f"{c}{i}" for i in range(40)] for c in "ab"]
