@@ -111,9 +111,16 @@ def _runs(texts: DataFrame) -> DataFrame:
                 near[same] = near[same + 1] = True
                 k = order[near]
                 k = k[np.lexsort((lo[k], cid[k], doc[k], f[k]))]
-                again = k[1:][f[k][1:] == f[k][:-1]]
+                new = np.ones(len(k), bool)
+                new[1:] = f[k][1:] != f[k][:-1]
+                head = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+                here = (doc[k] == doc[head]) & (cid[k] == cid[head]) & (lo[k] == lo[head])
+                again = k[~here]
                 kind[again] = 1
+                kind[k[here & ~new]] = 9  # the first place once more, from a repeated row: it is no repeat
                 a[again] = textops.mix64(f[again] + lo[again].astype(_U) + doc[again].astype(_U))  # any task will do
+            if (kind == 9).any():
+                a, f, doc, cid, lo, c, at, kind = (x[kind != 9] for x in (a, f, doc, cid, lo, c, at, kind))
             yield pa.RecordBatch.from_arrays(
                 [_signed(a), _signed(f), pa.array(doc), pa.array(cid), pa.array(lo.astype(np.int64)),
                  pa.array(c.astype(np.int16)), pa.array(at.astype(np.int16)), pa.array(kind)],
@@ -139,6 +146,7 @@ def _settle(runs: DataFrame) -> DataFrame:
 
     def run(batches):
         anchor = frag = None  # of the last row
+        lead = None  # the place of the last fragment's first row
         held, crowded = None, False  # first places of the last anchor
 
         def close():
@@ -156,10 +164,17 @@ def _settle(runs: DataFrame) -> DataFrame:
             new_a[0] = anchor is None or t["anchor"][0] != anchor
             new_f[0] = new_a[0] or t["frag"][0] != frag
             anchor, frag = t["anchor"][-1], t["frag"][-1]
-            again = (t["kind"] == 1) | ~new_f
+            # A row at the place of its fragment's first one comes from a repeated row of one document: it is no repeat.
+            at_first = np.maximum.accumulate(np.where(new_f, np.arange(n), -1))
+            here = np.ones(n, bool)
+            for c in ("doc", "cid", "lo"):
+                before = lead[c] if lead is not None else t[c][0]
+                here &= t[c] == np.where(at_first < 0, before, t[c][at_first])
+            lead = {c: (t[c][at_first[-1]] if at_first[-1] >= 0 else lead[c]) for c in ("doc", "cid", "lo")}
+            again = (t["kind"] == 1) | ~(new_f | here)
             if again.any():
                 yield table(pick(t, again), np.ones(int(again.sum())))
-            first = np.flatnonzero(~again)
+            first = np.flatnonzero(new_f & ~again)
             which = np.cumsum(new_a)[first]  # 0: still the anchor that the batch before ended with
             for g in (0, int(np.cumsum(new_a)[-1])) if new_a[1:].any() or new_a[0] else (0,):
                 if g:  # the anchor before has ended, and so have those between

@@ -234,6 +234,11 @@ def test_passages_of_nothing_and_null_ids(spark):
     df = spark.createDataFrame([(None, "q" * 150), (1, "q" * 150), (1, "r" * 150)], "doc_id long, text string")
     got = {(r.doc_id, len(r.text)) for r in passages.remove_repeats(df).collect()}
     # A run of one letter repeats within itself; the row without id comes last and goes as a whole.
+    text = " ".join(str(k * k) for k in range(80))
+    twice = spark.createDataFrame([(1, text), (1, text), (2, "x " + text), (2, "x " + text)], "doc_id long, text string")
+    for parts in (1, 4):
+        left = [r.text for r in passages.remove_repeats(twice.repartition(parts)).orderBy("doc_id").collect()]
+        assert left == [text, text, "x ", "x "]
     assert (None, 0) in got and (1, 1) in got
 
 
