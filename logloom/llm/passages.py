@@ -30,6 +30,8 @@ WINDOW = 100
 GRAM = 24
 #: Longer texts are read in pieces that overlap by a window less one byte.
 PIECE = 4 << 20
+#: Bytes of text whose rows are made and settled together.
+PART = 6 << 20
 #: Different fragments of one anchor up to which they are compared in one task; beyond, each of their windows goes its own way.
 CROWD = 20_000
 #: Bytes of fragments that one suffix array covers, whole anchors at a time.
@@ -83,8 +85,15 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _runs(texts: DataFrame) -> DataFrame:
     """Anchor rows of texts(doc, cid, __text); kind 1: known to repeat within its batch."""
 
-    def run(batches):
+    def small(batches):
+        """Batches of about PART bytes of text: what a worker holds depends on them."""
         for batch in batches:
+            off = textops.buffer(textops.column(batch, "__text"))[1]
+            for i, j in textops.chunks(off, PART):
+                yield batch.slice(i, j - i)
+
+    def run(batches):
+        for batch in small(batches):
             data, off = textops.buffer(textops.column(batch, "__text"))
             parts = []
             for i, j in textops.chunks(off, min(textops.CHUNK, PIECE)):
