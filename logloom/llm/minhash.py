@@ -3,7 +3,8 @@
 Each text is its set of distinct shingles; texts with equal sets form a class with one representative. A signature of
 128 minimum hashes is read as 32 sorted orders: order t starts at position 4t and goes round. Texts that are neighbours in
 an order with a longest common prefix of at least DEPTH hashes form a region and are candidates. Two sets of similarity 0.8 share no such prefix in any
-order with a chance of 5e-8. A region of more than LARGE texts goes deeper, as far as it takes (the depth adapts region by region).
+order with a chance of 5e-8. A region of more than LARGE texts goes deeper first, as far as it takes (the depth adapts region by region);
+the clusters found there are then completed over the whole region, so its size changes no result (see _rest_edges).
 Regions of the same members are looked at once. Inside a region the whole signatures are compared (a pair of similarity 0.8 is below
 ESTIMATE with a chance of 3e-6), which joins texts into candidate clusters; then each cluster's full shingle sets are compared, and only confirmed links count.
 
@@ -35,6 +36,8 @@ DEPTH = HASHES // ORDERS
 ESTIMATE = 82
 LARGE = 4096
 BLOCK = 512
+#: A component with this share (1 / HUBS) of a large region sends a member to be compared with all texts outside such components.
+HUBS = 32
 
 _U = np.uint64
 _FACTORS = textops.mix64(np.arange(1, HASHES + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
@@ -104,8 +107,11 @@ def describe(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return x.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig binary")
 
 
-def _regions(reps: DataFrame) -> DataFrame:
-    """(key, n, rep): the members of each region of at least two, regions with the same members once."""
+def _regions(reps: DataFrame, wide: list | None = None) -> DataFrame:
+    """(key, n, rep): the members of each region of at least two, regions with the same members once.
+
+    Those of DEPTH with more than LARGE members are given at greater depths only; the list `wide` gets a table (key, rep) of them.
+    """
 
     def forest(of: DataFrame, depth: int) -> DataFrame:
         round_sig = F.concat("sig", "sig")
@@ -139,7 +145,11 @@ def _regions(reps: DataFrame) -> DataFrame:
         out = part if out is None else out.unionByName(part)
         if not deeper or not regions.where(F.col("n") > LARGE).take(1):
             return out
-        large = rows.join(regions.where(F.col("n") > LARGE).select("key"), "key").select("rep").distinct()
+        large = rows.join(regions.where(F.col("n") > LARGE).select("key"), "key")
+        if wide is not None and depth == DEPTH:
+            large = cut(large.select("key", "rep"), "wide")
+            wide.append(large)
+        large = large.select("rep").distinct()
         of, depth = cut(of.join(large, "rep", "left_semi"), "deeper"), depth * 2
 
 
@@ -168,6 +178,99 @@ def _candidate_edges(members: DataFrame) -> DataFrame:
     return blocks.by_block(x).mapInArrow(run, "a bigint, b bigint")
 
 
+def _agreeing(pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b, sa, sb) whose signatures agree enough."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
+            near = pa.array((x == y).sum(axis=1) >= ESTIMATE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _rest_edges(wide: DataFrame, reps: DataFrame, n_reps: int, edges: DataFrame) -> DataFrame:
+    """edges, and what they lack to join every two texts of a large region whose signatures agree enough: wide(key, rep), reps(rep, sig).
+
+    Texts outside a region's larger components meet one member of each of those, for as long as that joins a fourth of them. Then
+    all texts outside the largest component meet each other and that component, in blocks. Pairs of one component need no comparison.
+    """
+
+    def labelled(e: DataFrame) -> DataFrame:
+        labels = components(e, "wide")
+        x = wide.join(labels, F.col("rep") == F.col("node"), "left")
+        return cut(x.select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
+
+    round_ = 0
+    while True:
+        x = labelled(edges)
+        sizes = cut(x.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
+        most = F.max(F.struct("n", "component"))
+        regions = cut(sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("k"), most.alias("top")).where("k > 1"), "several")
+        n_regions = regions.count()
+        if not n_regions:
+            return edges
+        is_hub = (F.col("n") * HUBS >= F.col("total")) | (F.col("component") == F.col("top.component"))
+        hubs = cut(sizes.join(sized(regions, n_regions), "key").where(is_hub).select("key", "component"), "hubs")
+        n_hubs = hubs.count()
+        of_component = x.join(hubs.select("component").distinct(), "component", "left_semi").groupBy("component")
+        chosen = of_component.agg(F.max_by("rep", F.xxhash64("rep", F.lit(round_))).alias("b"))
+        chosen = cut(hubs.join(chosen, "component").select("key", "b"), "chosen")
+        left = x.join(sized(regions.select("key"), n_regions), "key", "left_semi").join(sized(hubs, n_hubs), ["key", "component"], "left_anti")
+        pairs = cut(left.join(sized(chosen, n_hubs), "key").select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+        n_left = pairs.select("a").distinct().count()
+        if not n_left:
+            break
+        of = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}"))
+        near = reps.join(chosen.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
+        near = near.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+        new = cut(_agreeing(pairs.join(sized(near, 8 * n_hubs), "b").join(of("a"), "a")), "met")
+        edges, round_ = edges.unionByName(new), round_ + 1
+        if 4 * new.select("a").distinct().count() < n_left:
+            x = labelled(edges)
+            break
+    return edges.unionByName(_across(x, reps, n_reps))
+
+
+def _across(x: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
+    """Spanning forests of the agreeing pairs of different components in each region of x(key, rep, component)."""
+    sizes = x.groupBy("key", "component").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
+    regions = regions.where("total > top.n").select("key", F.col("top.component").alias("__top"), (F.col("total") - F.col("top.n")).alias("__rest"), F.col("top.n").alias("__most"))
+    regions = cut(regions, "across")
+    parts = lambda c: F.ceil(F.col(c) / (BLOCK / 2.0)).cast("int")
+    y = x.join(sized(regions, regions.count()), "key").withColumn("rest", F.col("component") != F.col("__top"))
+    y = y.withColumn("__r", parts("__rest")).withColumn("__m", parts("__most"))
+    y = y.withColumn("__c", F.pmod(F.xxhash64("rep", F.lit(78)), F.when(F.col("rest"), F.col("__r")).otherwise(F.col("__m"))).cast("int"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    others, c = F.sequence(F.lit(0), F.col("__r") - 1), F.col("__c")
+    own = F.transform(others, lambda j: pair(F.least(c, j), F.greatest(c, j)))
+    top = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda j: pair(c, F.col("__r") + j))
+    met = F.when(F.col("rest"), F.concat(own, top)).otherwise(F.transform(others, lambda j: pair(j, F.col("__r") + c)))
+    y = y.join(sized(reps, 8 * n_reps), "rep").withColumn("__p", F.explode(met))
+
+    def run(batches):
+        edges = []
+        for t in blocks.groups(batches, "block"):
+            ids, of, rest = (t.column(k).to_numpy() for k in ("rep", "component", "rest"))
+            m = len(ids)
+            if m < 2 or not rest.any():
+                continue
+            s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(m, HASHES)
+            linked = np.zeros((m, m), bool)
+            for i in np.flatnonzero(rest):
+                linked[i] = ((s == s[i]).sum(axis=1) >= ESTIMATE) & (of != of[i])
+            edges += blocks.stars(ids, linked | linked.T)
+            if len(edges) > 50_000:
+                yield blocks.edge_batch(edges)
+                edges = []
+        yield blocks.edge_batch(edges)
+
+    y = y.select(F.xxhash64("key", "__p.i", "__p.j").alias("block"), "rep", "component", "rest", "sig")
+    return blocks.by_block(y).mapInArrow(run, "a bigint, b bigint")
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     m = len(sets)
@@ -245,9 +348,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     )
     reps = cut(reps, "classes")
     n_reps = reps.count()
-    members = _regions(reps.select("rep", "sig"))
-    members = members.join(sized(reps.select("rep", "sig"), 8 * n_reps), "rep")
-    clusters = components(_candidate_edges(members), "candidates")
+    of_rep, wide = reps.select("rep", "sig"), []
+    members = _regions(of_rep, wide)
+    edges = _candidate_edges(members.join(sized(of_rep, 8 * n_reps), "rep"))
+    if wide:
+        edges = _rest_edges(wide[0], of_rep, n_reps, cut(edges, "first"))
+    clusters = components(edges, "candidates")
     linked = components(_confirmed_edges(docs, text, shingle, percent, clusters), "links")
     of_class = reps.drop("sig").join(linked, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))

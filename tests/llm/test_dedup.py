@@ -94,6 +94,37 @@ def test_regions_that_are_too_large_go_deeper(spark, docs, monkeypatch):
     assert all(len(g) <= 6 or len({same[x] for x in g}) == 1 for g in groups.values())
 
 
+def test_large_regions_lose_no_link(spark, monkeypatch):
+    rng = random.Random(11)
+    groups = [words(150, rng) for _ in range(3)]
+    texts = [" ".join(mutated(b, rng.randrange(1, 5), rng)) for b in groups for _ in range(60)]  # independent edits
+    rng.shuffle(texts)
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in enumerate(t.split() for t in texts)}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(minhash, "LARGE", 2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=4).collect()}
+    assert got == components(sets, links)
+
+
+def test_clusters_of_a_large_region_are_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**16, (4, minhash.HASHES), dtype=np.uint16)
+    sig = np.repeat(base, 12, axis=0)
+    for row in sig:  # a third of the pairs of one template agree in fewer than ESTIMATE hashes
+        at = rng.choice(minhash.HASHES, 24, replace=False)
+        row[at] = rng.integers(0, 2**16, 24)
+    near = (sig[:, None, :] == sig[None, :, :]).sum(axis=2) >= minhash.ESTIMATE
+    links = [(i, j) for i in range(48) for j in range(i) if near[i, j]]
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "rep long, sig binary")
+    wide = reps.selectExpr("1L AS key", "rep")
+    none = spark.createDataFrame([(0, 1)] if near[0, 1] else [links[0]], "a long, b long")
+    got = components(range(48), [tuple(r) for r in minhash._rest_edges(wide, reps, 48, none).collect()])
+    assert got == components(range(48), links)
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).collect() == []
