@@ -57,37 +57,102 @@ def set_comparison(a: DataFrame, b: DataFrame, name: str, count: str) -> DataFra
     )
 
 
-def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
-    """Steps of an alignment by longest common subsequence: ('both' | 'a' | 'b', index in a, index in b); ties prefer a alone.
-
-    Equal ends are cut off first; the table is filled by rows with numpy-free lists of length len(b) + 1.
-    """
-    lo = 0
+def _equal_ends(a: list, b: list) -> tuple[int, int]:
+    """Lengths of the common start and, after it, of the common end."""
+    lo, hi = 0, 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
-    hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    rows = [[0] * (len(y) + 1)]
+    return lo, hi
+
+
+def _next_row(y: list):
+    """A step (row i + 1, x[i]) -> row i of the table of common subsequence lengths of x[i:] and y[j:]; bit len(y) - 1 - j is the gain from y[j]."""
+    m, at, known = len(y), {}, {}
+    for j, v in enumerate(y):
+        at.setdefault(v, []).append(m - 1 - j)
+    full = (1 << m) - 1
+
+    def step(row: int, u) -> int:
+        bits = at.get(u)
+        if bits is None:
+            return row
+        mask = known.get(u)
+        if mask is None:
+            raw = bytearray(m // 8 + 1)
+            for k in bits:
+                raw[k >> 3] |= 1 << (k & 7)
+            mask = int.from_bytes(raw, "little")
+            if len(bits) > 64:
+                known[u] = mask
+        v = full ^ row
+        hit = v & mask
+        return full ^ (((v + hit) | (v - hit)) & full)
+
+    return step
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence: one table row of len(b) bits is held."""
+    lo, hi = _equal_ends(a, b)
+    x, row = a[lo : len(a) - hi], 0
+    step = _next_row(b[lo : len(b) - hi])
     for u in reversed(x):
-        last, row = rows[-1], [0] * (len(y) + 1)
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = last[j + 1] + 1 if u == y[j] else max(last[j], row[j + 1])
-        rows.append(row)
-    rows.reverse()
+        row = step(row, u)
+    return lo + hi + row.bit_count()
+
+
+def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
+    """Steps of an alignment by longest common subsequence: ('both' | 'a' | 'b', index in a, index in b); ties prefer a alone.
+
+    Equal ends are cut off first. A row of the table is len(b) bits; one in about sqrt(len(a)) rows is kept, and those between are made again.
+    """
+    lo, hi = _equal_ends(a, b)
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    n, m, step = len(x), len(y), _next_row(y)
+    every = max(1, int(n**0.5))
+    saved, row = {n: 0}, 0
+    for i in range(n - 1, -1, -1):
+        row = step(row, x[i])
+        if i % every == 0:
+            saved[i] = row
+    part: dict[int, int] = {}
+
+    def row_of(i: int) -> int:
+        if i in saved:
+            return saved[i]
+        if i not in part:
+            part.clear()
+            top = min(n, (i // every + 1) * every)
+            r = saved[top]
+            for k in range(top - 1, i - 1, -1):
+                r = part[k] = step(r, x[k])
+        return part[i]
+
     out = [("both", k, k) for k in range(lo)]
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(("both", lo + i, lo + j))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and rows[i + 1][j] >= rows[i][j + 1]:
-            out.append(("a", lo + i, -1))
-            i += 1
+    here = row_of(0)
+    below = row_of(1) if n else 0
+    left = here.bit_count()  # of x[i:] and y[j:]
+    skip_a = below.bit_count()  # of x[i + 1:] and y[j:]
+    while i < n or j < m:
+        gain = here >> (m - 1 - j) & 1 if j < m else 0
+        if i < n and j < m and x[i] == y[j]:
+            kind = "both"
+        elif j == m or i < n and skip_a >= left - gain:
+            kind = "a"
         else:
-            out.append(("b", -1, lo + j))
+            kind = "b"
+        out.append((kind, lo + i if kind != "b" else -1, lo + j if kind != "a" else -1))
+        if kind != "a":
+            left, skip_a = left - gain, skip_a - (below >> (m - 1 - j) & 1)
             j += 1
+        if kind != "b":
+            i += 1
+            here, left = below, skip_a
+            below = row_of(i + 1) if i < n else 0
+            skip_a = (below & ((1 << (m - j)) - 1)).bit_count()
     out += [("both", len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
     return out
 
@@ -95,8 +160,8 @@ def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
 _DIFF = "steps_a int, steps_b int, aligned int, first_divergence int, similarity double, short_run boolean, truncated boolean"
 
 
-def run_diffs(steps: DataFrame, pairs: DataFrame, most: int = 1500, short: int = 12) -> DataFrame:
-    """Per row of pairs(a, b): the alignment of two runs' steps(run, seq, signature), at most `most` steps of a side (flagged)."""
+def run_diffs(steps: DataFrame, pairs: DataFrame, most: int | None = None, short: int = 12) -> DataFrame:
+    """Per row of pairs(a, b): the alignment of two runs' steps(run, seq, signature); `most` limits the steps of a side (flagged)."""
     seq = F.transform(F.array_sort(F.collect_list(F.struct("seq", "signature"))), lambda s: s["signature"])
     runs = steps.groupBy("run").agg(seq.alias("s"))
     x = pairs.join(runs.select(F.col("run").alias("a"), F.col("s").alias("sa")), "a", "left")
@@ -109,11 +174,10 @@ def run_diffs(steps: DataFrame, pairs: DataFrame, most: int = 1500, short: int =
             for r in pdf.itertuples():
                 sa = [] if r.sa is None else list(r.sa)
                 sb = [] if r.sb is None else list(r.sb)
-                cut_off = len(sa) > most or len(sb) > most
+                cut_off = most is not None and max(len(sa), len(sb)) > most
                 sa, sb = sa[:most], sb[:most]
-                steps_ = lcs(sa, sb)
-                same = sum(s[0] == "both" for s in steps_)
-                first = next((k for k, s in enumerate(steps_) if s[0] != "both"), None)
+                same = lcs_length(sa, sb)
+                first = None if sa == sb else _equal_ends(sa, sb)[0]
                 longest = max(len(sa), len(sb))
                 rows.append((r.a, r.b, len(sa), len(sb), same, first, same / longest if longest else 1.0, longest < short, cut_off))
             out = pd.DataFrame(rows, columns=["a", "b", *[c.split()[0] for c in _DIFF.split(", ")]])
@@ -122,10 +186,10 @@ def run_diffs(steps: DataFrame, pairs: DataFrame, most: int = 1500, short: int =
     return x.select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}, {_DIFF}")
 
 
-def version_diffs(versions: DataFrame, cells: int = 4_000_000, context: int = 3, hunk_lines: int = 20_000) -> DataFrame:
+def version_diffs(versions: DataFrame, cells: int | None = None, context: int = 3, hunk_lines: int = 20_000) -> DataFrame:
     """Each version against the next of its chain: versions(chain, version, text) -> added, removed, unchanged, hunks, wholesale, truncated.
 
-    Pairs above the cell limit after their equal ends are cut off count as replaced whole, with unchanged null.
+    Where a limit of cells is given, pairs above it after their equal ends are cut off count as replaced whole, with unchanged null.
     """
     w = Window.partitionBy("chain").orderBy("version")
     x = versions.withColumn("next_version", F.lead("version").over(w)).withColumn("next_text", F.lead("text").over(w))
@@ -140,14 +204,9 @@ def version_diffs(versions: DataFrame, cells: int = 4_000_000, context: int = 3,
             rows = []
             for r in pdf.itertuples():
                 a, b = (r.text or "").split("\n"), (r.next_text or "").split("\n")
-                lo = 0
-                while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-                    lo += 1
-                hi = 0
-                while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-                    hi += 1
+                lo, hi = _equal_ends(a, b)
                 na, nb = len(a) - lo - hi, len(b) - lo - hi
-                if na * nb > cells:
+                if cells is not None and na * nb > cells:
                     rows.append((r.chain, r.version, r.next_version, nb, na, None, 1, True, na + nb > hunk_lines))
                     continue
                 steps = lcs(a, b)

@@ -109,6 +109,22 @@ def test_run_and_version_diffs(spark):
     assert big.wholesale and big.unchanged is None
 
 
+def test_long_runs_and_versions_are_aligned_whole(spark):
+    rng = random.Random(6)
+    a = [f"s{i}" for i in range(2500)]
+    b = [x for x in a if rng.random() < 0.9] + ["end"]
+    rows = [("a", i, x) for i, x in enumerate(a)] + [("b", i, x) for i, x in enumerate(b)]
+    s = spark.createDataFrame(rows, "run string, seq int, signature string")
+    r = graph.run_diffs(s, spark.createDataFrame([("a", "b")], "a string, b string")).first()
+    first = next(i for i, x in enumerate(a) if b[i] != x)
+    assert (r.steps_a, r.steps_b, r.aligned, r.first_divergence, r.truncated) == (2500, len(b), len(b) - 1, first, False)
+    old = [x for i, x in enumerate(a)]
+    new = [f"n{i}" if i % 20 == 0 else x for i, x in enumerate(a[:-1])] + ["new end"]  # over 4,000,000 cells
+    v = spark.createDataFrame([("f", 1, "\n".join(old)), ("f", 2, "\n".join(new))], "chain string, version int, text string")
+    r = graph.version_diffs(v).first()
+    assert (r.added, r.removed, r.unchanged, r.hunks, r.wholesale) == (126, 126, 2374, 126, False)
+
+
 def test_page_rank_matches_dense_iteration(spark):
     rng = np.random.default_rng(1)
     edges, nodes = [], []
