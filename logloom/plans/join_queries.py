@@ -377,6 +377,10 @@ def _lines(spark, d):
     return text.line_table(t(spark, d, "documents").select("doc_id", "text"))
 
 
+def _sentences(spark, d):
+    return cut(text.sentence_table(t(spark, d, "documents").select("doc_id", "text")), "sentences")
+
+
 @query(
     _SQL_TERMS
     + """, v AS (SELECT tf.doc_id, ix, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.doc_id = df.doc_id AND tf.term = df.term JOIN n ON n.doc_id = tf.doc_id)
@@ -412,13 +416,13 @@ def sentence_table(spark, d):
 
 @query()
 def sentence_ranks(spark, d):
-    s = _lines(spark, d)
+    s = _sentences(spark, d)
     return text.page_rank(s.select("doc_id", "ix"), text.similarity_edges(cut(text.tf_idf(s), "vectors")))
 
 
 @query()
 def extractive_digest(spark, d):
-    return text.digest(_lines(spark, d))
+    return text.digest(_sentences(spark, d))
 
 
 @query()

@@ -155,6 +155,36 @@ def test_page_rank_matches_dense_iteration(spark):
         assert np.allclose([got[doc, i] for i in range(n)], r)
 
 
+def test_ranks_and_digests_are_of_sentences(spark, tmp_path):
+    from logloom.plans import join_queries as q
+
+    parts = ["The cat sat near the old dog.", "A dog barked at the bird.", "The bird watched the cat.", "Rain fell all day.", "The old dog slept."]
+    docs = [(1, " ".join(parts)), (2, "One cat.\nOne dog."), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = [[w for w in p.lower().rstrip(".").split() if w not in text.STOPWORDS] for p in parts]
+    names = sorted(set(sum(terms, [])))
+    tf = np.array([[ws.count(w) for w in names] for ws in terms], float)
+    v = tf * (np.log(6 / (1 + (tf > 0).sum(axis=0))) + 1)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    m = v @ v.T
+    np.fill_diagonal(m, 0)
+    out, r = m.sum(axis=1), np.full(5, 0.2)
+    for _ in range(120):
+        new = 0.03 + 0.85 * sum(m[i] / out[i] * r[i] for i in range(5) if out[i])
+        done = np.abs(new - r).max() < 1e-6
+        r = new
+        if done:
+            break
+    got = {(x.doc_id, x.ix): x.rank for x in q.sentence_ranks(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, i) for i in range(5)} | {(2, 0), (2, 1)}
+    assert np.allclose([got[1, i] for i in range(5)], r)
+    best = sorted(sorted(range(5), key=lambda i: (-round(r[i], 9), i))[:3])
+    digest = {x.doc_id: x for x in q.extractive_digest(spark, str(tmp_path)).collect()}
+    assert (digest[1].source, digest[1].digest, digest[2].source) == ("ranked", "\n".join(parts[i] for i in best), "verbatim")
+    grades = {x.doc_id: x.grade for x in q.readability_scores(spark, str(tmp_path)).collect()}
+    assert {i: x.grade for i, x in digest.items()} == grades
+
+
 def test_digest_and_readability(spark):
     docs = spark.createDataFrame([(1, "The cat sat. The dog sat. The bird sat. The cat and the dog met."), (2, "Short one."), (3, ""), (4, None)], "doc_id long, text string")
     s = text.sentence_table(docs)
