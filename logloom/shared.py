@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to be at most so many.
 BROADCAST_ROWS = 200_000
+#: And, where rows may be wide, only if the table as written has at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,5 +62,23 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it was counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it was counted to be small and its plan reads few bytes; else as it is, for a shuffled join."""
+    if rows > BROADCAST_ROWS:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def table_bytes(df: DataFrame) -> int | None:
+    """The size on disk of a table that cut() wrote; None for any other."""
+    path = getattr(df, "_logloom_path", None)
+    if path is None:
+        return None
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def sized_bytes(table: DataFrame) -> DataFrame:
+    """A table that cut() wrote with a broadcast hint if its files are small; for rows of any width."""
+    size = table_bytes(table)
+    return F.broadcast(table) if size is not None and size <= BROADCAST_BYTES else table
