@@ -5,11 +5,11 @@ with one character of look-ahead the classes become symbols of a small automaton
 symbol is a function from state to state. Function composition is associative, so the
 states before all characters come from a blocked scan: blocks are composed side by side, the block
 functions are scanned in the same way, and a last pass applies them. A boundary is a fact of (state, symbol).
-The resulting byte slices go to a cache of merged pairs; the byte offsets are kept, so a token range
-can be traced to its text.
+The resulting byte slices go to a cache of merged pairs. Each token's end in its text (a byte offset) is kept beside its id: decoding
+writes every token's bytes to the place the offsets give, and a token range can be traced to, and decoded as, its part of the text.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows repeat; an empty table
-gives an empty result; other columns are kept, but for those named like an output.
+gives an empty result; other columns are kept, whatever their names, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from unicodedata import category
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.llm import textops
+from logloom.llm.columns import others, quoted
 
 #: Tokens that the cache of merged slices may hold; it is emptied when full.
 CACHE = 1 << 17
-#: Code points that one vectorised pass works on.
-PART = 1 << 19
 BLOCK = 64
 
 # Code point classes.
@@ -160,7 +161,12 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for t, r in self.ranks.items():
+            tokens[r] = t
+        self.width = np.array([len(t) for t in tokens], np.int64)
+        self.at = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.cache: dict[bytes, bytes] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -223,8 +229,22 @@ class Codec:
             get = cache.get
             yield b"".join([get(p) or ids_of(p) for p in [raw[x:y] for x, y in zip(at[a:b], at[a + 1 : b + 1])]])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def ends(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Where each token ends in its own text, for the ids of many texts and each text's number of them."""
+        total = np.cumsum(self.width[ids])
+        before = np.concatenate([[0], total])[np.cumsum(counts) - counts]
+        return total - np.repeat(before, counts)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of consecutive tokens, each written where its offset puts it; ends may start anywhere in a text."""
+        if not len(ids):
+            return b""
+        width = self.width[ids]
+        begin = ends - width
+        first = int(begin[0])
+        source = np.repeat(self.at[ids] - begin + first, width)
+        source += np.arange(int(ends[-1]) - first)
+        return self.bytes[source].tobytes()
 
 
 @lru_cache(2)
@@ -239,49 +259,76 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs without their text, with ids (array of int), n_tokens, and ids_sha256 and decoded_sha256 for audits."""
+    """docs without their text, with ids and ends (arrays of int: each token's id, and the byte offset where it ends), n_tokens, and ids_sha256 and decoded_sha256 for audits."""
     return _run(docs, text, path, True)
 
 
 def digest(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """As encode(), without the ids."""
+    """As encode(), without the arrays."""
     return _run(docs, text, path, False)
 
 
-def _run(docs: DataFrame, text: str, path: str | None, ids: bool) -> DataFrame:
-    new = {"n_tokens", "ids_sha256", "decoded_sha256", "ids"}
-    keep = [c for c in docs.columns if c not in new | {text}]
-    schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-        + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]
-        + ["ids array<int>"] * ids
-    )
+_NEW = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "ends")
+
+
+def _run(docs: DataFrame, text: str, path: str | None, arrays: bool) -> DataFrame:
+    keep = others(docs, text, *_NEW)
+    ints = T.ArrayType(T.IntegerType())
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    new += [T.StructField("ids", ints), T.StructField("ends", ints)] * arrays
     place = path or default_path()
 
     def run(batches):
         own = codec(place)
         for batch in batches:
-            texts = textops.column(batch, "__text")
-            data, off = textops.buffer(texts)
-            n, sha, back, all_ids = [], [], [], []
+            data, off = textops.buffer(textops.column(batch, "__text"))
+            n, sha, back, all_ids, all_ends = [], [], [], [], []
             for i, j in textops.chunks(off):
-                o = off[i : j + 1] - off[i]
-                for x in own.encode(data[off[i] : off[j]], o):
-                    n.append(len(x) >> 2)
-                    sha.append(hashlib.sha256(x).hexdigest())
-                    back.append(hashlib.sha256(own.decode(x)).hexdigest())
-                    if ids:
-                        all_ids.append(x)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                raw = list(own.encode(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+                count = np.array([len(x) >> 2 for x in raw])
+                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+                ends = own.ends(ids, count)
+                n += count.tolist()
+                sha += [hashlib.sha256(x).hexdigest() for x in raw]
+                cuts = np.cumsum(count)[:-1]
+                back += [hashlib.sha256(own.decode(x, e)).hexdigest() for x, e in zip(np.split(ids, cuts), np.split(ends, cuts))]
+                if arrays:
+                    all_ids.append(ids.astype(np.int32))
+                    all_ends.append(ends.astype(np.int32))
+            cols = [batch.column(k) for k in range(len(keep))]
             cols += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                flat = pa.array(np.frombuffer(b"".join(all_ids), "<i4"), pa.int32())
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return docs.withColumnRenamed(text, "__text").select(*keep, "__text").mapInArrow(run, schema)
+            if arrays:
+                at = pa.array(np.cumsum([0, *n]), pa.int32())
+                cols += [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in (all_ids, all_ends)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(f.name for f in new)])
+
+    x = docs.select(*[F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(keep)], F.col(quoted(text)).cast("string").alias("__text"))
+    return x.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + new))
+
+
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
+    """tokens(ids, ends, ...) with `decoded`, the bytes of their text: binary, since a range of tokens may cut a character.
+
+    ids and ends may be slices of what encode() gives; null arrays decode to null. A row whose arrays differ in length is an error.
+    """
+    keep, place = others(tokens, "decoded"), path or default_path()
+
+    def run(batches):
+        own = codec(place)
+        for batch in batches:
+            k = len(keep)
+            out = []
+            for ids, ends in zip(batch.column(k), batch.column(k + 1)):
+                if not ids.is_valid or not ends.is_valid:
+                    out.append(None)
+                    continue
+                if len(ids) != len(ends):
+                    raise ValueError("ids and ends differ in length")
+                out.append(own.decode(ids.values.to_numpy().astype(np.int64), ends.values.to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(k)), pa.array(out, pa.binary())], names=[*keep, "decoded"])
+
+    x = tokens.select(*[F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(keep)], F.col("ids").alias("__ids"), F.col("ends").alias("__ends"))
+    return x.mapInArrow(run, T.StructType([tokens.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())]))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

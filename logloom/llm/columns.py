@@ -11,6 +11,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df that have none of these names, in any letter case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

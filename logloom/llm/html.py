@@ -1,31 +1,41 @@
 """Main text of HTML pages by minimum-cut labelling of their text blocks.
 
-A page is read into blocks of text, each with its chain of elements. A linear classifier over plain features
-(elements and class words above the block, share of link text, length, punctuation) gives each block a
-cost for either label; these costs are its capacities to the two terminals. Neighbouring blocks are joined by
-smoothness edges, stronger the nearer they stand in the element tree, and blocks of one parent are joined over interruptions. A maximum
-flow finds the cheapest cut, and the blocks left on the source's side are the main text.
-
-The classifier's weights are set by hand (no labelled blocks exist); they are a parameter.
-
-Defined results: a null or empty page, and one without main text, gives an empty text; markup that is cut off at the end of
-a page is dropped; unclosed elements end with their parent; repeated rows repeat; an empty table gives an empty result; nothing is capped.
+A page is read into blocks of text in one forward scan. A linear classifier over plain features (elements and class names
+above the block, its own element, share of link text, length, punctuation, digits) gives each block a cost for either label; these costs
+are its capacities to the two terminals. Neighbouring blocks are joined by smoothness edges, stronger the nearer they stand in the
+element tree, and blocks of one parent are joined over interruptions. A maximum flow (two search trees that stay between augmentations)
+finds the cheapest cut, and the blocks left on the source's side are the main text.
+
+The weights of a block's own text are fitted: fit() takes the blocks whose elements say what they are (inside article or main; inside
+nav, header, footer, aside or form) of at most SAMPLE pages as labelled rows, and finds the logistic weights nearest to a prior. The odds that
+elements carry are fixed, and class names are weaker: an element's names are averaged, so one telling word among several others
+decides nothing by itself. The list of telling names covers four languages and is a parameter.
+
+Defined results: a null or empty page, and one without main text, gives an empty text; a tag that is cut off at the end of
+a page is dropped; unclosed elements end with their parent; a slash closes only svg and math elements; repeated rows repeat; an empty table gives an
+empty result; other columns are kept, whatever their names, but for text and n_chars. Nothing is capped: time grows with the page's length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^<>]*\Z", re.S
-)
+from logloom.llm.columns import others, quoted
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_INSIDE = re.compile(r"[^>\"']*")
+_VALUE = re.compile(r"=\s*\Z")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 
 #: Fixed values of the HTML standard: elements whose content is raw text, that have no content, and that are inline.
@@ -43,83 +53,181 @@ CLOSES = {
     "th": ("td", "th"), "option": ("option",),
 }
 SCOPES = frozenset("ul ol dl table body html article section div main aside nav header footer blockquote".split())
+_END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
-#: Log odds of being main text.
+#: Log odds of being main text that elements above a block carry.
 ELEMENTS = {
-    "article": 5.0, "main": 4.0, "p": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "blockquote": 0.5, "pre": 0.5,
+    "article": 5.0, "main": 4.0, "blockquote": 0.5, "pre": 0.5,
     "nav": -8.0, "header": -6.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0,
 }
+#: Telling class names, ids and roles (a parameter): English, German, French, Spanish.
 WORDS = {
-    "article": 2.0, "content": 1.5, "post": 1.0, "story": 1.5, "entry": 1.0, "main": 1.5, "body": 0.5, "text": 0.5,
-    "ad": -9.0, "ads": -9.0, "advert": -9.0, "advertisement": -9.0, "sponsor": -8.0, "sponsored": -8.0, "promo": -7.0, "banner": -7.0,
-    "nav": -7.0, "navigation": -7.0, "menu": -7.0, "breadcrumb": -7.0, "breadcrumbs": -7.0, "header": -5.0, "masthead": -6.0,
-    "footer": -7.0, "sidebar": -8.0, "widget": -6.0, "related": -6.0, "recommended": -6.0, "share": -6.0, "social": -6.0,
-    "comment": -9.0, "comments": -9.0, "disqus": -9.0, "reply": -8.0, "cookie": -8.0, "consent": -8.0, "notice": -7.0, "popup": -7.0,
-    "modal": -7.0, "newsletter": -7.0, "subscribe": -7.0, "signup": -7.0, "login": -7.0, "search": -6.0, "pagination": -6.0,
-    "copyright": -6.0, "disclaimer": -4.0, "toolbar": -6.0, "contentinfo": -7.0, "complementary": -7.0, "alert": -6.0,
-}
-BIAS, LINKS, LENGTH, SENTENCE = -0.5, -4.0, 0.4, 0.5
+    2.0: "article artikel articulo",
+    1.5: "content contenu inhalt contenido story main hauptinhalt beitrag",
+    1.0: "post entry",
+    0.5: "body text texte texto",
+    -5.0: "header entete cabecera kopfzeile",
+    -6.0: "masthead widget related verwandt relacionado recommended empfohlen share teilen partager compartir social search suche recherche buscar "
+    "pagination copyright toolbar alert",
+    -7.0: "promo banner nav navigation navegacion menu menue menü breadcrumb breadcrumbs brotkrumen footer fusszeile fußzeile pied pie notice "
+    "hinweis hinweise avis aviso popup modal newsletter subscribe abonnieren signup login anmelden contentinfo complementary disclaimer",
+    -8.0: "sponsor sponsored sidebar seitenleiste seitenspalte barre lateral cookie cookies consent zustimmung reply antworten",
+    -9.0: "ad ads advert advertisement adverts anzeige anzeigen werbung publicite publicité pub publicidad anuncio anuncios comment comments kommentar "
+    "kommentare commentaire commentaires comentario comentarios disqus",
+}
+TELLING = {w: odds for odds, words in WORDS.items() for w in words.split()}
+
+#: Features of a block's own text, and the prior of their weights.
+FEATURES = ("bias", "linked", "length", "sentence", "digits", "paragraph", "heading", "item", "other")
+PRIOR = (-0.5, -4.0, 0.4, 0.5, 0.0, 0.5, 0.5, 0.0, 0.0)
+#: Pages whose blocks are the labelled rows of fit(), at most.
+SAMPLE = 1000
 SMOOTH = 1.0
-
-
-class _Block:
-    __slots__ = ("chain", "parts", "linked")
-
-    def __init__(self, chain):
-        self.chain, self.parts, self.linked = chain, [], 0
-
-
-def blocks_of(html: str) -> list[tuple[str, tuple, float]]:
-    """(text, chain of (element, class words, number), share of link text) of each text block in page order."""
-    stack: list[tuple] = []  # block-level elements that are open
-    inline_links = hidden = 0
-    out, current, number, at, raw = [], None, 0, 0, None
+#: Capacities are multiples of 1 / UNIT, so the flow is exact; odds are multiples of 1 / GRAIN, so a flow does not trickle through thousands of blocks.
+UNIT = 1 << 32
+GRAIN = 64
+_KINDS = {"p": 5, "h1": 6, "h2": 6, "h3": 6, "h4": 6, "li": 7, "dt": 7, "dd": 7, "td": 7, "th": 7}
+
+
+def _odds_of_names(attributes: str, telling: dict) -> float:
+    """The mean over an element's class names, ids and roles; a name of several parts counts by its strongest."""
+    total, n = 0.0, 0
+    for found in _ATTR.findall(attributes):
+        for name in "".join(found).split():
+            parts = _WORD.findall(_HUMP.sub(" ", name).lower())
+            total += max((telling.get(p, 0.0) for p in parts), key=abs, default=0.0)
+            n += 1
+    return total / n if n else 0.0
+
+
+class Block:
+    """A block of text: what it holds, where it stands, and the odds that its surroundings give it."""
+
+    __slots__ = ("parts", "linked", "text", "kind", "parent", "depth", "low", "around", "sure")
+
+    def __init__(self, kind, parent, depth, low, around, sure):
+        self.parts, self.linked, self.text = [], 0, ""
+        self.kind, self.parent, self.depth, self.low, self.around, self.sure = kind, parent, depth, low, around, sure
+
+
+def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
+    """The text blocks of a page in order; one forward scan, whatever the markup."""
+    stack: list[tuple] = []  # (name, number, odds of its class names) of the open block-level elements
+    places: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+    scopes: list[int] = []
+    above = Counter()  # open elements by name
+    around = 0.0  # odds of all that is open; an element's name counts once
+    inline_links = hidden = foreign = number = at = 0
+    low = 0  # least depth since the last block began
+    out: list[Block] = []
+    current, raw, n = None, None, len(html)
+    missing = set()  # quotes that do not come again
 
     def text(s: str):
-        nonlocal current
+        nonlocal current, low
         if hidden or not s:
             return
         if current is None:
             if s.isspace():
                 return
-            current = _Block(tuple(stack))
+            kind = _KINDS.get(stack[-1][0], 8) if stack else 8
+            parent = stack[-2][1] if len(stack) > 1 else -1
+            bad = above["nav"] or above["header"] or above["footer"] or above["aside"]
+            sure = 0 if bad else 1 if above["article"] or above["main"] else None
+            current = Block(kind, parent, len(stack), min(low, len(stack)), around, sure)
+            low = len(stack)
             out.append(current)
         s = unescape(s)
         current.parts.append(s)
         if inline_links:
             current.linked += len(s.strip())
 
+    def open_(name: str, odds: float):
+        nonlocal around, number, hidden, foreign
+        if not above[name]:
+            around += ELEMENTS.get(name, 0.0)
+        above[name] += 1
+        around += odds
+        places.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append((name, number, odds))
+        number += 1
+        hidden += name in HIDDEN
+        foreign += name in ("svg", "math")
+
     def close(name: str):
-        nonlocal hidden
+        nonlocal around, hidden, foreign, low
         while stack:
-            top = stack.pop()[0]
+            top, _, odds = stack.pop()
+            places[top].pop()
+            if top in SCOPES:
+                scopes.pop()
+            above[top] -= 1
+            around -= odds
+            if not above[top]:
+                around -= ELEMENTS.get(top, 0.0)
             hidden -= top in HIDDEN
+            foreign -= top in ("svg", "math")
             if top == name:
-                return
+                break
+        low = min(low, len(stack))
+
+    def end_of_tag(i: int) -> int:
+        """Where the > of a tag is, past quoted values; -1 if there is none."""
+        begin = i
+        while True:
+            i = _INSIDE.match(html, i).end()
+            if i >= n or html[i] == ">":
+                return i if i < n else -1
+            quote = html[i]
+            if quote in missing or not _VALUE.search(html, max(begin, i - 64), i):
+                i += 1
+                continue
+            shut = html.find(quote, i + 1)
+            if shut < 0:
+                missing.add(quote)
+                i += 1
+            else:
+                i = shut + 1
 
-    n = len(html)
     while at < n:
         if raw:
-            end = re.compile(rf"</{raw}\s*>", re.I).search(html, at)
-            at, raw = (end.start() if end else n), None
-            continue
-        m = _TOKEN.search(html, at)
-        if m is None:
+            end = _END_OF_RAW[raw].search(html, at)
+            if end is None:
+                break
+            at, raw = end.start(), None
+        m = html.find("<", at)
+        if m < 0:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
+        if m > at:
+            text(html[at:m])
+        c = html[m + 1 : m + 2]
+        if c in ("!", "?") and c:
+            comment = html.startswith("<!--", m)
+            end = html.find("-->", m + 4) if comment else html.find(">", m)
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        closing = c == "/"
+        name_at = _NAME.match(html, m + 1 + closing)
+        if name_at is None:
+            text("<")
+            at = m + 1
             continue
-        name = name.lower()
-        if m[1]:
+        end = end_of_tag(name_at.end())
+        if end < 0:
+            break
+        name, at = name_at[0].lower(), end + 1
+        if closing:
             if name == "a":
                 inline_links = max(0, inline_links - 1)
             if name in INLINE:
                 continue
             current = None
-            if any(x[0] == name for x in stack):
+            if above[name]:
                 close(name)
             continue
         if name in INLINE:
@@ -129,125 +237,209 @@ def blocks_of(html: str) -> list[tuple[str, tuple, float]]:
                 current.parts.append(" ")
             continue
         current, inline_links = None, 0
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or foreign and html[end - 1] == "/":
             continue
         for shut in CLOSES.get(name, ("p",) if name in SCOPES else ()):
-            for x in reversed(stack):
-                if x[0] == shut:
-                    close(shut)
-                    break
-                if x[0] in SCOPES:
-                    break
-        words = frozenset(w for a in _ATTR.findall(m[3]) for w in _WORD.findall("".join(a).lower())) if m[3] else ()
-        stack.append((name, words, number))
-        number += 1
-        hidden += name in HIDDEN
+            here = places.get(shut)
+            if here and here[-1] > (scopes[-1] if scopes else -1):
+                close(shut)
+        open_(name, _odds_of_names(html[name_at.end() : end], telling) if end > name_at.end() else 0.0)
         if name in RAW:
             raw = name
     done = []
+    low = None  # of blocks that turn out empty
     for b in out:
-        s = _SPACES.sub(" ", "".join(b.parts)).strip()
-        if s:
-            done.append((s, b.chain, min(1.0, b.linked / len(s))))
+        low = b.low if low is None else min(low, b.low)
+        b.text = _SPACES.sub(" ", "".join(b.parts)).strip()
+        b.parts = ()
+        if b.text:
+            b.low, low = low, None
+            done.append(b)
     return done
 
 
-def score(text: str, chain: tuple, linked: float) -> float:
-    """Log odds of main text. The nearest article or main element counts once; so does each telling word."""
-    x, seen = BIAS + LINKS * linked + LENGTH * min(4.0, len(text) / 60), set()
-    if text[-1] in ".!?…。:":
-        x += SENTENCE
-    for name, words, _ in chain:
-        if name not in seen:
-            seen.add(name)
-            x += ELEMENTS.get(name, 0.0)
-        for w in words:
-            if w not in seen:
-                seen.add(w)
-                x += WORDS.get(w, 0.0)
+def features(b: Block) -> list[float]:
+    """The features of a block's own text, in the order of FEATURES."""
+    x = [1.0, min(1.0, b.linked / len(b.text)), min(4.0, len(b.text) / 60), float(b.text[-1] in ".!?…。:")]
+    x += [sum(map(str.isdigit, b.text[:200])) / min(200, len(b.text)), 0.0, 0.0, 0.0, 0.0]
+    x[b.kind] = 1.0
     return x
 
 
-def edges_of(blocks: list) -> list[tuple[int, int, float]]:
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges between neighbours, and between blocks of one parent that others interrupt."""
     out, last = [], {}
-    for j, (_, chain, _) in enumerate(blocks):
+    for j, b in enumerate(blocks):
         if j:
-            a, b = blocks[j - 1][1], chain
-            shared = 0
-            while shared < min(len(a), len(b)) and a[shared][2] == b[shared][2]:
-                shared += 1
-            apart = len(a) + len(b) - 2 * shared
+            apart = blocks[j - 1].depth + b.depth - 2 * b.low
             out.append((j - 1, j, SMOOTH * 2.0 / max(1, apart)))
-        parent = chain[-2][2] if len(chain) > 1 else -1
-        i = last.get(parent)
+        i = last.get(b.parent)
         if i is not None and i < j - 1:
             out.append((i, j, SMOOTH))
-        last[parent] = j
+        last[b.parent] = j
     return out
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """For each node whether it stays with the source: the minimum cut by shortest augmenting paths."""
+    """For each node whether the source still reaches it: a maximum flow by two search trees that are mended, not rebuilt, after each augmentation."""
     n = len(odds)
-    source = [max(0.0, x) for x in odds]
-    sink = [max(0.0, -x) for x in odds]
-    near: list[dict[int, float]] = [{} for _ in odds]
+    rest = [round(x * UNIT) for x in odds]  # left to the source if positive, to the sink if negative
+    near: list[list[int]] = [[] for _ in range(n)]  # arcs that leave a node; arc ^ 1 is its reverse
+    head, cap = [], []
     for i, j, c in edges:
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-    tiny = 1e-9
-
-    def search():
-        back = {i: -1 for i in range(n) if source[i] > tiny}
-        queue = deque(back)
-        while queue:
-            i = queue.popleft()
-            if sink[i] > tiny:
-                return i, back
-            for j, c in near[i].items():
-                if c > tiny and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        return -1, back
-
-    while True:
-        end, back = search()
-        if end < 0:
-            return [i in back for i in range(n)]
-        path = [end]
-        while back[path[-1]] >= 0:
-            path.append(back[path[-1]])
-        path.reverse()
-        flow = min([source[path[0]], sink[end], *(near[i][j] for i, j in zip(path, path[1:]))])
-        source[path[0]] -= flow
-        sink[end] -= flow
-        for i, j in zip(path, path[1:]):
-            near[i][j] -= flow
-            near[j][i] += flow
-
-
-def main_text(html: str) -> str:
-    blocks = blocks_of(html or "")
-    keep = min_cut([score(*b) for b in blocks], edges_of(blocks))
-    return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
-
-
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without their html, with text and n_chars."""
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    schema = ", ".join(
-        [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars bigint"]
-    )
+        near[i].append(len(head))
+        near[j].append(len(head) + 1)
+        head += [j, i]
+        cap += [round(c * UNIT)] * 2
+    tree = [(x > 0) - (x < 0) for x in rest]  # 1: from the source; -1: to the sink; 0: free
+    ROOT, NONE = -1, -2
+    up = [ROOT if t else NONE for t in tree]  # the arc from a node to its parent
+    active, waiting = deque(i for i in range(n) if tree[i]), [bool(t) for t in tree]
+    stamp, clock = [0] * n, 0  # nodes known to hang from a terminal in this round
+
+    def wake(i):
+        if not waiting[i]:
+            waiting[i] = True
+            active.append(i)
+
+    def rooted(i):
+        path = []
+        while stamp[i] != clock:
+            path.append(i)
+            if up[i] == ROOT:
+                break
+            if up[i] == NONE:
+                return False
+            i = head[up[i]]
+        for k in path:
+            stamp[k] = clock
+        return True
+
+    while active:
+        p = active[0]
+        side, met = tree[p], -1
+        if side:
+            for a in near[p]:
+                if not cap[a if side > 0 else a ^ 1]:
+                    continue
+                q = head[a]
+                if not tree[q]:
+                    tree[q], up[q] = side, a ^ 1
+                    wake(q)
+                elif tree[q] != side:
+                    met = a if side > 0 else a ^ 1
+                    break
+        if met < 0:
+            waiting[active.popleft()] = False
+            continue
+        # The path: source ... tail(met) -> head(met) ... sink.
+        arcs, flow = [met], cap[met]
+        i = head[met ^ 1]
+        while up[i] != ROOT:
+            arcs.append(up[i] ^ 1)
+            i = head[up[i]]
+        top = i
+        i = head[met]
+        while up[i] != ROOT:
+            arcs.append(up[i])
+            i = head[up[i]]
+        flow = min(rest[top], -rest[i], *(cap[a] for a in arcs))
+        orphans = deque()
+        rest[top] -= flow
+        rest[i] += flow
+        for k in {top, i}:
+            if not rest[k]:
+                up[k] = NONE
+                orphans.append(k)
+        for a in arcs:
+            cap[a] -= flow
+            cap[a ^ 1] += flow
+            if not cap[a]:
+                i, j = head[a ^ 1], head[a]
+                if tree[i] == tree[j]:
+                    k = j if tree[i] > 0 else i
+                    if up[k] != NONE:
+                        up[k] = NONE
+                        orphans.append(k)
+        clock += 1
+        while orphans:
+            k = orphans.popleft()
+            side = tree[k]
+            for a in near[k]:
+                q = head[a]
+                if tree[q] == side and cap[a ^ 1 if side > 0 else a] and rooted(q):
+                    up[k] = a
+                    break
+            else:
+                for a in near[k]:
+                    q = head[a]
+                    if tree[q] != side:
+                        continue
+                    if cap[a ^ 1 if side > 0 else a]:
+                        wake(q)
+                    if up[q] == a ^ 1:
+                        up[q] = NONE
+                        orphans.append(q)
+                tree[k] = 0
+    return [t > 0 for t in tree]
+
+
+def main_text(html: str, weights=PRIOR, telling: dict = TELLING) -> str:
+    blocks = blocks_of(html or "", telling)
+    odds = [round(GRAIN * (b.around + sum(w * x for w, x in zip(weights, features(b))))) / GRAIN for b in blocks]
+    return "\n".join(b.text for b, k in zip(blocks, min_cut(odds, edges_of(blocks))) if k)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, k: np.ndarray, prior=PRIOR, strength: float = 20.0, rounds: int = 12) -> tuple[float, ...]:
+    """The likeliest weights given rows x of label y, each of weight k, and a normal prior around `prior`, by Newton steps."""
+    w = np.array(prior)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (k * (p - y)) + strength * (w - prior)
+        w = w - np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), slope)
+    return tuple(float(round(v, 6)) for v in w)
+
+
+def fit(pages: DataFrame, html: str = "html", telling: dict = TELLING, sample: int = SAMPLE) -> tuple[float, ...]:
+    """Weights of FEATURES from at most `sample` pages, spread over the table by a hash; the prior if they lack one of the labels.
+
+    Both labels weigh the same in all, so a page's many blocks of one kind don't outvote the other.
+    """
+    share = max(1, -(-pages.count() // sample))
+    x = pages.select(F.col(quoted(html)).cast("string").alias("__html"), F.xxhash64(*[F.col(quoted(c)) for c in pages.columns]).alias("__h"))
+    x = x.where(F.pmod("__h", F.lit(share)) == 0).limit(sample).select("__html")
+    names = [*FEATURES, "label"]
+
+    def run(batches):
+        for batch in batches:
+            rows = [[*features(b), b.sure] for h in batch.column(0).to_pylist() for b in blocks_of(h or "", telling) if b.sure is not None]
+            a = np.array(rows, float).reshape(-1, len(names)).round(2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(len(names))], names=names)
+
+    rows = x.mapInArrow(run, ", ".join(f"{c} double" for c in names)).groupBy(*names).agg(F.count("*").alias("n"))
+    found = rows.toPandas().sort_values(names)  # distinct blocks of at most `sample` pages
+    y, k = found["label"].to_numpy(), found["n"].to_numpy(float)
+    if len(set(y)) < 2:
+        return PRIOR
+    k *= 100 / np.where(y > 0, k[y > 0].sum(), k[y == 0].sum())
+    return logistic(found[list(FEATURES)].to_numpy(), y, k)
+
+
+def extract(pages: DataFrame, html: str = "html", weights: tuple[float, ...] | None = None, telling: dict = TELLING) -> DataFrame:
+    """pages without their html, with text and n_chars; without weights, fit() finds them."""
+    keep = others(pages, html, "text", "n_chars")
+    weights = fit(pages, html, telling) if weights is None else weights
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(len(keep)).to_pylist()]
+            texts = [main_text(x, weights, telling) for x in batch.column(len(keep)).to_pylist()]
             cols = [batch.column(k) for k in range(len(keep))]
             cols += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, pages[html].cast("string").alias("__html")).mapInArrow(run, schema)
+    x = pages.select(*[F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(keep)], F.col(quoted(html)).cast("string").alias("__html"))
+    new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    return x.mapInArrow(run, T.StructType([pages.schema[c] for c in keep] + new))
 
 
 def op10_html_extract(spark, sf_dir: str) -> DataFrame:

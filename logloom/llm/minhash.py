@@ -1,15 +1,16 @@
 """Near-duplicate texts by an LSH forest over word shingles.
 
 Each text is its set of distinct shingles; texts with equal sets form a class with one representative. A signature of
-128 minimum hashes is read as 32 sorted orders: order t starts at position 4t and goes round. Texts that are neighbours in
-an order with a longest common prefix of at least DEPTH hashes form a region and are candidates. Two sets of similarity 0.8 share no such prefix in any
-order with a chance of 5e-8. A region of more than LARGE texts goes deeper first, as far as it takes (the depth adapts region by region);
-the clusters found there are then completed over the whole region, so its size changes no result (see _rest_edges).
-Regions of the same members are looked at once. Inside a region the whole signatures are compared (a pair of similarity 0.8 is below
-ESTIMATE with a chance of 3e-6), which joins texts into candidate clusters; then each cluster's full shingle sets are compared, and only confirmed links count.
+128 minimum hashes is read as 32 orders: order t sorts the signatures that start at position 4t and go round. Texts that share a prefix of
+DEPTH hashes in an order form a region of it. Two sets of similarity 0.8 share no region with a chance of 5e-8. Regions of the same members are looked at
+once, in one order. In a sorted region every text meets its REACH neighbours on either side, which are those with the longest common prefixes:
+the depth at which a text looks for candidates so adapts to how many stand around it, and a region of up to REACH + 1 texts is compared whole.
+Neighbours whose whole signatures agree are candidates (a pair of similarity 0.8 falls below ESTIMATE with a chance of 3e-6).
+What neighbours leave open in larger regions is completed (see _complete), so a region's size changes no result.
 
-Both comparisons run over bounded blocks (see blocks.py): a group larger than a block is dealt into chunks, and
-chunk pairs are blocks, so no pair is lost and no task holds a whole group. What leaves a block is a spanning forest, never all pairs.
+Candidates join into clusters. A cluster's full shingle sets are compared in chunks of BLOCK / 2 texts, and links between texts of different chunks that
+these leave open are completed in the same way. Only links confirmed on full sets count. No task holds a whole group, and what leaves a task are
+spanning forests, never all pairs.
 
 Defined results: a null, empty or word-less text has an empty set and links with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle; repeated rows of one id stay one node; rows without doc_id link with nothing (component null) and are kept;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import blocks, textops
 from logloom.llm.graph import components
-from logloom.shared import cut, sized
+from logloom.shared import cut, sized, sized_bytes
 
 SHINGLE = 5
 PERCENT = 80
@@ -34,9 +35,10 @@ ORDERS = 32
 DEPTH = HASHES // ORDERS
 #: Hashes of the signature that must agree for a candidate: 0.64.
 ESTIMATE = 82
-LARGE = 4096
+#: Neighbours on either side in a sorted order that a text is compared with.
+REACH = 32
 BLOCK = 512
-#: A component with this share (1 / HUBS) of a large region sends a member to be compared with all texts outside such components.
+#: A component with this share (1 / HUBS) of a group sends a member to be compared with all texts outside such components.
 HUBS = 32
 
 _U = np.uint64
@@ -107,93 +109,80 @@ def describe(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return x.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig binary")
 
 
-def _regions(reps: DataFrame, wide: list | None = None) -> DataFrame:
-    """(key, n, rep): the members of each region of at least two, regions with the same members once.
+def _regions(reps: DataFrame) -> DataFrame:
+    """(t, key, n, rep): the members of each region of at least two, regions with the same members once."""
+    prefix = lambda t: F.substring(F.col("__s"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.struct(t.alias("t"), F.xxhash64(t, prefix(t)).alias("key")))
+    rows = reps.withColumn("__s", F.concat("sig", "sig")).select("rep", F.inline(keys))
+    found = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x")
+    )
+    once = cut(found.where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "n"), "regions")
+    return rows.join(once, "key").select("t", "key", "n", "rep")
 
-    Those of DEPTH with more than LARGE members are given at greater depths only; the list `wide` gets a table (key, rep) of them.
-    """
 
-    def forest(of: DataFrame, depth: int) -> DataFrame:
-        round_sig = F.concat("sig", "sig")
-        keys = F.transform(
-            F.sequence(F.lit(0), F.lit(ORDERS - 1)),
-            lambda t: F.xxhash64(t, F.lit(depth), F.substring(F.col("__s"), t * (2 * DEPTH) + 1, F.lit(2 * depth))),
-        )
-        return of.withColumn("__s", round_sig).select("rep", F.explode(keys).alias("key"))
-
-    def found(rows: DataFrame) -> DataFrame:
-        return (
-            rows.groupBy("key")
-            .agg(
-                F.count("*").alias("n"),
-                F.min("rep").alias("lo"),
-                F.max("rep").alias("hi"),
-                F.bit_xor(F.xxhash64("rep")).alias("x"),
-            )
-            .where("n > 1")
-            .groupBy("n", "lo", "hi", "x")
-            .agg(F.min("key").alias("key"))
-        )
+def _neighbour_edges(ordered: DataFrame) -> DataFrame:
+    """Edges that join all agreeing neighbours of ordered(key, tail, rep), whose partitions are sorted by key and rotated signature.
 
-    out, of, depth = None, reps, DEPTH
-    while True:
-        rows = forest(of, depth)
-        regions = cut(found(rows), "regions")
-        deeper = depth * 2 <= HASHES
-        here = regions.where(F.col("n") <= LARGE) if deeper else regions
-        part = rows.join(here.select("key", "n"), "key")
-        out = part if out is None else out.unionByName(part)
-        if not deeper or not regions.where(F.col("n") > LARGE).take(1):
-            return out
-        large = rows.join(regions.where(F.col("n") > LARGE).select("key"), "key")
-        if wide is not None and depth == DEPTH:
-            large = cut(large.select("key", "rep"), "wide")
-            wide.append(large)
-        large = large.select("rep").distinct()
-        of, depth = cut(of.join(large, "rep", "left_semi"), "deeper"), depth * 2
-
-
-def _candidate_edges(members: DataFrame) -> DataFrame:
-    """Spanning forests of the pairs whose signatures agree enough, from (key, n, rep, sig)."""
+    An edge that two shorter ones imply is left out, so a run of copies is a chain.
+    """
 
     def run(batches):
-        edges = []
-        for t in blocks.groups(batches, "block"):
-            ids = t.column("rep").to_numpy()
-            m = len(ids)
-            if m < 2:
-                continue
-            s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(m, HASHES)
-            if m == 2:
-                if (s[0] == s[1]).sum() >= ESTIMATE:
-                    edges.append((int(ids.min()), int(ids.max())))
-            else:
-                edges += blocks.stars(ids, np.stack([(s == r).sum(axis=1) >= ESTIMATE for r in s]))
-            if len(edges) > 50_000:
-                yield blocks.edge_batch(edges)
+        key, rep, sig, edges = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint16), []
+        for batch in batches:
+            old = len(key)
+            key = np.concatenate([key, batch.column(0).to_numpy()])
+            rep = np.concatenate([rep, batch.column(2).to_numpy()])
+            sig = np.concatenate([sig, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)])
+            agree = np.zeros((REACH + 1, len(key)), bool)
+            for d in range(1, min(REACH + 1, len(key))):
+                i = np.flatnonzero(key[d:] == key[:-d]) + d
+                if not len(i):
+                    break
+                i = i[(sig[i] == sig[i - d]).sum(axis=1) >= ESTIMATE]
+                agree[d, i] = True
+                i = i[i >= old]
+                for k in range(1, d):
+                    i = i[~(agree[k, i] & agree[d - k, i - k])]
+                edges.append(np.stack([rep[i], rep[i - d]], axis=1))
+            if edges:
+                yield blocks.edge_batch(np.concatenate(edges))
                 edges = []
-        yield blocks.edge_batch(edges)
+            key, rep, sig = key[-REACH:], rep[-REACH:], sig[-REACH:]
 
-    x = blocks.deal(members, "key", "n", "rep", BLOCK).select("block", "rep", "sig")
-    return blocks.by_block(x).mapInArrow(run, "a bigint, b bigint")
+    return ordered.select("key", "tail", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """The pairs(a, b, sa, sb) whose signatures agree enough."""
+def _candidate_edges(reps: DataFrame, n_reps: int) -> DataFrame:
+    """Edges that join every two texts of a region of reps(rep, sig) whose signatures agree enough."""
+    members = cut(_regions(reps), "members")
+    tail = F.substring(F.concat("sig", "sig"), F.col("t") * (2 * DEPTH) + 1, F.lit(2 * HASHES))
+    x = members.join(sized(reps, 8 * n_reps), "rep").select("key", "n", "rep", tail.alias("tail"))
+    order = ["key", "tail", "rep"]
+    small, large = x.where(F.col("n") <= REACH + 1), x.where(F.col("n") > REACH + 1)
+    edges = _neighbour_edges(small.repartition("key").sortWithinPartitions(*order))
+    wide = members.where(F.col("n") > REACH + 1).select("key", "rep")
+    if not wide.take(1):
+        return edges
+    # A large region is cut by range, wherever the cuts fall; what meets across them is left to _complete.
+    edges = edges.unionByName(_neighbour_edges(large.repartitionByRange(*order).sortWithinPartitions(*order)))
+    return _complete(wide, reps.withColumnRenamed("sig", "value"), cut(edges, "neighbours"), _signatures_agree, _signature_matrix)
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
-            near = pa.array((x == y).sum(axis=1) >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+def _signatures_agree(x: list, y: list) -> np.ndarray:
+    of = lambda v: np.frombuffer(b"".join(v), np.uint16).reshape(-1, HASHES)
+    return (of(x) == of(y)).sum(axis=1) >= ESTIMATE
+
 
+def _signature_matrix(values: list) -> np.ndarray:
+    s = np.frombuffer(b"".join(values), np.uint16).reshape(-1, HASHES)
+    return np.stack([(s == r).sum(axis=1) >= ESTIMATE for r in s])
 
-def _rest_edges(wide: DataFrame, reps: DataFrame, n_reps: int, edges: DataFrame) -> DataFrame:
-    """edges, and what they lack to join every two texts of a large region whose signatures agree enough: wide(key, rep), reps(rep, sig).
 
-    Texts outside a region's larger components meet one member of each of those, for as long as that joins a fourth of them. Then
+def _complete(wide: DataFrame, values: DataFrame, edges: DataFrame, pairs_agree, matrix) -> DataFrame:
+    """edges, and what they lack to join every two texts of a group of wide(key, rep) whose values(rep, value) agree.
+
+    Texts outside a group's larger components meet one member of each of those, for as long as that joins a fourth of them. Then
     all texts outside the largest component meet each other and that component, in blocks. Pairs of one component need no comparison.
     """
 
@@ -202,45 +191,51 @@ def _rest_edges(wide: DataFrame, reps: DataFrame, n_reps: int, edges: DataFrame)
         x = wide.join(labels, F.col("rep") == F.col("node"), "left")
         return cut(x.select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
 
+    def met(batches):
+        for batch in batches:
+            near = pa.array(pairs_agree(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
     round_ = 0
     while True:
         x = labelled(edges)
         sizes = cut(x.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
         most = F.max(F.struct("n", "component"))
-        regions = cut(sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("k"), most.alias("top")).where("k > 1"), "several")
-        n_regions = regions.count()
-        if not n_regions:
+        groups = cut(sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("k"), most.alias("top")).where("k > 1"), "several")
+        n_groups = groups.count()
+        if not n_groups:
             return edges
         is_hub = (F.col("n") * HUBS >= F.col("total")) | (F.col("component") == F.col("top.component"))
-        hubs = cut(sizes.join(sized(regions, n_regions), "key").where(is_hub).select("key", "component"), "hubs")
+        hubs = cut(sizes.join(sized(groups, n_groups), "key").where(is_hub).select("key", "component"), "hubs")
         n_hubs = hubs.count()
         of_component = x.join(hubs.select("component").distinct(), "component", "left_semi").groupBy("component")
         chosen = of_component.agg(F.max_by("rep", F.xxhash64("rep", F.lit(round_))).alias("b"))
         chosen = cut(hubs.join(chosen, "component").select("key", "b"), "chosen")
-        left = x.join(sized(regions.select("key"), n_regions), "key", "left_semi").join(sized(hubs, n_hubs), ["key", "component"], "left_anti")
+        left = x.join(sized(groups.select("key"), n_groups), "key", "left_semi").join(sized(hubs, n_hubs), ["key", "component"], "left_anti")
         pairs = cut(left.join(sized(chosen, n_hubs), "key").select(F.col("rep").alias("a"), "b").distinct(), "pairs")
         n_left = pairs.select("a").distinct().count()
         if not n_left:
             break
-        of = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}"))
-        near = reps.join(chosen.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
-        near = near.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-        new = cut(_agreeing(pairs.join(sized(near, 8 * n_hubs), "b").join(of("a"), "a")), "met")
+        of = values.select(F.col("rep").alias("a"), F.col("value").alias("va"))
+        near = values.join(chosen.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
+        near = cut(near.select(F.col("rep").alias("b"), F.col("value").alias("vb")), "met-values")
+        new = pairs.join(of, "a").join(sized_bytes(near), "b").select("a", "b", "va", "vb").mapInArrow(met, "a bigint, b bigint")
+        new = cut(new, "met")
         edges, round_ = edges.unionByName(new), round_ + 1
         if 4 * new.select("a").distinct().count() < n_left:
             x = labelled(edges)
             break
-    return edges.unionByName(_across(x, reps, n_reps))
+    return edges.unionByName(_across(x, values, matrix))
 
 
-def _across(x: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
-    """Spanning forests of the agreeing pairs of different components in each region of x(key, rep, component)."""
+def _across(x: DataFrame, values: DataFrame, matrix) -> DataFrame:
+    """Spanning forests of the agreeing pairs of different components in each group of x(key, rep, component)."""
     sizes = x.groupBy("key", "component").agg(F.count("*").alias("n"))
-    regions = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
-    regions = regions.where("total > top.n").select("key", F.col("top.component").alias("__top"), (F.col("total") - F.col("top.n")).alias("__rest"), F.col("top.n").alias("__most"))
-    regions = cut(regions, "across")
+    groups = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top")).where("total > top.n")
+    groups = groups.select("key", F.col("top.component").alias("__top"), (F.col("total") - F.col("top.n")).alias("__rest"), F.col("top.n").alias("__most"))
+    groups = cut(groups, "across")
     parts = lambda c: F.ceil(F.col(c) / (BLOCK / 2.0)).cast("int")
-    y = x.join(sized(regions, regions.count()), "key").withColumn("rest", F.col("component") != F.col("__top"))
+    y = x.join(sized(groups, groups.count()), "key").withColumn("rest", F.col("component") != F.col("__top"))
     y = y.withColumn("__r", parts("__rest")).withColumn("__m", parts("__most"))
     y = y.withColumn("__c", F.pmod(F.xxhash64("rep", F.lit(78)), F.when(F.col("rest"), F.col("__r")).otherwise(F.col("__m"))).cast("int"))
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -248,26 +243,22 @@ def _across(x: DataFrame, reps: DataFrame, n_reps: int) -> DataFrame:
     own = F.transform(others, lambda j: pair(F.least(c, j), F.greatest(c, j)))
     top = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda j: pair(c, F.col("__r") + j))
     met = F.when(F.col("rest"), F.concat(own, top)).otherwise(F.transform(others, lambda j: pair(j, F.col("__r") + c)))
-    y = y.join(sized(reps, 8 * n_reps), "rep").withColumn("__p", F.explode(met))
+    y = y.join(values, "rep").withColumn("__p", F.explode(met))
 
     def run(batches):
         edges = []
         for t in blocks.groups(batches, "block"):
             ids, of, rest = (t.column(k).to_numpy() for k in ("rep", "component", "rest"))
-            m = len(ids)
-            if m < 2 or not rest.any():
+            if len(ids) < 2 or not rest.any():
                 continue
-            s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(m, HASHES)
-            linked = np.zeros((m, m), bool)
-            for i in np.flatnonzero(rest):
-                linked[i] = ((s == s[i]).sum(axis=1) >= ESTIMATE) & (of != of[i])
-            edges += blocks.stars(ids, linked | linked.T)
+            linked = matrix(t.column("value").to_pylist()) & (of[:, None] != of[None, :]) & (rest[:, None] | rest[None, :])
+            edges += blocks.stars(ids, linked)
             if len(edges) > 50_000:
                 yield blocks.edge_batch(edges)
                 edges = []
         yield blocks.edge_batch(edges)
 
-    y = y.select(F.xxhash64("key", "__p.i", "__p.j").alias("block"), "rep", "component", "rest", "sig")
+    y = y.select(F.xxhash64("key", "__p.i", "__p.j").alias("block"), "rep", "component", "rest", "value")
     return blocks.by_block(y).mapInArrow(run, "a bigint, b bigint")
 
 
@@ -300,12 +291,33 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+def _set_tests(percent: int):
+    """Whether pairs of sets, and all pairs of a list of sets, are similar enough: for _complete and blocks."""
+
+    def enough(n, m, both):
+        return (100 * both >= percent * (n + m - both)) & (both > 0)
+
+    def pairs_agree(x: list, y: list) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for i, (a, b) in enumerate(zip(x, y)):
+            n, m = len(a) >> 3, len(b) >> 3
+            if 100 * min(n, m) >= percent * max(n, m):
+                out[i] = enough(n, m, len(np.intersect1d(np.frombuffer(a, _U), np.frombuffer(b, _U), assume_unique=True)))
+        return out
+
+    def matrix(values: list) -> np.ndarray:
+        own = [np.frombuffer(b, _U) for b in values]
+        n = np.array([len(s) for s in own])
+        return enough(n[:, None], n[None, :], common_counts(own))
+
+    return pairs_agree, matrix
+
+
 def _confirmed_edges(docs: DataFrame, text: str, shingle: int, percent: int, clusters: DataFrame) -> DataFrame:
-    """Spanning forests of the links confirmed on full sets, from clusters(node, component)."""
+    """Edges that join all linked texts of each of clusters(node, component), confirmed on full sets."""
     size = clusters.groupBy("component").agg(F.count("*").alias("n"))
     wanted = cut(clusters.join(size, "component").withColumnRenamed("node", "doc_id"), "clusters")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
-    x = x.join(sized(wanted, wanted.count()), "doc_id").select("doc_id", "component", "n", "__text")
 
     def sets_of(batches):
         for batch in batches:
@@ -315,27 +327,35 @@ def _confirmed_edges(docs: DataFrame, text: str, shingle: int, percent: int, clu
                 out += [s.tobytes() for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], shingle)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())],
-                names=["doc_id", "component", "n", "shingles"],
+                names=["rep", "component", "n", "value"],
             )
 
-    sets = x.mapInArrow(sets_of, "doc_id bigint, component bigint, n bigint, shingles binary")
+    def sets(of: DataFrame) -> DataFrame:
+        y = x.join(sized(of, of.count()), "doc_id").select("doc_id", "component", "n", "__text")
+        return y.mapInArrow(sets_of, "rep bigint, component bigint, n bigint, value binary")
+
+    pairs_agree, matrix = _set_tests(percent)
 
     def run(batches):
         edges = []
         for t in blocks.groups(batches, "block"):
             if len(t) < 2:
                 continue
-            own = [np.frombuffer(b, _U) for b in t.column("shingles").to_pylist()]
-            n, both = np.array([len(s) for s in own]), common_counts(own)
-            linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
-            edges += blocks.stars(t.column("doc_id").to_numpy(), linked)
+            edges += blocks.stars(t.column("rep").to_numpy(), matrix(t.column("value").to_pylist()))
             if len(edges) > 50_000:
                 yield blocks.edge_batch(edges)
                 edges = []
         yield blocks.edge_batch(edges)
 
-    dealt = blocks.deal(sets, "component", "n", "doc_id", BLOCK).select("block", "doc_id", "shingles")
-    return blocks.by_block(dealt).mapInArrow(run, "a bigint, b bigint")
+    chunks = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK / 2.0))).otherwise(F.lit(1))
+    dealt = sets(wanted).withColumn("block", F.xxhash64("component", F.pmod(F.xxhash64("rep", F.lit(77)), chunks)))
+    edges = blocks.by_block(dealt.select("block", "rep", "value")).mapInArrow(run, "a bigint, b bigint")
+    large = wanted.where(F.col("n") > BLOCK)
+    if not large.take(1):
+        return edges
+    values = cut(sets(large).select("rep", "value"), "large-sets")
+    wide = large.select(F.col("component").alias("key"), F.col("doc_id").alias("rep"))
+    return _complete(wide, values, cut(edges, "chunk-links"), pairs_agree, matrix)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -348,12 +368,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
     )
     reps = cut(reps, "classes")
     n_reps = reps.count()
-    of_rep, wide = reps.select("rep", "sig"), []
-    members = _regions(of_rep, wide)
-    edges = _candidate_edges(members.join(sized(of_rep, 8 * n_reps), "rep"))
-    if wide:
-        edges = _rest_edges(wide[0], of_rep, n_reps, cut(edges, "first"))
-    clusters = components(edges, "candidates")
+    clusters = components(_candidate_edges(reps.select("rep", "sig"), n_reps), "candidates")
     linked = components(_confirmed_edges(docs, text, shingle, percent, clusters), "links")
     of_class = reps.drop("sig").join(linked, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component"))

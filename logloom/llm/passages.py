@@ -38,6 +38,8 @@ CROWD = 20_000
 SUFFIX_BYTES = 1 << 16
 
 _U = np.uint64
+#: Factors of the eight-byte parts of a gram. Its hash only chooses anchors: grams that collide cost time and change no result.
+_LANE = textops.mix64(np.arange(1, GRAM // 8 + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
 _KEY = "doc bigint, cid int"
 
 
@@ -46,10 +48,11 @@ def anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     n, span = len(data), WINDOW - GRAM + 1
     if n < WINDOW:
         return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 3
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(textops._BYTE[data] * textops._POWERS.upto(n), out=prefix[1:])
-    inverse = textops._INVERSES.upto(n + 1)
-    h = textops.mix64((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: n - GRAM + 1])
+    eight, m = textops.lanes(data), n - GRAM + 1
+    h = eight[:m] * _LANE[0]
+    for k in range(1, GRAM // 8):
+        h += eight[8 * k : 8 * k + m] * _LANE[k]
+    h = textops.mix64(h)
     mask = _U((1 << 24) - 1)
     v = (h & ~mask) | np.arange(len(h), dtype=_U)
     rows = -(-len(v) // span)
@@ -74,7 +77,7 @@ def anchor_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     lo, p = start[first], p[first]
     count = np.diff(np.append(first, len(start)))
     place = (p - lo).astype(_U) * _U(0x9E3779B97F4A7C15) + count.astype(_U) * _U(0xC2B2AE3D27D4EB4F)
-    frag = textops.mix64((prefix[lo + count - 1 + WINDOW] - prefix[lo]) * inverse[lo] + place)
+    frag = textops.mix64(textops.span_hashes(data, lo, lo + count - 1 + WINDOW, 2 * WINDOW) + place)
     return h[p], frag, lo, count, p - lo
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,28 +25,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd base mod 2^64, grown on demand in each worker."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.values = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.values) < n:
-            size = max(n, 1 << 20)
-            x = np.full(size, self.base, np.uint64)
-            x[0] = 1
-            self.values = np.multiply.accumulate(x)
-        return self.values[:n]
-
-
-_POWERS, _INVERSES = _Powers(_BASE), _Powers(_INVERSE)
-
 #: Bytes of text that one vectorised pass works on, to bound a worker's memory.
 CHUNK = 2 << 20
 
@@ -96,10 +76,28 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from prefix sums of a polynomial."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _POWERS.upto(n), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _INVERSES.upto(n + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first k of eight bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 64) -> np.ndarray:
+    """A 64-bit hash of each span's bytes. Eight bytes at a time are scrambled into it, so no sum of powers can cancel; spans above `most` bytes go through BLAKE2."""
+    size = ends - starts
+    h = size.astype(np.uint64) * _STEP
+    eight, live = lanes(data), None
+    for k in range(0, most, 8):
+        live = np.flatnonzero(size > k) if live is None else live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix64((h[live] ^ (eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)])) + _STEP)
+    for i in np.flatnonzero(size > most).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h

@@ -79,50 +79,59 @@ def test_large_regions_are_dealt_into_blocks_and_go_deeper(spark, docs, monkeypa
     assert sorted(map(tuple, minhash.near_duplicates(df, shingle=4).collect())) == whole
 
 
-def test_regions_that_are_too_large_go_deeper(spark, docs, monkeypatch):
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    sig = minhash.describe(df, "text", 4).where("n_shingles > 0").selectExpr("doc_id AS rep", "sig").cache()
-    flat = minhash._regions(sig).collect()
-    monkeypatch.setattr(minhash, "LARGE", 6)
-    deep = minhash._regions(sig).collect()
-    assert max(r.n for r in flat) > 6
-    # Only equal signatures may stay together in a region above the limit: there no depth tells them apart.
-    same = {r.rep: bytes(r.sig) for r in sig.collect()}
-    groups = {}
-    for r in deep:
-        groups.setdefault(r.key, set()).add(r.rep)
-    assert all(len(g) <= 6 or len({same[x] for x in g}) == 1 for g in groups.values())
-
-
-def test_large_regions_lose_no_link(spark, monkeypatch):
-    rng = random.Random(11)
-    groups = [words(150, rng) for _ in range(3)]
-    texts = [" ".join(mutated(b, rng.randrange(1, 5), rng)) for b in groups for _ in range(60)]  # independent edits
+def text_groups(seed, groups, copies, length, edits):
+    """Texts with independent edits of some templates, and the links among them by all pairs."""
+    rng = random.Random(seed)
+    texts = [" ".join(mutated(b, rng.randrange(*edits), rng)) for b in [words(length, rng) for _ in range(groups)] for _ in range(copies)]
     rng.shuffle(texts)
     sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in enumerate(t.split() for t in texts)}
     links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    return texts, sets, links
+
+
+@pytest.mark.parametrize("reach, block, hubs", [(32, 512, 32), (1, 8, 1)])
+def test_large_regions_and_clusters_lose_no_link(spark, monkeypatch, reach, block, hubs):
+    texts, sets, links = text_groups(11, 3, 60, 150, (1, 5))  # similarities from 0.77 on: many pairs are near 0.8
+    similar = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in links]
+    assert min(similar) < 0.83
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(minhash, "LARGE", 2)
+    for name, value in (("REACH", reach), ("BLOCK", block), ("HUBS", hubs)):
+        monkeypatch.setattr(minhash, name, value)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=4).collect()}
     assert got == components(sets, links)
 
 
-def test_clusters_of_a_large_region_are_compared_with_each_other(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "HUBS", 1)
+def test_neighbours_in_sorted_orders_join_whole_regions(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**16, (4, minhash.HASHES), dtype=np.uint16)
     sig = np.repeat(base, 12, axis=0)
     for row in sig:  # a third of the pairs of one template agree in fewer than ESTIMATE hashes
-        at = rng.choice(minhash.HASHES, 24, replace=False)
+        at = rng.choice(np.arange(4, minhash.HASHES), 24, replace=False)
         row[at] = rng.integers(0, 2**16, 24)
     near = (sig[:, None, :] == sig[None, :, :]).sum(axis=2) >= minhash.ESTIMATE
     links = [(i, j) for i in range(48) for j in range(i) if near[i, j]]
     reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "rep long, sig binary")
-    wide = reps.selectExpr("1L AS key", "rep")
-    none = spark.createDataFrame([(0, 1)] if near[0, 1] else [links[0]], "a long, b long")
-    got = components(range(48), [tuple(r) for r in minhash._rest_edges(wide, reps, 48, none).collect()])
-    assert got == components(range(48), links)
+    for reach, block, hubs in ((32, 512, 32), (2, 8, 32)):
+        for name, value in (("REACH", reach), ("BLOCK", block), ("HUBS", hubs)):
+            monkeypatch.setattr(minhash, name, value)
+        found = [tuple(r) for r in minhash._candidate_edges(reps, 48).collect()]
+        assert all(near[a, b] for a, b in found) and components(range(48), found) == components(range(48), links)
+
+
+def test_words_that_cancel_in_power_sums_stay_apart(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, f"x y {a} z u v"), (2, f"x y {b} z u v")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=4).collect()} == {1: 1, 2: 2}
+
+
+def test_very_long_texts_are_linked(spark):
+    rng = random.Random(2)
+    long = words(400_000, rng)
+    rows = [(1, " ".join(long)), (2, " ".join(mutated(long, 9_000, rng))), (3, " ".join(words(300_000, rng))), (4, "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=4).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_near_duplicates_of_nothing_and_null_ids(spark):

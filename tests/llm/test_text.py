@@ -56,7 +56,12 @@ def test_bpe_equals_the_library():
     texts += ["a" * 3000, "ab" * 2000, " " * 1000, "", "'", "\n\n"]
     for t, ids in zip(texts, encode_all(c, texts)):
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode_ordinary(t), t
-        assert c.decode(ids).decode() == t
+        ids = np.frombuffer(ids, "<u4").astype(np.int64)
+        ends = c.ends(ids, np.array([len(ids)]))
+        assert c.decode(ids, ends).decode() == t
+        a, b = sorted(rng.choices(range(len(ids) + 1), k=2))
+        first = int(ends[a - 1]) if a else 0
+        assert c.decode(ids[a:b], ends[a:b]) == t.encode()[first : int(ends[b - 1]) if b > a else first]
 
 
 def test_bpe_rows(spark):
@@ -66,6 +71,13 @@ def test_bpe_rows(spark):
     assert [r.ids for r in got] == [lib.encode_ordinary(t) for t in ("don't  stop", "", "", "don't  stop")]
     assert [r.n_tokens for r in got] == [len(r.ids) for r in got]
     assert got[0].decoded_sha256 == hashlib.sha256(b"don't  stop").hexdigest()
+    assert got[0].ends[-1] == len("don't  stop") and len(got[0].ends) == got[0].n_tokens
+    odd = df.withColumn("a.b", F.lit(1)).withColumn("IDS", F.lit(3))
+    tokens = bpe.encode(odd)
+    assert "a.b" in tokens.columns and "IDS" not in tokens.columns
+    back = bpe.decode(tokens.withColumns({"ids": F.slice("ids", 2, 2), "ends": F.slice("ends", 2, 2)}))
+    raw = dict(enumerate(r.text for r in df.collect()))
+    assert all(bytes(r.decoded) in (raw[k] or "").encode() for k, r in enumerate(back.collect())) and "a.b" in back.columns
     assert bpe.digest(df.limit(0)).collect() == []
 
 
@@ -315,8 +327,112 @@ def test_main_text():
     assert html.main_text("<article><p>x < y and a > b.</p></article>") == "x < y and a > b."
 
 
+def test_class_names_are_weak_evidence_and_scans_are_linear():
+    words = "A long paragraph with many words. " * 5
+    page = f'<article class="post"><section class="search results about comments"><p>{words}</section><div class="kommentare"><p>Das mag ich sehr, danke.</div></article>'
+    assert html.main_text(page) == words.strip()
+    assert html.main_text('<article><div class="x"/><p>In a box.</p></article>') == "In a box."
+    assert html.main_text("<article><svg><path/></svg><p>After it.") == "After it."
+    for odd in ("<a " * 300_000, "<a \"='" * 200_000, "<!-- " * 200_000, "</p" * 300_000, "<a x='>" * 100_000, "<script>" * 100_000):
+        assert html.main_text(odd) == ""
+    many = "<article>" + "".join(f"<p>Block {i} of the text.</p><div class=ad>Buy {i} now</div>" for i in range(20_000))
+    assert html.main_text(many) == "\n".join(f"Block {i} of the text." for i in range(20_000))
+    deep = "<div>" * 50_000 + "<article><p>Deep down.</p></article>"
+    assert html.main_text(deep) == "Deep down."
+
+
+def reference_main_text(page, weights):
+    """The extraction by trying all labellings, on what a plain parser sees: for pages of few blocks without odd markup."""
+    from html.parser import HTMLParser
+
+    found = []
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.n, self.new = [], 0, True
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("a", "b"):
+                self.link = tag == "a"
+                return
+            names = " ".join(v for k, v in attrs if k in ("class", "id", "role")).split()
+            odds = [max((html.TELLING.get(w, 0.0) for w in re.findall("[a-z]+", x)), key=abs, default=0.0) for x in names]
+            self.stack.append((tag, self.n, sum(odds) / len(odds) if odds else 0.0))
+            self.n, self.new = self.n + 1, True
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                self.stack.pop()
+                self.new = True
+
+        def handle_data(self, data):
+            if data.strip() and not {"script", "style", "form", "head"} & {x[0] for x in self.stack}:
+                if self.new:
+                    found.append((list(self.stack), []))
+                self.new = False
+                found[-1][1].append((data, self.lasttag == "a" and "</a>" not in data))
+            elif not self.new:
+                found[-1][1].append((data, False))
+
+    Reader().feed(page)
+    odds, texts = [], []
+    for stack, parts in found:
+        text = " ".join("".join(p for p, _ in parts).split())
+        x = dict.fromkeys(html.FEATURES, 0.0)
+        x |= {"bias": 1.0, "length": min(4.0, len(text) / 60), "sentence": float(text[-1] in ".!?…。:"), "digits": sum(c.isdigit() for c in text[:200]) / min(200, len(text))}
+        x[{"p": "paragraph", "h1": "heading", "li": "item"}.get(stack[-1][0], "other")] = 1.0
+        odds.append(sum({t: html.ELEMENTS.get(t, 0.0) for t, _, _ in stack}.values()) + sum(s[2] for s in stack) + sum(w * x[f] for w, f in zip(weights, html.FEATURES)))
+        odds[-1] = round(html.GRAIN * odds[-1]) / html.GRAIN
+        texts.append(text)
+    edges, ids = [], [[s[1] for s in stack] for stack, _ in found]
+    for j in range(1, len(found)):
+        a, b = ids[j - 1], ids[j]
+        same = sum(x == y for x, y in zip(a, b))
+        edges.append((j - 1, j, 2 * html.SMOOTH / max(1, len(a) + len(b) - 2 * same)))
+        before = [i for i in range(j) if ids[i][-2:-1] == b[-2:-1]]
+        if before and before[-1] < j - 1:
+            edges.append((before[-1], j, html.SMOOTH))
+    unit = lambda v: round(v * html.UNIT)
+    cost = lambda keep: sum(unit(max(0, x)) if not k else unit(max(0, -x)) for x, k in zip(odds, keep)) + sum(unit(c) for i, j, c in edges if keep[i] != keep[j])
+    best = min(([bool(m >> k & 1) for k in range(len(odds))] for m in range(1 << len(odds))), key=lambda k: (cost(k), sum(k)))
+    return "\n".join(t for t, k in zip(texts, best) if k)
+
+
+def test_extraction_matches_all_labellings():
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(["lorem", "ipsum", "7", "dolor"]) for _ in range(n))
+    for _ in range(120):
+        out = []
+        for _ in range(rng.randrange(1, 8)):
+            kind = rng.randrange(6)
+            if kind == 0:
+                out.append(f"<nav><li>{say(2)}</li></nav>")
+            elif kind == 1:
+                out.append(f'<div class="{rng.choice(["ad", "box", "comments list", "content"])}"><p>{say(rng.randrange(1, 30))}.</p></div>')
+            elif kind == 2:
+                out.append(f"<footer>{say(5)}</footer>")
+            elif kind == 3:
+                out.append(f"<h1>{say(3)}</h1>")
+            else:
+                out.append(f"<p>{say(rng.randrange(1, 40))}{rng.choice(['.', ''])}</p>")
+        page = f"<html><body><{rng.choice(['article', 'div'])} id=x>" + "".join(out)
+        page += f"</{re.search('<(article|div) id=x', page)[1]}></body></html>"
+        assert html.main_text(page) == reference_main_text(page, html.PRIOR), page
+
+
+def test_fitted_weights_follow_the_labelled_blocks(spark):
+    rows = [(i, f"<nav><p>{'menu ' * 12}.</p></nav><article><li>point {i}</li><h1>x y</h1></article>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    w = dict(zip(html.FEATURES, html.fit(df)))
+    assert w["paragraph"] < 0.5 and w["item"] > 0 and html.fit(df) == html.fit(df.repartition(3))
+    assert html.fit(df.limit(0)) == html.PRIOR and html.fit(df.selectExpr("page_id", "'<p>x</p>' AS html")) == html.PRIOR
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")
-    got = html.extract(df).collect()
+    df = df.withColumn("a.b", F.lit(1)).withColumn("N_chars", F.lit(2))
+    got = html.extract(df, weights=html.PRIOR).collect()
+    assert html.extract(df).columns == ["page_id", "url", "a.b", "text", "n_chars"]
     assert [(r.page_id, r.url, r.n_chars, len(r.text)) for r in got] == [(1, "u", len(html.main_text(PAGE)), len(html.main_text(PAGE))), (2, None, 0, 0), (2, None, 0, 0)]
     assert html.extract(df.limit(0)).collect() == []
