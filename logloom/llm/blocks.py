@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 
 def deal(rows: DataFrame, key: str, size: str, row: str, most: int) -> DataFrame:
-    """rows with `block` (a hash of key and chunk pair): size is the group's size, row identifies the row in its group."""
+    """rows with `chunk` and `block` (a hash of key and chunk pair): size is the group's size, row identifies the row in its group."""
     n = F.when(F.col(size) > most, F.ceil(F.col(size) / (most / 2.0)).cast("int")).otherwise(F.lit(1))
-    x = rows.withColumn("__n", n).withColumn("__c", F.pmod(F.xxhash64(row, F.lit(77)), F.col("__n")).cast("int"))
+    x = rows.withColumn("__n", n).withColumn("chunk", F.pmod(F.xxhash64(row, F.lit(77)), F.col("__n")).cast("int"))
     other = F.transform(
         F.sequence(F.lit(0), F.col("__n") - 1),
-        lambda j: F.struct(F.least(F.col("__c"), j).alias("i"), F.greatest(F.col("__c"), j).alias("j")),
+        lambda j: F.struct(F.least(F.col("chunk"), j).alias("i"), F.greatest(F.col("chunk"), j).alias("j")),
     )
     x = x.withColumn("__p", F.explode(other))
-    return x.withColumn("block", F.xxhash64(key, "__p.i", "__p.j")).drop("__n", "__c", "__p")
+    return x.withColumn("block", F.xxhash64(key, "__p.i", "__p.j")).drop("__n", "__p")
 
 
 def groups(batches, key: str):

@@ -3,13 +3,17 @@
 Tokens are words of the lower-cased text, then one end. Their counts over all training texts form a distributed table. The emission
 alphabet is bounded: the OWN most frequent tokens are symbols of their own, all others share RARE symbols by hash, and
 P(token | state) = P(symbol | state) * P(token | symbol), where a shared symbol gives its tokens (count + 1) / (its total + its distinct + 1);
-the one left over is for tokens that were never seen. Each Baum-Welch round runs over every training text in segments of SEGMENT tokens: tasks
-add up expected counts of starts, steps and emissions, and a distributed sum by index joins them. Scores use whole texts without segments.
+the one left over is for tokens that were never seen. README gives the held-out scores of other bounds.
+
+Each Baum-Welch round runs over every training text as a whole: tasks add up expected counts of starts, steps and emissions, and a
+distributed sum by index joins them. A text longer than SEGMENT tokens is cut for the work only: the product of its segments' transition and emission
+matrices carries the forward state into each segment and the backward state back into it, so counts are those of the uncut text and memory is bounded.
+Rounds end when the log-likelihood a round starts from gains less than TOLERANCE of itself, or after ROUNDS.
 
 The TOP most frequent tokens' counts go to every task (a bounded table); what is not among them is looked up by a join.
 
 Defined results: a null or empty text is one end token; rows without doc_id are training texts; repeated rows count and are scored
-each; an empty table gives an empty result. Tokens are compared by 64-bit hashes.
+each; an empty table gives an empty result; other columns are ignored. Tokens are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ STATES = 8
 OWN = 1 << 14
 RARE = 1 << 10
 TOP = 1 << 17
-ROUNDS = 4
-SEGMENT = 128
+ROUNDS = 6
+TOLERANCE = 1e-3
+SEGMENT = 512
+#: Segments that are worked on side by side.
+SLAB = 1024
 STICKY = 0.9
 SMOOTHING = 0.02
 SEED = 11
@@ -96,19 +103,30 @@ class Vocabulary:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Up to `most` of the most frequent tokens: all above a count that a histogram of some hundred bins gives.
+    """Up to `most` of the most frequent tokens: all above a count that a histogram of some hundred bins gives, and those of the bin at the border whose
+    hashes come first, so the number does not jump when the vocabulary grows.
 
     A sorted limit would send that many rows of each task to the driver; this sends them once.
     """
-    bin_of = F.floor(16 * F.log2("n"))
-    bins = counts.groupBy(bin_of.alias("b")).agg(F.count("*").alias("k")).collect()
-    left, lowest = most, None
-    for b, k in sorted(map(tuple, bins), reverse=True):
-        left -= k
-        if left < 0:
-            break
-        lowest = b
-    return counts.where(bin_of >= F.lit(lowest) if lowest is not None else F.lit(False))
+
+    def whole_bins(of: DataFrame, bin_of, room: int, falling: bool):
+        """The bins that fit, the first that doesn't (or null), and the room left."""
+        bins = of.groupBy(bin_of.alias("b")).agg(F.count("*").alias("k")).collect()
+        last = None
+        for b, k in sorted(map(tuple, bins), reverse=falling):
+            if k > room:
+                return last, b, room
+            last, room = b, room - k
+        return last, None, room
+
+    count_bin, hash_bin = F.floor(16 * F.log2("n")), F.pmod(F.xxhash64("token"), F.lit(1024))
+    lowest, border, room = whole_bins(counts, count_bin, most, True)
+    out = count_bin >= lowest if lowest is not None else F.lit(False)
+    if border is not None:
+        last, _, _ = whole_bins(counts.where(count_bin == border), hash_bin, room, False)
+        if last is not None:
+            out = out | (count_bin == border) & (hash_bin <= last)
+    return counts.where(out)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -173,8 +191,7 @@ def sequences(docs: DataFrame, text: str, vocab: Vocabulary) -> DataFrame:
 
 @dataclass
 class Model:
-    start: np.ndarray  # of a text
-    resume: np.ndarray  # of a later segment
+    start: np.ndarray
     step: np.ndarray  # from state to state
     emit: np.ndarray  # symbol by state
 
@@ -188,23 +205,88 @@ def first_model(vocab: Vocabulary) -> Model:
     step = np.full((STATES, STATES), (1 - STICKY) / (STATES - 1))
     np.fill_diagonal(step, STICKY)
     flat = np.full(STATES, 1 / STATES)
-    return Model(flat, flat, step, (emit / emit.sum(axis=0)).astype(np.float32))
+    return Model(flat, step, (emit / emit.sum(axis=0)).astype(np.float32))
 
 
-def expected_counts(model: Model, segments: list[np.ndarray], begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Expected starts (of texts, of later segments), steps and emissions over the segments, by the forward-backward recursions."""
-    order = np.argsort([-len(s) for s in segments], kind="stable")
-    segments, begins = [segments[i] for i in order], begins[order]
+def _laid_out(segments: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Segments of falling length side by side, (longest, number), and how many are longer than t at each t."""
     length = np.array([len(s) for s in segments])
-    n, width = len(segments), int(length[0])
-    sym = np.zeros((width, n), np.int64)
+    sym = np.zeros((int(length[0]), len(segments)), np.int64)
     for k, s in enumerate(segments):
         sym[: len(s), k] = s
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(width)]  # longer than t
+    return sym, np.searchsorted(-length, -np.arange(len(sym)), "left").tolist()
+
+
+def _products(model: Model, segments: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
+    """For each segment the product of its steps and emissions, scaled: it takes the state before the segment to the one at its end."""
+    sym, live = _laid_out(segments)
+    step = model.step.astype(np.float32)
+    first = np.where(begins[:, None, None], model.start.astype(np.float32)[None, None, :], step[None])
+    out = first * model.emit[sym[0]][:, None, :]
+    for t in range(1, len(sym)):
+        m = live[t]
+        x = (out[:m] @ step) * model.emit[sym[t, :m]][:, None, :]
+        out[:m] = x / x.sum(axis=(1, 2), keepdims=True)
+    return out / out.sum(axis=(1, 2), keepdims=True)
+
+
+def _borders(model: Model, segments: list[np.ndarray], text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward state before each segment and the backward state after it, both up to scale; of whole texts they are not used and 1."""
+    n = len(segments)
+    ahead, behind = np.ones((n, STATES), np.float32), np.ones((n, STATES), np.float32)
+    several = np.flatnonzero(np.bincount(text)[text] > 1)
+    if not len(several):
+        return ahead, behind
+    product = np.empty((n, STATES, STATES), np.float32)
+    for a in range(0, len(several), SLAB):
+        k = several[a : a + SLAB]
+        k = k[np.argsort([-len(segments[i]) for i in k], kind="stable")]
+        product[k] = _products(model, [segments[i] for i in k], place[k] == 0)
+    last = np.zeros(int(text.max()) + 1, np.int64)
+    np.maximum.at(last, text, place)
+    for p in range(1, int(place.max()) + 1):  # segments of a text follow each other in the list
+        k = np.flatnonzero(place == p)
+        x = product[k - 1, 0] if p == 1 else np.einsum("ni,nij->nj", ahead[k - 1], product[k - 1])
+        ahead[k] = x / x.sum(axis=1, keepdims=True)
+    for p in range(int(place.max()) - 1, -1, -1):
+        k = np.flatnonzero((place == p) & (last[text] > p))
+        x = np.einsum("nij,nj->ni", product[k + 1], behind[k + 1])
+        behind[k] = x / x.sum(axis=1, keepdims=True)
+    return ahead, behind
+
+
+def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Expected starts, steps and emissions over whole texts by the forward-backward recursions, and the natural log-likelihood."""
+    segments, text, place = [], [], []
+    for i, x in enumerate(texts):
+        for p, a in enumerate(range(0, len(x), SEGMENT)):
+            segments.append(x[a : a + SEGMENT])
+            text.append(i)
+            place.append(p)
+    text, place = np.array(text), np.array(place)
+    ahead, behind = _borders(model, segments, text, place)
+    starts, steps = np.zeros(STATES), np.zeros((STATES, STATES))
+    emit, likelihood = np.zeros((OWN + RARE, STATES)), 0.0
+    order = np.argsort([-len(s) for s in segments], kind="stable")
+    for a in range(0, len(order), SLAB):
+        k = order[a : a + SLAB]
+        x = _slab_counts(model, [segments[i] for i in k], place[k] == 0, ahead[k], behind[k])
+        starts += x[0]
+        steps += x[1]
+        for state in range(STATES):
+            emit[:, state] += np.bincount(x[2], weights=x[3][:, state], minlength=OWN + RARE)
+        likelihood += x[4]
+    return starts, steps, emit, np.array([likelihood])
+
+
+def _slab_counts(model: Model, segments: list[np.ndarray], begins: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple:
+    """Expected starts and steps, symbols with their state probabilities, and the log-likelihood of segments between known states."""
+    sym, live = _laid_out(segments)
+    width, n = sym.shape
     step = model.step.astype(np.float32)
     alpha = np.empty((width, n, STATES), np.float32)
     scale = np.ones((width, n), np.float32)
-    a = np.where(begins[:, None], model.start, model.resume).astype(np.float32)
+    a = np.where(begins[:, None], model.start.astype(np.float32), ahead @ step)
     for t in range(width):
         m = live[t]
         if t:
@@ -213,72 +295,71 @@ def expected_counts(model: Model, segments: list[np.ndarray], begins: np.ndarray
         c = a.sum(axis=1)
         alpha[t, :m] = a / c[:, None]
         scale[t, :m] = c
+    end = np.array([len(s) for s in segments]) - 1
+    beta = behind / (alpha[end, np.arange(n)] * behind).sum(axis=1, keepdims=True)
     steps = np.zeros((STATES, STATES))
-    beta = np.ones((n, STATES), np.float32)
-    for t in range(width - 1, 0, -1):
+    for t in range(width - 1, -1, -1):
         m = live[t]
         b = model.emit[sym[t, :m]] * beta[:m] / scale[t, :m, None]
-        steps += model.step * (alpha[t - 1, :m].T @ b)
-        beta[:m] = b @ step.T
+        if t:
+            steps += model.step * (alpha[t - 1, :m].T @ b)
+        else:
+            steps += model.step * (ahead[~begins].T @ b[~begins])
         # alpha becomes the posterior in place: position t is done with it.
-        alpha[t, :m] *= b * scale[t, :m, None] / model.emit[sym[t, :m]]
-    alpha[0] *= beta
+        alpha[t, :m] *= beta[:m]
+        beta[:m] = b @ step.T
     flat = np.concatenate([sym[t, : live[t]] for t in range(width)])
     gamma = np.concatenate([alpha[t, : live[t]] for t in range(width)])
     gamma /= gamma.sum(axis=1, keepdims=True)
-    emit = np.stack(
-        [np.bincount(flat, weights=gamma[:, k], minlength=OWN + RARE) for k in range(STATES)], axis=1
-    )
     g0 = alpha[0] / alpha[0].sum(axis=1, keepdims=True)
-    return g0[begins].sum(axis=0), g0[~begins].sum(axis=0), steps, emit
+    likelihood = sum(float(np.log(scale[t, : live[t]]).sum(dtype=np.float64)) for t in range(width))
+    return g0[begins].sum(axis=0), steps, flat, gamma, likelihood
+
+
+def improved(starts: np.ndarray, steps: np.ndarray, emit: np.ndarray, smoothing: float = SMOOTHING) -> Model:
+    """The model that the expected counts give, with a little mass everywhere."""
+    starts, steps, emit = starts + 5 * smoothing, steps + 5 * smoothing, emit + smoothing
+    return Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), (emit / emit.sum(axis=0)).astype(np.float32))
 
 
-def train(seq: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch rounds over all rows of seq that are not held out."""
+def train(seq: DataFrame, model: Model, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
+    """Baum-Welch rounds over all rows of seq that are not held out; the model, and the log-likelihood that each round started from."""
     spark = seq.sparkSession
     texts = seq.where("not held_out").select("symbols")
-    m = OWN + RARE
-    sizes = np.cumsum([STATES, STATES, STATES * STATES, m * STATES])
+    m, history = OWN + RARE, []
+    sizes = np.cumsum([STATES, STATES * STATES, m * STATES, 1])
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
             total = np.zeros(sizes[-1])
-            for batch in batches:
-                segments, begins, size = [], [], 0
 
-                def add(segments, begins):
-                    x = expected_counts(sent.value, segments, np.array(begins))
-                    total[:] += np.concatenate([y.ravel() for y in x])
+            def add(texts):
+                total[:] += np.concatenate([y.ravel() for y in expected_counts(sent.value, texts)])
 
+            for batch in batches:
+                held, size = [], 0
                 for s in batch.column(0).to_pylist():
-                    ids = np.frombuffer(s, "<u2")
-                    for a in range(0, len(ids), SEGMENT):
-                        segments.append(ids[a : a + SEGMENT])
-                        begins.append(a == 0)
-                    size += len(ids)
+                    held.append(np.frombuffer(s, "<u2"))
+                    size += len(held[-1])
                     if size > 400_000:
-                        add(segments, begins)
-                        segments, begins, size = [], [], 0
-                if segments:
-                    add(segments, begins)
+                        add(held)
+                        held, size = [], 0
+                if held:
+                    add(held)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["ix", "x"])
 
         sums = texts.mapInArrow(run, "ix int, x double").groupBy("ix").agg(F.sum("x").alias("x")).toPandas()
         total = np.zeros(sizes[-1])  # a number of parameters that is fixed
         total[sums["ix"].to_numpy()] = sums["x"].to_numpy()
-        start, resume, step, emit = np.split(total, sizes[:-1])
-        step, emit = step.reshape(STATES, STATES) + 0.1, emit.reshape(m, STATES)
-        emit = emit + SMOOTHING
-        model = Model(
-            (start + 0.1) / (start + 0.1).sum(),
-            (resume + 0.1) / (resume + 0.1).sum(),
-            step / step.sum(axis=1, keepdims=True),
-            (emit / emit.sum(axis=0)).astype(np.float32),
-        )
+        starts, steps, emit, likelihood = np.split(total, sizes[:-1])
+        history.append(float(likelihood[0]))
+        model = improved(starts, steps.reshape(STATES, STATES), emit.reshape(m, STATES))
         sent.unpersist()
-    return model
+        if len(history) > 1 and history[-1] - history[-2] < tolerance * abs(history[-1]):
+            break
+    return model, history
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -309,7 +390,7 @@ def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFram
     counts = cut(count_tokens(docs.where("not held_out"), text), "tokens")
     vocab = vocabulary(counts)
     seq = cut(sequences(docs, text, vocab), "sequences")
-    model = train(seq, first_model(vocab), rounds)
+    model, _ = train(seq, first_model(vocab), rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

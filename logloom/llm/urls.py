@@ -3,7 +3,10 @@
 Labelled page outcomes (here: labels of the same id; a page is bad if its quality is 0 or it is toxic) are counted by
 host. Rates shrink through beta-binomial priors: all pages -> public suffix -> registered domain -> host. Each level's prior
 is the posterior mean of the level above, with a strength found from the spread of the rates below it (method of moments). A host is
-blocked if the lower bound of its posterior bad rate, mean - Z standard deviations, is above LIMIT.
+blocked if the lower bound of its posterior bad rate, mean - Z standard deviations, is above RATIO times the rate of all labelled pages.
+
+Public suffixes are a parameter: some names of several labels, or a table of any length (read_suffixes). User info, port and trailing dots are no part of a
+host's levels.
 
 Defined results: a null url or one without :// has an empty host and path, fits no rule, and is judged as the empty host;
 an unlabelled host has its domain's posterior; repeated rows are judged alike, each once; an empty table gives an empty result;
@@ -23,10 +26,14 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-#: Suffixes of two labels under which names are registered (fixed values; extend as a parameter).
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.za", "com.cn", "com.mx")
+#: Suffixes of two labels under which names are registered (fixed values; read_suffixes() takes a whole list).
+TWO_LABEL_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "org.br", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "com.cn",
+    "org.cn", "com.mx", "com.ar", "com.tr", "com.tw", "com.hk", "com.sg", "com.ua", "com.pl", "co.in", "co.il", "co.kr", "or.kr", "co.id", "com.my",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "vercel.app", "herokuapp.com", "web.app", "pages.dev",
+)
 Z = 1.645
-LIMIT = 0.5
+RATIO = 1.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,14 +63,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
+def read_suffixes(spark, path: str) -> DataFrame:
+    """(suffix) from a text file with one rule a line, as the public list has it; comments, wildcards and exceptions are left out."""
+    line = F.lower(F.trim(F.split("value", r"\s")[0]))
+    return spark.read.text(path).select(line.alias("suffix")).where("suffix <> '' AND NOT startswith(suffix, '//') AND NOT suffix RLIKE '[*!]'").distinct()
+
+
 def with_levels(hosts: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
-    """Adds the public suffix and the registered domain of each host."""
-    bare = F.substring_index("host", ":", 1)
-    two = F.substring_index(bare, ".", -2).isin(*suffixes)
-    last = [F.substring_index(bare, ".", -k) for k in (1, 2, 3)]
-    return hosts.withColumn("suffix", F.when(two, last[1]).otherwise(last[0])).withColumn(
-        "domain", F.when(two, last[2]).otherwise(last[1])
-    )
+    """Adds the public suffix (the longest that is listed, else the last label) and the registered domain of each host."""
+    bare = F.regexp_replace(F.substring_index(F.substring_index("host", "@", -1), ":", 1), r"\.+$", "")
+    hosts = hosts.withColumn("__l", F.split(bare, r"\."))
+    last = lambda n: F.concat_ws(".", F.slice("__l", F.greatest(F.size("__l") - n + 1, F.lit(1)), n))
+    if isinstance(suffixes, DataFrame):
+        tails = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("__l")), last)).alias("__n", "suffix"))
+        listed = suffixes.select("suffix").distinct()
+        longest = tails.join(sized(listed, listed.count()), "suffix").groupBy("host").agg(F.max(F.col("__n") + 1).alias("__k"))
+        hosts = hosts.join(longest, "host", "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+    else:
+        hosts = hosts.withColumn("__k", F.when(last(F.lit(2)).isin(*suffixes), 2).otherwise(1))
+    return hosts.withColumn("suffix", last(F.col("__k"))).withColumn("domain", last(F.col("__k") + 1)).drop("__l", "__k")
 
 
 def _strength() -> Column:
@@ -76,7 +94,7 @@ def _strength() -> Column:
 
 
 def reputation(outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
-    """host, n_labelled, n_bad, prior, posterior, deviation and lower bound, from outcomes(host, bad: 1, 0 or null)."""
+    """host, n_labelled, n_bad, prior, posterior, deviation, lower bound and the rate of all, from outcomes(host, bad: 1, 0 or null)."""
     by_host = with_levels(
         outcomes.groupBy("host").agg(
             F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k")
@@ -87,6 +105,8 @@ def reputation(outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     n, k = F.sum("n").alias("n"), F.sum("k").alias("k")
     bad, labelled = by_host.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
 
+    rate = (bad + 1) / (labelled + 2)
+
     def shrink(level: DataFrame) -> DataFrame:
         """level has n, k and the parent's posterior mean m; adds its own posterior."""
         strength = F.lit(float(level.where("n > 0").agg(_strength()).first()[0]))
@@ -94,7 +114,7 @@ def reputation(outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
             "posterior", (F.col("m") * F.col("strength") + F.col("k")) / (F.col("strength") + F.col("n"))
         )
 
-    suffix = shrink(by_host.groupBy("suffix").agg(n, k).withColumn("m", F.lit((bad + 1) / (labelled + 2))))
+    suffix = shrink(by_host.groupBy("suffix").agg(n, k).withColumn("m", F.lit(rate)))
     up = suffix.select("suffix", F.col("posterior").alias("m"))
     domain = shrink(by_host.groupBy("suffix", "domain").agg(n, k).join(up, "suffix"))
     up = domain.select("suffix", "domain", F.col("posterior").alias("m"))
@@ -109,10 +129,11 @@ def reputation(outcomes: DataFrame, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
         "posterior",
         dev.alias("deviation"),
         (F.col("posterior") - Z * dev).alias("lower_bound"),
+        F.lit(rate).alias("rate"),
     )
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, ratio: float = RATIO, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's reputation for each row of pages(page_id, url)."""
     url = F.col("url").cast("string")
     x = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -123,10 +144,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT
         ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int").alias("bad"),
     )
     known = known.where("__any = 1 and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = cut(reputation(x.select("page_id", "host").join(known, "page_id", "left").select("host", "bad")), "reputation")
+    hosts = cut(reputation(x.select("page_id", "host").join(known, "page_id", "left").select("host", "bad"), suffixes), "reputation")
     out = x.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     out = out.join(sized(hosts, hosts.count()), "host", "left")
-    by_host = F.when(F.coalesce("lower_bound", F.lit(0.0)) > limit, "block").otherwise("allow")
+    by_host = F.when(F.coalesce(F.col("lower_bound") > ratio * F.col("rate"), F.lit(False)), "block").otherwise("allow")
     return out.select(
         "page_id",
         "host",
@@ -165,7 +186,7 @@ WITH x AS (
          CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
 known AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels
           WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
-h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, string_split(split_part(host, ':', 1), '.') AS l
+h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, string_split(regexp_replace(split_part(regexp_replace(host, '^.*@', ''), ':', 1), '\\.+$', ''), '.') AS l
        FROM x LEFT JOIN known ON page_id = doc_id GROUP BY host),
 h1 AS (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM h0),
 h AS (SELECT host, n, k, array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') AS suffix, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS dom FROM h1),
@@ -184,7 +205,7 @@ y AS (SELECT *, CASE
   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM x)
-SELECT page_id, y.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lo > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+SELECT page_id, y.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN lo > {RATIO} * (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) THEN 'block' ELSE 'allow' END AS verdict,
        CAST(n AS BIGINT) AS n_labelled, CAST(k AS BIGINT) AS n_bad, round(p, 6) AS posterior, round(lo, 6) AS lower_bound
 FROM y JOIN r ON y.host = r.host"""
 )

@@ -183,15 +183,51 @@ def test_vectors_match_all_pairs(spark, block, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-def test_error_bound_never_rules_out_a_link():
+@pytest.mark.parametrize("d", [2, 32, 64, 300])
+def test_error_bounds_rule_out_no_link(d):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(400, 32))
-    x[200:] = x[:200] + rng.normal(size=(200, 32)) * 0.35
+    x = rng.normal(size=(800, d))
+    x[400:] = x[:400] + rng.normal(size=(400, d)) * np.linspace(0.05, 0.6, 400)[:, None]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes, factors = embeddings.encode(x)
-    maybe = embeddings.may_link(codes, factors, x, 0.93)
+    codes = embeddings.encode(x)
+    maybe = embeddings.may_link(codes, codes, d, 0.93)
     linked = x @ x.T >= 0.93
-    assert (linked & ~maybe).sum() == 0 and maybe.mean() < 0.2
+    assert (linked & ~maybe).sum() == 0 and linked.sum() > 900 and (d < 32 or maybe.mean() < 0.1)
+
+
+def test_estimates_have_no_bias():
+    rng = np.random.default_rng(2)
+    d = 48
+    x = rng.normal(size=(300, d))
+    x[150:] += 1.2 * x[:150]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = []
+    for seed in range(30):
+        q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
+        r = x @ q
+        c = np.sign(r) / np.sqrt(d)
+        off.append((c[150:] * r[:150]).sum(axis=1) / (c[150:] * r[150:]).sum(axis=1) - (x[150:] * x[:150]).sum(axis=1))
+    assert abs(np.mean(off)) < 0.003
+
+
+def sql_links(rows):
+    """The operator's SQL on rows(vec_id, embedding, label)."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[], label VARCHAR)")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    return sorted(c.execute(embeddings.OP2_SQL).fetchall(), key=str)
+
+
+def test_repeated_ids_are_one_node(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (3, [0.0, 1.0], "c"), (4, [0.0, 1.0], "c"), (5, None, "a"), (5, [1.0, 0.01], "a")]
+    rows += [(6, [0.3, 1.0], "c"), (7, [1.0, 0.0], "b"), (7, [0.0, 1.0], "c"), (8, [1.0, 0.02], "b")]
+    base = rng.normal(size=(6, 8))
+    rows += [(100 + int(rng.integers(40)), (base[int(rng.integers(6))] + rng.normal(size=8) * 0.2).tolist(), "mn"[int(rng.integers(2))]) for _ in range(120)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label string, n_links int, cls int")
+    assert sorted(map(tuple, embeddings.near_vectors(df).collect()), key=str) == sql_links(rows)
 
 
 def test_vectors_of_nothing(spark):
