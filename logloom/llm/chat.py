@@ -6,11 +6,12 @@ back is exact. Turns are counted in BPE tokens; running sums choose the longest
 after the system turn (kept in each window) and the newest turns of the last window that fit the history budget. Repeated turns are
 never under the loss mask, so each assistant text is learnt from exactly once.
 
-Rows are dealt by conversation and sorted by turn; a worker streams them and holds one window at a time, so a conversation
-of any length needs bounded memory. Its turns are hashed in order, which keeps one conversation in one task.
+Turns are escaped and counted where they are read, before rows are dealt by conversation and sorted by turn. A worker then only streams: it adds up the
+counts and joins strings, one window at a time, so a conversation of any length needs bounded memory. Its turns are hashed in order, which
+keeps one conversation in one task.
 
 Defined results: a null text or role is empty; rows without conv_id form one conversation; equal turns of one conversation
-are ordered by role and text, repeated rows stay; a turn above the budget is a window of its own, whole; an empty table gives no windows;
+are ordered by role and escaped text, repeated rows stay; a turn above the budget is a window of its own, whole; an empty table gives no windows;
 other columns are ignored.
 """
 
@@ -127,6 +128,32 @@ def _rows(out: list) -> pa.RecordBatch:
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
     """Windows of every conversation; those of one conversation follow each other in order."""
+    x = counted(turns, path).repartition("conv_id").sortWithinPartitions(
+        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"
+    )
+
+    def run(batches):
+        writer, out = None, []
+        for batch in batches:
+            for conv, role, body, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if writer is None or conv != writer.conv:
+                    if writer is not None:
+                        writer.flush()
+                    writer = _Writer(conv, budget, history, out)
+                writer.add(role, f"{START}{escape_role(role)}\n", body, n)
+                if len(out) >= _BATCH:
+                    yield _rows(out)
+                    out.clear()
+        if writer is not None:
+            writer.flush()
+        if out:
+            yield _rows(out)
+
+    return x.mapInArrow(run, WINDOWS)
+
+
+def counted(turns: DataFrame, path: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text (escaped) and n_tokens of each turn as it is formatted; no shuffle."""
     place = path or default_path()
     x = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -134,38 +161,21 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    x = x.repartition("conv_id").sortWithinPartitions(
-        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"
-    )
 
     def run(batches):
         own = codec(place)
-        writer, out, begun = None, [], False
         for batch in batches:
-            convs = batch.column(0).to_pylist()
-            roles = batch.column(2).to_pylist()
-            heads = [f"{START}{escape_role(r)}\n" for r in roles]
             bodies = [escape(t) for t in batch.column(3).to_pylist()]
-            whole = pa.array([f"{h}{b}{END}\n" for h, b in zip(heads, bodies)], pa.large_string())
-            data, off = textops.buffer(whole)
+            whole = [f"{START}{escape_role(r)}\n{b}{END}\n" for r, b in zip(batch.column(2).to_pylist(), bodies)]
+            data, off = textops.buffer(pa.array(whole, pa.large_string()))
             tokens = []
             for i, j in textops.chunks(off):
                 tokens += [len(b) >> 2 for b in own.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])]
-            for conv, role, head, body, n in zip(convs, roles, heads, bodies, tokens):
-                if not begun or conv != writer.conv:
-                    if begun:
-                        writer.flush()
-                    writer, begun = _Writer(conv, budget, history, out), True
-                writer.add(role, head, body, n)
-                if len(out) >= _BATCH:
-                    yield _rows(out)
-                    out.clear()
-        if begun:
-            writer.flush()
-        if out:
-            yield _rows(out)
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(bodies, pa.string()), pa.array(tokens, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "text", "n_tokens"])
 
-    return x.mapInArrow(run, WINDOWS)
+    turn = x.schema["turn"].dataType.simpleString()
+    return x.mapInArrow(run, f"conv_id bigint, turn {turn}, role string, text string, n_tokens int")
 
 
 def read_turns(text: str):

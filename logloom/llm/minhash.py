@@ -183,49 +183,50 @@ def _complete(wide: DataFrame, values: DataFrame, edges: DataFrame, pairs_agree,
     """edges, and what they lack to join every two texts of a group of wide(key, rep) whose values(rep, value) agree.
 
     Texts outside a group's larger components meet one member of each of those, for as long as that joins a fourth of them. Then
-    all texts outside the largest component meet each other and that component, in blocks. Pairs of one component need no comparison.
+    all texts outside the largest component meet each other and that component, in blocks. Pairs of one component need no comparison, and
+    groups of one component take no part any more.
     """
 
-    def labelled(e: DataFrame) -> DataFrame:
-        labels = components(e, "wide")
-        x = wide.join(labels, F.col("rep") == F.col("node"), "left")
-        return cut(x.select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
-
     def met(batches):
         for batch in batches:
-            near = pa.array(pairs_agree(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+            near = pa.array(pairs_agree(batch.column(4).to_pylist(), batch.column(5).to_pylist()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in range(4)], names=["a", "b", "ca", "cb"])
 
-    round_ = 0
+    labels = components(edges, "wide")
+    x = wide.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    parts, round_, x = [edges], 0, cut(x, "labelled")
     while True:
-        x = labelled(edges)
-        sizes = cut(x.groupBy("key", "component").agg(F.count("*").alias("n")), "sizes")
+        sizes = cut(x.groupBy("key", "component").agg(F.count("*").alias("n"), F.max_by("rep", F.xxhash64("rep", F.lit(round_))).alias("b")), "sizes")
         most = F.max(F.struct("n", "component"))
         groups = cut(sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("k"), most.alias("top")).where("k > 1"), "several")
         n_groups = groups.count()
         if not n_groups:
-            return edges
+            break
+        groups = sized(groups, n_groups)
+        x = x.join(groups.select("key"), "key")
         is_hub = (F.col("n") * HUBS >= F.col("total")) | (F.col("component") == F.col("top.component"))
-        hubs = cut(sizes.join(sized(groups, n_groups), "key").where(is_hub).select("key", "component"), "hubs")
+        hubs = cut(sizes.join(groups, "key").where(is_hub).select("key", F.col("component").alias("cb"), "b"), "hubs")
         n_hubs = hubs.count()
-        of_component = x.join(hubs.select("component").distinct(), "component", "left_semi").groupBy("component")
-        chosen = of_component.agg(F.max_by("rep", F.xxhash64("rep", F.lit(round_))).alias("b"))
-        chosen = cut(hubs.join(chosen, "component").select("key", "b"), "chosen")
-        left = x.join(sized(groups.select("key"), n_groups), "key", "left_semi").join(sized(hubs, n_hubs), ["key", "component"], "left_anti")
-        pairs = cut(left.join(sized(chosen, n_hubs), "key").select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-        n_left = pairs.select("a").distinct().count()
-        if not n_left:
-            break
-        of = values.select(F.col("rep").alias("a"), F.col("value").alias("va"))
-        near = values.join(chosen.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
+        left = x.join(sized(hubs.select("key", F.col("cb").alias("component")), n_hubs), ["key", "component"], "left_anti")
+        pairs = left.join(sized(hubs, n_hubs), "key").select(F.col("rep").alias("a"), "b", F.col("component").alias("ca"), "cb")
+        near = values.join(hubs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")
         near = cut(near.select(F.col("rep").alias("b"), F.col("value").alias("vb")), "met-values")
-        new = pairs.join(of, "a").join(sized_bytes(near), "b").select("a", "b", "va", "vb").mapInArrow(met, "a bigint, b bigint")
-        new = cut(new, "met")
-        edges, round_ = edges.unionByName(new), round_ + 1
-        if 4 * new.select("a").distinct().count() < n_left:
-            x = labelled(edges)
+        pairs = pairs.distinct().join(values.select(F.col("rep").alias("a"), F.col("value").alias("va")), "a").join(sized_bytes(near), "b")
+        new = cut(pairs.select("a", "b", "ca", "cb", "va", "vb").mapInArrow(met, "a bigint, b bigint, ca bigint, cb bigint"), "met")
+        n_left, n_new = left.select("rep").distinct().count(), new.select("a").distinct().count()
+        parts.append(new.select("a", "b"))
+        if n_new:
+            merged = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "merged")
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+            x = x.join(merged, "component", "left").select("key", "rep", F.coalesce("into", "component").alias("component"))
+        x, round_ = cut(x, "labelled"), round_ + 1
+        if 4 * n_new < n_left or not n_left:
+            parts.append(_across(x, values, matrix))
             break
-    return edges.unionByName(_across(x, values, matrix))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _across(x: DataFrame, values: DataFrame, matrix) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from logloom.llm import graph
 from logloom.llm.graph import components
 
 
@@ -32,7 +33,9 @@ GRAPHS = [
 ]
 
 
+@pytest.mark.parametrize("few", [0, 20, 1 << 16])
 @pytest.mark.parametrize("k", range(len(GRAPHS)))
-def test_components(spark, k):
+def test_components(spark, k, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
     df = spark.createDataFrame(GRAPHS[k], "a long, b long")
     assert {r.node: r.component for r in components(df, "t").collect()} == expected(GRAPHS[k])
