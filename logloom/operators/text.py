@@ -30,30 +30,33 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines).alias("ix", "sentence"))
 
 
-def sentence_terms(sents: DataFrame) -> DataFrame:
-    """(doc_id, ix, term, tf): content words of each sentence."""
+def sentence_terms(sents: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, ix, …keep, term, tf): content words of each sentence; keep names columns that are the same in a whole document."""
     plain = F.regexp_replace(F.lower("sentence"), "['‘’]", "")
     words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))
     ok = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS) & ~w.rlike(r"^\p{N}+$"))
-    return sents.select("doc_id", "ix", F.explode(ok).alias("term")).groupBy("doc_id", "ix", "term").agg(F.count("*").alias("tf"))
+    key = ["doc_id", "ix", *keep, "term"]
+    return sents.select("doc_id", "ix", *keep, F.explode(ok).alias("term")).groupBy(*key).agg(F.count("*").alias("tf"))
+
+
+def _by_document(sents: DataFrame) -> DataFrame:
+    """Terms of sentences with n, the sentences of their document. Documents are dealt once; every later grouping and window is within one."""
+    whole = sents.repartition("doc_id").withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    return sentence_terms(whole, "n")
 
 
 def tf_idf(sents: DataFrame) -> DataFrame:
     """(doc_id, ix, term, weight): L2-normal vectors; the corpus of each sentence is its own document."""
-    tf = sentence_terms(sents)
-    n = sents.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    x = tf.join(df, ["doc_id", "term"]).join(n, "doc_id").withColumn("w", F.col("tf") * idf)
+    df = F.count("*").over(Window.partitionBy("doc_id", "term"))
+    x = _by_document(sents).withColumn("df", df)
+    x = x.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "ix")))
     return x.select("doc_id", "ix", "term", (F.col("w") / norm).alias("weight"))
 
 
 def keywords(sents: DataFrame, k: int = 6) -> DataFrame:
     """The k best terms of each document: total count x idf, ties by term."""
-    tf = sentence_terms(sents)
-    n = sents.groupBy("doc_id").agg(F.count("*").alias("n"))
-    per = tf.groupBy("doc_id", "term").agg(F.sum("tf").alias("count"), F.count("*").alias("df")).join(n, "doc_id")
+    per = _by_document(sents).groupBy("doc_id", "n", "term").agg(F.sum("tf").alias("count"), F.count("*").alias("df"))
     score = F.col("count") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     return per.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
@@ -97,6 +100,43 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon
     )
 
 
+def rank_sentences(sents: DataFrame, vectors: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int = 120) -> DataFrame:
+    """As page_rank() over similarity_edges(), without the edges: (doc_id, ix, rank).
+
+    A step from all sentences goes through their terms: what a sentence gives is added up by term, and each sentence takes from its terms, less
+    what it gave itself. So a round costs, and a document's task holds, as much as its text, and pairs of sentences are never made.
+    """
+
+    def rank(n: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        ix = np.sort(n["ix"].to_numpy())
+        size = len(ix)
+        if not size:
+            return pd.DataFrame({"doc_id": [], "ix": [], "rank": []})
+        row, w = np.searchsorted(ix, v["ix"].to_numpy()), v["weight"].to_numpy(dtype=float)
+        term, kinds = pd.factorize(v["term"])
+        shared = np.bincount(term, minlength=len(kinds))[term] > 1
+        row, w, term = row[shared], w[shared], term[shared]  # a term of one sentence joins nothing
+        own = np.bincount(row, weights=w * w, minlength=size)
+        total = np.bincount(term, weights=w, minlength=len(kinds))
+        out = np.bincount(row, weights=w * total[term], minlength=size) - own
+        linked = np.bincount(row, minlength=size) > 0
+        out = np.where(linked, out, np.inf)
+        r = np.full(size, 1.0 / size)
+        for _ in range(rounds):
+            give = r / out
+            by_term = np.bincount(term, weights=w * give[row], minlength=len(kinds))
+            new = (1 - damping) / size + damping * (np.bincount(row, weights=w * by_term[term], minlength=size) - own * give)
+            change, r = np.abs(new - r).max(), new
+            if change < epsilon:
+                break
+        return pd.DataFrame({"doc_id": n["doc_id"].iloc[0], "ix": ix, "rank": r})
+
+    kind = sents.schema["doc_id"].dataType.simpleString()
+    return sents.select("doc_id", "ix").groupBy("doc_id").cogroup(vectors.groupBy("doc_id")).applyInPandas(
+        rank, f"doc_id {kind}, ix int, rank double"
+    )
+
+
 def top_sentences(ranks: DataFrame, k: int = 3) -> DataFrame:
     """The k best sentences of each document, back in reading order."""
     best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("rank", 9)), "ix")
@@ -120,8 +160,7 @@ def readability(sents: DataFrame) -> DataFrame:
 
 def digest(sents: DataFrame, summaries: DataFrame | None = None, k: int = 3, n_keywords: int = 6) -> DataFrame:
     """Per document: its own summary if it has one, else its k best sentences (its whole body if it has no more), keywords, grade, and where the lines come from."""
-    vectors = cut(tf_idf(sents), "vectors")
-    ranks = page_rank(sents.select("doc_id", "ix"), similarity_edges(vectors))
+    ranks = rank_sentences(sents, tf_idf(sents))
     best = top_sentences(ranks, k).join(sents, ["doc_id", "ix"])
     lines = best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "sentence"))), lambda x: x["sentence"]), "\n").alias("ranked"))
     n = sents.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -145,37 +184,89 @@ def postings(docs: DataFrame, **fields: str) -> DataFrame:
     return x.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
 
 
-def search(index: DataFrame, n_docs: int, query: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def doc_lengths(index: DataFrame) -> DataFrame:
+    """(doc_id, len): the words of each document; made once for an index."""
+    return index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+
+
+def _heads(c) -> "F.Column":
+    """The first one and the first two characters, by which prefixes and terms meet."""
+    return F.array_distinct(F.array(F.substring(c, 1, 1), F.substring(c, 1, 2)))
+
+
+def search(
+    index: DataFrame, n_docs: int, query: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None
+) -> DataFrame:
     """(query_id, doc_id, score): every prefix term of query(query_id, query) must match; bm25 with field weights (no stemming), best first.
 
-    Query terms meet index terms by their first two characters, then by the exact prefix; query tables are small and are broadcast.
+    Query terms meet the index's terms by their first characters, then by the exact prefix, in one pass over the vocabulary; what they match meets
+    the postings by term. Tables of queries may be of any size.
     """
     q = query.select("query_id", F.explode(F.array_distinct(X.query_terms(F.col("query")))).alias("q"))
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("field")), F.lit(1.0))
-    head = lambda c: F.substring(c, 1, 2)
-    wide = q.withColumn("h", head("q"))
-    hits = index.withColumn("h", head("term")).join(F.broadcast(wide.where(F.length("q") >= 2)), "h").where(F.col("term").startswith(F.col("q")))
-    one = index.withColumn("h", F.substring("term", 1, 1)).join(F.broadcast(wide.where(F.length("q") == 1)), "h")
-    hits = hits.unionByName(one).groupBy("query_id", "q", "doc_id").agg(F.sum(F.col("tf") * w).alias("tf"))
-    length = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    words = index.select("term").distinct().select("term", F.explode(_heads("term")).alias("h"))
+    prefixes = q.select("q").distinct().withColumn("h", F.substring("q", 1, 2))
+    matched = words.join(prefixes, "h").where(F.col("term").startswith(F.col("q"))).select("term", "q")
+    matched = matched.join(q, "q")
+    hits = index.join(matched, "term").groupBy("query_id", "q", "doc_id").agg(F.sum(F.col("tf") * w).alias("tf"))
+    length = doc_lengths(index) if lengths is None else lengths
     df = hits.groupBy("query_id", "q").agg(F.count("*").alias("df"))
-    mean = length.agg(F.avg("len").alias("mean")).withColumn("__one", F.lit(1))
-    x = hits.join(F.broadcast(df), ["query_id", "q"]).join(length, "doc_id").withColumn("__one", F.lit(1)).join(F.broadcast(mean), "__one")
+    mean = length.agg(F.avg("len").alias("mean")).withColumn("__one", F.lit(1))  # one row
+    x = hits.join(df, ["query_id", "q"]).join(length, "doc_id").withColumn("__one", F.lit(1)).join(F.broadcast(mean), "__one")
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     x = x.withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("got"))
-    return x.join(F.broadcast(need), "query_id").where("got = need").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return x.join(need, "query_id").where("got = need").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def excerpts(hits: DataFrame, query: DataFrame, docs: DataFrame, text: str = "text", tokens: int = 14) -> DataFrame:
+    """hits(query_id, doc_id, ...) with `excerpt`: about `tokens` words around the first word that starts with a term of the query, null if none does."""
+    q = query.select("query_id", X.query_terms(F.col("query")).alias("__q"))
+    x = hits.join(q, "query_id", "left").join(docs.select("doc_id", F.split(text, r"\s+").alias("__w")), "doc_id", "left")
+    bare = F.transform("__w", lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}_]+", ""))
+    at = F.array_position(F.transform(bare, lambda w: F.exists("__q", lambda t: w.startswith(t))), True).cast("int")
+    start = F.greatest(F.lit(1), at - tokens // 2)
+    cut_ = F.when(at > 0, F.array_join(F.slice("__w", start, tokens), " "))
+    return x.withColumn("excerpt", cut_).drop("__q", "__w")
+
+
+def _grams(size: int) -> "F.Column":
+    """All substrings of a term of one length, with their places."""
+    last = F.greatest(F.lit(1), F.length("term") - size + 1)
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.substring(F.col("term"), i, F.lit(size)).alias("piece"), (i - 1).alias("place")))
 
 
 def fuzzy_terms(vocabulary: DataFrame, query: DataFrame, ratio: float = 0.2) -> DataFrame:
-    """(query_id, q, term, distance): index terms that start with a query term or lie within ratio x its length of edits. Lengths bound the comparisons."""
+    """(query_id, q, term, distance): index terms that start with a query term or lie within ratio x its length of edits.
+
+    Prefixes meet by first characters. Near spellings meet by pieces: of k + 1 pieces of the query term at least one is left whole by k edits, and
+    stands in the other word at most k places off; the distance is computed for such pairs only.
+    """
     q = query.select("query_id", F.explode(F.array_distinct(X.query_terms(F.col("query")))).alias("q"))
-    most = F.floor(F.length("q") * ratio).cast("int")
-    x = vocabulary.select("term").distinct().join(F.broadcast(q.withColumn("most", most)), F.abs(F.length("term") - F.length("q")) <= F.greatest("most", F.length("term") - F.length("q")))
-    far = F.expr("levenshtein(term, q)")
-    x = x.withColumn("distance", F.when(F.col("term").startswith(F.col("q")), F.lit(0)).otherwise(far))
-    return x.where((F.col("distance") == 0) | (F.col("distance") <= F.col("most"))).select("query_id", "q", "term", "distance")
+    terms, one = vocabulary.select("term").distinct(), q.select("q").distinct()
+    heads = terms.select("term", F.explode(_heads("term")).alias("h"))
+    starts = heads.join(one.withColumn("h", F.substring("q", 1, 2)), "h").where(F.col("term").startswith(F.col("q")))
+    starts = starts.select("q", "term", F.lit(0).alias("distance"))
+    near = one.withColumn("most", F.floor(F.length("q") * F.lit(ratio)).cast("int")).where("most > 0")
+    n, pieces = F.length("q"), F.col("most") + 1
+    bound = lambda i: F.floor(i * n / pieces).cast("int")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.col("most")),
+        lambda i: F.struct(bound(i).alias("at"), F.substring(F.col("q"), bound(i) + 1, bound(i + 1) - bound(i)).alias("piece")),
+    )
+    near = near.select("q", "most", F.inline(parts)).where("piece <> ''")
+    sizes = near.select(F.length("piece").alias("size")).distinct()  # a handful: lengths of pieces
+    widths = [r.size for r in sizes.collect()]
+    if not widths:
+        found = starts
+    else:
+        grams = F.flatten(F.array(*map(_grams, widths)))
+        met = terms.select("term", F.inline(grams)).join(near, "piece").where(F.abs(F.col("place") - F.col("at")) <= F.col("most"))
+        met = met.where(F.abs(F.length("term") - F.length("q")) <= F.col("most")).select("q", "term", "most").distinct()
+        met = met.withColumn("distance", F.expr("levenshtein(term, q)")).where("distance <= most").select("q", "term", "distance")
+        found = starts.unionByName(met).groupBy("q", "term").agg(F.min("distance").alias("distance"))
+    return q.join(found, "q").select("query_id", "q", "term", "distance")
 
 
 def fuzzy_search(index: DataFrame, query: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -183,17 +274,9 @@ def fuzzy_search(index: DataFrame, query: DataFrame, weights: dict[str, float])
     terms = fuzzy_terms(index, query)
     need = query.select("query_id", F.size(F.array_distinct(X.query_terms(F.col("query")))).alias("need"))
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("field")), F.lit(1.0))
-    x = index.join(F.broadcast(terms), "term").withColumn("s", w * F.col("tf") / (1 + F.col("distance")))
+    x = index.join(terms, "term").withColumn("s", w * F.col("tf") / (1 + F.col("distance")))
     x = x.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.countDistinct("q").alias("got"))
-    return x.join(F.broadcast(need), "query_id").where("got = need").select("query_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-def snippet(text: str, term: str, tokens: int = 14) -> "F.Column":
-    """About `tokens` words around the first word that starts with the term."""
-    words = F.split(F.col(text), r"\s+")
-    at = F.array_position(F.transform(words, lambda x: F.lower(x).startswith(term.lower())), True)
-    start = F.greatest(F.lit(1), at.cast("int") - tokens // 2)
-    return F.array_join(F.slice(words, start, tokens), " ")
+    return x.join(need, "query_id").where("got = need").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

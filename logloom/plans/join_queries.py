@@ -49,18 +49,18 @@ def matched_flag(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_custkey % 9 = 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
+    """WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
 SELECT coalesce(c.k, s.k) AS nation, customers, suppliers, c.k IS NOT NULL AS in_left, s.k IS NOT NULL AS in_right FROM c FULL JOIN s ON c.k = s.k"""
 )
 def both_sides_kept(spark, d):
-    c = t(spark, d, "customer").where("c_custkey % 9 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    c = t(spark, d, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
     s = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     return pairing.both_sides(c, s, "nation")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 7 = 0)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')""")
 def never_dispatched(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    o = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
@@ -174,28 +174,31 @@ def scan_evidence(spark, d):
 
 @query(
     """WITH c AS (SELECT p_partkey, p_name, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, split_part(p_name, ' ', 1) AS bare FROM part),
-k AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM part WHERE p_partkey % 20 < 3)
+k AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM part)
 SELECT p_partkey, coalesce(a.k, b.k) AS declared_key, CASE WHEN a.k IS NOT NULL THEN 'key' WHEN b.k IS NOT NULL THEN 'bare_key' END AS matched_by FROM c LEFT JOIN k a ON c.key = a.k LEFT JOIN k b ON lower(c.bare) = b.k"""
 )
 def canonical_key_join(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_name")
     head = F.substring_index("p_name", " ", 1)
     used = p.select("p_partkey", X.canonical_key(F.col("p_name")).alias("key"), X.canonical_key(head).alias("bare_key"))
-    dec = p.where("p_partkey % 20 < 3").select(X.canonical_key(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(head)).alias("key"))
+    dec = p.select(X.canonical_key(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(head)).alias("key"))
     return pairing.fallback_join(used, dec).select("p_partkey", "declared_key", "matched_by")
 
 
 @query(
-    """WITH l AS (SELECT p_partkey, p_name, p_brand, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_partkey % 97 = 1),
-r0 AS (SELECT p_name, p_brand, p_size FROM part WHERE p_partkey % 89 = 1), r AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM r0),
-e AS (SELECT p_name, min(p_size) AS v FROM r0 GROUP BY 1)
-SELECT l.p_partkey, coalesce(e.v, CASE WHEN l.n = 1 THEN r.p_size END) AS value FROM l LEFT JOIN e ON l.p_name = e.p_name LEFT JOIN r ON l.p_brand = r.p_brand AND r.n = 1 AND l.n = 1"""
+    """WITH l AS (SELECT p_partkey, p_name || '#' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || '-' || p_partkey END AS bare FROM part),
+ln AS (SELECT *, count(*) OVER (PARTITION BY bare) AS n FROM l),
+r0 AS (SELECT CASE WHEN p_size % 3 = 0 THEN p_name || '#' || p_partkey ELSE p_type || '#' || p_partkey END AS name, CASE WHEN p_size % 5 = 0 THEN p_brand ELSE p_brand || '-' || p_partkey END AS bare, p_size FROM part),
+r AS (SELECT *, count(*) OVER (PARTITION BY bare) AS n FROM r0)
+SELECT ln.p_partkey, coalesce(e.p_size, CASE WHEN ln.n = 1 THEN r.p_size END) AS value FROM ln LEFT JOIN r0 e ON ln.name = e.name LEFT JOIN r ON ln.bare = r.bare AND r.n = 1 AND ln.n = 1"""
 )
 def unique_bare_name_join(spark, d):
-    p = t(spark, d, "part")
-    left = p.where("p_partkey % 97 = 1").select("p_partkey", "p_name", "p_brand")
-    right = p.where("p_partkey % 89 = 1").groupBy("p_name", "p_brand").agg(F.min("p_size").alias("value"))
-    return pairing.unique_fallback_join(left, right, "p_name", "p_brand").select("p_partkey", "value")
+    """Parts under two spellings: full names that agree for a third, bare names of which some are shared by many."""
+    p, key = t(spark, d, "part"), F.col("p_partkey").cast("string")
+    bare = lambda k: F.when(F.col("p_size") % k == 0, F.col("p_brand")).otherwise(F.concat_ws("-", "p_brand", key)).alias("bare")
+    left = p.select("p_partkey", F.concat_ws("#", "p_name", key).alias("name"), bare(2))
+    right = p.select(F.concat_ws("#", F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.col("p_type")), key).alias("name"), bare(5), F.col("p_size").alias("value"))
+    return pairing.unique_fallback_join(left, right, "name", "bare").select("p_partkey", "value")
 
 
 @query(
@@ -231,13 +234,13 @@ def settings_overlay(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1)
+    """WITH a AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS part, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, CASE WHEN b.k IS NULL THEN 'only-a' WHEN a.k IS NULL THEN 'only-b' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k"""
 )
 def run_set_comparison(spark, d):
-    li = t(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("part"))
+    li = t(spark, d, "lineitem").select("l_returnflag", F.col("l_partkey").alias("part"))
     n = lambda c: li.where(c).groupBy("part").agg(F.count("*").alias("n"))
-    return graph.set_comparison(n("l_suppkey % 2 = 0"), n("l_suppkey % 3 = 0"), "part", "n")
+    return graph.set_comparison(n("l_returnflag = 'A'"), n("l_returnflag <> 'A'"), "part", "n")
 
 
 @query("""SELECT s_suppkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'nation-' || s_nationkey) AS plugin FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
@@ -307,14 +310,14 @@ def allow_listed(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT l_partkey AS k, max(l_shipdate) AS z, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS m FROM lineitem WHERE l_orderkey % 6 = 0 GROUP BY 1),
+    """WITH a AS (SELECT l_partkey AS k, max(l_shipdate) AS z, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS m FROM lineitem GROUP BY 1),
 n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2023-12-01' END AS u, z, m FROM part LEFT JOIN a ON p_partkey = k),
 g AS (SELECT p_partkey, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(CASE WHEN u IS NULL THEN z WHEN z IS NULL THEN u ELSE greatest(u, z) END)) / 86400000000) AS age, m,
  datediff('day', last_day(z), DATE '2024-02-01') AS quiet FROM n)
 SELECT p_partkey AS name, CAST(age AS BIGINT) AS age_days, CASE WHEN age IS NULL THEN 'no-evidence' WHEN m = 1 AND quiet > 90 AND age <= 120 THEN 'bursty' WHEN age > 120 THEN 'stale' ELSE 'keep' END AS verdict FROM g"""
 )
 def deletion_shortlist(spark, d):
-    li = t(spark, d, "lineitem").where("l_orderkey % 6 = 0")
+    li = t(spark, d, "lineitem")
     a = li.groupBy(F.col("l_partkey").alias("name")).agg(
         F.max("l_shipdate").cast("timestamp").alias("last_ts"), F.countDistinct(X.month_of(F.col("l_shipdate"))).alias("active_months"), F.max(X.month_of(F.col("l_shipdate"))).alias("busiest_month")
     )
@@ -417,7 +420,7 @@ def sentence_table(spark, d):
 @query()
 def sentence_ranks(spark, d):
     s = _sentences(spark, d)
-    return text.page_rank(s.select("doc_id", "ix"), text.similarity_edges(cut(text.tf_idf(s), "vectors")))
+    return text.rank_sentences(s, text.tf_idf(s))
 
 
 @query()
@@ -438,8 +441,10 @@ def _index(spark, d):
     return text.postings(t(spark, d, "documents").select("doc_id", "text", "source"), title="source", body="text")
 
 
-def _queries(spark):
-    return spark.createDataFrame([(1, "there and-"), (2, "src1"), (3, "the une"), (4, "!!!")], "query_id int, query string")
+def _queries(spark, d):
+    """Every fiftieth document asks with its source and the first two words of its text."""
+    x = t(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "source", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
+    return x.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "source", F.array_join(F.slice("w", 1, 2), " ")).alias("query"))
 
 
 @query(_POSTINGS + "SELECT term, doc_id, field, tf FROM ix")
@@ -447,35 +452,50 @@ def search_index(spark, d):
     return _index(spark, d)
 
 
-@query(
-    _POSTINGS
-    + """, q(query_id, q) AS (VALUES (1, 'there'), (1, 'and'), (2, 'src1'), (3, 'the'), (3, 'une')), nd AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
+_ASKED = """, q AS (SELECT DISTINCT query_id, unnest(list_filter(list_concat(regexp_split_to_array(lower(source), '[^\\pL\\pN_-]+'), list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda x: x <> '')[1:2]), lambda x: x <> '')) AS q
+ FROM (SELECT doc_id AS query_id, coalesce(source, '') AS source, text FROM documents WHERE doc_id % 50 = 0)), nd AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
 h AS (SELECT query_id, q, doc_id, sum(tf * CASE field WHEN 'title' THEN 4.0 ELSE 1.0 END) AS tf FROM ix JOIN q ON starts_with(term, q) GROUP BY 1, 2, 3),
 ln AS (SELECT doc_id, sum(tf) AS len FROM ix GROUP BY 1), df AS (SELECT query_id, q, count(*) AS df FROM h GROUP BY 1, 2),
 p AS (SELECT h.query_id, h.doc_id, greatest(1e-6, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (SELECT avg(len) FROM ln))) AS part
  FROM h JOIN df ON h.query_id = df.query_id AND h.q = df.q JOIN ln ON ln.doc_id = h.doc_id)
 SELECT p.query_id, doc_id, round(sum(part), 6) AS score FROM p JOIN nd ON nd.query_id = p.query_id GROUP BY 1, 2 HAVING count(*) = any_value(need)"""
-)
+
+
+@query(_POSTINGS + _ASKED)
 def full_text_search(spark, d):
     ix = cut(_index(spark, d), "index")
     n = t(spark, d, "documents").count()
-    return text.search(ix, n, _queries(spark), {"title": 4.0, "body": 1.0})
+    return text.search(ix, n, _queries(spark, d), {"title": 4.0, "body": 1.0})
 
 
 @query(
     """WITH w AS (SELECT p_partkey AS doc_id, 'title' AS field, unnest(regexp_split_to_array(lower(p_name), '[^\\pL\\pN_]+')) AS term FROM part UNION ALL SELECT p_partkey, 'description', unnest(regexp_split_to_array(lower(p_type), '[^\\pL\\pN_]+')) FROM part),
-ix AS (SELECT term, doc_id, field, count(*) AS tf FROM w WHERE term <> '' GROUP BY 1, 2, 3), q(query_id, q) AS (VALUES (1, 'anodised'), (1, 'stel'), (2, 'econ')),
+ix AS (SELECT term, doc_id, field, count(*) AS tf FROM w WHERE term <> '' GROUP BY 1, 2, 3),
+q AS (SELECT p_partkey AS query_id, unnest([lower(substr(p_type, 1, 2)) || 'x' || lower(substr(p_type, 4)), lower(split_part(substr(p_name, 1, 4), ' ', 1))]) AS q FROM part WHERE p_partkey % 50 = 0),
 m AS (SELECT query_id, q, term, CASE WHEN starts_with(term, q) THEN 0 ELSE levenshtein(term, q) END AS dist FROM q, (SELECT DISTINCT term FROM ix) WHERE starts_with(term, q) OR levenshtein(term, q) <= floor(length(q) * 0.2)),
 x AS (SELECT query_id, doc_id, sum(CASE field WHEN 'title' THEN 3.0 ELSE 2.0 END * tf / (1 + dist)) AS score, count(DISTINCT q) AS got FROM ix JOIN m ON ix.term = m.term GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 6) AS score FROM x WHERE got = CASE query_id WHEN 1 THEN 2 ELSE 1 END"""
+SELECT query_id, doc_id, round(score, 6) AS score FROM x WHERE got = 2"""
 )
 def fuzzy_search(spark, d):
+    """Every fiftieth part asks with its type, misspelt in the third letter, and the start of its name."""
     p = t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
     ix = cut(text.postings(p, title="p_name", description="p_type"), "index")
-    q = spark.createDataFrame([(1, "anodised stel"), (2, "econ")], "query_id int, query string")
+    misspelt = F.concat(F.substring("p_type", 1, 2), F.lit("x"), F.expr("substring(p_type, 4)"))
+    q = p.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", misspelt, F.split(F.substring("p_name", 1, 4), " ")[0]).alias("query"))
     return text.fuzzy_search(ix, q, {"title": 3.0, "description": 2.0})
 
 
+@query("""SELECT doc_id, source AS query, CASE WHEN strlen(coalesce(text, '')) > 0 THEN 'found' ELSE 'empty' END AS state FROM documents WHERE doc_id % 50 = 0""")
+def search_excerpts(spark, d):
+    """An excerpt around the first word of each asking document's own text, when it is asked for with that word."""
+    x = t(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    first = F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
+    q = x.select(F.col("doc_id").alias("query_id"), first.alias("query"))
+    found = text.excerpts(x.select(F.col("doc_id").alias("query_id"), "doc_id", F.col("source").alias("query0")), q, x)
+    state = F.when(F.col("excerpt").isNotNull(), "found").otherwise("empty")
+    return found.select("doc_id", F.col("query0").alias("query"), state.alias("state"))
+
+
 @query("""SELECT lang AS kind, count(*) AS documents, count(DISTINCT source) AS files FROM documents GROUP BY 1""")
 def index_stats(spark, d):
     return t(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("documents"), F.countDistinct("source").alias("files"))

@@ -21,9 +21,9 @@ def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
-def json_files(spark: SparkSession, root: str, key: str = "session_id") -> DataFrame:
+def json_files(spark: SparkSession, root: str, key: str = "session_id", pattern: str = "*.json") -> DataFrame:
     """JSON files with their key and `readable`: false for what is no object or has no key; those stay and can be counted."""
-    x = whole_files(spark, root, "*.json").withColumn("v", F.try_parse_json("text"))
+    x = whole_files(spark, root, pattern).withColumn("v", F.try_parse_json("text"))
     return x.select("path", "mtime", X.typed("v", f"$.{key}", "string").alias(key), "v").withColumn(
         "readable", F.col(key).isNotNull()
     )
@@ -35,9 +35,9 @@ def category_counts(rows: DataFrame, path: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(m).alias("category", "n"))
 
 
-def tasks(spark: SparkSession, root: str) -> DataFrame:
+def tasks(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """Task files: board is the folder's session id, or the 8 characters of a 'session-' folder."""
-    x = whole_files(spark, root, "*.json").withColumn("v", F.try_parse_json("text"))
+    x = whole_files(spark, root, pattern).withColumn("v", F.try_parse_json("text"))
     folder = F.element_at(F.split("path", "/"), -2)
     return x.select(
         F.regexp_replace(folder, "^session-", "").alias("board"), X.typed("v", "$.id", "string").alias("task_id"),
@@ -46,9 +46,9 @@ def tasks(spark: SparkSession, root: str) -> DataFrame:
     ).where("task_id is not null")
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
+def notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Markdown notes with front matter: name, description, type, body, links, time and slug from the file name."""
-    x = whole_files(spark, root, "*.md").withColumn("file", F.substring_index("path", "/", -1))
+    x = whole_files(spark, root, pattern).withColumn("file", F.substring_index("path", "/", -1))
     return x.select(
         "path", "mtime", "file", F.coalesce(X.front_matter(F.col("text"), "name"), F.regexp_replace("file", r"\.md$", "")).alias("name"),
         X.front_matter(F.col("text"), "description").alias("description"), X.front_matter(F.col("text"), "type").alias("type"),

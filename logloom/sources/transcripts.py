@@ -74,19 +74,28 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def session_files(spark: SparkSession, root: str) -> DataFrame:
+def session_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """Mainline files: exactly <project>/<session>.jsonl, newest first by (mtime, path)."""
-    x = files(spark, root, "*.jsonl").withColumns(_place(F.col("path")))
+    x = files(spark, root, pattern).withColumns(_place(F.col("path")))
     return x.where("depth = 2").orderBy(F.desc("mtime"), "path")
 
 
-def delegated_files(spark: SparkSession, root: str, most_depth: int = 6) -> DataFrame:
+def delegated_files(spark: SparkSession, root: str, most_depth: int = 6, pattern: str = "*.jsonl") -> DataFrame:
     """Nested files with `skip`: null if owned by a session folder within the depth, else the reason."""
-    x = files(spark, root, "*.jsonl").withColumns(_place(F.col("path"))).where("depth > 2")
+    x = files(spark, root, pattern).withColumns(_place(F.col("path"))).where("depth > 2")
     skip = F.when(F.col("owner_session_id").isNull(), "no-owner").when(F.col("depth") - 2 > most_depth, "too-deep")
     return x.withColumn("skip", skip)
 
 
+def version_files(listing: DataFrame) -> DataFrame:
+    """listing(path, ...) of version files <hash>@v<number> with hash and version; `skip` is the reason why a name is neither."""
+    name = F.substring_index("path", "/", -1)
+    hash_, number = F.regexp_extract(name, "^([0-9a-f]{16})(?:@v[0-9]+)?$", 1), F.regexp_extract(name, "@v([0-9]+)$", 1)
+    skip = F.when(number == "", "no-version").when(hash_ == "", "no-hash")
+    x = listing.withColumn("skip", skip)
+    return x.withColumns({"hash": F.when(F.col("skip").isNull(), hash_), "version": F.when(F.col("skip").isNull(), number).cast("long")})
+
+
 def newest_files(listing: DataFrame, n: int) -> list[str]:
     """The paths of the newest n files, to be read alone: n is a parameter, so this list is bounded."""
     return [r.path for r in listing.orderBy(F.desc("mtime"), "path").limit(n).select("path").collect()]
