@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
-from logloom.shared import cut
+from logloom.shared import running
 
 #: Line order: file, split, then position inside the split (see sources.transcripts).
 ORDER = ("file_path", "split_start", "line_seq")
@@ -161,12 +161,8 @@ def page(rows: DataFrame, *order, limit: int = 30, offset: int = 0, most: int =
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with their position in a total order: ranges are sorted side by side, and each range starts where those before it end."""
-    x = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "numbered")
-    sizes = x.groupBy("__p").agg(F.count("*").alias("n"))  # one row for each range
-    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return x.join(F.broadcast(before), "__p").withColumn("position", (place + F.col("__before")).cast("long")).drop("__p", "__before")
+    """rows with their position in a total order."""
+    return running(rows, list(order), "numbered").withColumnRenamed("__position", "position")
 
 
 def totals(per_session: DataFrame, n: int) -> DataFrame:

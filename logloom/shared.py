@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to be at most so many.
@@ -32,13 +32,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local one if all runs in one JVM (tests), else the warehouse."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir", None)
+    if not place and not context.master.startswith("local"):
+        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/logloom-scratch"
     if not place:
-        place = getattr(spark.sparkContext, "_logloom_scratch", None)
+        place = getattr(context, "_logloom_scratch", None)
         if not place:
             place = "file://" + tempfile.mkdtemp(prefix="logloom-ckpt-")
-            spark.sparkContext._logloom_scratch = place
+            context._logloom_scratch = place
     return place.rstrip("/")
 
 
@@ -82,3 +85,22 @@ def sized_bytes(table: DataFrame) -> DataFrame:
     """A table that cut() wrote with a broadcast hint if its files are small; for rows of any width."""
     size = table_bytes(table)
     return F.broadcast(table) if size is not None and size <= BROADCAST_BYTES else table
+
+
+def running(rows: DataFrame, order: list, name: str, **sums: str) -> DataFrame:
+    """rows with `__position` (from 1) in a total order, and for each of sums (new column = column) the sum over all rows before.
+
+    Ranges of the order are sorted side by side, and each starts where those before it end: one row per range is all that meets in one task.
+    """
+    part = F.spark_partition_id().alias("__range")
+    x = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part), name)
+    own = x.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in sums.values()])
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    own = own.select("__range", zero("__n").alias("__a_n"), *[zero(f"__s_{c}").alias(f"__a_{c}") for c in sums.values()])
+    inside = Window.partitionBy("__range").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(own), "__range")
+    new = {"__position": (F.row_number().over(inside) + F.col("__a_n")).cast("long")}
+    new |= {k: F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__a_{c}") for k, c in sums.items()}
+    return x.withColumns(new).drop("__range", "__a_n", *[f"__a_{c}" for c in sums.values()])
