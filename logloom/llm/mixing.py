@@ -12,16 +12,15 @@ differ from its target by at most half of one document's size (that document is
 Defined results: a null text has size 0 and is taken as 0 words; a null source is a source of its own,
 ordered last; rows that share source and doc_id (nulls included) are one unit and get the same copies; an empty
 table gives an empty result; clashing column names are replaced. All randomness is a hash of ids, so reruns agree.
-One row per source is ordered in one task: the number of sources is taken to be a small part of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.columns import text_or_empty, word_count
-from logloom.shared import cut, sized
+from logloom.shared import cut, running, sized
 
 #: Documents of a leaf block, and residuals of a block of any later level.
 FAN = 128
@@ -37,28 +36,20 @@ _STATE = f"struct<c:{_UNIT},out:array<struct<doc_id:bigint,taken:int>>>"
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """sources(source, source_size, ...) with target: water filling over the sources' caps.
 
-    In order of cap / weight the capped sources come first, so running sums find the level at once.
+    In order of cap / weight the capped sources come first, so running sums find the level at once. Sources may be as many as rows: both orders
+    are sorted in ranges.
     """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy("__ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = (
-        sources.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-        .withColumn("__w", w)
-        .withColumn("__cap", F.lit(float(most)) * F.col("source_size"))
-        .withColumn("__ratio", F.col("__cap") / F.col("__w"))
-        .withColumn("__total", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("__left", F.col("__total") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
-        .withColumn("__free_w", F.sum("__w").over(after))
-        .withColumn("__capped", F.col("__left") / F.col("__free_w") >= F.col("__ratio"))
-        .withColumn("__level", F.max(F.when(~F.col("__capped"), F.col("__left") / F.col("__free_w"))).over(everything))
-    )
-    target = F.when(F.col("__capped") | F.col("__level").isNull(), F.col("__cap")).otherwise(
-        F.least(F.col("__level") * F.col("__w"), F.col("__cap"))
-    )
-    return x.withColumn("target", target).select(*sources.columns, "target")
+    total, _ = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.lit(0)).first()
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("__position") - 1) % len(weights) + 1).cast("int"))
+    x = running(sources, [F.col("source").asc_nulls_last()], "mix-ranks").withColumn("__w", w).drop("__position")
+    x = x.withColumn("__cap", F.lit(float(most)) * F.col("source_size")).withColumn("__ratio", F.col("__cap") / F.col("__w"))
+    all_w = x.agg(F.coalesce(F.sum("__w"), F.lit(0.0))).first()[0]
+    x = running(x, [F.col("__ratio"), F.col("source").asc_nulls_last()], "mix-caps", __caps="__cap", __used="__w")
+    level = (F.lit(float(share) * total) - F.col("__caps")) / (F.lit(all_w) - F.col("__used"))
+    x = cut(x.withColumn("__level", level).withColumn("__capped", F.col("__level") >= F.col("__ratio")), "mix-levels")
+    found = x.where("not __capped").agg(F.max("__level")).first()[0]
+    free = F.least(F.lit(found) * F.col("__w"), F.col("__cap")) if found is not None else F.col("__cap")
+    return x.withColumn("target", F.when(F.col("__capped"), F.col("__cap")).otherwise(free)).select(*sources.columns, "target")
 
 
 def _fold(units: str, level: int) -> str:

@@ -31,7 +31,7 @@ GRAM = 24
 #: Longer texts are read in pieces that overlap by a window less one byte.
 PIECE = 4 << 20
 #: Bytes of text whose rows are made and settled together.
-PART = 6 << 20
+PART = 3 << 20
 #: Different fragments of one anchor up to which they are compared in one task; beyond, each of their windows goes its own way.
 CROWD = 20_000
 #: Bytes of fragments that one suffix array covers, whole anchors at a time.
