@@ -157,15 +157,20 @@ def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
     return out
 
 
+def _paired_runs(steps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, sa, sb): the signatures of both runs in order; null for a run without steps."""
+    seq = F.transform(F.array_sort(F.collect_list(F.struct("seq", "signature"))), lambda s: s["signature"])
+    runs = steps.groupBy("run").agg(seq.alias("s"))
+    x = pairs.join(runs.select(F.col("run").alias("a"), F.col("s").alias("sa")), "a", "left")
+    return x.join(runs.select(F.col("run").alias("b"), F.col("s").alias("sb")), "b", "left").select("a", "b", "sa", "sb")
+
+
 _DIFF = "steps_a int, steps_b int, aligned int, first_divergence int, similarity double, short_run boolean, truncated boolean"
 
 
 def run_diffs(steps: DataFrame, pairs: DataFrame, most: int | None = None, short: int = 12) -> DataFrame:
     """Per row of pairs(a, b): the alignment of two runs' steps(run, seq, signature); `most` limits the steps of a side (flagged)."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("seq", "signature"))), lambda s: s["signature"])
-    runs = steps.groupBy("run").agg(seq.alias("s"))
-    x = pairs.join(runs.select(F.col("run").alias("a"), F.col("s").alias("sa")), "a", "left")
-    x = x.join(runs.select(F.col("run").alias("b"), F.col("s").alias("sb")), "b", "left")
+    x = _paired_runs(steps, pairs)
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches):
@@ -183,7 +188,23 @@ def run_diffs(steps: DataFrame, pairs: DataFrame, most: int | None = None, short
             out = pd.DataFrame(rows, columns=["a", "b", *[c.split()[0] for c in _DIFF.split(", ")]])
             yield out.astype({"first_divergence": "Int32"})
 
-    return x.select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}, {_DIFF}")
+    return x.mapInPandas(run, f"a {kind}, b {kind}, {_DIFF}")
+
+
+def run_steps(steps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The aligned steps of each pair of runs in order: (a, b, position, side: both, a or b; index_a, index_b, signature); see lcs()."""
+    x, kind = _paired_runs(steps, pairs), pairs.schema["a"].dataType.simpleString()
+    names = ["a", "b", "position", "side", "index_a", "index_b", "signature"]
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                sa, sb = ([] if s is None else list(s) for s in (r.sa, r.sb))
+                rows = [(r.a, r.b, k, side, i, j, sa[i] if i >= 0 else sb[j]) for k, (side, i, j) in enumerate(lcs(sa, sb))]
+                out = pd.DataFrame(rows, columns=names)
+                yield out.assign(**{c: out[c].where(out[c] >= 0).astype("Int32") for c in ("index_a", "index_b")})
+
+    return x.mapInPandas(run, f"a {kind}, b {kind}, position int, side string, index_a int, index_b int, signature string")
 
 
 def version_diffs(versions: DataFrame, cells: int | None = None, context: int = 3, hunk_lines: int = 20_000) -> DataFrame:
@@ -191,9 +212,7 @@ def version_diffs(versions: DataFrame, cells: int | None = None, context: int =
 
     Where a limit of cells is given, pairs above it after their equal ends are cut off count as replaced whole, with unchanged null.
     """
-    w = Window.partitionBy("chain").orderBy("version")
-    x = versions.withColumn("next_version", F.lead("version").over(w)).withColumn("next_text", F.lead("text").over(w))
-    x = x.where("next_version is not null")
+    x = _consecutive(versions)
     kind = versions.schema["chain"].dataType.simpleString()
     schema = (
         f"chain {kind}, version int, next_version int, added int, removed int, unchanged int, hunks int, wholesale boolean, truncated boolean"
@@ -220,4 +239,40 @@ def version_diffs(versions: DataFrame, cells: int | None = None, context: int =
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             yield out.astype({"unchanged": "Int32"})
 
-    return x.select("chain", "version", "next_version", "text", "next_text").mapInPandas(run, schema)
+    return x.mapInPandas(run, schema)
+
+
+def _consecutive(versions: DataFrame) -> DataFrame:
+    """(chain, version, next_version, text, next_text). Only numbers are ordered within a chain; texts then meet by (chain, version)."""
+    w = Window.partitionBy("chain").orderBy("version")
+    order = versions.select("chain", "version", F.lead("version").over(w).alias("next_version")).where("next_version is not null")
+    x = order.join(versions.select("chain", "version", "text"), ["chain", "version"])
+    after = versions.select("chain", F.col("version").alias("next_version"), F.col("text").alias("next_text"))
+    return x.join(after, ["chain", "next_version"]).select("chain", "version", "next_version", "text", "next_text")
+
+
+def version_hunks(versions: DataFrame, context: int = 3) -> DataFrame:
+    """The lines of each change from a version to the next of its chain, with `context` equal lines around: (chain, version, next_version, hunk, position,
+    side: both, a (removed) or b (added); line_a, line_b from 1, text). Changes whose contexts touch are one hunk; all lines come, whatever their number."""
+    kind = versions.schema["chain"].dataType.simpleString()
+    names = ["chain", "version", "next_version", "hunk", "position", "side", "line_a", "line_b", "text"]
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b = (r.text or "").split("\n"), (r.next_text or "").split("\n")
+                steps, rows, hunk, shown = lcs(a, b), [], -1, -1
+                changed = [k for k, s in enumerate(steps) if s[0] != "both"]
+                for k in changed:
+                    begin = max(0, k - context)
+                    hunk += begin > shown or hunk < 0
+                    for p in range(max(begin, shown), min(len(steps), k + context + 1)):
+                        side, i, j = steps[p]
+                        rows.append((r.chain, r.version, r.next_version, hunk, p, side, i + 1, j + 1, a[i] if i >= 0 else b[j]))
+                        shown = p + 1
+                out = pd.DataFrame(rows, columns=names)
+                yield out.assign(**{c: out[c].where(out[c] > 0).astype("Int32") for c in ("line_a", "line_b")})
+
+    return _consecutive(versions).mapInPandas(
+        run, f"chain {kind}, version int, next_version int, hunk int, position int, side string, line_a int, line_b int, text string"
+    )

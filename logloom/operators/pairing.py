@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
+from logloom.shared import cut
 
 
 def drop_replays(rows: DataFrame, key: str, *order) -> DataFrame:
@@ -79,19 +82,37 @@ def with_match_flag(rows: DataFrame, known: DataFrame, key: str, flag: str) -> D
 
 
 def overlap_counts(intervals: DataFrame, logs: DataFrame, grace: str = "INTERVAL 24 HOURS") -> DataFrame:
-    """How many distinct logs(log_id, start, end) overlap each of intervals(id, start, end + grace): a range join by shared days.
+    """How many distinct logs(log_id, start, end) overlap each of intervals(id, start, end + grace): a range join by shared buckets.
 
-    Both sides go into day buckets, so it is an equi-join; the exact test follows, and a pair that shares several days is
-    kept on the first one only.
+    An interval's class is the power of two days that is no shorter than it, and it lies in at most two buckets of that size. Two intervals meet in the
+    buckets of the larger class, so a long one makes no more rows than a short one. The exact test follows, and a pair
+    that shares two buckets is kept on the first one only.
     """
-    i = intervals.withColumn("z", F.col("end") + F.expr(grace))
-    day = lambda c: F.unix_date(F.to_date(c))
-    a = i.withColumn("day", F.explode(F.sequence(day("start"), day("z"))))
-    b = logs.select("log_id", F.col("start").alias("ls"), F.col("end").alias("le"))
-    b = b.withColumn("day", F.explode(F.sequence(day("ls"), day("le"))))
-    met = a.join(b, "day").where((F.col("le") >= F.col("start")) & (F.col("ls") <= F.col("z")))
-    met = met.where(F.col("day") == F.greatest(day("start"), day("ls")))
-    n = met.groupBy("id").agg(F.count("*").alias("n_logs"))
+    day = 86_400_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+
+    def classed(rows: DataFrame, a: str, z: str) -> DataFrame:
+        size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), (micros(z) - micros(a)) / F.lit(day))))).cast("int")
+        return rows.withColumns({"__c": size, f"__{a}": micros(a), f"__{z}": micros(z)})
+
+    def bucketed(rows: DataFrame, a: str, z: str, classes: list[int]) -> DataFrame:
+        """Rows in the buckets of their own class and of all larger ones in use."""
+        at = lambda c, k: F.floor(F.col(f"__{c}") / (F.lit(float(day)) * F.pow(F.lit(2.0), k)))
+        every = F.filter(F.array(*map(F.lit, classes)), lambda k: k >= F.col("__c"))
+        x = rows.withColumn("__k", F.explode(every))
+        return x.withColumn("__b", F.explode(F.sequence(at(a, F.col("__k")), at(z, F.col("__k")))))
+
+    i = classed(intervals.withColumn("z", F.col("end") + F.expr(grace)), "start", "z")
+    l = classed(logs.select("log_id", F.col("start").alias("ls"), F.col("end").alias("le")), "ls", "le").withColumnRenamed("__c", "__d")
+    used = i.select("__c").union(l.select("__d")).distinct().where("__c is not null")
+    classes = sorted(r[0] for r in used.collect())  # some twenty at most: powers of two of days
+    if not classes:
+        return intervals.withColumn("n_logs", F.lit(0).cast("long"))
+    a = bucketed(i, "start", "z", classes)
+    b = bucketed(l.withColumnRenamed("__d", "__c"), "ls", "le", classes).withColumnRenamed("__c", "__d")
+    met = a.join(b, ["__k", "__b"]).where((F.col("le") >= F.col("start")) & (F.col("ls") <= F.col("z")) & (F.col("__k") == F.greatest("__c", "__d")))
+    first = F.floor(F.greatest("__start", "__ls") / (F.lit(float(day)) * F.pow(F.lit(2.0), F.col("__k"))))
+    n = met.where(F.col("__b") == first).groupBy("id").agg(F.count("*").alias("n_logs"))
     return intervals.join(n, "id", "left").withColumn("n_logs", F.coalesce("n_logs", F.lit(0)))
 
 
@@ -103,61 +124,83 @@ def next_within(rows: DataFrame, group: str, is_open, is_close, limit: str) -> D
     return x.withColumn("next_ts", F.when(F.col("next_ts") <= F.col("ts") + F.expr(limit), F.col("next_ts")))
 
 
+def _loop_candidates(items: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(g, item, item_ts, fix, fix_ts): a resolution that supersedes something with each earlier item of its log that shares a date, a quoted
+    phrase or three content words with what it names. Each of the three is a join by what is shared."""
+    sup = fixes.where("supersedes <> ''").select("g", F.col("seq").alias("fix"), F.col("ts").alias("fix_ts"), "supersedes")
+    own = items.select("g", F.col("seq").alias("item"), F.col("ts").alias("item_ts"), "text")
+    pair = ["g", "item", "item_ts", "fix", "fix_ts"]
+
+    def shared(of_item: Column, of_fix: Column, least: int) -> DataFrame:
+        a, b = own.select("*", F.explode(of_item).alias("k")), sup.select("*", F.explode(of_fix).alias("k"))
+        met = a.join(b, ["g", "k"])
+        return met.select(*pair).distinct() if least == 1 else met.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+    dates = shared(X.date_tokens(F.concat_ws(" ", "text", F.date_format("item_ts", "yyyy-MM-dd"))), X.date_tokens(F.col("supersedes")), 1)
+    words = shared(X.content_words(F.col("text")), X.content_words(F.col("supersedes")), 3)
+    # Quoted phrases have four characters or more: texts meet them by the first four.
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 3))
+    grams = own.select("*", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(4))))).alias("k"))
+    quotes = sup.select("*", F.explode(X.quoted_phrases(F.col("supersedes"))).alias("q")).withColumn("k", F.substring("q", 1, 4))
+    quoted = grams.join(quotes, ["g", "k"]).where(F.col("text").contains(F.col("q"))).select(*pair)
+    every = dates.unionByName(words).unionByName(quoted).distinct()
+    return every.where((F.col("item_ts") < F.col("fix_ts")) | (F.col("item_ts") == F.col("fix_ts")) & (F.col("item") < F.col("fix")))
+
+
 def match_loops(entries: DataFrame, group: str, window_days: int = 14) -> DataFrame:
     """One-to-one matching of open items with resolutions inside each log: entries(group, seq, ts, kind, text, supersedes).
 
     First every resolution that supersedes something, oldest first, takes the latest earlier unmatched item that shares a
     date, a quoted phrase, or three content words. Then every unmatched item, oldest first, takes the nearest following
-    unmatched resolution within the window. Words, dates and phrases are columns; only the greedy pass, which is sequential by
-    definition, runs per log.
+    unmatched resolution within the window. Both passes stream a log's rows in order: the first reads candidate pairs only, the second
+    holds the open items of one window.
     """
     import pandas as pd
 
     x = entries.where(F.col("kind").isin("open", "resolution")).select(
-        group, "seq", "ts", "kind", "text",
-        F.coalesce("supersedes", F.lit("")).alias("supersedes"),
-        X.content_words(F.col("text")).alias("words"),
-        X.date_tokens(F.concat_ws(" ", "text", F.date_format("ts", "yyyy-MM-dd"))).alias("dates"),
-        X.content_words(F.coalesce("supersedes", F.lit(""))).alias("sup_words"),
-        X.date_tokens(F.coalesce("supersedes", F.lit(""))).alias("sup_dates"),
-        X.quoted_phrases(F.coalesce("supersedes", F.lit(""))).alias("sup_quotes"),
-    )
-    span = pd.Timedelta(days=window_days)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        items = list(pdf[pdf.kind == "open"].itertuples())
-        fixes = list(pdf[pdf.kind == "resolution"].itertuples())
-        taken: dict[int, int] = {}
-        used = set()
-        for r in fixes:
-            if not r.supersedes:
-                continue
-            for f in reversed(items):
-                if f.seq in taken or (f.ts, f.seq) >= (r.ts, r.seq):
+        F.to_json(F.struct(F.col(group).alias("g"))).alias("g"), group, "seq", "ts", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("supersedes", F.lit("")).alias("supersedes")
+    )
+    items, fixes = x.where("kind = 'open'"), x.where("kind = 'resolution'")
+    span, kind = pd.Timedelta(days=window_days), entries.schema["seq"].dataType.simpleString()
+
+    def take(batches):
+        log, fix, done, taken = None, None, False, set()
+        for pdf in batches:
+            out = []
+            for g, item, f in zip(pdf["g"], pdf["item"], pdf["fix"]):
+                if g != log:
+                    log, fix, taken = g, None, set()
+                if f != fix:
+                    fix, done = f, False
+                if not done and item not in taken:
+                    taken.add(item)
+                    done = True
+                    out.append((g, item, f))
+            yield pd.DataFrame(out, columns=["g", "seq", "resolved_by"])
+
+    pairs = _loop_candidates(items, fixes).repartition("g").sortWithinPartitions("g", "fix_ts", "fix", F.desc("item_ts"), F.desc("item"))
+    named = cut(pairs.select("g", "item", "fix").mapInPandas(take, f"g string, seq {kind}, resolved_by {kind}"), "superseded")
+    used = named.select("g", "seq").unionByName(named.select("g", F.col("resolved_by").alias("seq")))
+    left = x.select("g", "seq", "ts", "kind").join(used, ["g", "seq"], "left_anti").repartition("g").sortWithinPartitions("g", "ts", "seq")
+
+    def follow(batches):
+        log, waiting = None, deque()
+        for pdf in batches:
+            out = []
+            for g, seq, ts, k in zip(pdf["g"], pdf["seq"], pdf["ts"], pdf["kind"]):
+                if g != log:
+                    log, waiting = g, deque()
+                if k == "open":
+                    waiting.append((seq, ts))
                     continue
-                if (
-                    set(r.sup_dates) & set(f.dates)
-                    or any(q in f.text for q in r.sup_quotes)
-                    or len(set(r.sup_words) & set(f.words)) >= 3
-                ):
-                    taken[f.seq] = r.seq
-                    used.add(r.seq)
-                    break
-        for f in items:
-            if f.seq in taken:
-                continue
-            for r in fixes:
-                if r.seq not in used and (r.ts, r.seq) > (f.ts, f.seq) and r.ts - f.ts <= span:
-                    taken[f.seq] = r.seq
-                    used.add(r.seq)
-                    break
-        return pd.DataFrame(
-            [(getattr(pdf, group).iloc[0], f.seq, taken.get(f.seq)) for f in items], columns=[group, "seq", "resolved_by"]
-        ).astype({"resolved_by": "Int64"})
-
-    kind = entries.schema[group].dataType.simpleString()
-    return x.groupBy(group).applyInPandas(run, f"{group} {kind}, seq bigint, resolved_by bigint")
+                while waiting and ts - waiting[0][1] > span:
+                    waiting.popleft()
+                if waiting:
+                    out.append((g, waiting.popleft()[0], seq))
+            yield pd.DataFrame(out, columns=["g", "seq", "resolved_by"])
+
+    nearest = left.mapInPandas(follow, f"g string, seq {kind}, resolved_by {kind}")
+    return items.select("g", group, "seq").join(named.unionByName(nearest), ["g", "seq"], "left").select(group, "seq", "resolved_by")
 
 
 def fallback_join(used: DataFrame, declared: DataFrame) -> DataFrame:
@@ -181,9 +224,10 @@ def unique_fallback_join(left: DataFrame, right: DataFrame, name: str, bare: str
 
 def resolve_digests(digests: DataFrame, paths: DataFrame, least: int = 8) -> DataFrame:
     """Status of truncated path digests: resolved, ambiguous, no-match or too-short. Only the widths in use are cut, and equal digests meet by a join."""
-    widths = digests.select(F.length("digest").alias("w")).distinct().where(F.col("w") >= least)
-    full = paths.select("path", F.sha2("path", 256).alias("full"))
-    cut = full.join(F.broadcast(widths)).select("path", F.expr("substring(full, 1, w)").alias("digest"))
+    used = digests.select(F.length("digest").alias("w")).where(F.col("w").between(least, 64)).distinct().collect()  # 64 at most: a digest's length
+    widths = F.array(*[F.lit(w) for w in sorted(r.w for r in used)]).cast("array<int>")
+    full = paths.select("path", F.sha2("path", 256).alias("full"), F.explode(widths).alias("w"))
+    cut = full.select("path", F.expr("substring(full, 1, w)").alias("digest"))
     found = cut.groupBy("digest").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
     status = (
         F.when(F.length("digest") < least, "too-short").when(F.coalesce("n", F.lit(0)) == 0, "no-match")

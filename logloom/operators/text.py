@@ -108,10 +108,12 @@ def rank_sentences(sents: DataFrame, vectors: DataFrame, damping: float = 0.85,
     """
 
     def rank(n: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame({"doc_id": [], "ix": [], "rank": []})
         ix = np.sort(n["ix"].to_numpy())
         size = len(ix)
-        if not size:
-            return pd.DataFrame({"doc_id": [], "ix": [], "rank": []})
+        if not len(v):  # no sentence has a term
+            return pd.DataFrame({"doc_id": n["doc_id"].iloc[0], "ix": ix, "rank": (1 - damping) / size if rounds else 1.0 / size})
         row, w = np.searchsorted(ix, v["ix"].to_numpy()), v["weight"].to_numpy(dtype=float)
         term, kinds = pd.factorize(v["term"])
         shared = np.bincount(term, minlength=len(kinds))[term] > 1
@@ -132,6 +134,7 @@ def rank_sentences(sents: DataFrame, vectors: DataFrame, damping: float = 0.85,
         return pd.DataFrame({"doc_id": n["doc_id"].iloc[0], "ix": ix, "rank": r})
 
     kind = sents.schema["doc_id"].dataType.simpleString()
+    vectors = cut(vectors, "vectors")  # a table of its own: sides of one lineage don't cogroup
     return sents.select("doc_id", "ix").groupBy("doc_id").cogroup(vectors.groupBy("doc_id")).applyInPandas(
         rank, f"doc_id {kind}, ix int, rank double"
     )

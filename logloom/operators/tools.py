@@ -52,9 +52,9 @@ def server_decay(usage: DataFrame, configured: DataFrame) -> DataFrame:
 def trigger_coverage(events: DataFrame, probes: DataFrame) -> DataFrame:
     """Per probe: occurrences, sessions, last seen; probes without any stay with zeros.
 
-    events(kind, name, session_id, ts), already cut to the window; probes(probe, kind, match) is configuration and is broadcast.
+    events(kind, name, session_id, ts), already cut to the window; probes(probe, kind, match) is configuration.
     """
-    hits = events.join(F.broadcast(probes), (events.kind == probes.kind) & (events.name == probes.match)).select(
+    hits = events.join(probes, (events.kind == probes.kind) & (events.name == probes.match)).select(
         "probe", "session_id", "ts"
     )
     n = hits.groupBy("probe").agg(
@@ -87,7 +87,7 @@ def allow_listed(entries: DataFrame, allowed: DataFrame) -> DataFrame:
     size = F.coalesce(
         F.size(F.try_variant_get("v", "$", "array<variant>")), F.size(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))
     )
-    x = entries.join(F.broadcast(allowed.select(F.col("key").alias("__k")).distinct()), F.col("key") == F.col("__k"), "left")
+    x = entries.join(allowed.select(F.col("key").alias("__k")).distinct(), F.col("key") == F.col("__k"), "left")
     shown = (
         F.when(shape.isin("object", "array"), F.concat(size.cast("string"), F.lit(" items")))
         .when(F.col("__k").isNotNull(), F.try_variant_get("v", "$", "string"))

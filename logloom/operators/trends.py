@@ -154,7 +154,7 @@ def size_budget(sources: DataFrame, warn: int = 38_000, over: int = 40_000, per_
 
 def disk_rollup(files: DataFrame, categories: DataFrame) -> DataFrame:
     """Bytes, files and newest per declared category of files(prefix, bytes, ts); undeclared ones are 'other'. categories(prefix, category) is configuration."""
-    x = files.join(F.broadcast(categories), "prefix", "left")
+    x = files.join(categories, "prefix", "left")
     return x.groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(
         F.sum("bytes").alias("bytes"), F.count("*").alias("files"), F.max("ts").alias("newest")
     )

@@ -18,7 +18,7 @@ def priced(usage: DataFrame, rates: DataFrame, unbilled: str = "<synthetic>") ->
     rates(model, input_per_million, output_per_million) is configuration of one row per model, so it is broadcast.
     The unbilled model costs 0; a model without a rate stays null.
     """
-    r = F.broadcast(rates.select("model", "input_per_million", "output_per_million"))
+    r = rates.select("model", "input_per_million", "output_per_million")
     exact = r.select(F.col("model").alias("__m1"), F.struct("input_per_million", "output_per_million").alias("__r1"))
     dated = r.select(F.col("model").alias("__m2"), F.struct("input_per_million", "output_per_million").alias("__r2"))
     x = usage.join(exact, F.col("model") == F.col("__m1"), "left").join(

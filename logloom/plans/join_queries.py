@@ -246,7 +246,7 @@ def run_set_comparison(spark, d):
 @query("""SELECT s_suppkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'nation-' || s_nationkey) AS plugin FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def two_key_coalesce(spark, d):
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("full"))
-    x = t(spark, d, "supplier").join(F.broadcast(n), "s_nationkey", "left")
+    x = t(spark, d, "supplier").join(n, "s_nationkey", "left")
     return x.select("s_suppkey", F.coalesce("full", F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"))).alias("plugin"))
 
 
@@ -550,22 +550,67 @@ def link_closure(spark, d):
     return graph.closure(roots, e)
 
 
-@query()
-def run_diffs(spark, d):
-    """Neighbouring users' event sequences aligned by longest common subsequence."""
+#: Rows of a table of common subsequence lengths as lists, folded one after another; the last number of the last row is the length.
+_LCS = """coalesce(list_reduce(list_prepend(list_transform({b}, lambda y: 0), list_transform({a}, lambda x: list_transform({b}, lambda y: CAST(x = y AS INTEGER)))),
+ lambda p, mt: list_transform(range(1, len(p) + 1), lambda j: CAST(list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN mt[k] = 1 THEN (CASE WHEN k > 1 THEN p[k - 1] ELSE 0 END) + 1 ELSE p[k] END)) AS INTEGER)))[-1], 0)"""
+
+
+def _runs(spark, d):
     e = t(spark, d, "events")
     steps = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), X.step_signature(F.lit("event"), F.col("event_type"), F.array().cast("array<string>")).alias("signature"))
-    users = e.select(F.col("user_id").alias("a")).distinct()
-    return graph.run_diffs(steps, users.withColumn("b", F.col("a") + 1))
+    return steps, e.select(F.col("user_id").alias("a")).distinct().withColumn("b", F.col("a") + 1)
 
 
-@query()
-def version_diffs(spark, d):
+@query(
+    f"""WITH r AS (SELECT user_id AS u, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1),
+p AS (SELECT x.u AS a, x.u + 1 AS b, x.s AS sa, coalesce(y.s, []) AS sb FROM r x LEFT JOIN r y ON y.u = x.u + 1),
+q AS (SELECT *, CAST(len(sa) AS INTEGER) AS steps_a, CAST(len(sb) AS INTEGER) AS steps_b, CAST({_LCS.format(a="sa", b="sb")} AS INTEGER) AS aligned FROM p)
+SELECT a, b, steps_a, steps_b, aligned, CASE WHEN sa <> sb THEN CAST(coalesce(list_min(list_filter(range(0, least(steps_a, steps_b)), lambda i: sa[i + 1] <> sb[i + 1])), least(steps_a, steps_b)) AS INTEGER) END AS first_divergence,
+ round(aligned / greatest(steps_a, steps_b), 6) AS similarity, greatest(steps_a, steps_b) < 12 AS short_run, false AS truncated FROM q"""
+)
+def run_diffs(spark, d):
+    return graph.run_diffs(*_runs(spark, d)).withColumn("similarity", r6("similarity"))
+
+
+@query(
+    f"""WITH r AS (SELECT user_id AS u, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1),
+p AS (SELECT x.u AS a, x.s AS sa, coalesce(y.s, []) AS sb FROM r x LEFT JOIN r y ON y.u = x.u + 1), q AS (SELECT a, len(sa) AS na, len(sb) AS nb, {_LCS.format(a="sa", b="sb")} AS k FROM p)
+SELECT a, 'both' AS side, CAST(k AS BIGINT) AS n FROM q WHERE k > 0 UNION ALL SELECT a, 'a', na - k FROM q WHERE na > k UNION ALL SELECT a, 'b', nb - k FROM q WHERE nb > k"""
+)
+def run_steps(spark, d):
+    """The aligned steps of each user's events and the next user's, counted by side."""
+    return graph.run_steps(*_runs(spark, d)).groupBy("a", "side").agg(F.count("*").alias("n"))
+
+
+def _versions(spark, d):
     """Documents of one source and length band as versions of one file."""
     x = t(spark, d, "documents").select("source", F.floor(F.col("n_chars") / 200).alias("band"), "doc_id", "text")
     w = Window.partitionBy("source", "band").orderBy("doc_id")
-    v = x.withColumn("version", F.row_number().over(w)).select(F.concat_ws("@", "source", "band").alias("chain"), "version", "text")
-    return graph.version_diffs(v)
+    v = x.withColumn("version", F.row_number().over(w))
+    return v.select(F.concat_ws("@", F.coalesce("source", F.lit("-")), F.col("band").cast("string")).alias("chain"), "version", "text")
+
+
+_VERSIONS = """v AS (SELECT coalesce(source, '-') || '@' || CAST(floor(n_chars / 200) AS BIGINT) AS chain, row_number() OVER (PARTITION BY source, floor(n_chars / 200) ORDER BY doc_id) AS version, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+p AS (SELECT v.chain, v.version, v.version + 1 AS next_version, v.s AS sa, w.s AS sb FROM v JOIN v w ON w.chain = v.chain AND w.version = v.version + 1)"""
+
+
+@query(
+    f"""WITH {_VERSIONS}, q AS (SELECT *, {_LCS.format(a="sa", b="sb")} AS k FROM p)
+SELECT chain, CAST(version AS INTEGER) AS version, CAST(next_version AS INTEGER) AS next_version, CAST(len(sb) - k AS INTEGER) AS added, CAST(len(sa) - k AS INTEGER) AS removed, CAST(k AS INTEGER) AS unchanged FROM q"""
+)
+def version_line_counts(spark, d):
+    return graph.version_diffs(_versions(spark, d)).select("chain", "version", "next_version", "added", "removed", "unchanged")
+
+
+@query()
+def version_diffs(spark, d):
+    return graph.version_diffs(_versions(spark, d))
+
+
+@query()
+def version_hunks(spark, d):
+    """The changed lines of each version with three lines around."""
+    return graph.version_hunks(_versions(spark, d))
 
 
 # --- sources and sync -----------------------------------------------------------------------------------------
@@ -672,6 +717,72 @@ def late_counters(spark, d):
     return jobs.late_counters(t(spark, d, "events"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
 
 
+def _dated(spark, d):
+    return t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _pushed(spark, rows, **values):
+    """rows as a stream, then one row ten years on with the given values, which lets every window and time-out pass."""
+    far = F.lit("2034-01-01 00:00:00").cast("timestamp")
+    last = spark.range(1).select(*[(far if f.name == "ts" else F.lit(values.get(f.name)).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    return jobs.two_batches(spark, rows, last)
+
+
+@query(
+    """WITH r(model, rate) AS (VALUES ('click', 0.5), ('view', 0.25), ('purchase', 2.0), ('error', 1.0)),
+s AS (SELECT time_bucket(INTERVAL 5 HOURS, ts, TIMESTAMP '1970-01-01') AS b, user_id, floor(value * 100) * rate AS cost, rate FROM events LEFT JOIN r ON model = event_type)
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS block, count(*) AS turns, count(DISTINCT user_id) AS sessions, round(sum(cost), 6) AS cost, count(*) - count(rate) AS unpriced FROM s GROUP BY b"""
+)
+def stream_block_costs(spark, d):
+    """Cost and exact sessions of each block, by a stream that has passed them all."""
+    e = _dated(spark, d).select("ts", F.col("user_id").alias("session"), F.col("event_type").alias("model"), F.floor(F.col("value") * 100).cast("double").alias("amount"))
+    rates = spark.createDataFrame([("click", 0.5), ("view", 0.25), ("purchase", 2.0), ("error", 1.0)], "model string, rate double")
+    x = jobs.drain(jobs.block_costs(_pushed(spark, e), rates)).where("block < '2030-01-01'")
+    return x.select(stamp("block").alias("block"), "turns", "sessions", r6("cost").alias("cost"), "unpriced")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, count(*) AS n FROM events GROUP BY 1""")
+def stream_expired(spark, d):
+    """The last row of every key that fell silent."""
+    s = _pushed(spark, _dated(spark, d).select("ts", "user_id", "value"), user_id=-1, value=0.0)
+    x = jobs.drain_updates(jobs.latest_per_key(s, "user_id")).where("expired")
+    return x.select("key", stamp("ts").alias("ts"), "n")
+
+
+@query(
+    """SELECT a.user_id AS key, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, count(*) AS n FROM events a WHERE a.event_type = 'error' AND NOT EXISTS
+ (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 12 HOURS) GROUP BY 1, 2"""
+)
+def stream_unmatched(spark, d):
+    """Errors without a purchase in the next 12 hours, once no late one can come."""
+    e = _dated(spark, d).select("ts", F.col("user_id").alias("key"), F.col("event_type").alias("kind"), F.col("value").alias("result"))
+    side = lambda kind: _pushed(spark, e.where(F.col("kind") == kind), key=-1).select("key", "ts", "result")
+    x = jobs.drain(jobs.pairs(side("error").drop("result"), side("purchase"), limit="12 hours"))
+    return x.where("rts is null and key >= 0").groupBy("key", stamp("ts").alias("ts")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS session_id, strftime(coalesce(max(ts) FILTER (value > 50), max(ts)), '%Y-%m-%d %H:%M:%S') AS ts, count(*) FILTER (value > 50) > 0 AS with_limits, count(*) AS n FROM events GROUP BY 1"""
+)
+def stream_samples(spark, d):
+    s = jobs.event_stream(spark, d).select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") > 50, F.col("value")).alias("limit"))
+    x = jobs.drain(jobs.newest_sample(s), "complete")
+    return x.select("session_id", stamp("ts").alias("ts"), F.col("limit").isNotNull().alias("with_limits"), "n")
+
+
+@query(
+    """WITH e AS (SELECT CASE WHEN event_type <> 'error' THEN ts END AS ts, CASE WHEN event_type IN ('click', 'error') THEN 1 ELSE 0 END AS batch FROM events),
+m AS (SELECT max(ts) AS z FROM e WHERE batch = 0 AND ts <= TIMESTAMP '2024-01-25')
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS rows, count(*) - count(ts) AS undated, count(*) FILTER (ts > TIMESTAMP '2024-01-25') AS future,
+ count(*) FILTER (batch = 1 AND ts < (SELECT z FROM m) - INTERVAL 1 HOUR) AS late FROM e GROUP BY 1"""
+)
+def stream_late_rows(spark, d):
+    """Clicks and undated errors that come after all else: what is late, undated or in the future is counted by batch."""
+    e = _dated(spark, d).select(F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"), F.col("event_type").isin("click", "error").alias("second"))
+    s = jobs.two_batches(spark, e.where("not second"), e.where("second"))
+    return jobs.count_late(s, "2024-01-25 00:00:00").drop("newest")
+
+
 # --- more sources ---------------------------------------------------------------------------------------------
 
 

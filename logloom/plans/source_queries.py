@@ -442,8 +442,7 @@ e AS (SELECT doc_id, i, j, w / sum(w) OVER (PARTITION BY doc_id, i) AS p FROM e0
 def event_ranks(spark, d):
     """Five rounds of ranking over each user's events."""
     s = _trail(spark, d)
-    v = cut(text.tf_idf(s), "vectors")
-    return text.rank_sentences(s, v, epsilon=0.0, rounds=_RANK_ROUNDS).withColumn("rank", r6("rank"))
+    return text.rank_sentences(s, text.tf_idf(s), epsilon=0.0, rounds=_RANK_ROUNDS).withColumn("rank", r6("rank"))
 
 
 @query(

@@ -19,7 +19,7 @@ def delta(known: DataFrame, current: DataFrame, unreadable: DataFrame | None = N
     out = x.select(kind.alias("kind"), path.alias("path"), state.alias("state"))
     if unreadable is None:
         return out
-    bad = F.broadcast(unreadable.select(F.col("kind").alias("__k")).distinct())
+    bad = unreadable.select(F.col("kind").alias("__k")).distinct()
     out = out.join(bad, F.col("kind") == F.col("__k"), "left")
     held = (F.col("state") == "removed") & F.col("__k").isNotNull()
     return out.withColumn("state", F.when(held, "held").otherwise(F.col("state"))).drop("__k")

@@ -29,15 +29,39 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def two_batches(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataFrame:
+    """A stream that delivers the rows of first, then those of second (of the same columns), in one batch each."""
+    root = f"{scratch_dir(spark)}/logloom/arrivals-{uuid.uuid4().hex}"
+    for rows in (first, second):
+        rows.coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def blocks(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Rows, amounts and distinct sessions per five-hour block; sessions are de-duplicated first, since streams can't count distinct values."""
+    """Rows and amounts per five-hour block; sessions are counted by block_costs()."""
     x = events.withWatermark("ts", late)
     return x.groupBy(F.window("ts", "5 hours")["start"].alias("block")).agg(
-        F.count("*").alias("turns"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("output"),
-        F.approx_count_distinct("user_id", 0.01).alias("sessions_about"),
+        F.count("*").alias("turns"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("output")
     )
 
 
+def block_costs(events: DataFrame, rates: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Turns, distinct sessions, cost and unpriced turns per five-hour block of events(ts, session, model, amount), priced by the static rates(model, rate).
+
+    Rows are first added up by block and session, so the second count is one of distinct sessions, and exact. Append mode: a
+    block comes out once, when the watermark has passed it.
+    """
+    x = events.withWatermark("ts", late).join(rates, "model", "left")
+    cost = F.col("amount") * F.col("rate")
+    by_session = x.groupBy(F.window("ts", "5 hours").alias("w"), "session").agg(
+        F.count("*").alias("turns"), F.sum(cost).alias("cost"), F.count_if(F.col("rate").isNull()).alias("unpriced")
+    )
+    out = by_session.groupBy("w").agg(
+        F.sum("turns").alias("turns"), F.count("*").alias("sessions"), F.sum("cost").alias("cost"), F.sum("unpriced").alias("unpriced")
+    )
+    return out.select(F.col("w.start").alias("block"), "turns", "sessions", "cost", "unpriced")
+
+
 def without_replays(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
@@ -79,18 +103,52 @@ def latest_per_key(events: DataFrame, key: str, silence_ms: int = 15 * 60 * 1000
     )
 
 
-def drain_latest(stream: DataFrame) -> DataFrame:
-    """The newest row per key of latest_per_key(), from all its updates."""
+def drain_updates(stream: DataFrame) -> DataFrame:
+    """All updates that a stream gives, with the number of the batch they came in."""
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/logloom/stream-{uuid.uuid4().hex}"
     (
         stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode("update")
         .foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")).start().awaitTermination()
     )
-    x = spark.read.parquet(f"{base}/out").where("not expired")
+    return spark.read.parquet(f"{base}/out")
+
+
+def drain_latest(stream: DataFrame) -> DataFrame:
+    """The newest row per key of latest_per_key(), from all its updates."""
+    x = drain_updates(stream).where("not expired")
     return x.groupBy("key").agg(F.max_by(F.struct("ts", "value", "n"), F.struct("n", "batch")).alias("x")).select("key", "x.*")
 
 
+def newest_sample(samples: DataFrame) -> DataFrame:
+    """(session_id, ts, limit, n) as it changes: each session's newest sample that carries limits, or its newest where none does."""
+    best = F.max_by(F.struct("ts", "limit"), F.struct(F.col("limit").isNotNull().alias("has"), F.col("ts").alias("at")))
+    return samples.groupBy("session_id").agg(best.alias("x"), F.count("*").alias("n")).select("session_id", "x.ts", "x.limit", "n")
+
+
+def count_late(stream: DataFrame, now, delay: str = "1 hour") -> DataFrame:
+    """One row per batch of a stream with ts: rows, undated, future, and late ones (older than the newest time of the batches before, less the delay).
+
+    Operators with a watermark drop late rows silently; this counts them beside such a job. The newest time so far is kept in the table itself, so a restart goes on.
+    """
+    spark = stream.sparkSession
+    base = f"{scratch_dir(spark)}/logloom/late-{uuid.uuid4().hex}"
+    schema = "batch bigint, rows bigint, undated bigint, future bigint, late bigint, newest timestamp"
+
+    def add(df: DataFrame, i: int) -> None:
+        seen = spark.read.schema(schema).parquet(f"{base}/out").where(F.col("batch") < i) if i else spark.createDataFrame([], schema)
+        newest = seen.agg(F.max("newest").alias("__newest"))
+        past = F.col("ts") > F.lit(now)
+        x = df.join(F.broadcast(newest)).agg(  # one row
+            F.lit(i).cast("long").alias("batch"), F.count("*").alias("rows"), F.count_if(F.col("ts").isNull()).alias("undated"), F.count_if(past).alias("future"),
+            F.count_if(F.col("ts") < F.col("__newest") - F.expr(f"INTERVAL {delay}")).alias("late"), F.max(F.when(~past, F.col("ts"))).alias("newest"),
+        )
+        x.write.mode("append").parquet(f"{base}/out")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
 def upsert(changed: DataFrame, where: str, read) -> None:
     """foreachBatch body of the incremental index: read(batch) parses it, and only the partitions it touches are rewritten."""
     from logloom.sources.sync import write
