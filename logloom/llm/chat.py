@@ -7,8 +7,11 @@ after the system turn (kept in each window) and the newest turns of the last win
 never under the loss mask, so each assistant text is learnt from exactly once.
 
 Turns are escaped and counted where they are read, before rows are dealt by conversation and sorted by turn. A worker then only streams: it adds up the
-counts and joins strings, one window at a time, so a conversation of any length needs bounded memory. Its turns are hashed in order, which
-keeps one conversation in one task.
+counts and joins strings, one window at a time, so a conversation of any length needs bounded memory.
+
+A conversation of more than LONG turns is not formatted in one task: only its turns' token counts are streamed in order, to place the windows; turns
+then meet their windows by position, and windows are formatted side by side. read_back() hashes a conversation's turns in order, which is one task's work
+whatever is done before.
 
 Defined results: a null text or role is empty; rows without conv_id form one conversation; equal turns of one conversation
 are ordered by role and escaped text, repeated rows stay; a turn above the budget is a window of its own, whole; an empty table gives no windows;
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 
 from logloom.llm import textops
 from logloom.llm.bpe import codec, default_path
+from logloom.shared import cut, running, sized
 
 BUDGET = 1024
 HISTORY = 192
+#: Turns of a conversation up to which one task formats it.
+LONG = 4096
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -59,56 +65,59 @@ def unescape_role(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text) if "\\" in text else text
 
 
-class _Writer:
-    """Windows of one conversation, turn by turn."""
+class _Planner:
+    """Windows of one conversation, turn by turn: add() gives (number, repeated, fresh) when a window is full, as lists of what was added."""
 
-    def __init__(self, conv, budget: int, history: int, out: list):
-        self.conv, self.budget, self.history, self.out = conv, budget, history, out
-        self.window = 0
-        self.system = None  # (head, body, tokens) of the first turn, if it is the system's
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history, self.window = budget, history, 0
+        self.system = None  # (turn, tokens) of the first turn, if it is the system's
         self.tail: deque = deque()  # newest turns, within the history budget
-        self.tail_tokens = 0
+        self.tail_tokens = self.used = 0  # used: tokens of the window so far
         self.fresh: list = []
-        self.used = 0  # tokens of the window so far
+        self.first_is_system = False
 
-    def add(self, role: str, head: str, body: str, tokens: int) -> None:
-        if self.fresh and self.used + tokens > self.budget:
-            self.flush()
+    def add(self, turn, tokens: int, is_system: bool):
+        full = self.flush() if self.fresh and self.used + tokens > self.budget else None
         if not self.fresh:
-            repeated = (self.system[2] if self.system else 0) + self.tail_tokens
+            repeated = (self.system[1] if self.system else 0) + self.tail_tokens
             while self.tail and repeated + tokens > self.budget:
-                old = self.tail.popleft()
-                self.tail_tokens -= old[2]
-                repeated -= old[2]
+                old = self.tail.popleft()[1]
+                self.tail_tokens -= old
+                repeated -= old
             self.used = repeated
-        self.fresh.append((head, body, tokens, role == "assistant"))
+            self.first_is_system |= self.window == 0 and is_system
+        self.fresh.append((turn, tokens))
         self.used += tokens
-        if self.window == 0 and len(self.fresh) == 1 and role == "system":
-            self.first_is_system = True
-
-    first_is_system = False
+        return full
 
-    def flush(self) -> None:
+    def flush(self):
         if not self.fresh:
-            return
+            return None
         repeated = ([self.system] if self.system else []) + list(self.tail)
-        parts, spans, at, tokens = [], [], 0, 0
-        for k, (head, body, n, learn) in enumerate([(*r[:3], False) for r in repeated] + self.fresh):
-            at += len(head)
-            if learn and k >= len(repeated):
-                spans.append({"start": at, "end": at + len(body)})
-            at += len(body) + len(END) + 1
-            tokens += n
-            parts += [head, body, END, "\n"]
-        self.out.append((self.conv, self.window, "".join(parts), spans, len(repeated), tokens))
-        new = [(h, b, n) for h, b, n, _ in self.fresh]
+        out = self.window, [t for t, _ in repeated], [t for t, _ in self.fresh]
+        new = self.fresh
         if self.window == 0 and self.first_is_system:
             self.system, new = new[0], new[1:]
         self.tail.extend(new)
-        self.tail_tokens += sum(x[2] for x in new)
+        self.tail_tokens += sum(n for _, n in new)
         while self.tail and self.tail_tokens > self.history:
-            self.tail_tokens -= self.tail.popleft()[2]
+            self.tail_tokens -= self.tail.popleft()[1]
         self.fresh, self.window = [], self.window + 1
+        return out
+
+
+def _rendered(conv, window: int, repeated: list, fresh: list) -> tuple:
+    """A row of WINDOWS from turns (role, escaped text, tokens)."""
+    parts, spans, at, tokens = [], [], 0, 0
+    for k, (role, body, n) in enumerate(repeated + fresh):
+        head = f"{START}{escape_role(role)}\n"
+        at += len(head)
+        if role == "assistant" and k >= len(repeated):
+            spans.append({"start": at, "end": at + len(body)})
+        at += len(body) + len(END) + 1
+        tokens += n
+        parts += [head, body, END, "\n"]
+    return conv, window, "".join(parts), spans, len(repeated), tokens
 
 
 def _rows(out: list) -> pa.RecordBatch:
@@ -127,31 +136,112 @@ def _rows(out: list) -> pa.RecordBatch:
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
-    """Windows of every conversation; those of one conversation follow each other in order."""
-    x = counted(turns, path).repartition("conv_id").sortWithinPartitions(
-        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"
-    )
+    """Windows of every conversation."""
+    short, long = _both_kinds(turns, budget, history, path)
+    return short if long is None else short.unionByName(long)
+
+
+def _both_kinds(turns: DataFrame, budget: int, history: int, path: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """Windows of conversations of up to LONG turns, each conversation's in order in one partition, and those of longer ones, if there are any."""
+    key = F.col("conv_id").cast("long")
+    sizes = turns.groupBy(key.alias("__conv")).agg(F.count("*").alias("n")).where(F.col("n") > LONG)
+    long = cut(sizes.select("__conv"), "long-conversations")
+    n = long.count()
+    if not n:
+        return _streamed(counted(turns, path), budget, history), None
+    same = key.eqNullSafe(F.col("__conv"))
+    rest = turns.join(sized(long, n), same, "left_anti")
+    return _streamed(counted(rest, path), budget, history), _placed(counted(turns.join(sized(long, n), same, "left_semi"), path), budget, history)
+
+
+def _streamed(x: DataFrame, budget: int, history: int) -> DataFrame:
+    x = x.repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")))
 
     def run(batches):
-        writer, out = None, []
+        conv, planner, out = None, None, []
         for batch in batches:
-            for conv, role, body, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
-                if writer is None or conv != writer.conv:
-                    if writer is not None:
-                        writer.flush()
-                    writer = _Writer(conv, budget, history, out)
-                writer.add(role, f"{START}{escape_role(role)}\n", body, n)
+            for c, role, body, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if planner is None or c != conv:
+                    if planner is not None:
+                        out.append(_rendered(conv, *planner.flush()))
+                    conv, planner = c, _Planner(budget, history)
+                if (full := planner.add((role, body, n), n, role == "system")) is not None:
+                    out.append(_rendered(conv, *full))
                 if len(out) >= _BATCH:
                     yield _rows(out)
                     out.clear()
-        if writer is not None:
-            writer.flush()
+        if planner is not None:
+            out.append(_rendered(conv, *planner.flush()))
         if out:
             yield _rows(out)
 
     return x.mapInArrow(run, WINDOWS)
 
 
+def _placed(x: DataFrame, budget: int, history: int) -> DataFrame:
+    """Windows of long conversations: placed by token counts alone, formatted side by side."""
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    x = cut(running(x, order, "long-sorted"), "long-turns")
+    counts = x.select("conv_id", "__position", "n_tokens", (F.col("role") == "system").alias("s"))
+    counts = counts.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "__position")
+    names = ["conv_id", "window", "system", "first", "fresh", "last"]
+
+    def place(batches):
+        conv, planner, out = None, None, []
+
+        def row(window, repeated, fresh):
+            # Repeated turns are the system's and the newest before the window, so all but the former are a range.
+            system = repeated[0] if repeated and planner.system and repeated[0] == planner.system[0] else None
+            tail = repeated[1:] if system is not None else repeated
+            out.append((conv, window, system, (tail or fresh)[0], fresh[0], fresh[-1]))
+
+        def batch_of():
+            kinds = [pa.int64()] * len(names)
+            done = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+            out.clear()
+            return done
+
+        for batch in batches:
+            for c, position, n, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if planner is None or c != conv:
+                    if planner is not None:
+                        row(*planner.flush())
+                    conv, planner = c, _Planner(budget, history)
+                if (full := planner.add(position, n, s)) is not None:
+                    row(*full)
+            if out:
+                yield batch_of()
+        if planner is not None:
+            row(*planner.flush())
+            yield batch_of()
+
+    windows = cut(counts.mapInArrow(place, ", ".join(f"{c} bigint" for c in names)), "long-windows")
+    members = F.sequence("first", "last")
+    members = F.when(F.col("system").isNotNull(), F.concat(F.array("system"), members)).otherwise(members)
+    at = windows.select("conv_id", "window", "fresh", F.explode(members).alias("__position"))
+    y = at.join(x.select("__position", "role", "text", "n_tokens"), "__position").select("conv_id", "window", "fresh", "__position", "role", "text", "n_tokens")
+    y = y.repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "__position")
+
+    def run(batches):
+        key, repeated, fresh, out = None, [], [], []
+        for batch in batches:
+            for c, w, first, position, role, body, n in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if key is not None and (c, w) != key:
+                    out.append(_rendered(*key, repeated, fresh))
+                    repeated, fresh = [], []
+                key = c, w
+                (fresh if position >= first else repeated).append((role, body, n))
+                if len(out) >= _BATCH:
+                    yield _rows(out)
+                    out.clear()
+        if key is not None:
+            out.append(_rendered(*key, repeated, fresh))
+        if out:
+            yield _rows(out)
+
+    return y.mapInArrow(run, WINDOWS)
+
+
 def counted(turns: DataFrame, path: str | None = None) -> DataFrame:
     """conv_id, turn, role, text (escaped) and n_tokens of each turn as it is formatted; no shuffle."""
     place = path or default_path()
@@ -259,4 +349,6 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hostile).alias("text"),
     )
-    return read_back(format_windows(turns.unionByName(extra)), ordered=True)
+    short, long = _both_kinds(turns.unionByName(extra), BUDGET, HISTORY, None)
+    out = read_back(short, ordered=True)
+    return out if long is None else out.unionByName(read_back(long))

@@ -96,10 +96,13 @@ def turns():
     return out + [(30, 0, None, "x"), (30, 0, None, "x"), (30, None, "user", "first"), (None, 1, "assistant", "none"), (31, 0, "assistant", "w " * 900), (31, 1, "ro\nle", "y")]
 
 
-@pytest.mark.parametrize("budget,history", [(1024, 192), (64, 16), (8, 0)])
-def test_chat_round_trip(spark, budget, history):
+@pytest.mark.parametrize("budget,history,long", [(1024, 192, 4096), (64, 16, 4096), (8, 0, 4096), (64, 16, 2), (1024, 192, 0)])
+def test_chat_round_trip(spark, monkeypatch, budget, history, long):
     rows = turns()
-    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn int, role string, text string, window string, n_tokens int")
+    whole = sorted(map(str, chat.format_windows(df, budget, history).collect()))
+    monkeypatch.setattr(chat, "LONG", long)
+    assert sorted(map(str, chat.format_windows(df, budget, history).collect())) == whole
     windows = chat.format_windows(df, budget, history)
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     by = {}
@@ -120,6 +123,12 @@ def test_chat_round_trip(spark, budget, history):
     assert budget > 1000 or any(w.n_repeated for w in made) or history == 0
 
 
+def test_a_very_long_turn_is_a_window_of_its_own(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "word " * 400_000), (1, 2, "user", "b")], "conv_id long, turn int, role string, text string")
+    got = sorted(chat.format_windows(df).collect(), key=lambda r: r.window)
+    assert [len(list(chat.read_turns(r.text))) - r.n_repeated for r in got] == [1, 1, 1] and chat.read_back(chat.format_windows(df)).first().n_turns == 3
+
+
 def test_chat_of_nothing(spark):
     df = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.read_back(chat.format_windows(df)).collect() == []
