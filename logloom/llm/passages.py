@@ -5,7 +5,8 @@ pick equal anchors at equal places, so they meet when rows are dealt by anchor.
 fragment (the bytes the run covers) as a hash, and where it lies. Fragments with equal hashes have all windows in common, so all but the
 earliest repeat; within a batch this is settled before anything shuffles, and a passage that stands in many documents is one row per batch. Anchors
 with several different fragments have their fragments' bytes fetched (first places only); suffix arrays of these, built by
-Lyndon grouping (suffixes.py), bring equal windows together, and again all but the earliest repeat.
+Lyndon grouping (suffixes.py), bring equal windows together, and again all but the earliest repeat. Fragments of very common anchors first part by
+the bytes beside the anchor, so that no task holds more than CROWD of them.
 
 Documents with the whole text of an earlier one are settled by a hash of the text and take no part in this.
 Order of documents: doc_id (null last), then a hash of the text. Rows equal in both are one document. A null text is empty; texts
@@ -32,8 +33,10 @@ GRAM = 24
 PIECE = 4 << 20
 #: Bytes of text whose rows are made and settled together.
 PART = 3 << 20
-#: Different fragments of one anchor up to which they are compared in one task; beyond, each of their windows goes its own way.
+#: Different fragments of one anchor up to which they are compared in one task; beyond, they are told apart by what stands beside the anchor.
 CROWD = 20_000
+#: Every window has at least so many bytes before or after its anchor.
+BESIDE = (WINDOW - GRAM) // 2
 #: Bytes of fragments that one suffix array covers, whole anchors at a time.
 SUFFIX_BYTES = 1 << 16
 
@@ -336,8 +339,30 @@ def _compare(frags: DataFrame) -> DataFrame:
     return x.mapInArrow(run, f"{_KEY}, lo bigint, n bigint")
 
 
+def _beside(frags: DataFrame) -> DataFrame:
+    """Fragments of crowded anchors under narrower ones: the anchor with the BESIDE bytes before it, and with those after it.
+
+    Equal windows have equal bytes on the side where they reach further, so all places of a window still meet.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, rows = [], []
+            at_, raw_ = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("at", "bytes"))
+            for k, (anchor, at, raw) in enumerate(zip(batch.column(0).to_pylist(), at_, raw_)):
+                for side, part in ((b"<", raw[at - BESIDE : at] if at >= BESIDE else b""), (b">", raw[at + GRAM : at + GRAM + BESIDE])):
+                    if len(part) == BESIDE:
+                        h = hashlib.blake2b(part, digest_size=8, key=side + anchor.to_bytes(8, "little", signed=True)).digest()
+                        keys.append(int.from_bytes(h, "little", signed=True))
+                        rows.append(k)
+            some = batch.take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *some.columns[1:]], names=batch.schema.names)
+
+    return frags.mapInArrow(run, frags.schema)
+
+
 def _compare_crowded(frags: DataFrame) -> DataFrame:
-    """Repeated windows of anchors with very many fragments: each window is a row under a 128-bit hash, and all but the earliest repeat.
+    """Repeated windows of more than CROWD fragments that are equal over GRAM + BESIDE bytes: each window is a row under a 128-bit hash, and all but the earliest repeat.
 
     The smallest place per hash is a partial aggregate and the join back may be split, so no group meets in one task.
     """
@@ -417,7 +442,12 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     found = known.unionByName(_compare(_fetch(texts, open_)))
     crowded = settled.where("kind = 3").select("anchor", "doc", "cid", "lo", "n", "at")
     if crowded.take(1):
-        found = found.unionByName(_compare_crowded(_fetch(texts, crowded)))
+        narrow = cut(_beside(_fetch(texts, crowded)), "narrow")
+        full = cut(narrow.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("anchor"), "full")
+        n_full = full.count()
+        found = found.unionByName(_compare(narrow.join(sized(full, n_full), "anchor", "left_anti")))
+        if n_full:
+            found = found.unionByName(_compare_crowded(narrow.join(sized(full, n_full), "anchor", "left_semi")))
     spans = cut(_spans(found), "spans")
     n, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     spans = spans.withColumnRenamed("spans", "__spans")

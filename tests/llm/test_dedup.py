@@ -292,9 +292,10 @@ def test_long_texts_are_read_in_overlapping_pieces(spark, monkeypatch):
     assert got == {i: w[1] for i, w in brute_passages(docs).items()}
 
 
-def test_crowded_anchors_go_by_windows(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [1, 3, 12])
+def test_crowded_anchors_part_by_what_stands_beside(spark, monkeypatch, crowd):
     docs = passage_docs()
-    monkeypatch.setattr(passages, "CROWD", 3)
+    monkeypatch.setattr(passages, "CROWD", crowd)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # anchors that run over several batches
     try:
