@@ -263,6 +263,14 @@ def hook_report(spark, d):
     return usage.hook_report(h).select(F.regexp_extract("command", "/x/([a-z]+)", 1).alias("event_type"), "label", "shown", "n", "max_ms")
 
 
+@query("""SELECT count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) % 10) AS names, count(*) AS occurrences FROM events WHERE event_type = 'view'""")
+def unparsed_tool_names(spark, d):
+    """Names with the tool prefix that name no server are counted, not lost."""
+    k = (F.get_json_object("props", "$.k").cast("long") % 10).cast("string")
+    name = F.when(F.col("event_type") == "view", F.concat(F.lit("mcp____"), k)).otherwise(F.concat(F.lit("mcp__"), "event_type", F.lit("__t_"), k))
+    return tools.unparsed_names(t(spark, d, "events").select(name.alias("name")))
+
+
 # --- scalar rules ---------------------------------------------------------------------------------------------
 
 
