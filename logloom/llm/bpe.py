@@ -282,25 +282,22 @@ def _run(docs: DataFrame, text: str, path: str | None, arrays: bool) -> DataFram
         own = codec(place)
         for batch in batches:
             data, off = textops.buffer(textops.column(batch, "__text"))
-            n, sha, back, all_ids, all_ends = [], [], [], [], []
-            for i, j in textops.chunks(off):
+            for i, j in textops.chunks(off):  # a result for each part: what a worker holds does not depend on the batch
                 raw = list(own.encode(data[off[i] : off[j]], off[i : j + 1] - off[i]))
                 count = np.array([len(x) >> 2 for x in raw])
+                sha = [hashlib.sha256(x).hexdigest() for x in raw]
                 ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+                del raw
                 ends = own.ends(ids, count)
-                n += count.tolist()
-                sha += [hashlib.sha256(x).hexdigest() for x in raw]
                 cuts = np.cumsum(count)[:-1]
-                back += [hashlib.sha256(own.decode(x, e)).hexdigest() for x, e in zip(np.split(ids, cuts), np.split(ends, cuts))]
+                back = [hashlib.sha256(own.decode(x, e)).hexdigest() for x, e in zip(np.split(ids, cuts), np.split(ends, cuts))]
+                part = batch.slice(i, j - i)
+                cols = [part.column(k) for k in range(len(keep))]
+                cols += [pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 if arrays:
-                    all_ids.append(ids.astype(np.int32))
-                    all_ends.append(ends.astype(np.int32))
-            cols = [batch.column(k) for k in range(len(keep))]
-            cols += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            if arrays:
-                at = pa.array(np.cumsum([0, *n]), pa.int32())
-                cols += [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in (all_ids, all_ends)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(f.name for f in new)])
+                    at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                    cols += [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, ends)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(f.name for f in new)])
 
     x = docs.select(*[F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(keep)], F.col(quoted(text)).cast("string").alias("__text"))
     return x.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + new))
