@@ -32,7 +32,7 @@ GRAM = 24
 #: Longer texts are read in pieces that overlap by a window less one byte.
 PIECE = 4 << 20
 #: Bytes of text whose rows are made and settled together.
-PART = 6 << 20
+PART = 3 << 20
 #: Different fragments of one anchor up to which they are compared in one task; beyond, they are told apart by what stands beside the anchor.
 CROWD = 20_000
 #: Every window has at least so many bytes before or after its anchor.
