@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
+from logloom.operators.ranges import following, overlaps
 from logloom.shared import cut
 
 
@@ -82,45 +83,16 @@ def with_match_flag(rows: DataFrame, known: DataFrame, key: str, flag: str) -> D
 
 
 def overlap_counts(intervals: DataFrame, logs: DataFrame, grace: str = "INTERVAL 24 HOURS") -> DataFrame:
-    """How many distinct logs(log_id, start, end) overlap each of intervals(id, start, end + grace): a range join by shared buckets.
-
-    An interval's class is the power of two days that is no shorter than it, and it lies in at most two buckets of that size. Two intervals meet in the
-    buckets of the larger class, so a long one makes no more rows than a short one. The exact test follows, and a pair
-    that shares two buckets is kept on the first one only.
-    """
-    day = 86_400_000_000
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-
-    def classed(rows: DataFrame, a: str, z: str) -> DataFrame:
-        size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), (micros(z) - micros(a)) / F.lit(day))))).cast("int")
-        return rows.withColumns({"__c": size, f"__{a}": micros(a), f"__{z}": micros(z)})
-
-    def bucketed(rows: DataFrame, a: str, z: str, classes: list[int]) -> DataFrame:
-        """Rows in the buckets of their own class and of all larger ones in use."""
-        at = lambda c, k: F.floor(F.col(f"__{c}") / (F.lit(float(day)) * F.pow(F.lit(2.0), k)))
-        every = F.filter(F.array(*map(F.lit, classes)), lambda k: k >= F.col("__c"))
-        x = rows.withColumn("__k", F.explode(every))
-        return x.withColumn("__b", F.explode(F.sequence(at(a, F.col("__k")), at(z, F.col("__k")))))
-
-    i = classed(intervals.withColumn("z", F.col("end") + F.expr(grace)), "start", "z")
-    l = classed(logs.select("log_id", F.col("start").alias("ls"), F.col("end").alias("le")), "ls", "le").withColumnRenamed("__c", "__d")
-    used = i.select("__c").union(l.select("__d")).distinct().where("__c is not null")
-    classes = sorted(r[0] for r in used.collect())  # some twenty at most: powers of two of days
-    if not classes:
-        return intervals.withColumn("n_logs", F.lit(0).cast("long"))
-    a = bucketed(i, "start", "z", classes)
-    b = bucketed(l.withColumnRenamed("__d", "__c"), "ls", "le", classes).withColumnRenamed("__c", "__d")
-    met = a.join(b, ["__k", "__b"]).where((F.col("le") >= F.col("start")) & (F.col("ls") <= F.col("z")) & (F.col("__k") == F.greatest("__c", "__d")))
-    first = F.floor(F.greatest("__start", "__ls") / (F.lit(float(day)) * F.pow(F.lit(2.0), F.col("__k"))))
-    n = met.where(F.col("__b") == first).groupBy("id").agg(F.count("*").alias("n_logs"))
-    return intervals.join(n, "id", "left").withColumn("n_logs", F.coalesce("n_logs", F.lit(0)))
+    """intervals(id, start, end) with n_logs: how many logs(log_id, start, end) overlap each from its start to its end + grace. No pair is made."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    i = intervals.select("id", micros(F.col("start")).alias("a"), micros(F.col("end") + F.expr(grace)).alias("z"))
+    n = overlaps(i, logs.select(micros(F.col("start")).alias("a"), micros(F.col("end")).alias("z")))
+    return intervals.join(n.withColumnRenamed("n", "n_logs"), "id", "left").withColumn("n_logs", F.coalesce("n_logs", F.lit(0).cast("long")))
 
 
 def next_within(rows: DataFrame, group: str, is_open, is_close, limit: str) -> DataFrame:
-    """For each opening row the time of the nearest closing row after it within the limit (closers may serve several)."""
-    w = Window.partitionBy(group).orderBy("ts", "seq").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(is_close, F.col("ts"))).over(w)
-    x = rows.withColumn("next_ts", nxt).where(is_open)
+    """For each opening row the time of the nearest closing row after it within the limit (closers may serve several). A group may span many tasks."""
+    x = following(rows, group, ["ts", "seq"], F.when(is_close, F.col("ts")), "next_ts").where(is_open)
     return x.withColumn("next_ts", F.when(F.col("next_ts") <= F.col("ts") + F.expr(limit), F.col("next_ts")))
 
 

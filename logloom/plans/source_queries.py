@@ -182,19 +182,42 @@ def marked_sections(spark, d):
 
 
 @query(
-    """SELECT lang AS kind, count(*) AS n, CAST(sum(CASE WHEN lang IN ('de', 'fr') THEN 2 * n_chars ELSE n_chars END) AS BIGINT) AS chars FROM documents WHERE lang NOT IN ('de', 'fr') OR doc_id % 2 = 0 GROUP BY 1"""
+    """SELECT lang AS kind, count(*) AS n, CAST(sum(CASE WHEN lang IN ('de', 'fr') AND doc_id % 2 = 0 THEN 2 * n_chars ELSE n_chars END) AS BIGINT) AS chars FROM documents GROUP BY 1"""
 )
 def incremental_index(spark, d):
-    """A stream of files upserts an index by partition: the second batch replaces the two languages it touches, and no other."""
+    """A stream of files upserts an index by key: the second batch changes half of the documents of two languages, the others of them stay; it comes twice and counts once."""
     root, where = _place(spark, "arrivals"), _place(spark, "index")
-    x = t(spark, d, "documents").select(F.col("lang").alias("kind"), "doc_id", "n_chars")
-    late = x.where("kind in ('de', 'fr') and doc_id % 2 = 0").withColumn("n_chars", 2 * F.col("n_chars"))
+    x = t(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("kind"), F.col("doc_id").cast("string").alias("path"), "n_chars")
+    late = x.where("kind in ('de', 'fr') and CAST(path AS BIGINT) % 2 = 0").withColumn("n_chars", 2 * F.col("n_chars"))
+
+    def put(df, i):
+        for _ in range(2):
+            jobs.upsert(df, i, where, lambda b: b, "files")
+
     for rows in (x, late):
         rows.write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(x.schema).parquet(f"{root}/in")
         start = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-        start.foreachBatch(lambda df, i: jobs.upsert(df, where, lambda b: b)).start().awaitTermination()
-    return spark.read.parquet(where).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+        start.foreachBatch(put).start().awaitTermination()
+    return sync.read(spark, where, x.schema).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    """SELECT lang AS kind, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 2 ELSE 1 END * n_chars AS size FROM documents WHERE doc_id % 11 <> 0 OR lang = 'de'"""
+)
+def sync_written(spark, d):
+    """A first snapshot written as an index, then the sync of a second one merged into it: removed files go, changed ones are replaced, all others stay where they are."""
+    where = _place(spark, "index")
+    x = t(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("n_chars").alias("size"))
+    known = x.where("doc_id % 7 <> 0 OR doc_id % 11 = 0").withColumn("mtime", F.lit(1))
+    cur = x.where("doc_id % 11 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))
+    ch = cut(sync.delta(known, cur, spark.createDataFrame([("de",)], "kind string")), "delta")
+    first = known.select("kind", "path", "size")
+    sync.merge(first, where, "sync", 0)
+    again = F.when(F.col("doc_id") % 7 == 0, F.col("size")).otherwise(F.col("size") * 2)
+    parsed = cur.join(ch.where("state in ('new', 'changed')"), ["kind", "path"]).select("kind", "path", again.alias("size"))
+    sync.merge(parsed, where, "sync", 1, removed=ch.where("state = 'removed'"))
+    return sync.read(spark, where, first.schema)
 
 
 # --- sessions from records ------------------------------------------------------------------------------------

@@ -149,11 +149,11 @@ def count_late(stream: DataFrame, now, delay: str = "1 hour") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
-def upsert(changed: DataFrame, where: str, read) -> None:
-    """foreachBatch body of the incremental index: read(batch) parses it, and only the partitions it touches are rewritten."""
-    from logloom.sources.sync import write
+def upsert(changed: DataFrame, batch: int, where: str, parse, writer: str, **how) -> bool:
+    """foreachBatch body of the incremental index: parse(changed) is merged by key under the batch's number, so a batch that comes again changes nothing."""
+    from logloom.sources.sync import merge
 
-    write(read(changed), where)
+    return merge(parse(changed), where, writer, batch, **how)
 
 
 def late_counters(batch: DataFrame, now) -> DataFrame:
