@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
-from logloom.functions.udfs import prose_words, redacted, sentences, syllables
+from logloom.functions.language import plain_text, prose_words, sentences, syllables
+from logloom.functions.secrets import redacted
 from logloom.shared import cut
 
 #: Words without a topic (fixed values).
@@ -21,7 +22,7 @@ STOPWORDS = (
 
 def sentence_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, ix, sentence) of every document."""
-    return docs.select("doc_id", F.posexplode(sentences(F.col(text))).alias("ix", "sentence"))
+    return docs.select("doc_id", F.posexplode(sentences(plain_text(F.col(text)))).alias("ix", "sentence"))
 
 
 def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,38 +72,10 @@ def similarity_edges(vectors: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "term"]).where("i <> j").groupBy("doc_id", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("weight"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int = 120) -> DataFrame:
-    """(doc_id, ix, rank): uniform start, weighted steps, stop when the largest change is below epsilon or after `rounds`.
-
-    What a node without edges holds is not dealt out. Documents are independent, so each one's graph (no larger than its text) is
-    iterated where its rows meet: one shuffle, instead of a join and a shuffle of all edges per round.
-    """
-
-    def rank(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ix = np.sort(n["ix"].to_numpy())
-        size = len(ix)
-        if not size:
-            return pd.DataFrame({"doc_id": [], "ix": [], "rank": []})
-        r = np.full(size, 1.0 / size)
-        i, j = np.searchsorted(ix, e["i"].to_numpy()), np.searchsorted(ix, e["j"].to_numpy())
-        w = e["weight"].to_numpy(dtype=float)
-        p = w / np.bincount(i, weights=w, minlength=size)[i] if len(w) else w
-        for _ in range(rounds):
-            new = (1 - damping) / size + damping * np.bincount(j, weights=p * r[i], minlength=size)
-            change, r = np.abs(new - r).max(), new
-            if change < epsilon:
-                break
-        return pd.DataFrame({"doc_id": n["doc_id"].iloc[0], "ix": ix, "rank": r})
-
-    kind = nodes.schema["doc_id"].dataType.simpleString()
-    return nodes.select("doc_id", "ix").groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(
-        rank, f"doc_id {kind}, ix int, rank double"
-    )
-
-
 def rank_sentences(sents: DataFrame, vectors: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, rounds: int = 120) -> DataFrame:
-    """As page_rank() over similarity_edges(), without the edges: (doc_id, ix, rank).
+    """(doc_id, ix, rank): weighted steps over similarity_edges() from a uniform start, until the largest change is below epsilon or after `rounds`.
 
+    What a sentence without edges holds is not dealt out. The edges are never made.
     A step from all sentences goes through their terms: what a sentence gives is added up by term, and each sentence takes from its terms, less
     what it gave itself. So a round costs, and a document's task holds, as much as its text, and pairs of sentences are never made.
     """
@@ -149,9 +122,9 @@ def top_sentences(ranks: DataFrame, k: int = 3) -> DataFrame:
 
 def readability(sents: DataFrame) -> DataFrame:
     """Per document: sentences with prose, words, syllables, grade. Syllables are counted once for each distinct word."""
-    words = sents.select("doc_id", "ix", F.explode(prose_words("sentence")).alias("word"))
+    words = sents.select("doc_id", "ix", F.explode(prose_words(F.col("sentence"))).alias("word"))
     per_word = words.groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    known = per_word.select("word").distinct().withColumn("s", syllables("word"))
+    known = per_word.select("word").distinct().withColumn("s", syllables(F.col("word")))
     total = per_word.join(known, "word").groupBy("doc_id").agg(F.sum("k").alias("words"), F.sum(F.col("k") * F.col("s")).alias("syllables"))
     n = words.groupBy("doc_id").agg(F.countDistinct("ix").alias("sentences"))
     per_sentence = F.col("words") / F.col("sentences")

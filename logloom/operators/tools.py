@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
-from logloom.functions.udfs import invoked_commands
+from logloom.functions.shell import invoked_commands
 
 
 def server_usage(calls: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def trigger_coverage(events: DataFrame, probes: DataFrame) -> DataFrame:
 
 def commands(lines: DataFrame, column: str) -> DataFrame:
     """One row per program that a shell line runs."""
-    return lines.withColumn("name", F.explode(invoked_commands(column)))
+    return lines.withColumn("name", F.explode(invoked_commands(F.col(column))))
 
 
 def prefer(rows: DataFrame, key: str, *order) -> DataFrame:

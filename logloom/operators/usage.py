@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
-from logloom.functions.udfs import redacted_command
+from logloom.functions.secrets import masked_command
 
 TIERS = ("input", "output", "cache_read", "cache_creation")
 BLOCK = "5 hours"
@@ -88,7 +88,7 @@ def hook_health(hooks: DataFrame) -> DataFrame:
 
 def hook_report(hooks: DataFrame) -> DataFrame:
     """hook_health() with each command's label, and the command as it may be shown: secrets masked."""
-    return hook_health(hooks).withColumns({"label": X.hook_label(F.col("command")), "shown": redacted_command("command")})
+    return hook_health(hooks).withColumns({"label": X.hook_label(F.col("command")), "shown": masked_command(F.col("command"))})
 
 
 def daily_trend(sessions: DataFrame) -> DataFrame:
