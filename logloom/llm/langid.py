@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.columns import documents, quoted
 from logloom.llm.textops import buffer, chunks, column, mix64
+from logloom.shared import cut
 
 #: Signs of a vector, and letters of an n-gram.
 SIZE, GRAM = 2048, 3
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZ
 
     x = docs.select(F.col(quoted(text)).cast("string").alias("text"), F.col(quoted(lang)).cast("string").alias("lang")).where("lang is not null")
     found = x.mapInArrow(step, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v"))
+    found = cut(found, "language-sums")
     if (n := found.where("i = 0").limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not n:
