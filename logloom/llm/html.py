@@ -6,10 +6,13 @@ are its capacities to the two terminals. Neighbouring blocks are joined by smoot
 element tree, and blocks of one parent are joined over interruptions. A maximum flow (two search trees that stay between augmentations)
 finds the cheapest cut, and the blocks left on the source's side are the main text.
 
-The weights of a block's own text are fitted: fit() takes the blocks whose elements say what they are (inside article or main; inside
-nav, header, footer, aside or form) of at most SAMPLE pages as labelled rows, and finds the logistic weights nearest to a prior. The odds that
+The weights of a block's own text and of the class names above it are fitted: fit() takes the blocks whose elements say what they are (inside
+article or main; inside nav, header, footer or aside) of at most SAMPLE pages as labelled rows, and finds the logistic weights nearest to a prior. The odds that
 elements carry are fixed, and class names are weaker: an element's names are averaged, so one telling word among several others
-decides nothing by itself. The list of telling names covers four languages and is a parameter.
+decides nothing by itself; names that deny or only mention a thing (no-ads, has-sidebar), and those of html and body, say nothing. An element that holds most of
+the page's text with its article, main or first heading wraps the page, so neither its names nor its being a form speak against what it holds. The header of an
+article is part of it; an article inside another is a reader's comment, and so are siblings of one kind that begin with a short line that is no heading and go on. The list
+of telling names covers four languages and is a parameter.
 
 Defined results: a null or empty page, and one without main text, gives an empty text; a tag that is cut off at the end of
 a page is dropped; unclosed elements end with their parent; a slash closes only svg and math elements; repeated rows repeat; an empty table gives an
@@ -34,6 +37,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _INSIDE = re.compile(r"[^>\"']*")
 _VALUE = re.compile(r"=\s*\Z")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
@@ -46,7 +50,9 @@ INLINE = frozenset(
     "sup time tt u var wbr br input".split()
 )
 #: Never text of the page.
-HIDDEN = frozenset("head script style noscript template svg math canvas object select button textarea iframe form".split())
+HIDDEN = frozenset("head script style noscript template svg math canvas object select button textarea iframe".split())
+#: What may stand in a head; anything else ends it (fixed values of the HTML standard).
+IN_HEAD = frozenset("head title base link meta style script noscript template".split())
 #: An opening element of these closes an open one of the same kind, up to the named containers.
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -60,6 +66,12 @@ ELEMENTS = {
     "article": 5.0, "main": 4.0, "blockquote": 0.5, "pre": 0.5,
     "nav": -8.0, "header": -6.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0,
 }
+#: An article inside an article, and siblings that begin with a byline: readers' comments.
+NESTED, BYLINES = -9.0, -7.0
+#: The longest byline, and elements that may be one comment of several.
+BYLINE, REPEATED = 60, frozenset("li div section article".split())
+#: Names that begin so deny, or only mention, what follows.
+MENTIONS = frozenset("no not has with without hide hidden show is".split())
 #: Telling class names, ids and roles (a parameter): English, German, French, Spanish.
 WORDS = {
     2.0: "article artikel articulo",
@@ -78,8 +90,8 @@ WORDS = {
 TELLING = {w: odds for odds, words in WORDS.items() for w in words.split()}
 
 #: Features of a block's own text, and the prior of their weights.
-FEATURES = ("bias", "linked", "length", "sentence", "digits", "paragraph", "heading", "item", "other")
-PRIOR = (-0.5, -4.0, 0.4, 0.5, 0.0, 0.5, 0.5, 0.0, 0.0)
+FEATURES = ("bias", "linked", "length", "sentence", "digits", "paragraph", "heading", "item", "other", "names")
+PRIOR = (-0.5, -4.0, 0.4, 0.5, 0.0, 0.5, 0.5, 0.0, 0.0, 1.0)
 #: Pages whose blocks are the labelled rows of fit(), at most.
 SAMPLE = 1000
 SMOOTH = 1.0
@@ -95,7 +107,8 @@ def _odds_of_names(attributes: str, telling: dict) -> float:
     for found in _ATTR.findall(attributes):
         for name in "".join(found).split():
             parts = _WORD.findall(_HUMP.sub(" ", name).lower())
-            total += max((telling.get(p, 0.0) for p in parts), key=abs, default=0.0)
+            mentioned = len(parts) > 1 and parts[0] in MENTIONS
+            total += 0.0 if mentioned else max((telling.get(p, 0.0) for p in parts), key=abs, default=0.0)
             n += 1
     return total / n if n else 0.0
 
@@ -103,21 +116,61 @@ def _odds_of_names(attributes: str, telling: dict) -> float:
 class Block:
     """A block of text: what it holds, where it stands, and the odds that its surroundings give it."""
 
-    __slots__ = ("parts", "linked", "text", "kind", "parent", "depth", "low", "around", "sure")
+    __slots__ = ("parts", "linked", "text", "kind", "parent", "depth", "low", "around", "names", "sure")
 
-    def __init__(self, kind, parent, depth, low, around, sure):
-        self.parts, self.linked, self.text = [], 0, ""
-        self.kind, self.parent, self.depth, self.low, self.around, self.sure = kind, parent, depth, low, around, sure
+    def __init__(self, kind, parent, depth, low, sure):
+        self.parts, self.linked, self.text, self.around, self.names = [], 0, "", 0.0, 0.0
+        self.kind, self.parent, self.depth, self.low, self.sure = kind, parent, depth, low, sure
+
+
+class Mark:
+    """An element that speaks for or against the blocks begin to end - 1."""
+
+    __slots__ = ("what", "odds", "number", "begin", "end")
+
+    def __init__(self, what, odds, number, begin):
+        self.what, self.odds, self.number, self.begin, self.end = what, odds, number, begin, None
+
+
+def _weigh(out: list[Block], marks: list[Mark], siblings: dict, anchors: dict[str, tuple[int, int]]) -> None:
+    """Fill in what surrounds each block: the odds of elements, and of names, above it."""
+    size = [0]
+    for b in out:
+        size.append(size[-1] + len(b.text))
+    anchor = next((anchors[k] for k in ("main", "article", "h1") if k in anchors), None)
+    elements, names = [0] * (len(out) + 1), [0] * (len(out) + 1)
+
+    def add(to, begin, end, odds):
+        to[begin] += round(odds * UNIT)
+        to[end] -= round(odds * UNIT)
+
+    for m in marks:
+        end = len(out) if m.end is None else m.end
+        holds = anchor is not None and m.number < anchor[0] and m.begin <= anchor[1] < end
+        wraps = 2 * (size[end] - size[m.begin]) > size[-1] and (holds or anchor is None and m.what == "form")
+        if m.odds > 0 or m.what == "element" or not wraps:
+            add(names if m.what == "name" else elements, m.begin, end, m.odds)
+    for spans in siblings.values():
+        told = [out[a].kind != 6 and len(out[a].text) <= BYLINE for a, _ in spans]
+        if len(spans) > 1 and 5 * sum(told) >= 4 * len(spans) and not any(anchor is not None and a <= anchor[1] < z for a, z in spans):
+            for a, z in spans:
+                add(elements, a, z, BYLINES)
+    e = k = 0
+    for i, b in enumerate(out):
+        e, k = e + elements[i], k + names[i]
+        b.around, b.names = e / UNIT, k / UNIT
 
 
 def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
     """The text blocks of a page in order; one forward scan, whatever the markup."""
-    stack: list[tuple] = []  # (name, number, odds of its class names) of the open block-level elements
+    stack: list[tuple] = []  # (name, number, marks, class) of the open block-level elements
     places: dict[str, list[int]] = {}  # where elements of a name stand in the stack
     scopes: list[int] = []
     above = Counter()  # open elements by name
-    around = 0.0  # odds of all that is open; an element's name counts once
-    inline_links = hidden = foreign = number = at = 0
+    marks: list[Mark] = []
+    siblings: dict[tuple, list[tuple[int, int]]] = {}  # blocks of the elements of one kind and parent
+    anchors: dict[str, tuple[int, int]] = {}  # number and first block of the page's first main, article and h1
+    inline_links = hidden = foreign = number = at = site = 0  # site: open elements that are the page's, not the text's
     low = 0  # least depth since the last block began
     out: list[Block] = []
     current, raw, n = None, None, len(html)
@@ -125,6 +178,8 @@ def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
 
     def text(s: str):
         nonlocal current, low
+        if hidden == 1 and above["head"] and s.strip():
+            close("head")
         if hidden or not s:
             return
         if current is None:
@@ -132,9 +187,8 @@ def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
                 return
             kind = _KINDS.get(stack[-1][0], 8) if stack else 8
             parent = stack[-2][1] if len(stack) > 1 else -1
-            bad = above["nav"] or above["header"] or above["footer"] or above["aside"]
-            sure = 0 if bad else 1 if above["article"] or above["main"] else None
-            current = Block(kind, parent, len(stack), min(low, len(stack)), around, sure)
+            sure = 0 if site else 1 if above["article"] or above["main"] else None
+            current = Block(kind, parent, len(stack), min(low, len(stack)), sure)
             low = len(stack)
             out.append(current)
         s = unescape(s)
@@ -142,31 +196,42 @@ def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
         if inline_links:
             current.linked += len(s.strip())
 
-    def open_(name: str, odds: float):
-        nonlocal around, number, hidden, foreign
-        if not above[name]:
-            around += ELEMENTS.get(name, 0.0)
+    def open_(name: str, attributes: str):
+        nonlocal number, hidden, foreign, site
+        mine, odds = [], _odds_of_names(attributes, telling) if attributes and name not in ("html", "body") else 0.0
+        if name == "article" and above[name] == 1:
+            mine.append(Mark("element", NESTED, number, len(out)))
+        elif name in ELEMENTS and not above[name] and not (name == "header" and (above["article"] or above["main"])):
+            mine.append(Mark("form" if name == "form" else "element", ELEMENTS[name], number, len(out)))
+            site += ELEMENTS[name] < 0 and name != "form"
+        if odds:
+            mine.append(Mark("name", odds, number, len(out)))
+        marks.extend(mine)
+        if name in ("main", "article", "h1"):
+            anchors.setdefault(name, (number, len(out)))
         above[name] += 1
-        around += odds
         places.setdefault(name, []).append(len(stack))
         if name in SCOPES:
             scopes.append(len(stack))
-        stack.append((name, number, odds))
+        found = _CLASS.search(attributes) if name in REPEATED else None
+        stack.append((name, number, mine, "".join(x or "" for x in found.groups()) if found else "", len(out)))
         number += 1
         hidden += name in HIDDEN
         foreign += name in ("svg", "math")
 
     def close(name: str):
-        nonlocal around, hidden, foreign, low
+        nonlocal hidden, foreign, low, site
         while stack:
-            top, _, odds = stack.pop()
+            top, _, mine, kind, begin = stack.pop()
             places[top].pop()
             if top in SCOPES:
                 scopes.pop()
             above[top] -= 1
-            around -= odds
-            if not above[top]:
-                around -= ELEMENTS.get(top, 0.0)
+            for m in mine:
+                m.end = len(out)
+                site -= m.what == "element" and m.odds < 0 and m.odds != NESTED
+            if top in REPEATED and (kind or top in ("li", "article")) and len(out) > begin + 1:
+                siblings.setdefault((stack[-1][1] if stack else -1, top, kind), []).append((begin, len(out)))
             hidden -= top in HIDDEN
             foreign -= top in ("svg", "math")
             if top == name:
@@ -239,19 +304,23 @@ def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
         current, inline_links = None, 0
         if name in VOID or foreign and html[end - 1] == "/":
             continue
+        if above["head"] and hidden == 1 and name not in IN_HEAD:
+            close("head")
         for shut in CLOSES.get(name, ("p",) if name in SCOPES else ()):
             here = places.get(shut)
             if here and here[-1] > (scopes[-1] if scopes else -1):
                 close(shut)
-        open_(name, _odds_of_names(html[name_at.end() : end], telling) if end > name_at.end() else 0.0)
+        open_(name, html[name_at.end() : end])
         if name in RAW:
             raw = name
     done = []
     low = None  # of blocks that turn out empty
     for b in out:
-        low = b.low if low is None else min(low, b.low)
         b.text = _SPACES.sub(" ", "".join(b.parts)).strip()
         b.parts = ()
+    _weigh(out, marks, siblings, anchors)
+    for b in out:
+        low = b.low if low is None else min(low, b.low)
         if b.text:
             b.low, low = low, None
             done.append(b)
@@ -261,7 +330,7 @@ def blocks_of(html: str, telling: dict = TELLING) -> list[Block]:
 def features(b: Block) -> list[float]:
     """The features of a block's own text, in the order of FEATURES."""
     x = [1.0, min(1.0, b.linked / len(b.text)), min(4.0, len(b.text) / 60), float(b.text[-1] in ".!?…。:")]
-    x += [sum(map(str.isdigit, b.text[:200])) / min(200, len(b.text)), 0.0, 0.0, 0.0, 0.0]
+    x += [sum(map(str.isdigit, b.text)) / len(b.text), 0.0, 0.0, 0.0, 0.0, b.names]
     x[b.kind] = 1.0
     return x
 
@@ -407,7 +476,7 @@ def fit(pages: DataFrame, html: str = "html", telling: dict = TELLING, sample: i
     """
     share = max(1, -(-pages.count() // sample))
     x = pages.select(F.col(quoted(html)).cast("string").alias("__html"), F.xxhash64(*[F.col(quoted(c)) for c in pages.columns]).alias("__h"))
-    x = x.where(F.pmod("__h", F.lit(share)) == 0).limit(sample).select("__html")
+    x = x.where(F.pmod("__h", F.lit(share)) == 0).orderBy("__h").limit(sample).select("__html")
     names = [*FEATURES, "label"]
 
     def run(batches):

@@ -446,6 +446,42 @@ def test_class_names_are_weak_evidence_and_scans_are_linear():
     assert html.main_text(deep) == "Deep down."
 
 
+LONG = "This is a paragraph of the text, with some words in it. " * 3
+LOST = {
+    "a head without its end": f"<html><head><title>t</title><meta x><body><article><h1>Head</h1><p>{LONG}</article>",
+    "text after a head": f"<head><title>t</title>{LONG}",
+    "one form around all": f"<body><form action=x><div class=nav><a href=y>Home</a></div><main><h1>Head</h1><p>{LONG}</p></main></form></body>",
+    "one form, no main": f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div><input></form></body>",
+    "names of the body": f'<body class="has-sidebar sidebar"><article><h1>Head</h1><p>{LONG}</p></article></body>',
+    "names that deny": f'<body class=x><div class="no-ads"><article><p>{LONG}</p></article></div></body>',
+    "a wrapper with a bad name": f'<div id="sidebar"><div class="comments"><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article></div></div>',
+    "a header of the article": f"<header><p>Site name here.</p></header><article><header><h1>Head</h1></header><p>{LONG}</p></article>",
+}
+REPLIES = {
+    "nested articles": "<article><p>Ann wrote</p><p>I liked this very much, thanks a lot.</p></article>" * 3,
+    "a neutral list": "<div class=thread>" + "<div class=entry-x><span>Ann, 3 May</span><p>I liked this very much, thanks a lot.</p></div>" * 4 + "</div>",
+    "responses": "<section class=responses><ol>" + "<li><div>Bob</div><p>No, it is wrong, as I said before, it is.</p></li>" * 3 + "</ol></section>",
+}
+
+
+@pytest.mark.parametrize("name", list(LOST))
+def test_pages_that_were_lost(spark, name):
+    df = spark.createDataFrame([(1, LOST[name])], "page_id long, html string")
+    text = html.extract(df, weights=html.PRIOR).first().text
+    assert LONG.strip() in text and ("Head" in text) == ("<h1>" in LOST[name]) and "Home" not in text and "Site name" not in text
+
+
+@pytest.mark.parametrize("name", list(REPLIES))
+def test_readers_comments_without_a_telling_name(spark, name):
+    page = f"<body><article><h1>Head</h1><p>{LONG}</p><h2>Part</h2><ul><li>one point of it<li>two</ul><p>{LONG}</p>{REPLIES[name]}</article></body>"
+    text = html.extract(spark.createDataFrame([(1, page)], "page_id long, html string"), weights=html.PRIOR).first().text
+    assert text == f"Head\n{LONG.strip()}\nPart\none point of it\ntwo\n{LONG.strip()}"
+
+
+def test_a_real_form_goes():
+    assert html.main_text(f"<article><p>{LONG}</p><form><p>Your name and your address, please.</p><input></form></article>") == LONG.strip()
+
+
 def reference_main_text(page, weights):
     """The extraction by trying all labellings, on what a plain parser sees: for pages of few blocks without odd markup."""
     from html.parser import HTMLParser
@@ -485,7 +521,7 @@ def reference_main_text(page, weights):
     for stack, parts in found:
         text = " ".join("".join(p for p, _ in parts).split())
         x = dict.fromkeys(html.FEATURES, 0.0)
-        x |= {"bias": 1.0, "length": min(4.0, len(text) / 60), "sentence": float(text[-1] in ".!?…。:"), "digits": sum(c.isdigit() for c in text[:200]) / min(200, len(text))}
+        x |= {"bias": 1.0, "length": min(4.0, len(text) / 60), "sentence": float(text[-1] in ".!?…。:"), "digits": sum(c.isdigit() for c in text) / len(text)}
         x[{"p": "paragraph", "h1": "heading", "li": "item"}.get(stack[-1][0], "other")] = 1.0
         odds.append(sum({t: html.ELEMENTS.get(t, 0.0) for t, _, _ in stack}.values()) + sum(s[2] for s in stack) + sum(w * x[f] for w, f in zip(weights, html.FEATURES)))
         odds[-1] = round(html.GRAIN * odds[-1]) / html.GRAIN
