@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
+from logloom.operators import ranks
 from logloom.operators.ranges import following, overlaps
 from logloom.shared import cut
 
@@ -30,7 +31,7 @@ def by_specialist(pairs: DataFrame) -> DataFrame:
     mode = X.launch_mode(F.col("status"), F.col("is_async"))
     x = pairs.withColumn("mode", mode)
     n = lambda m: F.count_if(F.col("mode") == m)
-    return x.groupBy("specialist").agg(
+    out = x.groupBy("specialist").agg(
         F.count("*").alias("n"),
         F.countDistinct("session_id").alias("sessions"),
         F.min("ts").alias("first_ts"),
@@ -38,9 +39,9 @@ def by_specialist(pairs: DataFrame) -> DataFrame:
         n("background").alias("background"),
         n("foreground").alias("foreground"),
         n("unknown").alias("unknown_mode"),
-        X.upper_median("prompt_length").alias("median_prompt"),
         F.count_if(F.col("prompt_length").isNull()).alias("missing_prompt"),
     )
+    return ranks.beside(out, "specialist", ranks.at_places(x, "specialist", "prompt_length", median_prompt=ranks.upper_middle()), "median_prompt")
 
 
 def delegated_work(records: DataFrame) -> DataFrame:

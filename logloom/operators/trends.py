@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
+from logloom.operators import ranks
 
 
 def prompts_by_hour(prompts: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -22,19 +23,19 @@ def prompts_by_day(prompts: DataFrame) -> DataFrame:
 
 def prompt_stats(prompts: DataFrame) -> DataFrame:
     """Per project: prompts, pastes, first and last, upper-median length."""
-    return prompts.groupBy("project").agg(
+    out = prompts.groupBy("project").agg(
         F.count("*").alias("n"),
         F.count_if("had_paste").alias("pastes"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        X.upper_median("length").alias("median_length"),
     )
+    return ranks.beside(out, "project", ranks.at_places(prompts, "project", "length", median_length=ranks.upper_middle()), "median_length")
 
 
 def month_spine(rows: DataFrame, ts: str, last=None, most: int = 120) -> DataFrame:
     """Every month from the first row's to `last` (a column; default the last row's), at most the newest `most`, with zeros.
 
-    The spine comes from one aggregated row; `before` and `after` count what lies outside.
+    The spine comes from one aggregated row. What lies outside is counted in one row each, as the month 'before' and 'after', where there is any.
     """
     m = F.trunc(ts, "month")
     ends = rows.agg(F.min(m).alias("a"), F.max(m).alias("z"))
@@ -44,9 +45,11 @@ def month_spine(rows: DataFrame, ts: str, last=None, most: int = 120) -> DataFra
         F.explode(F.sequence(start, end, F.expr("interval 1 month"))).alias("month")
     )
     n = rows.where(F.col(ts).isNotNull()).groupBy(m.alias("month")).agg(F.count("*").alias("n"))
-    return spine.join(n, "month", "left").select(
-        F.date_format("month", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    inside = spine.join(n, "month", "left").select(F.date_format("month", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
+    bounds = ends.select(start.alias("a"), end.alias("z"))
+    side = F.when(F.col("month") < F.col("a"), "before").when(F.col("month") > F.col("z"), "after")
+    outside = n.join(F.broadcast(bounds)).withColumn("side", side).where("side is not null")  # one row of bounds
+    return inside.unionByName(outside.groupBy(F.col("side").alias("month")).agg(F.sum("n").alias("n")))
 
 
 def skill_activity(records: DataFrame) -> DataFrame:
@@ -96,15 +99,14 @@ def aging(entries: DataFrame, now) -> DataFrame:
 
 def aging_summary(aged: DataFrame) -> DataFrame:
     open_, closed = F.col("status") == "open", F.col("status") == "resolved"
+    closing = aged.where(closed).select(F.lit(1).alias("one"), "days")
+    middle = ranks.at_places(closing, "one", "days", median=ranks.upper_middle()).agg(F.max("median").cast("long").alias("median_days_to_close"))
     return aged.agg(
         F.count_if(open_).alias("open"),
         F.count_if(closed).alias("resolved"),
         F.max(F.when(open_, F.col("days"))).alias("oldest_days"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'resolved' THEN days END DESC)")
-        .cast("long")
-        .alias("median_days_to_close"),
         (F.count_if(closed) / F.nullif(F.count_if(open_ | closed), F.lit(0))).alias("resolution_rate"),
-    )
+    ).join(F.broadcast(middle))  # one row each
 
 
 def outcome_tallies(judged: DataFrame, *columns: str) -> DataFrame:

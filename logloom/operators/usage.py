@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
 from logloom.functions.secrets import masked_command
+from logloom.operators import ranks
 
 TIERS = ("input", "output", "cache_read", "cache_creation")
 BLOCK = "5 hours"
@@ -75,15 +76,16 @@ def total_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
 def hook_health(hooks: DataFrame) -> DataFrame:
     """Per command: runs, missing durations, nearest-rank p50 and p95, maximum, total (0 without any), sessions."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return hooks.groupBy("command").agg(
+    out = hooks.groupBy("command").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("duration_ms").isNull()).alias("missing"),
-        zero(X.nearest_rank("duration_ms", 0.5)).alias("p50"),
-        zero(X.nearest_rank("duration_ms", 0.95)).alias("p95"),
         zero(F.max("duration_ms")).alias("max_ms"),
         zero(F.sum("duration_ms")).alias("total_ms"),
         F.countDistinct("session_id").alias("sessions"),
     )
+    at = ranks.at_places(hooks, "command", "duration_ms", p50=ranks.nearest(0.5), p95=ranks.nearest(0.95))
+    out = ranks.beside(out, "command", at, "p50", "p95")
+    return out.select("command", "n", "missing", zero("p50").alias("p50"), zero("p95").alias("p95"), "max_ms", "total_ms", "sessions")
 
 
 def hook_report(hooks: DataFrame) -> DataFrame:

@@ -195,6 +195,16 @@ def month_trend(spark, d):
     return trends.month_spine(o, "o_orderdate")
 
 
+@query(
+    """WITH m AS (SELECT date_trunc('month', o_orderdate) AS month FROM orders), s AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-01', INTERVAL 1 MONTH)) AS month)
+SELECT strftime(s.month, '%Y-%m') AS month, count(m.month) AS n FROM s LEFT JOIN m ON s.month = m.month GROUP BY s.month
+UNION ALL SELECT 'before', count(*) FROM m WHERE month < TIMESTAMP '1996-01-01' HAVING count(*) > 0 UNION ALL SELECT 'after', count(*) FROM m WHERE month > TIMESTAMP '1997-12-01' HAVING count(*) > 0"""
+)
+def month_trend_window(spark, d):
+    """Two years of months; what lies before and after is counted, not lost."""
+    return trends.month_spine(t(spark, d, "orders"), "o_orderdate", F.lit("1997-12-15").cast("timestamp"), 24)
+
+
 @query(
     """WITH r AS (SELECT event_type AS skill, ts, user_id, event_id % 3 = 0 AS del, user_id % 7 AS project FROM events),
 m AS (SELECT skill, strftime(ts, '%Y-%m-%d') AS mo, count(*) AS n FROM r GROUP BY 1, 2),
