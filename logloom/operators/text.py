@@ -165,35 +165,85 @@ def doc_lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
 
 
-def _heads(c) -> "F.Column":
-    """The first one and the first two characters, by which prefixes and terms meet."""
-    return F.array_distinct(F.array(F.substring(c, 1, 1), F.substring(c, 1, 2)))
+#: A prefix meets terms by at most so many characters; the rest of a longer one is compared.
+LONGEST_HEAD = 24
+#: Buckets of documents, for each of which a prefix keeps its largest part of a score.
+BUCKETS = 1024
 
 
-def search(
-    index: DataFrame, n_docs: int, query: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None
-) -> DataFrame:
-    """(query_id, doc_id, score): every prefix term of query(query_id, query) must match; bm25 with field weights (no stemming), best first.
+def prefix_matches(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(q, term): the terms that start with each of prefixes(q). Terms are written out at the prefix lengths in use, and equal heads meet."""
+    head = F.least(F.length("q"), F.lit(LONGEST_HEAD))
+    widths = sorted(r.w for r in prefixes.select(head.alias("w")).distinct().collect())  # LONGEST_HEAD at most
+    used = F.filter(F.array(*map(F.lit, widths)).cast("array<int>"), lambda w: w <= F.length("term"))
+    heads = terms.select("term", F.explode(used).alias("w")).select("term", F.expr("substring(term, 1, w)").alias("head"))
+    met = heads.join(prefixes.select("q", F.substring("q", 1, LONGEST_HEAD).alias("head")), "head")
+    return met.where(F.col("term").startswith(F.col("q"))).select("q", "term")
 
-    Query terms meet the index's terms by their first characters, then by the exact prefix, in one pass over the vocabulary; what they match meets
-    the postings by term. Tables of queries may be of any size.
-    """
-    q = query.select("query_id", F.explode(F.array_distinct(X.query_terms(F.col("query")))).alias("q"))
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
+
+def _asked(query: DataFrame) -> DataFrame:
+    """(query_id, q, need): the different terms of each query and their number."""
+    terms = F.array_distinct(X.query_terms(F.col("query")))
+    return query.select("query_id", F.explode(terms).alias("q"), F.size(terms).alias("need"))
+
+
+def prefix_parts(index: DataFrame, n_docs: int, prefixes: DataFrame, weights: dict[str, float], k1: float, b: float, lengths: DataFrame | None) -> DataFrame:
+    """(q, doc_id, part, df): what each of prefixes(q) adds to the score of each document that holds it; once for all queries that ask for it."""
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("field")), F.lit(1.0))
-    words = index.select("term").distinct().select("term", F.explode(_heads("term")).alias("h"))
-    prefixes = q.select("q").distinct().withColumn("h", F.substring("q", 1, 2))
-    matched = words.join(prefixes, "h").where(F.col("term").startswith(F.col("q"))).select("term", "q")
-    matched = matched.join(q, "q")
-    hits = index.join(matched, "term").groupBy("query_id", "q", "doc_id").agg(F.sum(F.col("tf") * w).alias("tf"))
+    matched = prefix_matches(index.select("term").distinct(), prefixes)
+    hits = index.join(matched, "term").groupBy("q", "doc_id").agg(F.sum(F.col("tf") * w).alias("tf"))
     length = doc_lengths(index) if lengths is None else lengths
-    df = hits.groupBy("query_id", "q").agg(F.count("*").alias("df"))
-    mean = length.agg(F.avg("len").alias("mean")).withColumn("__one", F.lit(1))  # one row
-    x = hits.join(df, ["query_id", "q"]).join(length, "doc_id").withColumn("__one", F.lit(1)).join(F.broadcast(mean), "__one")
+    df = hits.groupBy("q").agg(F.count("*").alias("df"))
+    mean = length.agg(F.avg("len").alias("mean"))
+    x = hits.join(df, "q").join(length, "doc_id").join(F.broadcast(mean))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    x = x.withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("got"))
-    return x.join(need, "query_id").where("got = need").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return x.select("q", "doc_id", part.alias("part"), "df")
+
+
+def _rarest(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """asked with `first` for each query's rarest term; queries with a term that nothing matches go."""
+    df = parts.select("q", "df").distinct()
+    x = asked.join(df, "q")
+    every, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("df", "q")
+    return x.withColumn("found", F.count("*").over(every)).where("found = need").select("query_id", "q", "need", (F.row_number().over(order) == 1).alias("first"))
+
+
+def _scored(candidates: DataFrame, asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of candidates(query_id, doc_id) of the rarest terms that hold all others, too."""
+    x = candidates.select("query_id", "doc_id").join(asked.select("query_id", "q", "need"), "query_id").join(parts.select("q", "doc_id", "part"), ["q", "doc_id"])
+    x = x.groupBy("query_id", "doc_id", "need").agg(F.sum("part").alias("score"), F.count("*").alias("got"))
+    return x.where("got = need").select("query_id", "doc_id", "score")
+
+
+def search(
+    index: DataFrame, n_docs: int, query: DataFrame, weights: dict[str, float], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None, k: int | None = None
+) -> DataFrame:
+    """(query_id, doc_id, score): every prefix term of query(query_id, query) must match; bm25 with field weights (no stemming). With k, the k best of each query (equal ones by doc_id).
+
+    A query's candidates are the documents of its rarest term. For the k best, some candidates are scored first; their k-th score is a threshold, and of
+    the rest only those go on whose own part and the largest parts of the other terms, in the document's bucket, can reach it.
+    """
+    asked = _asked(query)
+    parts = cut(prefix_parts(index, n_docs, asked.select("q").distinct(), weights, k1, b, lengths), "search-parts")
+    asked = cut(_rarest(asked, parts), "search-asked")
+    candidates = asked.where("first").select("query_id", "q").join(parts, "q").select("query_id", "doc_id", "part")
+    if k is None:
+        return _scored(candidates, asked, parts).withColumn("score", F.round("score", 6))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    largest = parts.select("q", bucket, "part").groupBy("q", "bucket").agg(F.max("part").alias("top"))
+    near = candidates.select("query_id", "doc_id", "part", bucket).join(asked, "query_id").join(largest, ["q", "bucket"])
+    top = F.sum(F.when(F.col("first"), F.col("part")).otherwise(F.col("top")))
+    near = near.groupBy("query_id", "doc_id", "need").agg(top.alias("bound"), F.count("*").alias("n")).where("n = need")
+    bounded = cut(near.select("query_id", "doc_id", "bound"), "search-bounded")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "doc_id")
+    first = _scored(bounded.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * k), asked, parts)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    enough = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
+    left = bounded.join(enough, "query_id", "left").where("least is null or bound >= least - 1e-5")
+    x = _scored(left, asked, parts).withColumn("score", F.round("score", 6))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return x.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
 def excerpts(hits: DataFrame, query: DataFrame, docs: DataFrame, text: str = "text", tokens: int = 14) -> DataFrame:
@@ -216,14 +266,12 @@ def _grams(size: int) -> "F.Column":
 def fuzzy_terms(vocabulary: DataFrame, query: DataFrame, ratio: float = 0.2) -> DataFrame:
     """(query_id, q, term, distance): index terms that start with a query term or lie within ratio x its length of edits.
 
-    Prefixes meet by first characters. Near spellings meet by pieces: of k + 1 pieces of the query term at least one is left whole by k edits, and
+    Prefixes meet equal heads of terms. Near spellings meet by pieces: of k + 1 pieces of the query term at least one is left whole by k edits, and
     stands in the other word at most k places off; the distance is computed for such pairs only.
     """
     q = query.select("query_id", F.explode(F.array_distinct(X.query_terms(F.col("query")))).alias("q"))
     terms, one = vocabulary.select("term").distinct(), q.select("q").distinct()
-    heads = terms.select("term", F.explode(_heads("term")).alias("h"))
-    starts = heads.join(one.withColumn("h", F.substring("q", 1, 2)), "h").where(F.col("term").startswith(F.col("q")))
-    starts = starts.select("q", "term", F.lit(0).alias("distance"))
+    starts = prefix_matches(terms, one).withColumn("distance", F.lit(0))
     near = one.withColumn("most", F.floor(F.length("q") * F.lit(ratio)).cast("int")).where("most > 0")
     n, pieces = F.length("q"), F.col("most") + 1
     bound = lambda i: F.floor(i * n / pieces).cast("int")

@@ -485,15 +485,29 @@ def fuzzy_search(spark, d):
     return text.fuzzy_search(ix, q, {"title": 3.0, "description": 2.0})
 
 
-@query("""SELECT doc_id, source AS query, CASE WHEN strlen(coalesce(text, '')) > 0 THEN 'found' ELSE 'empty' END AS state FROM documents WHERE doc_id % 50 = 0""")
+_BEST = _POSTINGS + _ASKED.replace("SELECT p.query_id, doc_id, round(sum(part), 6) AS score FROM p", ", s AS (SELECT p.query_id, doc_id, round(sum(part), 6) AS score FROM p") + "), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s)"
+
+
+def _best(spark, d, k):
+    return text.search(cut(_index(spark, d), "index"), t(spark, d, "documents").count(), _queries(spark, d), {"title": 4.0, "body": 1.0}, k=k)
+
+
+@query(_BEST + " SELECT query_id, doc_id, score, CAST(place AS INTEGER) AS place FROM t WHERE place <= 50")
+def best_hits(spark, d):
+    """The 50 best documents of each query, found without scoring all."""
+    return _best(spark, d, 50)
+
+
+@query(
+    _BEST
+    + """, a AS (SELECT t.query_id, t.doc_id, regexp_split_to_array(text, '\\s+') AS w, (SELECT list(q) FROM q WHERE q.query_id = t.query_id) AS terms FROM t JOIN documents d ON d.doc_id = t.doc_id WHERE place <= 3),
+f AS (SELECT *, list_position(list_transform(w, lambda x: len(list_filter(terms, lambda y: starts_with(regexp_replace(lower(x), '^[^\\pL\\pN_]+', ''), y))) > 0), true) AS pos FROM a)
+SELECT query_id, doc_id, CASE WHEN pos > 0 THEN array_to_string(w[greatest(1, pos - 7) : greatest(1, pos - 7) + 13], ' ') END AS excerpt FROM f"""
+)
 def search_excerpts(spark, d):
-    """An excerpt around the first word of each asking document's own text, when it is asked for with that word."""
-    x = t(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    first = F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
-    q = x.select(F.col("doc_id").alias("query_id"), first.alias("query"))
-    found = text.excerpts(x.select(F.col("doc_id").alias("query_id"), "doc_id", F.col("source").alias("query0")), q, x)
-    state = F.when(F.col("excerpt").isNotNull(), "found").otherwise("empty")
-    return found.select("doc_id", F.col("query0").alias("query"), state.alias("state"))
+    """The three best documents of each query, with the text around the first word that the query asks for; null where only the title matched."""
+    hits = _best(spark, d, 3).select("query_id", "doc_id")
+    return text.excerpts(hits, _queries(spark, d), t(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("""SELECT lang AS kind, count(*) AS documents, count(DISTINCT source) AS files FROM documents GROUP BY 1""")
