@@ -46,6 +46,46 @@ def closure(roots: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
     return seen
 
 
+#: Why a link was not followed.
+BROKEN, AGAIN, FULL, DEEP = "broken", "already-counted", "beyond-files", "beyond-hops"
+
+
+def closure_by_root(roots: DataFrame, links: DataFrame, hops: int = 5, files: int = 200) -> tuple[DataFrame, DataFrame]:
+    """((root, id, hop), (root, reason, n)): what each of roots(id) reaches by links(source, seq, to_id), `files` ids at most beside itself, and why links were not followed.
+
+    Hop by hop, and inside a hop by (source, seq), a new id counts while its root has room. Of the links of what was counted, each is followed or has one
+    reason: a null to_id, an id counted before, no room, or no hop left. Frontiers keep their root, and a root's first `files` new ids are chosen before the shuffle.
+    """
+    seen = front = cut(roots.select(F.col("id").alias("root"), "id").distinct().withColumn("hop", F.lit(0)), "reach")
+    skips = []
+    for hop in range(1, hops + 2):
+        met = front.join(links.withColumnRenamed("source", "id"), "id").select("root", F.struct("id", "seq").alias("at"), "to_id")
+        if hop > hops:
+            skips.append(met.groupBy("root").agg(F.count("*").alias("n")).withColumn("reason", F.lit(DEEP)))
+            break
+        met = cut(met.groupBy("root", "to_id").agg(F.min("at").alias("at"), F.count("*").alias("links")), "reach-met")
+        skips.append(met.where("to_id is null").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(BROKEN)))
+        known = seen.select("root", F.col("id").alias("to_id"), F.lit(True).alias("known"))
+        x = met.where("to_id is not null").join(known, ["root", "to_id"], "left")
+        skips.append(x.where("known").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(AGAIN)))
+        fresh = x.where("known is null").drop("known")
+        used = seen.groupBy("root").agg((F.count("*") - 1).alias("used"))
+        order = Window.partitionBy("root").orderBy("at")
+        some = fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= files)
+        front = cut(some.join(used, "root").where(F.col("place") + F.col("used") <= files).select("root", F.col("to_id").alias("id"), F.lit(hop).alias("hop")), "reach")
+        taken = front.select("root", F.col("id").alias("to_id"), F.lit(True).alias("taken"))
+        why = fresh.join(taken, ["root", "to_id"], "left").withColumn("reason", F.when(F.col("taken"), AGAIN).otherwise(FULL))
+        why = why.withColumn("n", F.when(F.col("taken"), F.col("links") - 1).otherwise(F.col("links")))
+        skips.append(cut(why.groupBy("root", "reason").agg(F.sum("n").alias("n")), "reach-skipped"))
+        if not front.take(1):
+            break
+        seen = cut(seen.unionByName(front), "reach-seen")
+    out = skips[0].select("root", "reason", "n")
+    for s in skips[1:]:
+        out = out.unionByName(s.select("root", "reason", "n"))
+    return seen, out.groupBy("root", "reason").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+
+
 def set_comparison(a: DataFrame, b: DataFrame, name: str, count: str) -> DataFrame:
     """(name, a, b, side): counts of two runs side by side; side is both, only-a or only-b."""
     x = a.select(F.col(name).alias("__a"), F.col(count).alias("a")).join(

@@ -564,6 +564,45 @@ def link_closure(spark, d):
     return graph.closure(roots, e)
 
 
+_REACH = """WITH nn AS (SELECT count(*) AS n FROM part), e AS (SELECT l_partkey AS source, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber <> 6 THEN l_suppkey * 7 % n + 1 END AS to_id FROM lineitem, nn),
+m1 AS (SELECT p_partkey AS root, p_partkey AS source, seq, to_id FROM part JOIN e ON source = p_partkey),
+c1 AS (SELECT root, to_id, min(seq) AS fst, count(*) AS links FROM m1 WHERE to_id <> root GROUP BY 1, 2), k1 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY fst) AS place FROM c1),
+m2 AS (SELECT k1.root, e.source, e.seq, e.to_id FROM k1 JOIN e ON e.source = k1.to_id WHERE place <= 40),
+g2 AS (SELECT root, to_id, min((source, seq)) AS fst, count(*) AS links FROM m2 WHERE to_id IS NOT NULL GROUP BY 1, 2), known AS (SELECT root, to_id FROM k1 WHERE place <= 40 UNION ALL SELECT p_partkey, p_partkey FROM part),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY fst) + (SELECT count(*) FROM k1 WHERE k1.root = g.root AND place <= 40) AS place FROM g2 g WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.root = g.root AND known.to_id = g.to_id))"""
+
+
+def _reach(spark, d):
+    n = t(spark, d, "part").count()
+    to = F.when(F.col("l_linenumber") != 6, F.col("l_suppkey") * 7 % n + 1)
+    e = t(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), to.alias("to_id"))
+    return graph.closure_by_root(t(spark, d, "part").select(F.col("p_partkey").alias("id")), e, hops=2, files=40)
+
+
+@query(
+    _REACH
+    + """ SELECT p_partkey AS root, p_partkey AS id, 0 AS hop FROM part UNION ALL SELECT root, to_id, 1 FROM k1 WHERE place <= 40 UNION ALL SELECT root, to_id, 2 FROM k2 WHERE place <= 40"""
+)
+def closure_of_roots(spark, d):
+    """What each part reaches in two hops, 40 parts at most, nearest first."""
+    return _reach(spark, d)[0]
+
+
+@query(
+    _REACH
+    + """, r AS (SELECT root, 'broken' AS reason, count(*) AS n FROM (SELECT root, to_id FROM m1 UNION ALL SELECT root, to_id FROM m2) WHERE to_id IS NULL GROUP BY 1
+UNION ALL SELECT root, 'already-counted', count(*) FROM m1 WHERE to_id = root GROUP BY 1
+UNION ALL SELECT g2.root, 'already-counted', sum(links) FROM g2 JOIN known ON known.root = g2.root AND known.to_id = g2.to_id GROUP BY 1
+UNION ALL SELECT root, 'already-counted', sum(links - 1) FROM (SELECT root, links, place FROM k1 UNION ALL SELECT root, links, place FROM k2) WHERE place <= 40 GROUP BY 1
+UNION ALL SELECT root, 'beyond-files', sum(links) FROM (SELECT root, links, place FROM k1 UNION ALL SELECT root, links, place FROM k2) WHERE place > 40 GROUP BY 1
+UNION ALL SELECT k2.root, 'beyond-hops', count(*) FROM k2 JOIN e ON e.source = k2.to_id WHERE place <= 40 GROUP BY 1)
+SELECT root, reason, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2 HAVING sum(n) > 0"""
+)
+def closure_skips(spark, d):
+    """Links of those parts that were not followed, by reason."""
+    return _reach(spark, d)[1]
+
+
 #: Rows of a table of common subsequence lengths as lists, folded one after another; the last number of the last row is the length.
 _LCS = """coalesce(list_reduce(list_prepend(list_transform({b}, lambda y: 0), list_transform({a}, lambda x: list_transform({b}, lambda y: CAST(x = y AS INTEGER)))),
  lambda p, mt: list_transform(range(1, len(p) + 1), lambda j: CAST(list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN mt[k] = 1 THEN (CASE WHEN k > 1 THEN p[k - 1] ELSE 0 END) + 1 ELSE p[k] END)) AS INTEGER)))[-1], 0)"""
