@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
+from logloom.operators.ranges import places
 from logloom.shared import cut
 
 
@@ -133,16 +134,6 @@ def _next_row(y: list):
     return step
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence: one table row of len(b) bits is held."""
-    lo, hi = _equal_ends(a, b)
-    x, row = a[lo : len(a) - hi], 0
-    step = _next_row(b[lo : len(b) - hi])
-    for u in reversed(x):
-        row = step(row, u)
-    return lo + hi + row.bit_count()
-
-
 def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
     """Steps of an alignment by longest common subsequence: ('both' | 'a' | 'b', index in a, index in b); ties prefer a alone.
 
@@ -205,30 +196,109 @@ def _paired_runs(steps: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.join(runs.select(F.col("run").alias("b"), F.col("s").alias("sb")), "b", "left").select("a", "b", "sa", "sb")
 
 
-_DIFF = "steps_a int, steps_b int, aligned int, first_divergence int, similarity double, short_run boolean, truncated boolean"
+#: Steps of a side that meet in one tile of an alignment.
+TILE = 32_768
+_TILE = "i int, j int, bits binary, carry binary, gained long, differs long"
 
 
-def run_diffs(steps: DataFrame, pairs: DataFrame, most: int | None = None, short: int = 12) -> DataFrame:
-    """Per row of pairs(a, b): the alignment of two runs' steps(run, seq, signature); `most` limits the steps of a side (flagged)."""
-    x = _paired_runs(steps, pairs)
-    kind = pairs.schema["a"].dataType.simpleString()
+def tile(x: list, y: list, bits: bytes | None, carry: bytes | None) -> tuple[bytes, bytes, int]:
+    """One tile of the table of common subsequence lengths: rows x, columns y, the gains along its upper border and the carries along its left one (null for
+    none) -> gains along the lower border, carries along the right one, and the number of gains."""
+    m, at, known = len(y), {}, {}
+    for j, v in enumerate(y):
+        at.setdefault(v, []).append(j)
+    full = (1 << m) - 1
+    v = full ^ int.from_bytes(bits or b"", "little")
+    left, right = int.from_bytes(carry or b"", "little"), bytearray(len(x) // 8 + 1)
+    for k, u in enumerate(x):
+        mask = known.get(u)
+        if mask is None:
+            raw = bytearray(m // 8 + 1)
+            for p in at.get(u, ()):
+                raw[p >> 3] |= 1 << (p & 7)
+            mask = int.from_bytes(raw, "little")
+            if len(at.get(u, ())) > 64:
+                known[u] = mask
+        hit = v & mask
+        total = v + hit + (left >> k & 1 if left else 0)
+        if total >> m:
+            right[k >> 3] |= 1 << (k & 7)
+        v = (total | (v ^ hit)) & full
+    gains = full ^ v
+    return gains.to_bytes(m // 8 + 1, "little"), bytes(right), gains.bit_count()
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence of two lists that fit one tile."""
+    return tile(a, b, None, None)[2] if a and b else 0
+
+
+def run_diffs(steps: DataFrame, pairs: DataFrame, most: int | None = None, short: int = 12, size: int | None = None) -> DataFrame:
+    """Per row of pairs(a, b): the alignment of two runs' steps(run, seq, signature); `most` limits the steps of a side (flagged).
+
+    Both runs are cut into blocks of `size` steps, and every two blocks are a tile. Tiles of one diagonal are computed side by side, and pass on only the bits
+    along their borders, in a table; so the length is exact, and a task holds two blocks at a time, however long a run is.
+    """
+    size = size or TILE
+    numbered = places(steps.select("run", "seq", "signature"), "run", ["seq", "signature"])
+    lengths = numbered.groupBy("run").agg(F.count("*").alias("n"))
+    if most is not None:
+        numbered = numbered.where(F.col("place") < most)
+    block = F.floor(F.col("place") / size).cast("int")
+    blocks = numbered.groupBy("run", block.alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "signature"))), lambda s: s["signature"]).alias("s"))
+    blocks = cut(blocks, "run-blocks")  # of `size` steps
+    side = lambda k: lengths.select(F.col("run").alias(k), F.col("n").alias(f"all_{k}"))
+    x = pairs.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0, ["all_a", "all_b"])
+    kept = lambda c: F.least(F.col(c), F.lit(most)) if most is not None else F.col(c)
+    x = x.withColumns({"na": kept("all_a").cast("int"), "nb": kept("all_b").cast("int")})
+    x = cut(x.withColumns({"ta": F.ceil(F.col("na") / size).cast("int"), "tb": F.ceil(F.col("nb") / size).cast("int")}), "run-pairs")
+    ends = x.where("ta > 0 and tb > 0").agg(F.max(F.col("ta") + F.col("tb"))).first()[0] or 0
+    key = {c: pairs.schema[c].dataType.simpleString() for c in ("a", "b")}
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                sa = [] if r.sa is None else list(r.sa)
-                sb = [] if r.sb is None else list(r.sb)
-                cut_off = most is not None and max(len(sa), len(sb)) > most
-                sa, sb = sa[:most], sb[:most]
-                same = lcs_length(sa, sb)
-                first = None if sa == sb else _equal_ends(sa, sb)[0]
-                longest = max(len(sa), len(sb))
-                rows.append((r.a, r.b, len(sa), len(sb), same, first, same / longest if longest else 1.0, longest < short, cut_off))
-            out = pd.DataFrame(rows, columns=["a", "b", *[c.split()[0] for c in _DIFF.split(", ")]])
-            yield out.astype({"first_divergence": "Int32"})
-
-    return x.mapInPandas(run, f"a {kind}, b {kind}, {_DIFF}")
+                sa, sb = list(r.sa), list(r.sb)
+                bits, carry, n = tile(sa, sb, r.bits, r.carry)
+                off = next((k for k, (p, q) in enumerate(zip(sa, sb)) if p != q), None) if r.i == r.j else None
+                rows.append((r.a, r.b, r.i, r.j, bits, carry, n, None if off is None else r.i * size + off))
+            out = pd.DataFrame(rows, columns=["a", "b", *[c.split()[0] for c in _TILE.split(", ")]])
+            yield out.astype({"differs": "Int64"})
+
+    done, waves = None, []
+    for d in range(max(0, ends - 1)):
+        i = F.explode(F.sequence(F.greatest(F.lit(0), d - F.col("tb") + 1), F.least(F.lit(d), F.col("ta") - 1)))
+        t = x.where((F.col("ta") > 0) & (F.col("tb") > 0) & (F.col("ta") + F.col("tb") - 2 >= d)).select("a", "b", i.alias("i")).withColumn("j", d - F.col("i"))
+        t = t.join(blocks.select(F.col("run").alias("a"), F.col("block").alias("i"), F.col("s").alias("sa")), ["a", "i"])
+        t = t.join(blocks.select(F.col("run").alias("b"), F.col("block").alias("j"), F.col("s").alias("sb")), ["b", "j"])
+        if done is None:
+            t = t.withColumns({"bits": F.lit(None).cast("binary"), "carry": F.lit(None).cast("binary")})
+        else:
+            t = t.join(done.select("a", "b", (F.col("i") + 1).alias("i"), "j", "bits"), ["a", "b", "i", "j"], "left")
+            t = t.join(done.select("a", "b", "i", (F.col("j") + 1).alias("j"), "carry"), ["a", "b", "i", "j"], "left")
+        t = t.select("a", "b", "i", "j", "sa", "sb", "bits", "carry").repartition("a", "b", "i")
+        done = cut(t.mapInPandas(run, f"a {key['a']}, b {key['b']}, {_TILE}"), "run-tiles")
+        waves.append(done.select("a", "b", "i", "gained", "differs"))
+    out = x
+    if waves:
+        every = waves[0]
+        for w in waves[1:]:
+            every = every.unionByName(w)
+        every = every.join(x.select("a", "b", "ta"), ["a", "b"])
+        every = every.groupBy("a", "b").agg(F.sum(F.when(F.col("i") == F.col("ta") - 1, F.col("gained"))).alias("aligned"), F.min("differs").alias("differs"))
+        out = x.join(every, ["a", "b"], "left")
+    else:
+        out = x.withColumns({"aligned": F.lit(0).cast("long"), "differs": F.lit(None).cast("long")})
+    shorter, longest = F.least("na", "nb"), F.greatest("na", "nb")
+    first = F.coalesce(F.col("differs"), F.when(F.col("na") != F.col("nb"), shorter)).cast("int")
+    aligned = F.coalesce("aligned", F.lit(0)).cast("int")
+    cut_off = (F.greatest("all_a", "all_b") > most) if most is not None else F.lit(False)
+    out = out.select(
+        "a", "b", F.col("na").alias("steps_a"), F.col("nb").alias("steps_b"), aligned.alias("aligned"), first.alias("first_divergence"),
+        F.when(longest > 0, aligned / longest).otherwise(1.0).alias("similarity"), (longest < short).alias("short_run"), cut_off.alias("truncated"),
+    )
+    return pairs.join(out, ["a", "b"])
 
 
 def run_steps(steps: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -27,6 +27,19 @@ def following(rows: DataFrame, group: str, order: list[str], value: Column, name
     return x.withColumn(name, F.coalesce("__n", "__c")).drop("__v", "__range", "__n", "__g", "__q", "__c")
 
 
+def places(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place (from 0) in order inside their group, which may span many ranges. A null group is a group."""
+    x = rows.repartitionByRange(F.asc(group), *[F.asc(c) for c in order]).withColumn("__range", F.spark_partition_id())
+    x = cut(x, "places")
+    earlier = Window.partitionBy("__g").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = x.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__q")).agg(F.count("*").alias("__n"))
+    ahead = ahead.withColumn("__a", F.sum("__n").over(earlier)).where("__a > 0").drop("__n")  # one row per range at most: only its first group began before it
+    inside = Window.partitionBy("__range", group).orderBy(*[F.asc(c) for c in order])
+    x = x.withColumn("__r", F.row_number().over(inside) - 1)
+    x = x.join(F.broadcast(ahead), F.col("__g").eqNullSafe(F.col(group)) & (F.col("__q") == F.col("__range")), "left")
+    return x.withColumn(name, (F.col("__r") + F.coalesce("__a", F.lit(0))).cast("long")).drop("__range", "__r", "__a", "__g", "__q")
+
+
 def overlaps(intervals: DataFrame, others: DataFrame) -> DataFrame:
     """(id, n): how many of others(a, z) share a moment with each of intervals(id, a, z), counted without making a pair.
 
