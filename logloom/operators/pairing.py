@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,27 +99,65 @@ def next_within(rows: DataFrame, group: str, is_open, is_close, limit: str) -> D
     return x.withColumn("next_ts", F.when(F.col("next_ts") <= F.col("ts") + F.expr(limit), F.col("next_ts")))
 
 
-def _loop_candidates(items: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(g, item, item_ts, fix, fix_ts): a resolution that supersedes something with each earlier item of its log that shares a date, a quoted
-    phrase or three content words with what it names. Each of the three is a join by what is shared."""
-    sup = fixes.where("supersedes <> ''").select("g", F.col("seq").alias("fix"), F.col("ts").alias("fix_ts"), "supersedes")
-    own = items.select("g", F.col("seq").alias("item"), F.col("ts").alias("item_ts"), "text")
-    pair = ["g", "item", "item_ts", "fix", "fix_ts"]
-
-    def shared(of_item: Column, of_fix: Column, least: int) -> DataFrame:
-        a, b = own.select("*", F.explode(of_item).alias("k")), sup.select("*", F.explode(of_fix).alias("k"))
-        met = a.join(b, ["g", "k"])
-        return met.select(*pair).distinct() if least == 1 else met.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-
-    dates = shared(X.date_tokens(F.concat_ws(" ", "text", F.date_format("item_ts", "yyyy-MM-dd"))), X.date_tokens(F.col("supersedes")), 1)
-    words = shared(X.content_words(F.col("text")), X.content_words(F.col("supersedes")), 3)
-    # Quoted phrases have four characters or more: texts meet them by the first four.
+def _phrases_held(items: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(g, item, held): which of their log's quoted phrases the texts of items hold. Phrases of a log count once, however many resolutions quote them."""
+    quoted = fixes.select("g", F.explode(X.quoted_phrases(F.col("supersedes"))).alias("q")).distinct().withColumn("k", F.substring("q", 1, 4))
+    own = items.select("g", F.col("seq").alias("item"), "text").join(quoted.select("g").distinct(), "g", "left_semi")
+    # A phrase has four characters or more: texts meet it by the first four.
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 3))
     grams = own.select("*", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(4))))).alias("k"))
-    quotes = sup.select("*", F.explode(X.quoted_phrases(F.col("supersedes"))).alias("q")).withColumn("k", F.substring("q", 1, 4))
-    quoted = grams.join(quotes, ["g", "k"]).where(F.col("text").contains(F.col("q"))).select(*pair)
-    every = dates.unionByName(words).unionByName(quoted).distinct()
-    return every.where((F.col("item_ts") < F.col("fix_ts")) | (F.col("item_ts") == F.col("fix_ts")) & (F.col("item") < F.col("fix")))
+    met = grams.join(quoted, ["g", "k"]).where(F.col("text").contains(F.col("q")))
+    return met.groupBy("g", "item").agg(F.collect_set("q").alias("held"))
+
+
+class OpenItems:
+    """The open items of one log so far, found newest first by what they share with a resolution; taken ones are never looked at twice.
+
+    Two sets that share three words share one of all but two words of either, so a resolution looks up all its words but the two with the most items.
+    """
+
+    def __init__(self):
+        self.words, self.taken, self.lists = [], [], {}
+
+    def add(self, words, keys) -> int:
+        n = len(self.words)
+        self.words.append(frozenset(words))
+        self.taken.append(False)
+        for k in (*self.words[n], *keys):
+            self.lists.setdefault(k, []).append(n)
+        return n
+
+    def _newest_first(self, key):
+        found = self.lists.get(key, [])
+        while found and self.taken[found[-1]]:
+            found.pop()
+        gone = 0
+        for n in reversed(found):
+            if not self.taken[n]:
+                yield n
+            else:
+                gone += 1
+                if 2 * gone > len(found) > 64:  # most of the list is taken: make it anew for the next one
+                    self.lists[key] = [m for m in found if not self.taken[m]]
+                    gone = -len(found)
+
+    def take(self, words, keys) -> int | None:
+        """The newest item not taken that shares a key or three words; it is taken."""
+        best = max((n for k in keys for n in itertools.islice(self._newest_first(k), 1)), default=-1)
+        words = set(words)
+        rare = sorted(words, key=lambda w: len(self.lists.get(w, ())))[: max(0, len(words) - 2)]
+        last = -1
+        for n in heapq.merge(*map(self._newest_first, rare), reverse=True):
+            if n <= best:
+                break
+            if n != last and len(words & self.words[n]) >= 3:
+                best = n
+                break
+            last = n
+        if best < 0:
+            return None
+        self.taken[best] = True
+        return best
 
 
 def match_loops(entries: DataFrame, group: str, window_days: int = 14) -> DataFrame:
@@ -125,8 +165,8 @@ def match_loops(entries: DataFrame, group: str, window_days: int = 14) -> DataFr
 
     First every resolution that supersedes something, oldest first, takes the latest earlier unmatched item that shares a
     date, a quoted phrase, or three content words. Then every unmatched item, oldest first, takes the nearest following
-    unmatched resolution within the window. Both passes stream a log's rows in order: the first reads candidate pairs only, the second
-    holds the open items of one window.
+    unmatched resolution within the window. Both passes stream a log's rows in order, and no pairs are made: the first holds the log's open items
+    by what they can be named by, the second the open items of one window.
     """
     import pandas as pd
 
@@ -136,23 +176,32 @@ def match_loops(entries: DataFrame, group: str, window_days: int = 14) -> DataFr
     items, fixes = x.where("kind = 'open'"), x.where("kind = 'resolution'")
     span, kind = pd.Timedelta(days=window_days), entries.schema["seq"].dataType.simpleString()
 
+    words, dates = X.content_words, X.date_tokens
+    none = F.array().cast("array<string>")
+    keys = lambda kind_, c: F.transform(c, lambda v: F.concat(F.lit(kind_), v))
+    sup = fixes.where("supersedes <> ''")
+    held = _phrases_held(items, sup).withColumnRenamed("item", "seq")
+    told = F.concat_ws(" ", "text", F.date_format("ts", "yyyy-MM-dd"))
+    open_ = items.join(held, ["g", "seq"], "left").select("g", "seq", "ts", F.lit(False).alias("fix"), words(F.col("text")).alias("words"), F.concat(keys("date ", dates(told)), keys("text ", F.coalesce("held", none))).alias("keys"))
+    named_ = F.col("supersedes")
+    asked = sup.select("g", "seq", "ts", F.lit(True).alias("fix"), words(named_).alias("words"), F.concat(keys("date ", dates(named_)), keys("text ", X.quoted_phrases(named_))).alias("keys"))
+
     def take(batches):
-        log, fix, done, taken = None, None, False, set()
+        log, found, seqs = None, OpenItems(), []
         for pdf in batches:
             out = []
-            for g, item, f in zip(pdf["g"], pdf["item"], pdf["fix"]):
+            for g, seq, fix, ws, ks in zip(pdf["g"], pdf["seq"], pdf["fix"], pdf["words"], pdf["keys"]):
                 if g != log:
-                    log, fix, taken = g, None, set()
-                if f != fix:
-                    fix, done = f, False
-                if not done and item not in taken:
-                    taken.add(item)
-                    done = True
-                    out.append((g, item, f))
+                    log, found, seqs = g, OpenItems(), []
+                if not fix:
+                    found.add(ws, ks)
+                    seqs.append(seq)
+                elif (n := found.take(ws, ks)) is not None:
+                    out.append((g, seqs[n], seq))
             yield pd.DataFrame(out, columns=["g", "seq", "resolved_by"])
 
-    pairs = _loop_candidates(items, fixes).repartition("g").sortWithinPartitions("g", "fix_ts", "fix", F.desc("item_ts"), F.desc("item"))
-    named = cut(pairs.select("g", "item", "fix").mapInPandas(take, f"g string, seq {kind}, resolved_by {kind}"), "superseded")
+    stream = open_.unionByName(asked).where("ts is not null").repartition("g").sortWithinPartitions("g", "ts", "seq")
+    named = cut(stream.select("g", "seq", "fix", "words", "keys").mapInPandas(take, f"g string, seq {kind}, resolved_by {kind}"), "superseded")
     used = named.select("g", "seq").unionByName(named.select("g", F.col("resolved_by").alias("seq")))
     left = x.select("g", "seq", "ts", "kind").join(used, ["g", "seq"], "left_anti").repartition("g").sortWithinPartitions("g", "ts", "seq")
 

@@ -139,3 +139,30 @@ def test_the_newest_row_of_a_key_counts(spark, index):
     where, rows = index
     sync.merge(spark.createDataFrame([("a", "p3", 5), ("a", "p3", 8), ("a", "p3", 2)], SCHEMA), where, "files", 1, newest="v")
     assert ("a", "p3", 8) in state(spark, where) and len(state(spark, where)) == len(rows)
+
+
+def test_loops_of_one_log_with_the_same_words(spark):
+    rows = []
+    for i in range(4000):
+        rows.append((1, i, T0 + dt.timedelta(minutes=i), "open" if i < 2000 else "resolution", f"the parser broke badly again number{i:05d}", None if i < 2000 else "parser broke badly again"))
+    df = spark.createDataFrame(rows, "log int, seq long, ts timestamp, kind string, text string, supersedes string")
+    got = {r.seq: r.resolved_by for r in pairing.match_loops(df, "log").collect()}
+    assert got == {i: 3999 - i for i in range(2000)}  # the newest item first
+
+
+def test_open_items_look_at_few(monkeypatch):
+    found = pairing.OpenItems()
+    for i in range(5000):
+        found.add(["same", "words", "here", f"own{i}"], [])
+    looks = 0
+    real = pairing.OpenItems._newest_first
+
+    def counted(self, key):
+        nonlocal looks
+        for n in real(self, key):
+            looks += 1
+            yield n
+
+    monkeypatch.setattr(pairing.OpenItems, "_newest_first", counted)
+    assert [found.take(["same", "words", "here", "other"], []) for _ in range(5000)] == list(reversed(range(5000)))
+    assert looks < 20_000 and found.take(["same", "words", "here"], []) is None
