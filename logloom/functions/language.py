@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,35 +27,40 @@ def _one_of(words) -> str:
 
 
 _END = (
-    f"(?<!{_STOPS})"  # the first of a run of stops
+    f"(?={_STOPS})(?<!{_STOPS})"  # the first of a run of stops
     rf"(?!(?:\.{{2,}}|…+)(?!{_STOPS}))"  # that is no ellipsis
     rf"(?:(?!\.(?!{_STOPS}))|(?<!{_one_of(ABBREVIATIONS)}))"  # nor the full stop of an abbreviation
     rf"(?!(?<={_one_of(NUMBER_ABBREVIATIONS)})\.\s+{_OPENERS}\p{{N}})"
     rf"{_STOPS}++{_CLOSERS}(?=\s+{_OPENERS}[\p{{Lu}}\p{{N}}])"
 )
-#: What markdown adds to its words, in order; none looks further than to the next mark of its kind or the end of its line, but for blocks that run to their end.
+#: What markdown adds to its words, in order: texts that hold it, the pattern, and what it leaves. None looks further than to the next mark of its kind or the end of its line, but for blocks that run to their end.
 _MARKS = (
-    (r"\r\n?", "\n"),
-    (r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)", "\n\n"),
-    (r"(?s)<!--.*?(?:-->|\z)", " "),
-    (r"(?m)^[ \t]*\|.*\|[ \t]*$", "\n"),
-    (r"(?m)^ {0,3}[-*_][-*_ \t]{2,}$", "\n"),
-    (r"(?m)^ {0,3}#{1,6}[ \t]+(.*)$", "\n\n$1\n\n"),
-    (r"(?m)(?<![ \t])[ \t]+#+[ \t]*$", ""),
-    (r"(?m)^[ \t]*>[> \t]*", ""),
-    (r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", "\n\n"),
-    (r"!?\[([^\[\]\n]*)\]\([^()\n]*\)", "$1"),
-    (r"(?<![\p{L}\p{N}_*])[*_]{1,3}(?=[^\s*_])", ""),
-    (r"(?<=[^\s*_])[*_]{1,3}(?![\p{L}\p{N}_*])", ""),
-    (r"`([^`\n]*)`", "$1"),
+    ("\r", r"\r\n?", "\n"),
+    ("``` ~~~", r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)", "\n\n"),
+    ("<!--", r"(?s)<!--.*?(?:-->|\z)", " "),
+    ("|", r"(?m)^[ \t]*\|.*\|[ \t]*$", "\n"),
+    ("-- ** __ - *", r"(?m)^ {0,3}[-*_][-*_ \t]{2,}$", "\n"),
+    ("#", r"(?m)^ {0,3}#{1,6}[ \t]+(.*)$", "\n\n$1\n\n"),
+    ("#", r"(?m)(?<![ \t])[ \t]+#+[ \t]*$", ""),
+    (">", r"(?m)^[ \t]*>[> \t]*", ""),
+    ("- * + . )", r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", "\n\n"),
+    ("](", r"!?\[([^\[\]\n]*)\]\([^()\n]*\)", "$1"),
+    ("* _", r"(?=[*_])(?<![\p{L}\p{N}_*])[*_]{1,3}(?=[^\s*_])", ""),
+    ("* _", r"(?=[*_])(?<=[^\s*_])[*_]{1,3}(?![\p{L}\p{N}_*])", ""),
+    ("`", r"`([^`\n]*)`", "$1"),
 )
 
 
 def plain_text(text: Column) -> Column:
     """Markdown without its marks: fenced code, tables and rules go, words stay. An unclosed fence or comment runs to the end."""
-    for mark, into in _MARKS:
-        text = F.regexp_replace(text, mark, into)
-    return text
+
+    def step(signs: str, mark: str, into: str):
+        return lambda t: F.when(reduce(or_, [t.contains(s) for s in signs.split(" ")]), F.regexp_replace(t, mark, into)).otherwise(t)
+
+    one = F.array(text)  # a list of one text, so that each step names the last one's result without repeating it
+    for signs, mark, into in _MARKS:
+        one = F.transform(one, step(signs, mark, into))
+    return F.get(one, F.lit(0))
 
 
 def sentences(text: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
@@ -31,13 +32,17 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines).alias("ix", "sentence"))
 
 
+def terms_of(sentence: Column) -> Column:
+    """The content words of a sentence, as often as they come: no stop words, single characters or plain numbers."""
+    words = F.regexp_extract_all(F.translate(F.lower(sentence), "'‘’", ""), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))
+    # What begins with a Latin letter is no number.
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS) & (w.between("a", "{") | ~w.rlike(r"^\p{N}+$")))
+
+
 def sentence_terms(sents: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, ix, …keep, term, tf): content words of each sentence; keep names columns that are the same in a whole document."""
-    plain = F.regexp_replace(F.lower("sentence"), "['‘’]", "")
-    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))
-    ok = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS) & ~w.rlike(r"^\p{N}+$"))
     key = ["doc_id", "ix", *keep, "term"]
-    return sents.select("doc_id", "ix", *keep, F.explode(ok).alias("term")).groupBy(*key).agg(F.count("*").alias("tf"))
+    return sents.select("doc_id", "ix", *keep, F.explode(terms_of(F.col("sentence"))).alias("term")).groupBy(*key).agg(F.count("*").alias("tf"))
 
 
 def _by_document(sents: DataFrame) -> DataFrame:
@@ -113,6 +118,64 @@ def rank_sentences(sents: DataFrame, vectors: DataFrame, damping: float = 0.85,
     )
 
 
+#: Sentences that are ranked at a time, unless one text has more.
+RANKED = 100_000
+
+
+def _text_ranks(doc: np.ndarray, n_docs: int, sentence: np.ndarray, code: np.ndarray, damping: float, epsilon: float, rounds: int) -> np.ndarray:
+    """The rank of each sentence of some documents: doc of each sentence, ascending; sentence and code of each occurrence of a term. Each document stops by itself."""
+    size = np.bincount(doc, minlength=n_docs)[doc].astype(float)
+    r = 1.0 / size
+    kinds = int(code.max()) + 1 if len(code) else 1
+    pair, tf = np.unique(sentence * kinds + code, return_counts=True)
+    row = pair // kinds
+    term, which, df = np.unique(doc[row] * kinds + pair % kinds, return_inverse=True, return_counts=True)
+    w = tf * (np.log((1 + size[row]) / (1 + df[which])) + 1)
+    w /= np.sqrt(np.bincount(row, w * w, len(doc)))[row]
+    shared = df[which] > 1  # a term of one sentence joins nothing
+    row, w, which = row[shared], w[shared], which[shared]
+    own = np.bincount(row, w * w, len(doc))
+    total = np.bincount(which, w, len(term))
+    out = np.where(np.bincount(row, minlength=len(doc)) > 0, np.bincount(row, w * total[which], len(doc)) - own, np.inf)
+    first, open_ = np.flatnonzero(np.diff(doc, prepend=-1)), np.ones(n_docs, bool)
+    for _ in range(rounds):
+        give = r / out
+        by_term = np.bincount(which, w * give[row], len(term))
+        new = np.where(open_[doc], (1 - damping) / size + damping * (np.bincount(row, w * by_term[which], len(doc)) - own * give), r)
+        change, r = np.maximum.reduceat(np.abs(new - r), first), new
+        open_[doc[first]] &= change >= epsilon
+        if not open_.any():
+            break
+    return r
+
+
+def rank_texts(docs: DataFrame, text: str = "text", damping: float = 0.85, epsilon: float = 1e-6, rounds: int = 120) -> DataFrame:
+    """rank_sentences() of whole texts, where they lie: (doc_id, ix, rank). A text's terms go through one task as arrays, many texts at a time, and nothing is shuffled."""
+    terms = F.transform(sentences(plain_text(F.col(text))), terms_of)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            per_doc = np.diff(lists.offsets.to_numpy())
+            at = np.concatenate([[0], np.cumsum(per_doc)])
+            a = 0
+            while a < len(ids):
+                b = min(len(ids), max(a + 1, int(np.searchsorted(at, at[a] + RANKED, "right")) - 1))
+                part = lists.slice(a, b - a).flatten()
+                n = per_doc[a:b]
+                doc = np.repeat(np.arange(b - a), n)
+                if len(doc):
+                    sentence = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+                    code = part.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+                    ix = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                    ranks = _text_ranks(doc, b - a, sentence, code, damping, epsilon, rounds)
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(doc)), pa.array(ix, pa.int32()), pa.array(ranks)], names=["doc_id", "ix", "rank"])
+                a = b
+
+    return docs.select("doc_id", terms.alias("t")).mapInArrow(run, f"doc_id {kind}, ix int, rank double")
+
+
 def top_sentences(ranks: DataFrame, k: int = 3) -> DataFrame:
     """The k best sentences of each document, back in reading order."""
     best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("rank", 9)), "ix")

@@ -419,8 +419,7 @@ def sentence_table(spark, d):
 
 @query()
 def sentence_ranks(spark, d):
-    s = _sentences(spark, d)
-    return text.rank_sentences(s, text.tf_idf(s))
+    return text.rank_texts(t(spark, d, "documents").select("doc_id", "text"))
 
 
 @query()
