@@ -747,10 +747,13 @@ def stream_without_replays(spark, d):
     return jobs.drain(jobs.without_replays(twice, "event_id")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, count(*) AS n FROM events GROUP BY 1""")
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS key, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, round((SELECT max(x.value) FROM events x WHERE x.user_id = e.user_id AND x.ts = max(e.ts)), 6) AS value, count(*) AS n FROM events e GROUP BY user_id"""
+)
 def stream_latest(spark, d):
+    """The newest value of each user, as the stream ends."""
     s = jobs.event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.drain_latest(jobs.latest_per_key(s, "user_id")).select("key", stamp("ts").alias("ts"), "n")
+    return jobs.drain_latest(jobs.latest_per_key(s, "user_id")).select("key", stamp("ts").alias("ts"), r6("value").alias("value"), "n")
 
 
 @query(
