@@ -55,6 +55,23 @@ def usage_blocks(usage: DataFrame, rates: DataFrame, size: str = BLOCK) -> DataF
     return blocks.join(sessions, "block")
 
 
+#: Relative error (three standard deviations) of a distinct count by a theta sketch of 2^12 entries; up to so many distinct values it is exact.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, sketch, n): a mergeable sketch of the distinct values of each group, at most 32 KB however large the group. An option beside exact counts, for tables that are
+    kept: sketches of hours or days answer for any span of them."""
+    return rows.groupBy(*by).agg(F.theta_sketch_agg(value, SKETCH_BITS).alias("sketch"), F.count("*").alias("n"))
+
+
+def distinct_over(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, distinct, n): about how many distinct values (within SKETCH_ERROR) the united sketches of each group have seen."""
+    x = sketches.groupBy(*by).agg(F.theta_union_agg("sketch", SKETCH_BITS).alias("sketch"), F.sum("n").alias("n"))
+    return x.select(*by, F.theta_sketch_estimate("sketch").alias("distinct"), "n")
+
+
 def usage_totals(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Per model: tokens, and cost in four parts, null if the model has no rate."""
     per = usage.groupBy("model").agg(*[F.sum(t).alias(t) for t in TIERS])

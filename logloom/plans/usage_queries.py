@@ -195,6 +195,18 @@ def month_trend(spark, d):
     return trends.month_spine(o, "o_orderdate")
 
 
+@query(
+    """SELECT event_type, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY 1, 2"""
+)
+def users_by_sketch(spark, d):
+    """Distinct users of each month from sketches of its days, beside the exact count: close if within the stated error."""
+    e = t(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), F.date_format("ts", "yyyy-MM").alias("month"), "user_id")
+    days = usage.distinct_sketches(e, "user_id", "event_type", "month", "day")
+    exact = e.groupBy("event_type", "month").agg(F.countDistinct("user_id").alias("users"))
+    x = usage.distinct_over(days, "event_type", "month").join(exact, ["event_type", "month"])
+    return x.select("event_type", "month", "n", "users", (F.abs(F.col("distinct") - F.col("users")) <= usage.SKETCH_ERROR * F.col("users")).alias("close"))
+
+
 @query(
     """WITH m AS (SELECT date_trunc('month', o_orderdate) AS month FROM orders), s AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-01', INTERVAL 1 MONTH)) AS month)
 SELECT strftime(s.month, '%Y-%m') AS month, count(m.month) AS n FROM s LEFT JOIN m ON s.month = m.month GROUP BY s.month

@@ -32,11 +32,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local one if all runs in one JVM (tests), else the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local one if all runs in one JVM (tests), else the warehouse if it is no local folder.
+
+    An error on a cluster that names no shared folder: each executor would write to its own disk, and reads would miss what the others wrote.
+    """
     context = spark.sparkContext
     place = context.getConf().get("spark.checkpoint.dir", None)
-    if not place and not context.master.startswith("local"):
+    if not place and not (context.master == "local" or context.master.startswith("local[")):
         place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/logloom-scratch"
+        if place.partition(":")[0] == "file" or "://" not in place:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not place:
         place = getattr(context, "_logloom_scratch", None)
         if not place:

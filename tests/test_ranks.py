@@ -33,6 +33,35 @@ def test_one_command_with_a_million_durations(spark):
     assert (got["cmd"].p50, got["cmd"].p95) == tuple(want) and (got["idle"].p50, got["idle"].n, got["idle"].missing) == (0.0, 1, 1) and got[None].p95 == 7.0
 
 
+def test_sketches_unite(spark):
+    df = spark.range(60_000).select((F.col("id") % 30).alias("day"), (F.xxhash64("id") % 20_000).alias("user"))
+    days = usage.distinct_sketches(df, "user", "day")
+    exact = df.select("user").distinct().count()
+    r = usage.distinct_over(days).first()
+    assert abs(r.distinct - exact) <= usage.SKETCH_ERROR * exact and r.n == 60_000
+
+
+def test_a_cluster_without_a_shared_folder_is_told(spark):
+    from logloom.shared import scratch_dir
+
+    class Far:
+        def __init__(self, **conf):
+            self.all = conf
+            self.sparkContext = self.conf = self
+            self.master = "yarn"
+
+        def getConf(self):
+            return self
+
+        def get(self, k, *default):
+            return self.all.get(k, *default)
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Far(**{"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}))
+    assert scratch_dir(Far(**{"spark.sql.warehouse.dir": "hdfs://n/w"})) == "hdfs://n/w/logloom-scratch"
+    assert scratch_dir(Far(**{"spark.checkpoint.dir": "file:///shared"})) == "file:///shared"
+
+
 def test_months_outside_are_counted(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 5),), (datetime(2024, 3, 5),), (datetime(2024, 4, 5),), (datetime(2025, 4, 5),), (None,)], "ts timestamp")
     got = {r.month: r.n for r in trends.month_spine(df, "ts", F.lit("2024-05-01").cast("timestamp"), 3).collect()}
