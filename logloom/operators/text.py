@@ -197,9 +197,9 @@ def readability(sents: DataFrame) -> DataFrame:
     return x.select("doc_id", zero("sentences"), zero("words"), zero("syllables"), F.coalesce(X.half_up(grade, 2), F.lit(0.0)).alias("grade"))
 
 
-def digest(sents: DataFrame, summaries: DataFrame | None = None, k: int = 3, n_keywords: int = 6) -> DataFrame:
+def digest(sents: DataFrame, summaries: DataFrame | None = None, k: int = 3, n_keywords: int = 6, ranks: DataFrame | None = None) -> DataFrame:
     """Per document: its own summary if it has one, else its k best sentences (its whole body if it has no more), keywords, grade, and where the lines come from."""
-    ranks = rank_sentences(sents, tf_idf(sents))
+    ranks = rank_sentences(sents, tf_idf(sents)) if ranks is None else ranks
     best = top_sentences(ranks, k).join(sents, ["doc_id", "ix"])
     lines = best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "sentence"))), lambda x: x["sentence"]), "\n").alias("ranked"))
     n = sents.groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -424,7 +424,7 @@ def sentence_ranks(spark, d):
 
 @query()
 def extractive_digest(spark, d):
-    return text.digest(_sentences(spark, d))
+    return text.digest(_sentences(spark, d), ranks=text.rank_texts(t(spark, d, "documents").select("doc_id", "text")))
 
 
 @query()

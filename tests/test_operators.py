@@ -125,29 +125,28 @@ def test_long_runs_and_versions_are_aligned_whole(spark):
     assert (r.added, r.removed, r.unchanged, r.hunks, r.wholesale) == (126, 126, 2374, 126, False)
 
 
-def test_page_rank_matches_dense_iteration(spark):
+def test_ranks_match_dense_iteration(spark):
     rng = np.random.default_rng(1)
-    edges, nodes = [], []
-    for doc in range(4):
+    words = [f"word{c}" for c in "abcdefghijkl"]
+    docs = [(d, " ".join(" ".join(rng.choice(words, rng.integers(1, 6))).capitalize() + "." for _ in range(5 + d))) for d in range(5)] + [(7, ""), (8, None), (9, "The. Of. 12. One word."), (10, "Alone.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sents = text.sentence_table(df)
+    vectors = text.tf_idf(sents)
+    got = {(r.doc_id, r.ix): r.rank for r in text.rank_texts(df).collect()}
+    table = {(r.doc_id, r.ix): r.rank for r in text.rank_sentences(sents, vectors).collect()}
+    assert set(got) == set(table) == {(r.doc_id, r.ix) for r in sents.collect()} and np.allclose([got[k] for k in table], list(table.values()))
+    names = {w: k for k, w in enumerate(words)}
+    for doc in range(5):
         n = 5 + doc
-        nodes += [(doc, i) for i in range(n)]
-        for i in range(n - 1):
-            for j in range(i):
-                if rng.random() < 0.6:
-                    w = float(rng.random()) + 0.1
-                    edges += [(doc, i, j, w), (doc, j, i, w)]
-    e = spark.createDataFrame(edges, "doc_id long, i int, j int, weight double")
-    got = {(r.doc_id, r.ix): r.rank for r in text.page_rank(spark.createDataFrame(nodes, "doc_id long, ix int"), e).collect()}
-    for doc in range(4):
-        n = 5 + doc
-        m = np.zeros((n, n))
-        for d, i, j, w in edges:
-            if d == doc:
-                m[i, j] = w
+        v = np.zeros((n, len(words)))
+        for r in vectors.where(F.col("doc_id") == doc).collect():
+            v[r.ix, names[r.term]] = r.weight
+        m = v @ v.T
+        np.fill_diagonal(m, 0)
         out = m.sum(axis=1)
         r = np.full(n, 1 / n)
         for _ in range(120):
-            new = 0.15 / n + 0.85 * sum(m[i] / out[i] * r[i] for i in range(n) if out[i])
+            new = 0.15 / n + 0.85 * sum(m[i] / out[i] * r[i] for i in range(n) if out[i] > 1e-12)
             done = np.abs(new - r).max() < 1e-6
             r = new
             if done:
