@@ -370,7 +370,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     size = length[order]
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     out = np.zeros(len(texts))
-    step, a = model.step.astype(np.float32), np.broadcast_to(model.start.astype(np.float32), (len(texts), STATES))
+    step, a = model.step, np.broadcast_to(model.start, (len(texts), STATES))
     m = len(texts)
     for t in range(int(size[0]) if len(size) else 0):
         while m and size[m - 1] <= t:
