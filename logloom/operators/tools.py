@@ -119,6 +119,26 @@ def deletion_shortlist(entries: DataFrame, activity: DataFrame, now, window_days
     )
 
 
+def _quoted_after(lead: str) -> str:
+    """A pattern of a quoted text after lead, which is no part of a longer name; the text is its last group."""
+    return rf"(?<![A-Za-z0-9_$]){lead}\s*([\"'])([^\"'\n]+)\1"
+
+
+def script_features(scripts: DataFrame, text: str = "text", calls: str = "agent", flags: tuple[str, ...] = ("parallel", "pipeline")) -> DataFrame:
+    """scripts with what their source declares, read as text and never run: name, description, phases (titles, then phase() calls that name others), bytes, lines,
+    call sites of `calls`, whether each of `flags` is called, and whether worktrees isolate it. What is not declared is null."""
+    x = F.col(text)
+    one = lambda key: F.nullif(F.regexp_extract(x, _quoted_after(rf"{key}\s*:"), 2), F.lit(""))
+    every = lambda lead: F.regexp_extract_all(x, F.lit(_quoted_after(lead)), F.lit(2))
+    called = lambda name: rf"(?<![A-Za-z0-9_$]){name}\s*\("
+    titles = every(r"title\s*:")
+    return scripts.select(
+        "*", one("name").alias("declared_name"), one("description").alias("description"), F.concat(titles, F.array_except(every(r"phase\("), titles)).alias("phases"),
+        F.octet_length(x).alias("bytes"), F.size(F.split(x, "\n")).alias("lines"), F.size(F.regexp_extract_all(x, F.lit(called(calls)), F.lit(0))).alias("call_sites"),
+        *[x.rlike(called(f)).alias(f"uses_{f}") for f in flags], F.exists(every(r"isolation\s*:"), lambda v: v == "worktree").alias("uses_worktrees"),
+    )
+
+
 def open_boards(tasks: DataFrame, live: DataFrame) -> DataFrame:
     """Boards with open tasks whose session isn't live: tasks(board, task_id, status), live(session_id); a board is a full id or an 8-character prefix."""
     ids = live.select(F.col("session_id").alias("__id")).union(live.select(F.substring("session_id", 1, 8))).distinct()

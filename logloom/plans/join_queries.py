@@ -314,7 +314,7 @@ def allow_listed(spark, d):
 n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2023-12-01' END AS u, z, m FROM part LEFT JOIN a ON p_partkey = k),
 g AS (SELECT p_partkey, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(CASE WHEN u IS NULL THEN z WHEN z IS NULL THEN u ELSE greatest(u, z) END)) / 86400000000) AS age, m,
  datediff('day', last_day(z), DATE '2024-02-01') AS quiet FROM n)
-SELECT p_partkey AS name, CAST(age AS BIGINT) AS age_days, CASE WHEN age IS NULL THEN 'no-evidence' WHEN m = 1 AND quiet > 90 AND age <= 120 THEN 'bursty' WHEN age > 120 THEN 'stale' ELSE 'keep' END AS verdict FROM g"""
+SELECT p_partkey AS name, CAST(age AS BIGINT) AS age_days, CASE WHEN age IS NULL THEN 'no-evidence' WHEN m = 1 AND quiet > 90 AND age <= 120 THEN 'bursty' WHEN age > 120 THEN 'stale' ELSE 'keep' END AS verdict, CASE WHEN age IS NULL THEN 0 WHEN m = 1 AND quiet > 90 AND age <= 120 THEN 2 WHEN age > 120 THEN 1 ELSE 3 END AS rank FROM g"""
 )
 def deletion_shortlist(spark, d):
     li = t(spark, d, "lineitem")
@@ -323,7 +323,7 @@ def deletion_shortlist(spark, d):
     )
     used = F.when(F.col("p_partkey") % 3 == 0, F.lit("2023-12-01 00:00:00").cast("timestamp"))
     e = t(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("uses"), used.alias("last_used"))
-    return tools.deletion_shortlist(e, a, now(), 365).select("name", "age_days", "verdict")
+    return tools.deletion_shortlist(e, a, now(), 365).select("name", "age_days", "verdict", "rank")
 
 
 @query(
@@ -352,6 +352,23 @@ def script_inventory(spark, d):
     return tools.script_inventory(s, "<li>")
 
 
+@query(
+    """SELECT p_partkey, p_name AS declared_name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS description, 'size ' || p_size || ',' || p_brand || CASE WHEN p_size % 4 = 0 THEN ',more' ELSE '' END AS phases,
+ CASE WHEN p_size % 2 = 0 THEN 8 ELSE 7 END AS lines, 1 + p_size % 2 AS call_sites, p_size % 2 = 0 AS uses_parallel, false AS uses_pipeline, p_size % 5 = 0 AS uses_worktrees FROM part"""
+)
+def script_features(spark, d):
+    """Scripts about parts: what their source declares."""
+    k, size = F.col("p_size"), F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    value = F.concat(
+        F.lit("export const meta = {\n  name: '"), "p_name", F.lit("',\n"), F.when(k % 3 != 0, F.concat(F.lit('  description: "'), "p_type", F.lit('", '))).otherwise("  nickname: 'no', "),
+        F.lit("phases: [{ title: '"), size, F.lit("' }, { title: '"), "p_brand", F.lit("' }],\n};\nphase('"), size, F.lit("'); phase("),
+        F.when(k % 4 == 0, F.lit("'more'")).otherwise(F.lit("more")), F.lit(");\nagent(1); reagent(2);"), F.when(k % 2 == 1, F.lit(" agent (2)\n")).otherwise("\nparallel([])\n"),
+        F.when(k % 5 == 0, F.lit("isolation: 'worktree'")).otherwise("isolation: worktree"),
+    )
+    x = tools.script_features(t(spark, d, "part").select("p_partkey", value.alias("text")))
+    return x.select("p_partkey", "declared_name", "description", F.array_join("phases", ",").alias("phases"), "lines", "call_sites", "uses_parallel", "uses_pipeline", "uses_worktrees")
+
+
 @query(
     """WITH g AS (SELECT l_partkey, l_suppkey, l_linenumber, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_linenumber) > 1 AS gap FROM lineitem)
 SELECT l_partkey AS hash, l_suppkey AS session_id, count(*) AS n, min(l_linenumber) AS first, max(l_linenumber) AS highest, count(*) FILTER (gap) AS gaps FROM g GROUP BY 1, 2"""

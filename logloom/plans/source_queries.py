@@ -29,9 +29,10 @@ def _place(spark, name: str) -> str:
     return f"{scratch_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
 
 
-def _one_row_files(rows: DataFrame, folder: str, root: str) -> str:
-    """rows(folder, value) under root: a file for each row, in a directory for each folder."""
-    rows.select(folder, "value").write.option("maxRecordsPerFile", 1).partitionBy(folder).text(root)
+def _documents(rows: DataFrame, folder: str, root: str) -> str:
+    """rows(folder, value) under root: a document for each row, named by folder, in one archive per task."""
+    path = F.concat(F.lit(f"{folder}="), F.col(folder).cast("string"), F.lit("/"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    documents.archive(rows.select(path.alias("path"), F.concat("value", F.lit("\n")).alias("text")), root)
     return root
 
 
@@ -115,11 +116,11 @@ UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS DOUBL
 UNION ALL SELECT 'unreadable', 'files', CAST(count(*) AS DOUBLE) FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 0"""
 )
 def json_folder(spark, d):
-    """One JSON file per supplier: the numbers of a nested object as rows, and how many files could not be read."""
+    """One JSON document per supplier: the numbers of a nested object as rows, and how many documents could not be read."""
     counts = F.struct(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
     good = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("session_id"), counts.alias("counts")))
     rows = t(spark, d, "supplier").select(F.col("s_nationkey").alias("folder"), F.when(F.col("s_suppkey") % 5 == 0, "{torn").otherwise(good).alias("value"))
-    x = cut(documents.json_files(spark, _one_row_files(rows, "folder", _place(spark, "json")), pattern="*.txt"), "json")
+    x = cut(documents.json_files(spark, _documents(rows, "folder", _place(spark, "json")), pattern="*.txt", packed=True), "json")
     bad = x.where("not readable").agg(F.count("*").cast("double").alias("n")).where("n > 0")
     bad = bad.select(F.lit("unreadable").alias("session_id"), F.lit("files").alias("category"), "n")
     return documents.category_counts(x.where("readable"), "$.counts", "session_id").unionByName(bad)
@@ -129,7 +130,7 @@ def json_folder(spark, d):
     """SELECT 'board=b' || CAST(c_nationkey AS VARCHAR) AS board, CAST(c_custkey AS VARCHAR) AS task_id, c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS status, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS blockers FROM customer WHERE c_custkey % 10 <> 9"""
 )
 def task_files(spark, d):
-    """One JSON file per task in a folder per board; what has no id is no task, wrongly typed fields are null."""
+    """One JSON document per task in a folder per board; what has no id is no task, wrongly typed fields are null."""
     status = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.array("c_mktsegment"))).otherwise("[5]")
     value = F.concat(
         F.lit("{"), F.when(F.col("c_custkey") % 10 != 9, F.concat(F.lit('"id":"'), F.col("c_custkey").cast("string"), F.lit('",'))).otherwise(""),
@@ -137,7 +138,7 @@ def task_files(spark, d):
         F.when(F.col("c_custkey") % 3 == 0, ',"blockedBy":["x"]').otherwise(""), F.lit("}"),
     )
     rows = t(spark, d, "customer").select(F.concat(F.lit("b"), F.col("c_nationkey").cast("string")).alias("board"), value.alias("value"))
-    x = documents.tasks(spark, _one_row_files(rows, "board", _place(spark, "tasks")), pattern="*.txt")
+    x = documents.tasks(spark, _documents(rows, "board", _place(spark, "tasks")), pattern="*.txt", packed=True)
     return x.select("board", "task_id", "subject", "status", F.size("blocked_by").alias("blockers"))
 
 
@@ -152,15 +153,15 @@ def markdown_notes(spark, d):
         F.lit("---\nname: "), "s_name", F.lit("\n"), about, F.lit("metadata:\n  type: note\n---\n\nSee [[Nation "), F.col("s_nationkey").cast("string"), F.lit("|x]] and [[other]].\n")
     )
     rows = t(spark, d, "supplier").select(F.col("s_nationkey").alias("folder"), value.alias("value"))
-    x = documents.notes(spark, _one_row_files(rows, "folder", _place(spark, "notes")), pattern="*.txt")
+    x = documents.notes(spark, _documents(rows, "folder", _place(spark, "notes")), pattern="*.txt", packed=True)
     return x.select("name", "description", "type", "body", F.array_join("links", ",").alias("links"))
 
 
 @query("""SELECT 'site=' || CAST(page_id % 7 AS VARCHAR) AS folder, count(*) AS files, CAST(sum(length(html) + 1) AS BIGINT) AS chars, count(*) FILTER (contains(html, '<footer>')) AS with_footer FROM pages GROUP BY 1""")
 def whole_scripts(spark, d):
-    """Pages as one file each, read whole, with the folder from the path."""
+    """Pages as one document each, read whole, with the folder from the path."""
     rows = t(spark, d, "pages").select((F.col("page_id") % 7).alias("site"), F.col("html").alias("value"))
-    x = documents.whole_files(spark, _one_row_files(rows, "site", _place(spark, "scripts")), "*.txt")
+    x = documents.whole_files(spark, _documents(rows, "site", _place(spark, "scripts")), "*.txt", packed=True)
     x = x.withColumn("folder", F.element_at(F.split("path", "/"), -2))
     return x.groupBy("folder").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").contains("<footer>")).alias("with_footer"))
 

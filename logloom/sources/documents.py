@@ -8,7 +8,25 @@ from pyspark.sql import functions as F
 from logloom.functions import expr as X
 
 
-def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+#: Ends each record of an archive.
+RECORD_END = "\x1e"
+
+
+def archive(documents: DataFrame, root: str) -> None:
+    """Write documents(path, text) as archives: one file per task, each record a path, a line end and the text. Small documents need no file each."""
+    documents.select(F.concat_ws("\n", "path", F.coalesce("text", F.lit(""))).alias("value")).write.option("lineSep", RECORD_END).text(root)
+
+
+def archived(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, mtime, text) of the documents in archives; the reader splits large ones. The time is the archive's."""
+    x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", RECORD_END).text(root)
+    return x.select(F.substring_index("value", "\n", 1).alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.expr("substring(value, locate('\n', value) + 1)").alias("text"))
+
+
+def whole_files(spark: SparkSession, root: str, pattern: str, packed: bool = False) -> DataFrame:
+    """(path, mtime, text): one row per file, or per document of the archives below root."""
+    if packed:
+        return archived(spark, root, pattern)
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
@@ -21,9 +39,9 @@ def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
-def json_files(spark: SparkSession, root: str, key: str = "session_id", pattern: str = "*.json") -> DataFrame:
+def json_files(spark: SparkSession, root: str, key: str = "session_id", pattern: str = "*.json", packed: bool = False) -> DataFrame:
     """JSON files with their key and `readable`: false for what is no object or has no key; those stay and can be counted."""
-    x = whole_files(spark, root, pattern).withColumn("v", F.try_parse_json("text"))
+    x = whole_files(spark, root, pattern, packed).withColumn("v", F.try_parse_json("text"))
     return x.select("path", "mtime", X.typed("v", f"$.{key}", "string").alias(key), "v").withColumn(
         "readable", F.col(key).isNotNull()
     )
@@ -35,9 +53,9 @@ def category_counts(rows: DataFrame, path: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(m).alias("category", "n"))
 
 
-def tasks(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+def tasks(spark: SparkSession, root: str, pattern: str = "*.json", packed: bool = False) -> DataFrame:
     """Task files: board is the folder's session id, or the 8 characters of a 'session-' folder."""
-    x = whole_files(spark, root, pattern).withColumn("v", F.try_parse_json("text"))
+    x = whole_files(spark, root, pattern, packed).withColumn("v", F.try_parse_json("text"))
     folder = F.element_at(F.split("path", "/"), -2)
     return x.select(
         F.regexp_replace(folder, "^session-", "").alias("board"), X.typed("v", "$.id", "string").alias("task_id"),
@@ -46,9 +64,9 @@ def tasks(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     ).where("task_id is not null")
 
 
-def notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+def notes(spark: SparkSession, root: str, pattern: str = "*.md", packed: bool = False) -> DataFrame:
     """Markdown notes with front matter: name, description, type, body, links, time and slug from the file name."""
-    x = whole_files(spark, root, pattern).withColumn("file", F.substring_index("path", "/", -1))
+    x = whole_files(spark, root, pattern, packed).withColumn("file", F.substring_index("path", "/", -1))
     return x.select(
         "path", "mtime", "file", F.coalesce(X.front_matter(F.col("text"), "name"), F.regexp_replace("file", r"\.md$", "")).alias("name"),
         X.front_matter(F.col("text"), "description").alias("description"), X.front_matter(F.col("text"), "type").alias("type"),
