@@ -184,17 +184,13 @@ def top_sentences(ranks: DataFrame, k: int = 3) -> DataFrame:
 
 
 def readability(sents: DataFrame) -> DataFrame:
-    """Per document: sentences with prose, words, syllables, grade. Syllables are counted once for each distinct word."""
-    words = sents.select("doc_id", "ix", F.explode(prose_words(F.col("sentence"))).alias("word"))
-    per_word = words.groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    known = per_word.select("word").distinct().withColumn("s", syllables(F.col("word")))
-    total = per_word.join(known, "word").groupBy("doc_id").agg(F.sum("k").alias("words"), F.sum(F.col("k") * F.col("s")).alias("syllables"))
-    n = words.groupBy("doc_id").agg(F.countDistinct("ix").alias("sentences"))
-    per_sentence = F.col("words") / F.col("sentences")
-    grade = 0.39 * per_sentence + 11.8 * (F.col("syllables") / F.col("words")) - 15.59
-    x = sents.select("doc_id").distinct().join(n.join(total, "doc_id"), "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return x.select("doc_id", zero("sentences"), zero("words"), zero("syllables"), F.coalesce(X.half_up(grade, 2), F.lit(0.0)).alias("grade"))
+    """Per document: sentences with prose, words, syllables, grade. Each sentence is counted where it lies; three numbers of it are added up by document."""
+    x = sents.select("doc_id", prose_words(F.col("sentence")).alias("w"))
+    x = x.select("doc_id", F.size("w").alias("words"), syllables(F.array_join("w", " ")).alias("syllables"))
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    x = x.groupBy("doc_id").agg(F.count_if(F.col("words") > 0).alias("sentences"), total("words"), total("syllables"))
+    grade = 0.39 * (F.col("words") / F.col("sentences")) + 11.8 * (F.col("syllables") / F.col("words")) - 15.59
+    return x.withColumn("grade", F.when(F.col("words") > 0, X.half_up(grade, 2)).otherwise(0.0))
 
 
 def digest(sents: DataFrame, summaries: DataFrame | None = None, k: int = 3, n_keywords: int = 6, ranks: DataFrame | None = None) -> DataFrame:
