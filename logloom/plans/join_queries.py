@@ -881,6 +881,26 @@ def log_entries(spark, d):
     return documents.log_entries(logs, ["error", "purchase"]).drop("format")
 
 
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS date_raw,
+ CASE event_type WHEN 'error' THEN 'Error' ELSE 'Purchase' END AS type, 'item ' || CAST(json_extract(props, '$.k') AS VARCHAR) || CASE event_id % 3 WHEN 1 THEN ' goes on' ELSE '' END AS text,
+ CASE event_id % 3 WHEN 0 THEN 'pipe' WHEN 1 THEN 'section' ELSE 'table' END AS format FROM events WHERE event_type IN ('error', 'purchase')"""
+)
+def log_entry_forms(spark, d):
+    """The same logs in three line forms: lines with bars, sections with continued paragraphs, and table rows."""
+    k, day = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd")
+    item = F.concat(F.lit("item "), F.get_json_object("props", "$.k"))
+    line = (
+        F.when(k == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" | ["), "event_type", F.lit("] | "), item))
+        .when(k == 1, F.concat(F.lit("## "), day, F.lit("\n\n["), "event_type", F.lit("] "), item, F.lit("\n  goes on\n")))
+        .otherwise(F.concat(F.lit("| "), day, F.lit(" | "), "event_type", F.lit(" | all | "), item, F.lit(" |")))
+    )
+    e = t(spark, d, "events").where("event_type in ('error', 'purchase')").select("user_id", F.struct("event_id", line.alias("line")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    logs = e.groupBy(F.col("user_id").cast("string").alias("log_id")).agg(body.alias("text"))
+    return documents.log_entries(logs, ["error", "purchase"]).drop("supersedes")
+
+
 def _json_lines(spark, rows, line):
     path = f"{scratch_dir(spark)}/logloom/lines-{uuid.uuid4().hex}"
     rows.select(F.to_json(line).alias("value")).write.text(path)
