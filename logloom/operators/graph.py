@@ -62,13 +62,13 @@ def closure_by_root(roots: DataFrame, links: DataFrame, hops: int = 5, files: in
     for hop in range(1, hops + 2):
         met = front.join(links.withColumnRenamed("source", "id"), "id").select("root", F.struct("id", "seq").alias("at"), "to_id")
         if hop > hops:
-            skips.append(met.groupBy("root").agg(F.count("*").alias("n")).withColumn("reason", F.lit(DEEP)))
+            skips.append(cut(met.groupBy("root").agg(F.count("*").alias("n")).withColumn("reason", F.lit(DEEP)), "reach-skipped"))
             break
         met = cut(met.groupBy("root", "to_id").agg(F.min("at").alias("at"), F.count("*").alias("links")), "reach-met")
-        skips.append(met.where("to_id is null").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(BROKEN)))
+        skips.append(cut(met.where("to_id is null").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(BROKEN)), "reach-skipped"))
         known = seen.select("root", F.col("id").alias("to_id"), F.lit(True).alias("known"))
         x = met.where("to_id is not null").join(known, ["root", "to_id"], "left")
-        skips.append(x.where("known").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(AGAIN)))
+        skips.append(cut(x.where("known").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(AGAIN)), "reach-skipped"))
         fresh = x.where("known is null").drop("known")
         used = seen.groupBy("root").agg((F.count("*") - 1).alias("used"))
         order = Window.partitionBy("root").orderBy("at")

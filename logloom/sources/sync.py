@@ -100,6 +100,7 @@ def merge(changed: DataFrame, where: str, writer: str, batch: int, removed: Data
         return False
     order = F.desc(newest) if newest else F.lit(0)
     one = changed.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__r = 1").drop("__r")
+    one = cut(one, "changed")  # read once; and a union of two shuffles may be planned as one partitioning, whose sides adapt apart
     gone = changed.select(*keys) if removed is None else changed.select(*keys).unionByName(removed.select(*keys))
     kinds = cut(gone.select(F.col("kind").alias("__k")).distinct(), "touched")
     touched = read(spark, where, schema, last).join(F.broadcast(kinds), F.col("kind") == F.col("__k")).drop("__k")  # one row per partition
