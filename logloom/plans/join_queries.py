@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
 from logloom.operators import graph, pairing, sessions, text, tools
-from logloom.plans.base import now, r6, stamp, t
+from logloom.plans.base import now, r6, snapshots, stamp, t
 from logloom.shared import cut, scratch_dir
 from logloom.sources import documents, sync, transcripts
 from logloom.streaming import jobs
@@ -734,9 +734,7 @@ def sync_delta(spark, d):
 
 @query("""SELECT lang AS kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 2 ELSE 1 END * n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 11 <> 0 OR lang = 'de' GROUP BY 1""")
 def sync_applied(spark, d):
-    x = t(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("n_chars").alias("size"))
-    known = x.where("doc_id % 7 <> 0 OR doc_id % 11 = 0").withColumn("mtime", F.lit(1))
-    cur = x.where("doc_id % 11 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))
+    known, cur = snapshots(t(spark, d, "documents"))
     ch = cut(sync.delta(known, cur, spark.createDataFrame([("de",)], "kind string")), "delta")
     again = F.when(F.col("doc_id") % 7 == 0, F.col("size")).otherwise(F.col("size") * 2)
     todo = ch.where("state in ('new', 'changed')").select("kind", "path")
