@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
 from logloom.operators import pairing, sessions, text, tools, usage
-from logloom.plans.base import r6, stamp, t
+from logloom.plans.base import r6, snapshots, stamp, t
 from logloom.shared import cut, scratch_dir
 from logloom.sources import documents, sync, transcripts
 from logloom.streaming import jobs
@@ -209,9 +209,7 @@ def incremental_index(spark, d):
 def sync_written(spark, d):
     """A first snapshot written as an index, then the sync of a second one merged into it: removed files go, changed ones are replaced, all others stay where they are."""
     where = _place(spark, "index")
-    x = t(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("n_chars").alias("size"))
-    known = x.where("doc_id % 7 <> 0 OR doc_id % 11 = 0").withColumn("mtime", F.lit(1))
-    cur = x.where("doc_id % 11 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))
+    known, cur = snapshots(t(spark, d, "documents"))
     ch = cut(sync.delta(known, cur, spark.createDataFrame([("de",)], "kind string")), "delta")
     first = known.select("kind", "path", "size")
     sync.merge(first, where, "sync", 0)
