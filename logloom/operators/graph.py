@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import expr as X
 from logloom.operators.ranges import places
-from logloom.shared import cut
+from logloom.shared import cut, freed_shuffles
 
 
 def resolve_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -51,42 +51,83 @@ def closure(roots: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
 BROKEN, AGAIN, FULL, DEEP = "broken", "already-counted", "beyond-files", "beyond-hops"
 
 
+#: Targets of a source that go together, and links that are followed at a time: this many, or some times all that there are.
+PIECE, FOLLOWED = 1024, 100_000_000
+_RANK = 1 << 40
+
+
+def _targets(links: DataFrame) -> DataFrame:
+    """(source, piece, targets): the to_id of each source's links in order of seq, PIECE of them a row; null where broken."""
+    x = places(links.select("source", "seq", "to_id"), "source", ["seq", "to_id"])
+    x = x.groupBy("source", F.floor(F.col("place") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("place", "to_id"))).alias("x"))
+    return cut(x.select("source", "piece", F.col("x.to_id").alias("targets")), "reach-targets")
+
+
 def closure_by_root(roots: DataFrame, links: DataFrame, hops: int = 5, files: int = 200) -> tuple[DataFrame, DataFrame]:
     """((root, id, hop), (root, reason, n)): what each of roots(id) reaches by links(source, seq, to_id), `files` ids at most beside itself, and why links were not followed.
 
     Hop by hop, and inside a hop by (source, seq), a new id counts while its root has room. Of the links of what was counted, each is followed or has one
-    reason: a null to_id, an id counted before, no room, or no hop left. Frontiers keep their root, and a root's first `files` new ids are chosen before the shuffle.
+    reason: a null to_id, an id counted before, no room, or no hop left. A source's targets come to a root as an array, are counted there, and leave one
+    row per root; a share of the roots goes at a time, so that the links that meet never lie on disk together.
     """
-    seen = front = cut(roots.select(F.col("id").alias("root"), "id").distinct().withColumn("hop", F.lit(0)), "reach")
+    spark = roots.sparkSession
+    one = roots.select(F.col("id").alias("root")).distinct()
+    state = cut(one.select("root", F.array("root").alias("seen"), F.array("root").alias("front")), "reach")
+    reached = [state.select("root", F.explode("front").alias("id"), F.lit(0).alias("hop"))]
     skips = []
-    for hop in range(1, hops + 2):
-        met = front.join(links.withColumnRenamed("source", "id"), "id").select("root", F.struct("id", "seq").alias("at"), "to_id")
-        if hop > hops:
-            skips.append(cut(met.groupBy("root").agg(F.count("*").alias("n")).withColumn("reason", F.lit(DEEP)), "reach-skipped"))
-            break
-        met = cut(met.groupBy("root", "to_id").agg(F.min("at").alias("at"), F.count("*").alias("links")), "reach-met")
-        skips.append(cut(met.where("to_id is null").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(BROKEN)), "reach-skipped"))
-        known = seen.select("root", F.col("id").alias("to_id"), F.lit(True).alias("known"))
-        x = met.where("to_id is not null").join(known, ["root", "to_id"], "left")
-        skips.append(cut(x.where("known").groupBy("root").agg(F.sum("links").alias("n")).withColumn("reason", F.lit(AGAIN)), "reach-skipped"))
-        fresh = x.where("known is null").drop("known")
-        used = seen.groupBy("root").agg((F.count("*") - 1).alias("used"))
-        order = Window.partitionBy("root").orderBy("at")
-        some = fresh.withColumn("place", F.row_number().over(order)).where(F.col("place") <= files)
-        front = cut(some.join(used, "root").where(F.col("place") + F.col("used") <= files).select("root", F.col("to_id").alias("id"), F.lit(hop).alias("hop")), "reach")
-        taken = front.select("root", F.col("id").alias("to_id"), F.lit(True).alias("taken"))
-        why = fresh.join(taken, ["root", "to_id"], "left").withColumn("reason", F.when(F.col("taken"), AGAIN).otherwise(FULL))
-        why = why.withColumn("n", F.when(F.col("taken"), F.col("links") - 1).otherwise(F.col("links")))
-        skips.append(cut(why.groupBy("root", "reason").agg(F.sum("n").alias("n")), "reach-skipped"))
-        if not front.take(1):
-            break
-        seen = cut(seen.unionByName(front), "reach-seen")
-    out = skips[0].select("root", "reason", "n")
-    for s in skips[1:]:
-        out = out.unionByName(s.select("root", "reason", "n"))
+    with freed_shuffles(spark):
+        targets = _targets(links)
+        n_links, n_sources = targets.agg(F.sum(F.size("targets")), F.countDistinct("source")).first()
+        for hop in range(1, hops + 2):
+            front = state.select("root", (F.lit(files + 1) - F.size("seen")).alias("room"), F.posexplode(F.array_sort("front")).alias("rank", "id"))
+            if hop > hops:
+                size = targets.groupBy(F.col("source").alias("id")).agg(F.sum(F.size("targets")).alias("n"))
+                deep = front.join(size, "id").groupBy("root").agg(F.sum("n").alias("n"))
+                skips.append(cut(deep.select("root", F.lit(DEEP).alias("reason"), "n"), "reach-skipped"))
+                break
+            n_front = state.agg(F.sum(F.size("front"))).first()[0] or 0
+            if not n_front or not n_links:
+                break
+            meet = n_front * n_links / n_sources
+            shares = max(1, round(meet / max(FOLLOWED, 4 * n_links)))
+            tasks = 1 + int(meet / shares / 1_000_000)  # arrays are small before they are taken apart, so bytes don't tell
+            done = [cut(_followed(state, front, targets, shares, k, tasks), "reach") for k in range(shares)]
+            state = done[0]
+            for more in done[1:]:
+                state = state.unionByName(more)
+            for reason in (BROKEN, AGAIN, FULL):
+                skips.append(state.select("root", F.lit(reason).alias("reason"), F.col(reason).alias("n")))
+            reached.append(state.select("root", F.explode("front").alias("id"), F.lit(hop).alias("hop")))
+    seen, out = reached[0], spark.createDataFrame([], one.schema).select("root", F.lit("").alias("reason"), F.lit(0).cast("long").alias("n"))
+    for more in reached[1:]:
+        seen = seen.unionByName(more)
+    for more in skips:
+        out = out.unionByName(more)
     return seen, out.groupBy("root", "reason").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
 
 
+def _followed(state: DataFrame, front: DataFrame, targets: DataFrame, shares: int, k: int, tasks: int) -> DataFrame:
+    """The next (root, seen, front) of one share of the roots, with the links of each reason."""
+    mine = F.pmod(F.xxhash64("root"), F.lit(shares)) == k
+    met = front.where(mine).join(targets.withColumnRenamed("source", "id"), "id")
+    met = met.select("root", "room", (F.col("rank") * F.lit(_RANK) + F.col("piece") * PIECE).alias("start"), "targets")
+    known = state.where(mine).select("root", F.lit(0).alias("room"), F.lit(None).cast("long").alias("start"), F.col("seen").alias("targets"))
+    x = met.unionByName(known).repartition(tasks, "root")  # all that follows is within a root
+    x = x.select("root", "room", "start", F.posexplode("targets").alias("at", "to_id"))
+    x = x.groupBy("root", "to_id").agg(
+        F.max("room").alias("room"), F.min(F.col("start") + F.col("at")).alias("first"), F.count("start").alias("links"), F.count_if(F.col("start").isNull()).alias("known")
+    )
+    fresh = F.col("to_id").isNotNull() & (F.col("known") == 0)
+    x = x.withColumn("fresh", fresh).withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("fresh"), "first")))
+    x = x.withColumn("taken", F.col("fresh") & (F.col("place") <= F.col("room")))
+    total = lambda c, n="links": F.sum(F.when(c, F.col(n)).otherwise(0))
+    return x.groupBy("root").agg(
+        F.collect_list(F.when((F.col("known") > 0) | F.col("taken"), F.col("to_id"))).alias("seen"), F.collect_list(F.when(F.col("taken"), F.col("to_id"))).alias("front"),
+        total(F.col("to_id").isNull()).alias(BROKEN), (total(F.col("known") > 0) + F.sum(F.when(F.col("taken"), F.col("links") - 1).otherwise(0))).alias(AGAIN),
+        total(F.col("fresh") & ~F.col("taken")).alias(FULL),
+    )
+
+
 def set_comparison(a: DataFrame, b: DataFrame, name: str, count: str) -> DataFrame:
     """(name, a, b, side): counts of two runs side by side; side is both, only-a or only-b."""
     x = a.select(F.col(name).alias("__a"), F.col(count).alias("a")).join(

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,6 +70,18 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Tables that are written inside leave no shuffle files behind: for jobs of many steps, each of which ends in cut()."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it was counted to be small and its plan reads few bytes; else as it is, for a shuffled join."""
     if rows > BROADCAST_ROWS:
