@@ -393,8 +393,9 @@ tf AS (SELECT doc_id, ix, term, count(*) AS tf FROM w WHERE length(term) > 1 AND
 n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1), df AS (SELECT doc_id, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS c FROM tf GROUP BY 1, 2)"""
 
 
-def _lines(spark, d):
-    return text.line_table(t(spark, d, "documents").select("doc_id", "text"))
+def _lined(spark, d):
+    """documents, and the lines of each as its sentences."""
+    return t(spark, d, "documents").select("doc_id", "text"), text.line_lists(F.col("text"))
 
 
 def _sentences(spark, d):
@@ -407,7 +408,7 @@ def _sentences(spark, d):
 SELECT doc_id, CAST(ix AS INTEGER) AS ix, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, ix)), 6) AS weight FROM v"""
 )
 def tf_idf_vectors(spark, d):
-    return text.tf_idf(_lines(spark, d)).withColumn("weight", r6("weight"))
+    return text.tf_idf_texts(*_lined(spark, d)).withColumn("weight", r6("weight"))
 
 
 @query(
@@ -416,7 +417,7 @@ def tf_idf_vectors(spark, d):
 SELECT doc_id, term, count, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 6"""
 )
 def keyword_scores(spark, d):
-    return text.keywords(_lines(spark, d)).select("doc_id", "term", "count", r6("score").alias("score"))
+    return text.keywords_texts(*_lined(spark, d)).select("doc_id", "term", "count", r6("score").alias("score"))
 
 
 @query(
@@ -426,7 +427,7 @@ v AS (SELECT doc_id, ix, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, ix
 SELECT a.doc_id, CAST(a.ix AS INTEGER) AS i, CAST(b.ix AS INTEGER) AS j, round(sum(a.w * b.w), 6) AS weight FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.term = b.term AND a.ix <> b.ix GROUP BY 1, 2, 3"""
 )
 def sentence_similarity(spark, d):
-    return text.similarity_edges(cut(text.tf_idf(_lines(spark, d)), "vectors")).withColumn("weight", r6("weight"))
+    return text.similarity_texts(*_lined(spark, d)).withColumn("weight", r6("weight"))
 
 
 @query()
