@@ -398,10 +398,6 @@ def _lined(spark, d):
     return t(spark, d, "documents").select("doc_id", "text"), text.line_lists(F.col("text"))
 
 
-def _sentences(spark, d):
-    return cut(text.sentence_table(t(spark, d, "documents").select("doc_id", "text")), "sentences")
-
-
 @query(
     _SQL_TERMS
     + """, v AS (SELECT tf.doc_id, ix, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.doc_id = df.doc_id AND tf.term = df.term JOIN n ON n.doc_id = tf.doc_id)
@@ -442,7 +438,7 @@ def sentence_ranks(spark, d):
 
 @query()
 def extractive_digest(spark, d):
-    return text.digest(_sentences(spark, d), ranks=text.rank_texts(t(spark, d, "documents").select("doc_id", "text")))
+    return text.digest_texts(t(spark, d, "documents").select("doc_id", "text"))
 
 
 @query()
