@@ -164,8 +164,14 @@ def script_inventory(scripts: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+#: Rows of versions that one task sorts, about.
+SORTED = 2_000_000
+
+
 def version_chains(versions: DataFrame) -> DataFrame:
-    """Per (hash, session): count, first, highest, gaps; versions(hash, session_id, version, size)."""
+    """Per (hash, session): count, first, highest, gaps; versions(hash, session_id, version, size). Rows are counted and dealt to as many tasks as they need,
+    so what a task sorts doesn't grow with them."""
+    versions = versions.repartition(1 + versions.count() // SORTED, "hash", "session_id")
     w = Window.partitionBy("hash", "session_id").orderBy("version")
     x = versions.withColumn("gap", F.coalesce(F.col("version") - F.lag("version").over(w) > 1, F.lit(False)))
     return x.groupBy("hash", "session_id").agg(
