@@ -454,6 +454,10 @@ def _index(spark, d):
     return text.postings(t(spark, d, "documents").select("doc_id", "text", "source"), title="source", body="text")
 
 
+def _local_index(spark, d):
+    return text.postings_texts(t(spark, d, "documents").select("doc_id", "text", "source"), title="source", body="text")
+
+
 def _queries(spark, d):
     """Every fiftieth document asks with its source and the first two words of its text."""
     x = t(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "source", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("w"))
@@ -476,7 +480,7 @@ SELECT p.query_id, doc_id, round(sum(part), 6) AS score FROM p JOIN nd ON nd.que
 
 @query(_POSTINGS + _ASKED)
 def full_text_search(spark, d):
-    ix = cut(_index(spark, d), "index")
+    ix = cut(_local_index(spark, d), "index")
     n = t(spark, d, "documents").count()
     return text.search(ix, n, _queries(spark, d), {"title": 4.0, "body": 1.0})
 
@@ -502,7 +506,7 @@ _BEST = _POSTINGS + _ASKED.replace("SELECT p.query_id, doc_id, round(sum(part),
 
 
 def _best(spark, d, k):
-    return text.search(cut(_index(spark, d), "index"), t(spark, d, "documents").count(), _queries(spark, d), {"title": 4.0, "body": 1.0}, k=k)
+    return text.search(cut(_local_index(spark, d), "index"), t(spark, d, "documents").count(), _queries(spark, d), {"title": 4.0, "body": 1.0}, k=k)
 
 
 @query(_BEST + " SELECT query_id, doc_id, score, CAST(place AS INTEGER) AS place FROM t WHERE place <= 50")
