@@ -178,10 +178,13 @@ def _next_row(y: list):
 def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
     """Steps of an alignment by longest common subsequence: ('both' | 'a' | 'b', index in a, index in b); ties prefer a alone.
 
-    Equal ends are cut off first. A row of the table is len(b) bits; one in about sqrt(len(a)) rows is kept, and those between are made again.
+    Equal ends are cut off first. The table has rows and bits for what both sides hold alone, as other steps never match. A row is kept for about every
+    sqrt(rows)-th one, and those between are made again.
     """
     lo, hi = _equal_ends(a, b)
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    all_a, all_b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    shared = set(all_a).intersection(all_b)
+    x, y = [s for s in all_a if s in shared], [s for s in all_b if s in shared]
     n, m, step = len(x), len(y), _next_row(y)
     every = max(1, int(n**0.5))
     saved, row = {n: 0}, 0
@@ -203,20 +206,28 @@ def lcs(a: list, b: list) -> list[tuple[str, int, int]]:
         return part[i]
 
     out = [("both", k, k) for k in range(lo)]
-    i = j = 0
+    i = j = at_a = at_b = 0
     here = row_of(0)
     below = row_of(1) if n else 0
     left = here.bit_count()  # of x[i:] and y[j:]
     skip_a = below.bit_count()  # of x[i + 1:] and y[j:]
-    while i < n or j < m:
-        gain = here >> (m - 1 - j) & 1 if j < m else 0
-        if i < n and j < m and x[i] == y[j]:
+    while at_a < len(all_a) or at_b < len(all_b):
+        own_a, own_b = at_a < len(all_a) and all_a[at_a] not in shared, at_b < len(all_b) and all_b[at_b] not in shared
+        if own_a:  # to leave it out costs nothing, and a alone comes first
+            out.append(("a", lo + at_a, -1))
+            at_a += 1
+            continue
+        gain = here >> (m - 1 - j) & 1 if j < m and not own_b else 0
+        if i < n and j < m and not own_b and x[i] == y[j]:
             kind = "both"
-        elif j == m or i < n and skip_a >= left - gain:
+        elif at_b == len(all_b) or i < n and skip_a >= left - gain:
             kind = "a"
         else:
             kind = "b"
-        out.append((kind, lo + i if kind != "b" else -1, lo + j if kind != "a" else -1))
+        out.append((kind, lo + at_a if kind != "b" else -1, lo + at_b if kind != "a" else -1))
+        at_a, at_b = at_a + (kind != "b"), at_b + (kind != "a")
+        if kind == "b" and own_b:
+            continue
         if kind != "a":
             left, skip_a = left - gain, skip_a - (below >> (m - 1 - j) & 1)
             j += 1
@@ -402,17 +413,26 @@ def _consecutive(versions: DataFrame) -> DataFrame:
     return x.join(after, ["chain", "next_version"]).select("chain", "version", "next_version", "text", "next_text")
 
 
+#: Lines that leave a task together.
+HUNK_ROWS = 20_000
+
+
 def version_hunks(versions: DataFrame, context: int = 3) -> DataFrame:
     """The lines of each change from a version to the next of its chain, with `context` equal lines around: (chain, version, next_version, hunk, position,
     side: both, a (removed) or b (added); line_a, line_b from 1, text). Changes whose contexts touch are one hunk; all lines come, whatever their number."""
     kind = versions.schema["chain"].dataType.simpleString()
     names = ["chain", "version", "next_version", "hunk", "position", "side", "line_a", "line_b", "text"]
 
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=names)
+        return out.assign(**{c: out[c].where(out[c] > 0).astype("Int32") for c in ("line_a", "line_b")})
+
     def run(batches):
+        rows = []
         for pdf in batches:
             for r in pdf.itertuples():
                 a, b = (r.text or "").split("\n"), (r.next_text or "").split("\n")
-                steps, rows, hunk, shown = lcs(a, b), [], -1, -1
+                steps, hunk, shown = lcs(a, b), -1, -1
                 changed = [k for k, s in enumerate(steps) if s[0] != "both"]
                 for k in changed:
                     begin = max(0, k - context)
@@ -421,8 +441,11 @@ def version_hunks(versions: DataFrame, context: int = 3) -> DataFrame:
                         side, i, j = steps[p]
                         rows.append((r.chain, r.version, r.next_version, hunk, p, side, i + 1, j + 1, a[i] if i >= 0 else b[j]))
                         shown = p + 1
-                out = pd.DataFrame(rows, columns=names)
-                yield out.assign(**{c: out[c].where(out[c] > 0).astype("Int32") for c in ("line_a", "line_b")})
+                if len(rows) > HUNK_ROWS:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     return _consecutive(versions).mapInPandas(
         run, f"chain {kind}, version int, next_version int, hunk int, position int, side string, line_a int, line_b int, text string"
