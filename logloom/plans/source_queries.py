@@ -43,12 +43,12 @@ def _documents(rows: DataFrame, folder: str, root: str) -> str:
     """SELECT 'lang=' || lang AS project_dir, CAST(1 AS BIGINT) AS files, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, 2 AS depth FROM documents GROUP BY lang"""
 )
 def session_listing(spark, d):
-    """Documents as one session file for each language; a nested copy of each is no session."""
+    """Documents as one session for each language, written in parts where they lie; a nested copy of each is no session."""
     root = _place(spark, "sessions")
-    x = t(spark, d, "documents").select("lang", F.col("text").alias("value")).repartition("lang")
+    x = t(spark, d, "documents").select("lang", F.col("text").alias("value"))
     x.write.partitionBy("lang").text(f"{root}/projects")
     x.withColumn("deep", F.lit("a")).write.mode("append").partitionBy("lang", "deep").text(f"{root}/projects")
-    out = transcripts.session_files(spark, root, "*.txt")
+    out = transcripts.session_files(spark, root, "*.txt", parts="^part-[0-9]+-(.*)\\.c[0-9]+\\.txt$")
     return out.groupBy("project_dir").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("depth").alias("depth"))
 
 

@@ -74,10 +74,19 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def session_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Mainline files: exactly <project>/<session>.jsonl, newest first by (mtime, path)."""
-    x = files(spark, root, pattern).withColumns(_place(F.col("path")))
-    return x.where("depth = 2").orderBy(F.desc("mtime"), "path")
+def session_files(spark: SparkSession, root: str, pattern: str = "*.jsonl", parts: str | None = None) -> DataFrame:
+    """Mainline files: exactly <project>/<session>.jsonl, newest first by (mtime, path).
+
+    A long session may lie in several files: with parts, a regular expression whose first group is what their names share, such files of one folder are one
+    row, with the first path, the newest time and the sum of their sizes.
+    """
+    x = files(spark, root, pattern)
+    if parts is not None:
+        whole = F.regexp_extract(F.substring_index("path", "/", -1), parts, 1)
+        below = F.regexp_replace("path", "[^/]*$", "")
+        x = x.groupBy(below.alias("folder"), F.coalesce(F.nullif(whole, F.lit("")), "path").alias("whole"))
+        x = x.agg(F.min("path").alias("path"), F.sum("size").alias("size"), F.max("mtime").alias("mtime")).select("path", "size", "mtime")
+    return x.withColumns(_place(F.col("path"))).where("depth = 2").orderBy(F.desc("mtime"), "path")
 
 
 def delegated_files(spark: SparkSession, root: str, most_depth: int = 6, pattern: str = "*.jsonl") -> DataFrame:
