@@ -223,7 +223,7 @@ def sync_written(spark, d):
 
 
 def _session_corpus(spark, d):
-    """conversations as one record file each, in turn order, with titles, settings that change, side turns and torn lines."""
+    """conversations as one record file each, in turn order, with titles, settings that change, side turns and torn lines; files lie packed, many in one."""
     c = t(spark, d, "conversations").where("conv_id is not null")
     odd = F.col("conv_id") % 2 == 1
     usage_of = F.when(F.col("role") == "assistant", F.struct(F.length("text").alias("input_tokens"), F.octet_length("text").alias("output_tokens"), F.col("turn").alias("cache_read_input_tokens")))
@@ -240,8 +240,9 @@ def _session_corpus(spark, d):
     title = F.when(odd & (F.col("turn") <= 1), F.to_json(F.struct(F.lit("ai-title").alias("type"), F.concat(F.lit("Title "), "conv_id", F.lit("."), "turn").alias("aiTitle"))))
     x = c.select("conv_id", "turn", F.posexplode(F.array_compact(F.array(line, title))).alias("k", "value"))
     root = _place(spark, "records")
-    x.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "k").select(F.col("conv_id").alias("conv"), "value").write.partitionBy("conv").text(f"{root}/projects")
-    return transcripts.records(spark, root, pattern="*.txt").withColumn("session_id", F.regexp_extract("project_dir", r"conv=(-?\d+)", 1))
+    path = F.concat(F.lit("/projects/conv="), F.col("conv_id").cast("string"), F.lit("/session.txt"))
+    transcripts.pack(x.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "k").select(path.alias("path"), "value"), root)
+    return transcripts.records(spark, root, pattern="*.txt", packed=True).withColumn("session_id", F.regexp_extract("project_dir", r"conv=(-?\d+)", 1))
 
 
 _GOOD = "NOT (turn = 3 AND conv_id % 4 = 0)"

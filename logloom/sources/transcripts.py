@@ -11,20 +11,28 @@ LINE_CAP = 8 << 20
 _UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
-def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
-    """Non-blank lines of all files below root, with file facts and line order. modified_after prunes files before they are read."""
+def pack(lines: DataFrame, root: str) -> None:
+    """Write lines(path, value) as a packed corpus: a file per task, each line a path, a tab and the line. Small files need no file each; the lines of one path must lie in one task, in order."""
+    lines.select(F.concat_ws("\t", "path", "value").alias("value")).write.text(root)
+
+
+def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", modified_after: str | None = None, packed: bool = False) -> DataFrame:
+    """Non-blank lines of all files below root, with file facts and line order. modified_after prunes files before they are read. In a packed corpus each line names its file; size and time are the pack's."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
+    path, value = F.col("_metadata.file_path"), F.col("value")
+    if packed:
+        path, value = F.substring_index("value", "\t", 1), F.expr("substring(value, locate('\t', value) + 1)")
     return (
         reader.text(root)
         .select(
-            F.col("_metadata.file_path").alias("file_path"),
+            path.alias("file_path"),
             F.col("_metadata.file_modification_time").alias("file_mtime"),
             F.col("_metadata.file_size").alias("file_size"),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.monotonically_increasing_id().alias("line_seq"),
-            "value",
+            value.alias("value"),
         )
         .where(F.trim("value") != "")
     )
