@@ -443,7 +443,7 @@ def extractive_digest(spark, d):
 
 @query()
 def readability_scores(spark, d):
-    return text.readability(text.sentence_table(t(spark, d, "documents").select("doc_id", "text")))
+    return text.readability_texts(t(spark, d, "documents").select("doc_id", "text"))
 
 
 _POSTINGS = """WITH w AS (SELECT doc_id, 'body' AS field, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+')) AS term FROM documents UNION ALL SELECT doc_id, 'title', unnest(regexp_split_to_array(lower(source), '[^\\pL\\pN_]+')) FROM documents),
